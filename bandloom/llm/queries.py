@@ -12,6 +12,20 @@ from bandloom.llm.common import read_table
 TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.llm.simhash import simhash_groups
+
+    return simhash_groups(read_table(spark, sf_dir, "documents"), shingle=3, budget=3, seed=42)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.llm.decontaminate import decontaminate
+
+    found = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandloom.llm.license_scan import license_scan
 
@@ -34,8 +48,18 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.llm.line_dedup import line_dedup
+
+    kept = line_dedup(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, keep_first=False)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_license_scans": op5_license_scans,
     "op6_token_counts": op6_token_counts,
     "op9_exact_topk": op9_exact_topk,
+    "op10_line_dedup": op10_line_dedup,
 }

@@ -59,4 +59,35 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_license_scans": OP5, "op9_exact_topk": OP9}
+OP4 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_folded('text')}, '{_WORD}') AS w FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all({_folded('text')}, '{_WORD}') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, w[a + 1 : a + 10] AS p FROM (SELECT item, w, unnest(range(greatest(1, len(w) - 9))) AS a FROM items WHERE len(w) > 0)),
+keys AS (SELECT len(p) AS n, array_to_string(p, ' ') AS k, list(DISTINCT item) AS owners FROM windows GROUP BY ALL),
+sizes AS (SELECT DISTINCT n FROM keys),
+places AS (SELECT rid, n, a, array_to_string(w[a + 1 : a + n], ' ') AS k
+  FROM (SELECT rid, w, n, unnest(range(len(w) - n + 1)) AS a FROM docs JOIN sizes ON len(w) >= n)),
+hits AS (SELECT rid, places.n, a, owners FROM places JOIN keys ON places.n = keys.n AND places.k = keys.k),
+words AS (SELECT rid, count(DISTINCT i) AS n_hit FROM (SELECT rid, unnest(range(a, a + n)) AS i FROM hits) GROUP BY rid),
+owned AS (SELECT rid, list_sort(list(DISTINCT item)) AS names FROM (SELECT rid, unnest(owners) AS item FROM hits) WHERE item IS NOT NULL GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(names), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN owned USING (rid)
+"""
+
+_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP10 = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT rid, doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM docs),
+keyed AS (SELECT *, translate(trim(line, {_ENDS}), '{_UPPER}', '{_LOWER}') AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT keyed.*, common.k IS NOT NULL AS gone FROM keyed LEFT JOIN common ON keyed.k = common.k)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY rid
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4, "op5_license_scans": OP5, "op9_exact_topk": OP9, "op10_line_dedup": OP10}
