@@ -12,6 +12,13 @@ from bandloom.llm.common import read_table
 TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.llm.mixing import mix_sources
+
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, shards=8)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandloom.llm.simhash import simhash_groups
 
@@ -41,6 +48,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.llm.sharding import kd_shards
+
+    placed = kd_shards(read_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandloom.llm.exact_topk import exact_topk
 
@@ -56,10 +70,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_license_scans": op5_license_scans,
     "op6_token_counts": op6_token_counts,
+    "op8_kd_sharding": op8_kd_sharding,
     "op9_exact_topk": op9_exact_topk,
     "op10_line_dedup": op10_line_dedup,
 }
