@@ -13,6 +13,8 @@ from bandloom.llm.common import cut
 
 #: Words of a block at most, and blocks that each output shard gets on average at least (while a block has a word).
 BLOCK_WORDS, BLOCKS_PER_SHARD = 1 << 20, 64
+#: Blocks from the boundary block on from which rows are taken singly to come near a target.
+POOL_BLOCKS = 8
 #: Words `[^\x20\x09-\x0D]+` of a text.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,7 +85,7 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...], share: float, most: floa
     order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed), "block", "full"), "block")
     before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = cut(blocks.withColumn("before", before).withColumn("rank", F.row_number().over(order) - 1), "ranks")
-    last = last.withColumn("drawn", F.col("before") < F.col("rest"))
+    last = last.withColumn("drawn", (F.col("rest") > 0) & (F.col("before") < F.col("rest") + POOL_BLOCKS * block))
     counts = {r["source_no"]: r["n"] for r in last.where("drawn").groupBy("source_no").agg(F.count("*").alias("n")).collect()}
     quotas = np.array([f * b + counts.get(i, 0) for _, i, _, _, b, f, _ in table], dtype=np.int64)
     dealt = splitting_tree(quotas, shards, np.random.default_rng(seed)) if len(quotas) else np.zeros((0, shards), dtype=np.int64)
@@ -107,9 +109,9 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...], share: float, most: floa
 
 
 def _first_fit(block: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a source's boundary block that the mix takes: by key, each that still fits, then perhaps the smallest of
-    the others if that comes nearer. A block holds about BLOCK_WORDS words at most."""
-    block = block.sort_values(["key", "size"])
+    """The rows of a source's last blocks that the mix takes: block by block and by key, each that still fits, then perhaps
+    the smallest of the others if that comes nearer. There are POOL_BLOCKS blocks of about BLOCK_WORDS words at most."""
+    block = block.sort_values(["cut", "key"], ascending=[False, True])
     room, take = float(block["cut"].iloc[0]), []
     for size in block["size"]:
         take.append(size <= room)
@@ -131,7 +133,7 @@ def draw(rows: DataFrame, plan: MixPlan, seed: int) -> DataFrame:
     Sorted by place, a shard is locally shuffled."""
     known = blocked(rows, plan.sources).join(plan.draws, ["source_no", "block"], "left")
     inside = known.where("partly is null or not partly")
-    # one block of each source is taken in part
+    # the last blocks of each source are taken in part
     edge = known.where("partly").join(plan.edges.withColumn("fits", F.lit(True)), ["source_no", "key"], "left")
     edge = edge.withColumn("passes", F.when(F.col("fits"), F.col("passes")).otherwise(F.slice("passes", 1, F.size("passes") - 1))).drop("fits")
     passes = F.coalesce("passes", F.expr("cast(array() as array<struct<pass: int, shard: int>>)"))
@@ -144,7 +146,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
     Sizes are words. Sources, by code point and null last, weigh `weights`, repeating; see water_fill() for their targets.
     A source's rows fall into blocks of about equal words by a hash. The mix draws whole passes over all blocks while the
-    target lasts, then blocks of one more pass in a random order, then rows of one boundary block that fit, so that a source's
+    target lasts, then blocks of one more pass in a random order, then rows of the next few blocks that fit, so that a source's
     taken words come near its target and no row is taken more than ceil(target / source_size) times. The
     splitting tree deals each source's draws to shards exactly; shards get disjoint draws.
 
