@@ -12,6 +12,10 @@ from bandloom.llm.common import read_table
 TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("mark"))
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandloom.llm.mixing import mix_sources
 
@@ -19,6 +23,12 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.llm.quality import quality_scores
+
+    return quality_scores(read_table(spark, sf_dir, "documents"), toxic_labels(spark, sf_dir))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandloom.llm.simhash import simhash_groups
 
@@ -71,6 +81,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_license_scans": op5_license_scans,
