@@ -58,6 +58,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.llm.html_wrappers import extract_articles
+
+    texts = extract_articles(read_table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandloom.llm.sharding import kd_shards
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_license_scans": op5_license_scans,
     "op6_token_counts": op6_token_counts,
+    "op7_html_extraction": op7_html_extraction,
     "op8_kd_sharding": op8_kd_sharding,
     "op9_exact_topk": op9_exact_topk,
     "op10_line_dedup": op10_line_dedup,
