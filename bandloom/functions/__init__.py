@@ -1 +1 @@
-
+"""Dimension tables, array transforms and codecs."""

@@ -1 +1 @@
-
+"""Operators on images, blocks, bands and requests: functions from DataFrames to DataFrames."""

@@ -1,9 +1,638 @@
-"""Named queries of the engine."""
+"""Named queries of the engine over the driver's tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from bandloom.functions import codec, dims
+from bandloom.functions import transforms as tf
+from bandloom.operators import allocate as al
+from bandloom.operators import blocks as bl
+from bandloom.operators import crops as cr
+from bandloom.operators import keys, metrics, quantize, sampling, schedule, store
+from bandloom.operators import sensitivity as se
+from bandloom.plans.substrate import BANDS, NPH, NPW, PATCHES, band_weights, blocks, coefficients, crops, patch_weights, r, shapes, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+#: Budget ramps: name, start, end, gamma, patches.
+RAMPS = (("cap90", 0.4, 0.9, 1.5, 16), ("cap80", 0.4, 0.8, 1.5, 16), ("cap70", 0.4, 0.7, 1.5, 16), ("big90", 0.6, 0.9, 1.0, 196), ("big80", 0.6, 0.8, 1.0, 196), ("big70", 0.55, 0.7, 1.0, 196))
+TARGETS = (0.25, 0.52, 0.561, 0.601, 0.75, 1.0)
+HALF = al.Fidelity(BANDS.count, k_low=1, ratio=0.5)
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# --- dimension tables ---
+
+
+@query
+def dct_basis(spark, sf_dir):
+    return dims.basis_table(spark).select("k", "i", r("value", 9).alias("value"))
+
+
+@query
+def zigzag_8x8(spark, sf_dir):
+    return dims.zigzag_table(spark)
+
+
+@query
+def band_map(spark, sf_dir):
+    pos = spark.range(64).select(F.col("id").cast("int").alias("pos"))
+    return pos.select("pos", BANDS.of(F.col("pos")).alias("band16"), dims.Bands.even(64, 5).of(F.col("pos")).alias("band5"), dims.CROP_BANDS.of(F.col("pos")).alias("crop_band"))
+
+
+@query
+def qtable_q95(spark, sf_dir):
+    return dims.quality_table(spark, 95).select("channel", "natural", "q")
+
+
+@query
+def qtable_q30(spark, sf_dir):
+    return dims.quality_table(spark, 30).select("channel", "natural", "q")
+
+
+@query
+def tile_specs(spark, sf_dir):
+    s = shapes(spark, sf_dir).select(cr.grid(F.col("height"), 8).alias("nph"), cr.grid(F.col("width"), 8).alias("npw")).distinct()
+    t = dims.tile_specs(s, 4)
+    return t.select("nph", "npw", "tile_id", "r0", "c0", "th", "tw", F.get("block_ids", F.lit(0)).alias("first_block"), F.aggregate("block_ids", F.lit(0), lambda a, b: a + b).alias("block_sum"))
+
+
+# --- transforms ---
+
+
+@query
+def block_dct(spark, sf_dir):
+    c = coefficients(spark, sf_dir).select("image_id", "patch", F.posexplode("z").alias("pos", "v"))
+    return c.select("image_id", "patch", "pos", r("v").alias("value"))
+
+
+@query
+def block_idct_roundtrip(spark, sf_dir):
+    p = bl.restored(coefficients(spark, sf_dir)).select("image_id", "patch", F.posexplode("pixels").alias("i", "v"))
+    return p.select("image_id", "patch", "i", r("v").alias("value"))
+
+
+@query
+def parseval_check(spark, sf_dir):
+    energy = lambda c: tf.array_sum(F.transform(c, lambda v: v * v))
+    b = blocks(spark, sf_dir).withColumn("z", tf.to_zigzag(tf.dct2("pixels")))
+    return b.groupBy("image_id").agg(r(F.sum(energy(F.col("pixels")))).alias("pixel_energy"), r(F.sum(energy(F.col("z")))).alias("coefficient_energy"))
+
+
+@query
+def lowpass_k4(spark, sf_dir):
+    cut = bl.restored(bl.truncated(coefficients(spark, sf_dir), BANDS, F.lit(4)))
+    return cut.select("image_id", "patch", F.posexplode("pixels").alias("i", "v")).select("image_id", "patch", "i", r("v").alias("value"))
+
+
+@query
+def nested_fidelity_error(spark, sf_dir):
+    z = coefficients(spark, sf_dir).select(F.posexplode("z").alias("pos", "v"))
+    lost = z.groupBy(BANDS.of(F.col("pos")).alias("band")).agg(F.sum(F.col("v") * F.col("v")).alias("e"), F.count("*").alias("n"))
+    levels = spark.range(1, BANDS.count + 1).select(F.col("id").cast("int").alias("k"))
+    out = levels.crossJoin(F.broadcast(lost)).groupBy("k").agg(F.sum(F.when(F.col("band") >= F.col("k"), F.col("e")).otherwise(0.0)).alias("e"), F.sum("n").alias("n"))
+    return out.select("k", r(F.col("e") / F.col("n"), 9).alias("mse"))
+
+
+@query
+def bilinear_resize(spark, sf_dir):
+    p = blocks(spark, sf_dir).select("image_id", "patch", tf.resize("pixels", 8, 8, 4, 4).alias("a"), tf.resize("pixels", 8, 8, 12, 5, antialias=False).alias("b"))
+    both = p.select("image_id", "patch", F.posexplode("b").alias("i", "plain"), "a")
+    return both.select("image_id", "patch", "i", r("plain").alias("plain"), r(F.coalesce(F.get("a", F.col("i")), F.lit(0.0))).alias("smooth"))
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three vectors in a row as channels in 0..255."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("image_id"), (F.col("vec_id") % 3).alias("c"), F.posexplode("embedding").alias("i", "v"))
+    v = (F.col("v").cast("double") + 1) / 2 * 255
+    planes = e.groupBy("image_id", "i").agg(*(F.max(F.when(F.col("c") == c, v)).alias(n) for c, n in enumerate("rgb")))
+    return planes.where("r is not null and g is not null and b is not null")
+
+
+@query
+def ycbcr(spark, sf_dir):
+    y, cb, cr_ = tf.to_ycbcr(F.col("r"), F.col("g"), F.col("b"))
+    return _channels(spark, sf_dir).select("image_id", "i", r(y).alias("y"), r(cb).alias("cb"), r(cr_).alias("cr"))
+
+
+@query
+def ycbcr_roundtrip(spark, sf_dir):
+    back = tf.from_ycbcr(*tf.to_ycbcr(F.col("r"), F.col("g"), F.col("b")))
+    return _channels(spark, sf_dir).select("image_id", "i", *(r(c, 4).alias(n) for c, n in zip(back, "rgb", strict=True)))
+
+
+@query
+def replicate_pad(spark, sf_dir):
+    s = shapes(spark, sf_dir)
+    rows = s.select("image_id", "height", F.explode(F.sequence(F.lit(0), cr.grid(F.col("height"), 8) * 8 - 1)).alias("y"))
+    return rows.groupBy("image_id").agg(F.count("*").alias("rows"), F.sum(tf.pad_index(F.col("y"), F.col("height"))).alias("index_sum"), F.count_if(F.col("y") >= F.col("height")).alias("padded"))
+
+
+@query
+def normalised_pixels(spark, sf_dir):
+    p = blocks(spark, sf_dir).select("image_id", "patch", F.posexplode("pixels").alias("i", "v"))
+    n = tf.normalise((F.col("v") + 1) / 2, F.lit(0.5), F.lit(0.25))
+    return p.select("image_id", "patch", "i", r(n).alias("normal"), r(tf.denormalise(n, F.lit(0.5), F.lit(0.25))).alias("back"))
+
+
+# --- statistics and quantisation ---
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = coefficients(spark, sf_dir).select("image_id", "patch", F.posexplode("z").alias("pos", "value"))
+    return z.withColumn("band_id", BANDS.of(F.col("pos")))
+
+
+def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bl.patch_signal(coefficients(spark, sf_dir))
+
+
+@query
+def patch_signal(spark, sf_dir):
+    return _signal(spark, sf_dir).select("image_id", "patch", r("signal", 9).alias("signal"))
+
+
+@query
+def band_energy(spark, sf_dir):
+    return _values(spark, sf_dir).groupBy("band_id").agg(r(F.sum(F.col("value") ** 2)).alias("energy"), F.count("*").alias("n"))
+
+
+@query
+def scale_calibration_max(spark, sf_dir):
+    return quantize.calibrate(_values(spark, sf_dir), ["band_id"], multiplier=1.05).select("band_id", r("scale", 9).alias("scale"))
+
+
+@query
+def scale_calibration_p9999(spark, sf_dir):
+    return quantize.calibrate(_values(spark, sf_dir), ["band_id"], "percentile", 99.99, multiplier=1.05).select("band_id", r("scale", 9).alias("scale"))
+
+
+def _quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _values(spark, sf_dir)
+    return quantize.quantised(v, quantize.calibrate(v, ["band_id"], "percentile", 99.0), ["band_id"])
+
+
+@query
+def quantize_int8(spark, sf_dir):
+    return _quantised(spark, sf_dir).select("image_id", "patch", "pos", "q")
+
+
+@query
+def clip_zero_fraction(spark, sf_dir):
+    share = lambda c: r(F.avg(F.col(c).cast("double")))
+    return _quantised(spark, sf_dir).groupBy("band_id").agg(share("clipped").alias("clip_fraction"), share("zero").alias("zero_fraction"))
+
+
+def _pixel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the full and of the quantised coefficients."""
+    q = _quantised(spark, sf_dir).groupBy("image_id", "patch").agg(F.sort_array(F.collect_list(F.struct("pos", "value", "restored"))).alias("s"))
+    both = q.select("image_id", "patch", *(tf.idct2(tf.from_zigzag(F.col(f"s.{n}"))).alias(a) for n, a in (("value", "a"), ("restored", "b"))))
+    return both.select("image_id", "patch", F.explode(F.arrays_zip("a", "b")).alias("p")).select("image_id", "patch", "p.a", "p.b")
+
+
+@query
+def quality_metrics(spark, sf_dir):
+    q = metrics.quality(_pixel_pairs(spark, sf_dir), ["image_id"])
+    return q.select("image_id", r("mse", 9).alias("mse"), r("mae", 9).alias("mae"), r("max_abs").alias("max_abs"), r("psnr", 4).alias("psnr"))
+
+
+@query
+def fidelity_summary(spark, sf_dir):
+    q = metrics.quality(_pixel_pairs(spark, sf_dir), ["image_id"])
+    return q.agg(F.count("*").alias("images"), r(F.avg("psnr"), 4).alias("psnr_mean"), r(F.stddev_pop("psnr"), 4).alias("psnr_std"), r(F.avg("mae"), 9).alias("mae_mean"), F.count_if(F.col("psnr") >= 40).alias("above_40"))
+
+
+@query
+def ssim_global(spark, sf_dir):
+    return metrics.global_ssim(_pixel_pairs(spark, sf_dir), ["image_id"]).select("image_id", r("ssim", 9).alias("ssim"))
+
+
+def _dc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dc = F.rint(F.get("z", F.lit(0)) * 20000.0)
+    return coefficients(spark, sf_dir).select("image_id", "patch", F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), dc)).cast("int").alias("dc"))
+
+
+@query
+def dpcm_dc(spark, sf_dir):
+    return quantize.dpcm(_dc(spark, sf_dir), ["image_id"], "patch", "dc")
+
+
+@query
+def undpcm_dc(spark, sf_dir):
+    d = quantize.dpcm(_dc(spark, sf_dir), ["image_id"], "patch", "dc").drop("dc")
+    return quantize.undpcm(d, ["image_id"], "patch").select("image_id", "patch", "restored")
+
+
+@query
+def entropy_by_band(spark, sf_dir):
+    e = metrics.entropy(_quantised(spark, sf_dir).select("band_id", F.col("q").alias("value")), ["band_id"])
+    return e.select("band_id", "symbols", r("bits").alias("bits"), r("bytes", 3).alias("bytes"), r("zero_share").alias("zero_share"))
+
+
+@query
+def precision_search(spark, sf_dir):
+    v = _values(spark, sf_dir).select("band_id", "value").persist()
+    trials = quantize.search_precision(v, ["band_id"], quantize.Gate(psnr=45.0, ssim=0.99), steps=4)
+    v.unpersist()
+    rows = [(i, t["dtype"], float(t["multiplier"]), float(t["psnr"]), float(t["ssim"]), float(t["clip_fraction"]), float(t["zero_fraction"]), t["passed"]) for i, t in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial int, dtype string, multiplier double, psnr double, ssim double, clip_fraction double, zero_fraction double, passed boolean")
+
+
+# --- sensitivity ---
+
+
+def _gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients of the coefficients of a softmax over class centroids."""
+    z = coefficients(spark, sf_dir).withColumn("id", F.col("image_id") * PATCHES + F.col("patch"))
+    cells = z.select("label", F.posexplode("z").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("w"))
+    centroids = cells.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("w"))
+    g = se.softmax_gradients(z.select("id", "label", F.col("z").alias("x")), centroids)
+    return g.select(F.floor(F.col("id") / PATCHES).alias("image_id"), (F.col("id") % PATCHES).cast("int").alias("patch"), "label", "pos", "g").withColumn("band_id", BANDS.of(F.col("pos")))
+
+
+def _sensitivity(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Shares by pseudo-epoch (the label, ten of them) and band or patch: means over steps (images) of step means."""
+    steps = _gradients(spark, sf_dir).groupBy("label", "image_id", key).agg(F.avg(F.abs("g")).alias("value"))
+    means = se.step_means(steps, ["label", key], "value", step="image_id")
+    return se.normalised(means, ["label"], "value").select(F.col("label").alias("epoch"), F.col(key).cast("int").alias("idx"), "value")
+
+
+@query
+def sensitivity_band(spark, sf_dir):
+    return _sensitivity(spark, sf_dir, "band_id").select("epoch", "idx", r("value", 9).alias("value"))
+
+
+@query
+def sensitivity_patch(spark, sf_dir):
+    return _sensitivity(spark, sf_dir, "patch").select("epoch", "idx", r("value", 9).alias("value"))
+
+
+@query
+def band_cutoff(spark, sf_dir):
+    return se.band_cutoff(_sensitivity(spark, sf_dir, "band_id"), BANDS.count, 0.8)
+
+
+@query
+def patch_quota(spark, sf_dir):
+    return se.patch_quota(_sensitivity(spark, sf_dir, "patch"), PATCHES, 0.7)
+
+
+# --- allocation and serving ---
+
+
+@query
+def alloc_binary_static(spark, sf_dir):
+    return al.allocate(_signal(spark, sf_dir), al.Fidelity(BANDS.count, ratio=0.4, policy="static"), patch_weights=patch_weights(spark))
+
+
+@query
+def alloc_binary_gradient(spark, sf_dir):
+    return al.allocate(_signal(spark, sf_dir), al.Fidelity(BANDS.count, k_low=2, k_high=12, quota=7, policy="gradient"), patch_weights=patch_weights(spark))
+
+
+@query
+def alloc_random(spark, sf_dir):
+    return al.allocate(_signal(spark, sf_dir), al.Fidelity(BANDS.count, ratio=0.4, policy="random", seed=7))
+
+
+@query
+def alloc_greedy(spark, sf_dir):
+    return al.allocate(_signal(spark, sf_dir), HALF, band_weights(spark))
+
+
+@query
+def alloc_greedy_ties(spark, sf_dir):
+    return al.allocate(_signal(spark, sf_dir), HALF)
+
+
+@query
+def alloc_greedy_sens(spark, sf_dir):
+    return al.allocate(_signal(spark, sf_dir), al.Fidelity(BANDS.count, ratio=0.45, score="sensitivity"), band_weights(spark), patch_weights(spark))
+
+
+@query
+def alloc_threshold_strict(spark, sf_dir):
+    return al.allocate(_signal(spark, sf_dir), al.Fidelity(BANDS.count, budget=150, score="linear", strict=True), band_weights(spark), patch_weights(spark))
+
+
+@query
+def alloc_crop_greedy(spark, sf_dir):
+    """The budget follows the patches that a crop sees."""
+    s = _signal(spark, sf_dir).withColumns({"nph": F.lit(NPH), "npw": F.lit(NPW), "top": (F.col("image_id") * 5 % 30).cast("int"), "left": (F.col("image_id") * 3 % 20).cast("int"), "crop_h": F.lit(17), "crop_w": F.lit(15)})
+    seen = cr.block_rect(s, 8).where(cr.visible(F.col("patch"), F.col("npw")))
+    return al.allocate(seen, HALF, band_weights(spark))
+
+
+@query
+def uniform_prefix(spark, sf_dir):
+    rows = [(i, t, al.prefix_for_ratio(BANDS.count, t)) for i, t in enumerate((0.0, *TARGETS))]
+    return spark.createDataFrame(rows, "n int, ratio double, k int")
+
+
+@query
+def match_static_lowpass(spark, sf_dir):
+    return al.match_lowpass(spark.createDataFrame([(t,) for t in TARGETS], "target double"), BANDS.count)
+
+
+@query
+def match_static_kq(spark, sf_dir):
+    m = al.match_kq(spark.createDataFrame([(t,) for t in TARGETS], "target double"), BANDS.count, PATCHES)
+    return m.select("target", "k", "q", r("ratio", 9).alias("ratio"))
+
+
+@query
+def serve_greedy_psnr(spark, sf_dir):
+    """The flagship: allocate half of the slots, read only those bands, reconstruct, and account for quality and bytes."""
+    z = coefficients(spark, sf_dir).select("image_id", "patch", "z")
+    alloc = al.allocate(bl.patch_signal(z), HALF, band_weights(spark))
+    served = bl.serve(z, alloc, BANDS)
+    q = bl.served_quality(z, served, ["image_id"]).withColumn("mse", F.col("sq_error") / F.col("values"))
+    width = 4 * (BANDS.edges[0][1] - BANDS.edges[0][0])
+    io = alloc.groupBy("image_id").agg(F.sum("k").alias("slots"), (F.sum("k") * width).alias("bytes_read"), (F.count("*") * BANDS.count * width).alias("full_bytes"))
+    out = q.join(io, "image_id")
+    return out.select("image_id", r("mse", 9).alias("mse"), r(metrics.psnr(F.col("mse")), 4).alias("psnr"), "slots", "bytes_read", "full_bytes", r(F.col("bytes_read") / F.col("full_bytes")).alias("io_ratio"))
+
+
+@query
+def io_accounting_epoch(spark, sf_dir):
+    alloc = al.allocate(_signal(spark, sf_dir), HALF, band_weights(spark))
+    reads = alloc.select((F.col("image_id") % 4).alias("replica"), (F.col("k") * 16).alias("bytes"), F.lit(BANDS.count * 16).alias("full"))
+    out = metrics.io_report(reads, ["replica"])
+    return out.select("replica", "reads", "bytes_read", "full_bytes", r("avg_bytes").alias("avg_bytes"), r("p95_bytes").alias("p95_bytes"), r("io_ratio").alias("io_ratio"))
+
+
+@query
+def kq_residual_serve(spark, sf_dir):
+    z = coefficients(spark, sf_dir).select("image_id", "patch", "z")
+    q = bl.served_quality(z, bl.serve_kq(z, BANDS, 4, 5, PATCHES), ["image_id"])
+    return q.select("image_id", r("sq_error").alias("sq_error"), F.lit(round(al.kq_ratio(4, 5, BANDS.count, PATCHES), 9)).alias("ratio"))
+
+
+@query
+def kq_static_serve(spark, sf_dir):
+    z = coefficients(spark, sf_dir).select("image_id", "patch", "z")
+    return bl.served_quality(z, bl.serve_kq(z, BANDS, 6, 8, PATCHES, patch_weights(spark)), ["patch"]).select("patch", r("sq_error").alias("sq_error"))
+
+
+# --- schedules ---
+
+
+@query
+def budget_schedule(spark, sf_dir):
+    out = None
+    for name, start, end, gamma, patches in RAMPS:
+        one = schedule.budget_schedule(spark, 100, patches, 16, start, end, gamma).select(F.lit(name).alias("preset"), "epoch", "budget", r("io_ratio", 9).alias("io_ratio"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query
+def budget_ramp_means(spark, sf_dir):
+    return QUERIES["budget_schedule"](spark, sf_dir).groupBy("preset").agg(r(F.avg("io_ratio"), 4).alias("avg_io"))
+
+
+def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 10).cast("int").alias("epoch")).agg(F.sum("user_id").alias("s"))
+    return e.select("epoch", (1 + F.col("s") % 16).cast("int").alias("k"))
+
+
+@query
+def isotonic_schedule(spark, sf_dir):
+    return schedule.isotonic(_pilot(spark, sf_dir), "k").select("epoch", r("fitted", 9).alias("fitted"))
+
+
+@query
+def pilot_schedule(spark, sf_dir):
+    return schedule.pilot_schedule(_pilot(spark, sf_dir), "k", 40, 16)
+
+
+@query
+def sens_schedule_fit(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 5).cast("int").alias("epoch"), (F.col("user_id") % 8).cast("int").alias("idx")).agg((F.avg(F.abs("value")) + F.count("*") % 7).alias("value"))
+    s = schedule.continue_sensitivity(se.normalised(e, ["epoch"], "value"), 12)
+    return s.select("epoch", "idx", r("value", 9).alias("value"))
+
+
+@query
+def lr_schedule(spark, sf_dir):
+    return schedule.warmup_cosine(spark, 90, 0.4, 5).select("epoch", r("lr", 9).alias("lr"))
+
+
+# --- crops, tiles, buckets ---
+
+
+def _rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = crops(spark, sf_dir).withColumn("nph", cr.grid(F.col("height"), 8)).withColumn("npw", cr.grid(F.col("width"), 8))
+    return cr.block_rect(c, 8)
+
+
+@query
+def crop_block_rect(spark, sf_dir):
+    return _rects(spark, sf_dir).select("image_id", "nph", "npw", "row0", "row1", "col0", "col1")
+
+
+@query
+def tiles_overlapping_crop(spark, sf_dir):
+    return cr.overlapping_tiles(_rects(spark, sf_dir), 4).select("image_id", "tile_id")
+
+
+@query
+def crop_io_ratio(spark, sf_dir):
+    d = _rects(spark, sf_dir)
+    tiles = cr.overlapping_tiles(d, 4).groupBy("image_id").agg(F.count("*").alias("tiles"))
+    seen = (F.col("row1") - F.col("row0")) * (F.col("col1") - F.col("col0"))
+    return d.join(tiles, "image_id").select("image_id", "tiles", seen.alias("blocks"), r(seen / (F.col("nph") * F.col("npw"))).alias("ratio"))
+
+
+@query
+def consecutive_band_groups(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("band_id"))
+    return cr.band_groups(d.where(F.pmod(F.floor(F.col("doc_id") / F.pow(F.lit(2.0), "band_id")), F.lit(2)) == 1), ["doc_id"])
+
+
+@query
+def center_crops(spark, sf_dir):
+    s = shapes(spark, sf_dir)
+    kinds = (("square", {}), ("output", {"output": 96}), ("most", {"most": 120, "block": 8}))
+    out = None
+    for name, how in kinds:
+        one = cr.centre_crop(s, **how).select(F.lit(name).alias("kind"), "image_id", "top", "left", "crop_h", "crop_w")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query
+def random_crops(spark, sf_dir):
+    return cr.random_crop(shapes(spark, sf_dir), seed=11)
+
+
+@query
+def exact_buckets(spark, sf_dir):
+    return cr.exact_buckets(shapes(spark, sf_dir), 16).select("image_id", "nph", "npw", "bucket_id", "bucket_pos")
+
+
+@query
+def coarse_buckets(spark, sf_dir):
+    return cr.coarse_buckets(shapes(spark, sf_dir), 16).select("image_id", "bucket_id", "bucket_nph", "bucket_npw")
+
+
+@query
+def storage_forecast(spark, sf_dir):
+    return cr.storage_forecast(cr.exact_buckets(shapes(spark, sf_dir), 32), 32)
+
+
+@query
+def adaptive_chunk(spark, sf_dir):
+    return shapes(spark, sf_dir).select("image_id", cr.adaptive_chunk(64, 12_000_000, F.col("height"), F.col("width")).alias("chunk"))
+
+
+# --- sampling, keys, reports ---
+
+
+@query
+def shard_batches(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"))
+    return sampling.shard_batches(e, 48, 10)
+
+
+@query
+def rank_stride(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"))
+    return sampling.rank_stride(e, 8).groupBy("rank").agg(F.count("*").alias("n"), F.sum("image_id").alias("id_sum"))
+
+
+@query
+def bucket_batches(spark, sf_dir):
+    b = cr.coarse_buckets(shapes(spark, sf_dir), 16).select("image_id", "bucket_id")
+    return sampling.bucket_batches(b, 8).select("image_id", "bucket_id", "batch_no")
+
+
+@query
+def augmented(spark, sf_dir):
+    b = blocks(spark, sf_dir).select((F.col("image_id") * PATCHES + F.col("patch")).alias("image_id"), F.transform("pixels", lambda v: (v + 1) / 2).alias("pixels"))
+    out = sampling.shifted(sampling.jitter(sampling.flips(b, 1, 0), 1, 0), 1, 0, 2)
+    return out.select("image_id", F.size("pixels").alias("n"), r(tf.array_sum(F.col("pixels"))).alias("total"))
+
+
+@query
+def mixup(spark, sf_dir):
+    b = blocks(spark, sf_dir).select((F.col("image_id") * PATCHES + F.col("patch")).alias("image_id"), "label", "pixels")
+    m = sampling.mixup(b, 10, 3, smoothing=0.1)
+    return m.select("image_id", r(tf.array_sum(F.col("target"))).alias("mass"), F.size("pixels").alias("n"))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("value is not null")
+    share = F.pmod(F.abs(F.col("value")), F.lit(1.0))
+    return e.select((F.col("user_id") % 7).alias("run"), F.struct("ts", "event_id").alias("epoch"), F.abs("value").alias("acc"), share.alias("io_ratio"))
+
+
+@query
+def run_summary(spark, sf_dir):
+    s = metrics.run_summary(_history(spark, sf_dir))
+    return s.select("run", r("best").alias("best"), r("final").alias("final"), r("avg_io").alias("avg_io"), r("avg_saved", 4).alias("avg_saved"))
+
+
+@query
+def epoch_metrics(spark, sf_dir):
+    b = table(spark, sf_dir, "events").where("value is not null").select((F.col("event_id") % 6).alias("epoch"), F.abs("value").alias("loss"), (F.col("user_id") % 3).alias("correct"), (1 + F.col("user_id") % 5).alias("n"))
+    return keys.epoch_metrics(b, ["epoch"]).select("epoch", r("loss").alias("loss"), r("acc").alias("acc"), "n")
+
+
+@query
+def missing_keys(spark, sf_dir):
+    return keys.missing_keys(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query
+def reference_by_key(spark, sf_dir):
+    return keys.by_key(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "n_chars")
+
+
+@query
+def subsampling_histogram(spark, sf_dir):
+    from bandloom.functions.jpeg import subsampling_key
+
+    d = table(spark, sf_dir, "documents").select((1 + F.col("doc_id") % 4).cast("int").alias("components"), (1 + F.col("doc_id") % 3).cast("int").alias("h"), (1 + F.col("n_chars") % 2).cast("int").alias("v"))
+    return d.groupBy(subsampling_key(F.col("components"), F.col("h"), F.col("v")).alias("subsampling")).agg(F.count("*").alias("n"))
+
+
+# --- stores and codecs ---
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own below the one that driver and executors share."""
+    from bandloom.sources.folders import shared_folder
+
+    return f"{shared_folder(spark)}/bandloom/{uuid.uuid4().hex}"
+
+
+@query
+def zstd_roundtrip(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    packed = d.select("doc_id", F.octet_length("raw").alias("n"), F.sha2("raw", 256).alias("sha"), codec.compress("raw").alias("payload"))
+    back = packed.select("doc_id", "n", "sha", codec.decompress("payload", "n").alias("raw"))
+    return back.select("doc_id", "n", (F.sha2("raw", 256) == F.col("sha")).alias("same"))
+
+
+@query
+def band_store_prefix(spark, sf_dir):
+    """What a band store gives back of the first five bands."""
+    path = scratch(spark)
+    store.write_band_store(coefficients(spark, sf_dir).select("image_id", "patch", "z"), path, BANDS)
+    rows, _ = store.read_band_store(spark, path, 5)
+    return rows.select("band_id", F.explode("vals").alias("v")).groupBy("band_id").agg(F.count("*").alias("n"), r(F.sum(F.col("v").cast("double") * F.col("v")), 3).alias("energy"))
+
+
+@query
+def residual_store_patch(spark, sf_dir):
+    path = scratch(spark)
+    store.write_residual_store(coefficients(spark, sf_dir).select("image_id", "patch", "z"), path, BANDS, [4, 8, 16])
+    rows = store.read_residuals(spark, path, 4, [0, 7])
+    return rows.groupBy("patch").agg(F.count("*").alias("n"), r(F.sum(tf.array_sum(F.transform("residual", lambda v: v * v)))).alias("energy"))
+
+
+@query
+def shard_store_read(spark, sf_dir):
+    path, z = scratch(spark), coefficients(spark, sf_dir).select("image_id", "patch", "z")
+    scales = quantize.calibrate(_values(spark, sf_dir), ["band_id"])
+    store.write_shard_store(z, path, BANDS, scales, records_per_shard=10)
+    rows = store.read_shard_store(spark, path, k=8, shards=[0, 1])
+    return rows.groupBy("shard_id", "band_id").agg(F.count("*").alias("blocks"), r(F.sum(tf.array_sum(F.transform("vals", lambda v: v * v))), 3).alias("energy"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RGB images of 40 x 32 from three consecutive grids of blocks each."""
+    b = blocks(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: (v + 1) / 2))
+    rows = b.withColumn("channel", (F.col("image_id") % 3).cast("int")).withColumn("image_id", F.floor(F.col("image_id") / 3).cast("long")).withColumns({"nph": F.lit(NPH), "npw": F.lit(NPW)})
+    planes = bl.merge_blocks(rows).groupBy("image_id", "height", "width").agg(F.sort_array(F.collect_list(F.struct("channel", "pixels"))).alias("c")).where(F.size("c") == 3)
+    return planes.select("image_id", (F.col("image_id") % 10).cast("int").alias("label"), "height", "width", F.flatten(F.transform("c", lambda x: x["pixels"])).alias("pixels"))
+
+
+@query
+def chunk_store_crops(spark, sf_dir):
+    """Crops of a packed store with all bands and with three: bytes read, and the error against the images."""
+    path, im = scratch(spark), images(spark, sf_dir)
+    spec = store.ChunkSpec(tile_blocks=2)
+    store.write_chunk_store(im, path, spec, records_per_shard=16)
+    heads, chunks, spec = store.open_chunk_store(spark, path)
+    wanted = im.select("image_id", F.lit(5).alias("top"), F.lit(3).alias("left"), F.lit(20).alias("crop_h"), F.lit(18).alias("crop_w"))
+    out = None
+    for bands in ([0, 1, 2, 3], [0, 1, 2]):
+        reads = store.crop_reads(heads, chunks, wanted, spec, bands)
+        cost = store.crop_bytes(reads).select("image_id", "bytes_read", "read_ops")
+        served = store.read_crops(heads, chunks, wanted, spec, bands).join(im.select("image_id", "height", "width", F.col("pixels").alias("whole")), "image_id")
+        at = lambda i: (F.floor(i / 360) * F.col("height") * F.col("width") + (F.floor(i % 360 / 18) + 5) * F.col("width") + i % 18 + 3).cast("int")
+        error = tf.array_sum(F.transform("pixels", lambda v, i: F.pow(v - F.get("whole", at(i)), F.lit(2.0)))) / F.size("pixels")
+        one = served.select("image_id", F.size("pixels").alias("values"), metrics.psnr(error).alias("psnr")).join(cost, "image_id").withColumn("bands", F.lit(len(bands)))
+        out = one if out is None else out.unionAll(one)
+    return out

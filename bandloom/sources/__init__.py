@@ -1 +1 @@
-
+"""Sources and sinks: shard lists, tar archives, image folders, synthetic images, run histories and reports."""

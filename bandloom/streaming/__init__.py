@@ -1 +1 @@
-
+"""Streams of images into stores."""

@@ -71,7 +71,7 @@ def main(args: list[str]) -> int:
         try:
             why = difference(queries[name](spark, sf), con, oracles[name]) if name in oracles else f"no SQL; {queries[name](spark, sf).count()} rows"
         except Exception as x:  # noqa: BLE001
-            why = f"{type(x).__name__}: {str(x)[:1500]}"
+            why = f"{type(x).__name__}: {str(x)[-260:] if 'Python worker' in str(x) else str(x)[:260]}"
         bad += name in oracles and why is not None
         print(f"{name}: {'same' if why is None else why} ({time.time() - began:.1f} s)", flush=True)
     return int(bad > 0)
