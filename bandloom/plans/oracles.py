@@ -196,5 +196,5 @@ _SHARD = _with(_DCT, "sc AS (SELECT band_id, greatest(max(abs(v)) / 127, 1e-12)
 ORACLE_SQL["shard_store_read"] = _SHARD + "SELECT shard_id::INTEGER AS shard_id, band_id::INTEGER AS band_id, count(DISTINCT image_id * 100 + patch)::BIGINT AS blocks, round(sum(v * v), 3) AS energy FROM q WHERE band_id < 8 AND shard_id IN (0, 1) GROUP BY ALL"
 ORACLE_SQL["bucket_batches"] = (
     ORACLE_SQL["coarse_buckets"].replace("SELECT image_id, bucket_id::INTEGER AS bucket_id, h::INTEGER AS bucket_nph, w::INTEGER AS bucket_npw FROM b JOIN k USING (raw)", "")
-    + "SELECT image_id, bucket_id::INTEGER AS bucket_id, ((row_number() OVER w - 1) // 8)::INTEGER AS batch_no FROM b JOIN k USING (raw) QUALIFY row_number() OVER w - 1 < count(*) OVER (PARTITION BY bucket_id) // 8 * 8 WINDOW w AS (PARTITION BY bucket_id ORDER BY image_id)"
+    + "SELECT image_id, bucket_id::INTEGER AS bucket_id, ((row_number() OVER w - 1) // 8)::INTEGER AS batch_no FROM b JOIN k USING (raw) WINDOW w AS (PARTITION BY bucket_id ORDER BY image_id) QUALIFY row_number() OVER w - 1 < count(*) OVER (PARTITION BY bucket_id) // 8 * 8"
 )
