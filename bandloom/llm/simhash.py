@@ -16,6 +16,8 @@ from bandloom.llm.common import bounded_batches, cut, keyed_texts, renamed, shuf
 
 #: Fingerprints of one trie below a shared prefix that one task joins; larger tries are split into pairs of subtrees.
 TRIE_ROWS = 20_000
+#: Fingerprints of a text's distinct words that make candidates for an exact check of similarity.
+VIEWS = 8
 #: Node pairs that a task holds at once, and leaf pairs of two nodes that are compared directly.
 FRONTIER, LEAF_PAIRS = 1 << 19, 64
 
@@ -134,7 +136,8 @@ def trie_links(values: np.ndarray, nodes: np.ndarray, depth: int, budget: int) -
 
 
 def near_links(fps: DataFrame, budget: int = 3) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) that connect exactly what pairs within the budget connect.
+    """Links (view, u, v) between distinct fingerprints (view, fp) of a view that connect exactly what pairs within the budget
+    connect.
 
     Fingerprints within the budget agree in one of budget + 1 blocks of bits. So the join runs over budget + 1 rotated tries,
     each cut into the subtries below one block's value, and each task walks subtries against themselves. A subtrie of more
@@ -144,7 +147,7 @@ def near_links(fps: DataFrame, budget: int = 3) -> DataFrame:
     spark, n = fps.sparkSession, shuffle_width(fps.sparkSession)
     width = 64 // (budget + 1)
     depth = 64 - width
-    tries = [F.struct(F.lit(r).alias("trie"), (F.shiftleft("fp", r * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - r * width)) if r else F.col("fp")).alias("fp")) for r in range(budget + 1)]
+    tries = [F.struct((F.col("view") * (budget + 1) + r).alias("trie"), (F.shiftleft("fp", r * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - r * width)) if r else F.col("fp")).alias("fp")) for r in range(budget + 1)]
     rows = fps.select(F.explode(F.array(*tries)).alias("x")).select("x.trie", "x.fp", F.shiftrightunsigned("x.fp", depth).alias("prefix"))
     large = rows.groupBy("trie", "prefix").count().where(F.col("count") > TRIE_ROWS)
     bits = F.least(F.lit(12), F.ceil(F.log2(2 * F.col("count") / TRIE_ROWS))).cast("int")
@@ -174,12 +177,12 @@ def near_links(fps: DataFrame, budget: int = 3) -> DataFrame:
         nodes = np.where(self_pair[:, None], np.c_[lo, hi, lo, hi], np.c_[lo, mid, mid, hi]).astype(np.int64)
         nodes = nodes[(nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3]) & (hi - lo > 1)]
         u, v = trie_links(values, nodes, depth, budget)
-        turn = (trie[u] * width).astype(np.uint64)
+        turn = (trie[u] % (budget + 1) * width).astype(np.uint64)
         back = [np.where(turn > 0, (values[x] >> turn) | (values[x] << ((np.uint64(64) - turn) & np.uint64(63))), values[x]).view(np.int64) for x in (u, v)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*back)), pa.array(np.minimum(*back))], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(trie[u] // (budget + 1)), pa.array(np.maximum(*back)), pa.array(np.minimum(*back))], ["view", "u", "v"])
 
     dealt = rows.repartition(n, "trie", "prefix", "a", "b")
-    return dealt.mapInArrow(join, "u long, v long").distinct()
+    return dealt.mapInArrow(join, "view int, u long, v long").distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -222,8 +225,102 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     known = cut(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = known.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(near_links(nodes.select("fp"), budget))
+    links = near_links(nodes.select(F.lit(0).alias("view"), "fp"), budget)
+    roots = connected_components(links.select("u", "v"))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(named, "root").select("fp", "component_id")
     return known.join(nodes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def word_views(text: bytes, views: int = VIEWS) -> list[int]:
+    """SimHashes of the text's distinct words under `views` hash functions, as signed numbers; zeros without words.
+
+    An edited word changes one feature of these sets, but as many shingles as a shingle has words; so near copies lie nearer.
+    """
+    words = set(text.lower().split())
+    if not words:
+        return [0] * views
+    base = np.array([xxhash.xxh64_intdigest(w, 0) for w in words], dtype=np.uint64)
+    out = np.zeros(views, dtype=np.uint64)
+    for v in range(views):
+        h = (base ^ np.uint64(0x9E3779B97F4A7C15 * (v + 1) % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        h = np.ascontiguousarray(h ^ (h >> np.uint64(33)))
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[v] = sum(1 << i for i in np.flatnonzero(2 * ones > len(h)).tolist())
+    return out.view(np.int64).tolist()
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a text; one of the whole text if it has fewer words."""
+    words = text.lower().split()
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(len(words) - shingle + 1, 1))}
+    return np.sort(np.array([xxhash.xxh64_intdigest(g, 1) for g in grams], dtype=np.uint64))
+
+
+def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of texts (text_id, text) whose sets of shingles have at least this Jaccard similarity."""
+    named = pairs.select(F.explode(F.array("u", "v")).alias("text_id")).distinct()
+    asked = texts.join(named, "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["text_id", "grams"])
+
+    grams = cut(asked.mapInArrow(sets, "text_id long, grams binary"), "shingles")
+    both = pairs.join(grams.select(F.col("text_id").alias("u"), F.col("grams").alias("a")), "u").join(grams.select(F.col("text_id").alias("v"), F.col("grams").alias("b")), "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 3, views: int = VIEWS) -> DataFrame:
+    """Rows (id_col, component_id), one for each row of docs: groups of near copies.
+
+    Texts are linked if the fingerprints of their 3-word shingles differ in at most `budget` bits, or if a fingerprint of
+    their distinct words does in one of several views and their sets of `shingle`-word shingles then turn out to be at least
+    `similarity` alike. Candidates of all views come from the same trie join; equal texts are one node throughout. The exact
+    check is made along the links of the join's spanning forests, so its cost grows with the texts and not with their pairs.
+
+    Nulls, empty and repeated texts: as simhash_groups(). id_col may be a struct.
+    """
+    bounded_batches(docs.sparkSession)
+    keyed = keyed_texts(docs, id_col, text_col).withColumn("text_id", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x or b"" for x in b.column(1).to_pylist()]
+            first = np.array([fingerprint(t, 3, 42) for t in texts], dtype=np.uint64).view(np.int64).tolist()
+            prints = [[f, *word_views(t, views)] for f, t in zip(first, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(prints, pa.list_(pa.int64()))], ["id", "text_id", "prints"])
+
+    schema = T.StructType([renamed(keyed.schema["id"], "id"), T.StructField("text_id", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))])
+    known = cut(keyed.mapInArrow(run, schema), "views")
+    nodes = known.groupBy("text_id").agg(F.min("id").alias("least"), F.min("prints").alias("prints"))
+    prints = nodes.select("text_id", F.posexplode("prints").alias("view", "fp"))
+    heads = cut(prints.groupBy("view", "fp").agg(F.min("text_id").alias("head")), "heads")
+    same = prints.join(heads, ["view", "fp"]).where("text_id <> head").select("view", F.col("text_id").alias("u"), F.col("head").alias("v"))
+    links = near_links(heads.select("view", "fp"), budget)
+    for side in "uv":
+        links = links.join(heads.select("view", F.col("fp").alias(side), F.col("head").alias(f"{side}_head")), ["view", side])
+    found = same.unionAll(links.select("view", F.col("u_head").alias("u"), F.col("v_head").alias("v"))).where("u <> v")
+    found = cut(found.select("view", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "candidates")
+    sure = found.where("view = 0").select("u", "v")
+    asked = found.where("view > 0").select("u", "v").distinct().join(sure, ["u", "v"], "left_anti")
+    texts = keyed.select("text_id", F.coalesce("text", F.lit(b"")).alias("text"))
+    roots = connected_components(sure.unionAll(similar_pairs(texts, asked, shingle, similarity)).distinct())
+    nodes = nodes.select("text_id", "least").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    nodes = nodes.join(named, "root").select("text_id", "component_id")
+    return known.join(nodes, "text_id").select(F.col("id").alias(id_col), "component_id")

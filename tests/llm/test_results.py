@@ -406,3 +406,23 @@ def test_line_dedup(spark, odd, keep_first, min_chars):
         out = line_dedup(odd.distinct(), min_docs=10).collect()
         left = Counter(line_key(x) for r in out for x in r["kept"].encode().split(b"\n"))
         assert all(left[k] == 1 for k, docs in seen.items() if k and len(docs) >= 10)
+
+
+def test_near_duplicates_by_similarity(spark, odd):
+    from bandloom.llm.simhash import near_duplicates, shingle_set
+
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [[r.choice(vocabulary) for _ in range(300)] for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts[:30]):
+        edited = list(t)
+        for at in r.sample(range(300), 2 + i % 3):
+            edited[at] = r.choice(vocabulary)
+        rows.append((100 + i, " ".join(edited)))
+    out = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    sets = {i: set(shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    alike = [i for i in range(30) if len(sets[i] & sets[100 + i]) >= 0.8 * len(sets[i] | sets[100 + i])]
+    assert len(alike) >= 20 and sum(out[100 + i] == i for i in alike) >= 0.9 * len(alike)
+    assert all(out[i] == i for i in range(40))
+    assert near_duplicates(odd, "doc_id").count() == odd.count()
