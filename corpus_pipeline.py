@@ -15,7 +15,7 @@ from bandloom.llm.mixing import mixed_rows
 from bandloom.llm.quality import quality_scores
 from bandloom.llm.queries import toxic_labels
 from bandloom.llm.sharding import sharded_rows
-from bandloom.llm.simhash import simhash_groups
+from bandloom.llm.simhash import near_duplicates
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -30,11 +30,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of equal rows one. A hash of the text stands in
+    """Of each group of near copies the document with the smallest id stays; of equal rows one. A hash of the text stands in
     for a null id."""
     key = F.struct(F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("k"), F.xxhash64("text").alias("t"))
     rows = _packed(docs).withColumn("key", key)
-    groups = simhash_groups(rows, id_col="key", text_col="text", shingle=3, budget=3)
+    groups = near_duplicates(rows, id_col="key", shingle=5, similarity=0.8, budget=3)
     stay = groups.where(F.col("key") == F.col("component_id")).select("key.k", "key.t").distinct()
     return rows.select("row", "key.k", "key.t").join(stay, ["k", "t"], "left_semi").dropDuplicates(["k", "t"]).select("row.*")
 
