@@ -75,16 +75,45 @@ def shifted(rows: DataFrame, seed: int, epoch: int, most: int, h: int = 8, w: in
     return rows.withColumn(pixels, F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), pixel))
 
 
-def mixup(rows: DataFrame, classes: int, seed: int, smoothing: float = 0.0, weight: float = 0.7, batch: int = 64, pixels: str = "pixels", key: str = "image_id") -> DataFrame:
-    """rows (key, pixels, target): each image mixed with another of its batch of keys, soft labels mixed alike."""
+def _partners(rows: DataFrame, seed: int, batch: int, pixels: str, key: str) -> DataFrame:
+    """rows beside another of their batch of keys: op and ol are its pixels and label."""
     own = Window.partitionBy("batch")
     base = rows.withColumn("batch", F.floor(F.col(key) / batch)).withColumn("at", F.row_number().over(own.orderBy(key)))
     other = base.withColumn("at", F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)))
-    other = other.select("batch", "at", F.col(pixels).alias("op"), F.col("label").alias("ol"))
-    both = base.join(other, ["batch", "at"])
+    return base.join(other.select("batch", "at", F.col(pixels).alias("op"), F.col("label").alias("ol")), ["batch", "at"])
+
+
+def _soft(classes: int, smoothing: float, weight: Column) -> Column:
+    """The mixed soft labels of label and ol."""
 
-    def soft(label: Column, c: Column) -> Column:
+    def one(label: Column, c: Column) -> Column:
         return F.when(label == c, 1 - smoothing).otherwise(0.0) + smoothing / classes
 
-    target = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: weight * soft(F.col("label"), c) + (1 - weight) * soft(F.col("ol"), c))
-    return both.select(key, F.zip_with(pixels, "op", lambda a, b: weight * a + (1 - weight) * b).alias(pixels), target.alias("target"))
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: weight * one(F.col("label"), c) + (1 - weight) * one(F.col("ol"), c))
+
+
+def mixup(rows: DataFrame, classes: int, seed: int, smoothing: float = 0.0, weight: float = 0.7, batch: int = 64, pixels: str = "pixels", key: str = "image_id") -> DataFrame:
+    """Rows (key, pixels, target): each image mixed with another of its batch of keys, soft labels mixed alike."""
+    both = _partners(rows, seed, batch, pixels, key)
+    return both.select(key, F.zip_with(pixels, "op", lambda a, b: weight * a + (1 - weight) * b).alias(pixels), _soft(classes, smoothing, F.lit(weight)).alias("target"))
+
+
+def cutmix(rows: DataFrame, classes: int, seed: int, smoothing: float = 0.0, side: int = 4, batch: int = 64, h: int = 8, w: int = 8, pixels: str = "pixels", key: str = "image_id") -> DataFrame:
+    """Rows (key, pixels, target): a square of another image of the batch at a random place, labels mixed by area."""
+    both = _partners(rows, seed, batch, pixels, key)
+    top, left = (F.floor(uniform(F.lit(seed), F.col(key), F.lit(i)) * (n - side + 1)).cast("int") for i, n in ((0, h), (1, w)))
+
+    def pixel(v: Column, i: Column) -> Column:
+        y, x = F.floor(i / w), i % w
+        inside = (y >= F.col("top")) & (y < F.col("top") + side) & (x >= F.col("left")) & (x < F.col("left") + side)
+        return F.when(inside, F.get("op", i)).otherwise(v)
+
+    both = both.withColumn("top", top).withColumn("left", left)
+    return both.select(key, F.transform(pixels, pixel).alias(pixels), _soft(classes, smoothing, F.lit(1 - side * side / (h * w))).alias("target"))
+
+
+def random_coefficients(rows: DataFrame, kept: int, size: int, seed: int) -> DataFrame:
+    """rows (z) with the same `kept` positions of `size` left for all blocks, drawn by hash: the random baseline."""
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(F.xxhash64(F.lit(seed), i).alias("h"), i.alias("i"))))
+    chosen = F.transform(F.slice(order, 1, kept), lambda x: x["i"])
+    return rows.withColumn("z", F.transform("z", lambda v, i: F.when(F.array_contains(chosen, i), v).otherwise(0.0)))

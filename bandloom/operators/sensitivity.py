@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,18 +12,23 @@ TINY = 1e-8
 
 
 def softmax_gradients(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Rows (id, label, grad) from points (id, label, x) and centroids (label, w): d loss / d x of a softmax over x . w.
+    """points (id, label, x) with grad: d loss / d x of a softmax over x . w, from centroids (label, w).
 
-    The transform is orthonormal, so with x in coefficients this is the gradient of the coefficients.
+    The transform is orthonormal, so with x in coefficients this is the gradient of the coefficients. The centroids, one row
+    for each class, go to the tasks; whole Arrow batches are two matrix products.
     """
-    dot = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    c = centroids.select(F.col("label").alias("klass"), "w")
-    logits = points.crossJoin(F.broadcast(c)).select("id", "label", "klass", "w", dot.alias("z"))  # a row for each class
-    each = Window.partitionBy("id")
-    e = F.exp(F.col("z") - F.max("z").over(each))
-    p = logits.withColumn("e", e).withColumn("d", F.col("e") / F.sum("e").over(each) - (F.col("klass") == F.col("label")).cast("int"))
-    terms = p.select("id", "label", F.posexplode(F.transform("w", lambda w: w * F.col("d"))).alias("pos", "g"))
-    return terms.groupBy("id", "label", "pos").agg(F.sum("g").alias("g"))
+    rows = sorted(((r["label"], r["w"]) for r in centroids.collect()), key=lambda r: r[0])
+    classes, w = np.array([c for c, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+
+    def run(x: pd.Series, label: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        z = np.stack([np.asarray(v, dtype=np.float64) for v in x]) @ w.T
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        d = e / e.sum(axis=1, keepdims=True) - (classes[None, :] == label.to_numpy()[:, None])
+        return pd.Series(list(d @ w))
+
+    return points.withColumn("grad", F.pandas_udf(run, "array<double>")("x", "label"))
 
 
 def normalised(values: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -263,3 +263,72 @@ def crop_bytes(reads: DataFrame) -> DataFrame:
     run = F.col("band_id") - F.row_number().over(Window.partitionBy(*keys, "tile_id").orderBy("band_id"))
     runs = reads.withColumn("run", run).groupBy(*keys, "tile_id", "run").agg(F.sum("length").alias("n"))
     return runs.groupBy(*keys).agg(F.sum("n").alias("bytes_read"), F.count("*").alias("read_ops"))
+
+
+# --- bucketed stores: images of one grid together, packed by chunk of images, tile and band ---
+
+BUCKET_STORE = "bandloom_buckets_v1"
+
+
+def tile_of(patch: Column, npw: Column, tile_blocks: int) -> Column:
+    """The tile of a patch, row-major over tiles of tile_blocks x tile_blocks."""
+    t = float(tile_blocks)
+    return (F.floor(F.floor(patch / npw) / t) * F.ceil(npw / t) + F.floor(patch % npw / t)).cast("int")
+
+
+def placed(bucketed: DataFrame, chunk: int | Column) -> DataFrame:
+    """bucketed (bucket_id, bucket_pos) with chunk_id and the place in the chunk. A chunk may be a column, such as
+    adaptive_chunk() of a bucket's largest grid, so the chunk is always stored and never worked out again by a reader."""
+    size = F.lit(chunk) if isinstance(chunk, int) else chunk
+    return bucketed.withColumn("chunk_id", F.floor(F.col("bucket_pos") / size).cast("int")).withColumn("chunk_pos", (F.col("bucket_pos") % size).cast("int"))
+
+
+def write_bucket_store(coefficients: DataFrame, places: DataFrame, path: str, bands: Bands, scales: DataFrame, tile_blocks: int = 4, codec: str = "zlib", level: int = 6, limit: int = 127) -> None:
+    """coefficients (image_id, patch, z) of placed images (image_id, bucket_id, npw, chunk_id, chunk_pos) as int8 records of
+    (bucket, chunk, tile, band); a record holds its blocks by image and patch."""
+    spark = coefficients.sparkSession
+    rows = long_bands(coefficients.select("image_id", "patch", "z").join(places.select("image_id", "bucket_id", "npw", "chunk_id", "chunk_pos"), "image_id"), bands)
+    rows = rows.join(F.broadcast(scales), "band_id").withColumn("tile_id", tile_of(F.col("patch"), F.col("npw"), tile_blocks))  # a row for each band
+    q = F.transform("vals", lambda v: quantise(v, F.col("scale"), limit))
+    cell = F.struct("chunk_pos", "patch", "image_id", q.alias("vals"))
+    records = rows.groupBy("bucket_id", "band_id", "chunk_id", "tile_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+
+    def raw(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda c: b"".join(np.asarray(x["vals"], dtype=np.int8).tobytes() for x in c))
+
+    keys = F.transform("cells", lambda c: F.struct(c["image_id"].alias("image_id"), c["patch"].alias("patch")))
+    packed = records.select("bucket_id", "band_id", "chunk_id", "tile_id", keys.alias("blocks"), F.pandas_udf(raw, "binary")("cells").alias("raw"))
+    packed = packed.select("bucket_id", "band_id", "chunk_id", "tile_id", "blocks", F.octet_length("raw").alias("raw_length"), compress("raw", codec, level).alias("payload"))
+    packed = packed.withColumn("length", F.octet_length("payload"))
+    packed.sortWithinPartitions("bucket_id", "band_id", "chunk_id", "tile_id").write.mode("overwrite").partitionBy("bucket_id", "band_id").parquet(f"{path}/records")
+    scales.write.mode("overwrite").parquet(f"{path}/scales")
+    places.write.mode("overwrite").parquet(f"{path}/images")
+    write_metadata(spark, path, BUCKET_STORE, {"edges": ";".join(f"{a},{b}" for a, b in bands.edges), "tile_blocks": str(tile_blocks), "codec": codec})
+
+
+def read_bucket_store(spark: SparkSession, path: str, alloc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, records): the blocks (image_id, patch, z) that alloc (image_id, patch, k) grants, and the records (length) that
+    had to be read for them. A record is read if any of its blocks needs its band; blocks get exactly their k bands."""
+    o = open_metadata(spark, path, BUCKET_STORE)
+    bands, t, codec = Bands(tuple(tuple(int(x) for x in e.split(",")) for e in o["edges"].split(";"))), int(o["tile_blocks"]), o["codec"]
+    places = spark.read.parquet(f"{path}/images").select("image_id", "bucket_id", "npw", "chunk_id")
+    wanted = alloc.where("k > 0").join(places, "image_id").withColumn("tile_id", tile_of(F.col("patch"), F.col("npw"), t))
+    needs = wanted.groupBy("bucket_id", "chunk_id", "tile_id").agg(F.max("k").alias("most"))
+    records = spark.read.parquet(f"{path}/records").join(needs, ["bucket_id", "chunk_id", "tile_id"]).where(F.col("band_id") < F.col("most"))
+    widths = [hi - lo for lo, hi in bands.edges]
+
+    def split(payload: pd.Series, n: pd.Series, band: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(unpack(bytes(p), int(k), codec), dtype=np.int8).reshape(-1, widths[b]).astype(float).tolist() for p, k, b in zip(payload, n, band, strict=True)])
+
+    values = F.pandas_udf(split, "array<array<double>>")("payload", "raw_length", "band_id")
+    cells = records.select("band_id", F.explode(F.arrays_zip("blocks", values.alias("vals"))).alias("c")).select("band_id", "c.blocks.image_id", "c.blocks.patch", "c.vals")
+    granted = cells.join(alloc, ["image_id", "patch"]).where(F.col("band_id") < F.col("k"))
+    granted = granted.join(F.broadcast(spark.read.parquet(f"{path}/scales")), "band_id").withColumn("vals", F.transform("vals", lambda v: (v * F.col("scale")).cast("float")))
+    return gather_bands(granted, bands, ["image_id", "patch"]), records.select("bucket_id", "chunk_id", "tile_id", "band_id", "length")
+
+
+def record_reads(alloc: DataFrame, places: DataFrame, bands: int, tile_blocks: int) -> DataFrame:
+    """Rows (bucket_id, chunk_id, reads, full_reads): records that an allocation touches, and all of its tiles' records."""
+    rows = alloc.join(places.select("image_id", "bucket_id", "npw", "chunk_id"), "image_id").withColumn("tile_id", tile_of(F.col("patch"), F.col("npw"), tile_blocks))
+    tiles = rows.groupBy("bucket_id", "chunk_id", "tile_id").agg(F.max("k").alias("most"))
+    return tiles.groupBy("bucket_id", "chunk_id").agg(F.sum("most").alias("reads"), (F.count("*") * bands).alias("full_reads"))

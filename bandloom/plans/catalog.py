@@ -252,11 +252,11 @@ def precision_search(spark, sf_dir):
 
 def _gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradients of the coefficients of a softmax over class centroids."""
-    z = coefficients(spark, sf_dir).withColumn("id", F.col("image_id") * PATCHES + F.col("patch"))
+    z = coefficients(spark, sf_dir)
     cells = z.select("label", F.posexplode("z").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("w"))
     centroids = cells.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("w"))
-    g = se.softmax_gradients(z.select("id", "label", F.col("z").alias("x")), centroids)
-    return g.select(F.floor(F.col("id") / PATCHES).alias("image_id"), (F.col("id") % PATCHES).cast("int").alias("patch"), "label", "pos", "g").withColumn("band_id", BANDS.of(F.col("pos")))
+    g = se.softmax_gradients(z.select("image_id", "patch", "label", F.col("z").alias("x")), centroids)
+    return g.select("image_id", "patch", "label", F.posexplode("grad").alias("pos", "g")).withColumn("band_id", BANDS.of(F.col("pos")))
 
 
 def _sensitivity(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -383,6 +383,29 @@ def kq_static_serve(spark, sf_dir):
     return bl.served_quality(z, bl.serve_kq(z, BANDS, 6, 8, PATCHES, patch_weights(spark)), ["patch"]).select("patch", r("sq_error").alias("sq_error"))
 
 
+@query
+def lowpass_baseline(spark, sf_dir):
+    """Low-passes matched to the targets, compared on their error."""
+    lost = _values(spark, sf_dir).groupBy("band_id").agg(F.sum(F.col("value") ** 2).alias("e"), F.count("*").alias("n"))
+    m = al.match_lowpass(spark.createDataFrame([(t,) for t in TARGETS], "target double"), BANDS.count)
+    both = m.crossJoin(F.broadcast(lost)).groupBy("target", "k").agg(F.sum(F.when(F.col("band_id") >= F.col("k"), F.col("e")).otherwise(0.0)).alias("e"), F.sum("n").alias("n"))
+    mse = F.col("e") / F.col("n")
+    return both.select("target", "k", r(mse, 9).alias("mse"), r(metrics.psnr(F.round(mse, 15)), 4).alias("psnr"))
+
+
+@query
+def policy_comparison(spark, sf_dir):
+    """Policies at the same ratio, compared on their error."""
+    z = coefficients(spark, sf_dir).select("image_id", "patch", "z")
+    signal, out = bl.patch_signal(z), None
+    for policy in ("greedy", "gradient", "static"):
+        alloc = al.allocate(signal, al.Fidelity(BANDS.count, k_low=1, ratio=0.4, policy=policy), band_weights(spark), patch_weights(spark))
+        cut = bl.served_quality(z, bl.serve(z, alloc, BANDS), ["image_id"]).agg(F.sum("sq_error").alias("e"), F.sum("values").alias("n"))
+        one = cut.crossJoin(alloc.agg(F.sum("k").alias("slots"))).select(F.lit(policy).alias("policy"), r(F.col("e") / F.col("n"), 9).alias("mse"), "slots")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 # --- schedules ---
 
 
@@ -530,6 +553,19 @@ def mixup(spark, sf_dir):
     return m.select("image_id", r(tf.array_sum(F.col("target"))).alias("mass"), F.size("pixels").alias("n"))
 
 
+@query
+def cutmix(spark, sf_dir):
+    b = blocks(spark, sf_dir).select((F.col("image_id") * PATCHES + F.col("patch")).alias("image_id"), "label", "pixels")
+    m = sampling.cutmix(b, 10, 3)
+    return m.select("image_id", r(tf.array_sum(F.col("target"))).alias("mass"), F.size("pixels").alias("n"))
+
+
+@query
+def random_coefficients(spark, sf_dir):
+    z = sampling.random_coefficients(coefficients(spark, sf_dir).select("image_id", "patch", "z"), 20, 64, 5)
+    return z.groupBy("patch").agg(F.max(F.size(F.filter("z", lambda v: v != 0))).alias("most"), F.count("*").alias("n"))
+
+
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("value is not null")
     share = F.pmod(F.abs(F.col("value")), F.lit(1.0))
@@ -610,6 +646,30 @@ def shard_store_read(spark, sf_dir):
     return rows.groupBy("shard_id", "band_id").agg(F.count("*").alias("blocks"), r(F.sum(tf.array_sum(F.transform("vals", lambda v: v * v))), 3).alias("energy"))
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images in buckets by number, in chunks of six."""
+    ids = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / PATCHES).cast("long").alias("image_id")).distinct()
+    rows = ids.withColumn("bucket_id", (F.col("image_id") % 2).cast("int")).withColumn("bucket_pos", F.floor(F.col("image_id") / 2).cast("int")).withColumn("npw", F.lit(NPW))
+    return store.placed(rows, 6)
+
+
+@query
+def record_accounting(spark, sf_dir):
+    alloc = al.allocate(_signal(spark, sf_dir), al.Fidelity(BANDS.count, ratio=0.4, policy="gradient"), patch_weights=patch_weights(spark))
+    return store.record_reads(alloc, _places(spark, sf_dir), BANDS.count, 2)
+
+
+@query
+def bucket_store_serve(spark, sf_dir):
+    """What a bucketed store of packed int8 records serves of an allocation, and the records that it opens."""
+    path, z = scratch(spark), coefficients(spark, sf_dir).select("image_id", "patch", "z")
+    store.write_bucket_store(z, _places(spark, sf_dir), path, BANDS, quantize.calibrate(_values(spark, sf_dir), ["band_id"]), tile_blocks=2)
+    alloc = al.allocate(bl.patch_signal(z), al.Fidelity(BANDS.count, ratio=0.4, policy="gradient"), patch_weights=patch_weights(spark))
+    blocks_, records = store.read_bucket_store(spark, path, alloc)
+    energy = blocks_.groupBy((F.col("image_id") % 2).cast("int").alias("bucket_id")).agg(F.count("*").alias("blocks"), r(F.sum(tf.array_sum(F.transform("z", lambda v: v * v))), 3).alias("energy"))
+    return energy.join(records.groupBy("bucket_id").agg(F.count("*").alias("reads")), "bucket_id")
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RGB images of 40 x 32 from three consecutive grids of blocks each."""
     b = blocks(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: (v + 1) / 2))

@@ -192,6 +192,22 @@ UNION ALL SELECT 'most', image_id, ((height - least(height, 120)) // 2 // 8 * 8)
     "band_store_prefix": _with(_DCT) + "SELECT band_id::INTEGER AS band_id, count(*)::BIGINT AS n, round(sum(v * v), 3) AS energy FROM z WHERE band_id < 5 GROUP BY ALL",
     "residual_store_patch": _with(_DCT) + "SELECT patch::INTEGER AS patch, count(DISTINCT image_id)::BIGINT AS n, round(sum(CASE WHEN pos >= 16 THEN v * v ELSE 0 END), 6) AS energy FROM z WHERE patch IN (0, 7) GROUP BY ALL",
 }
+_GRADIENT = "o AS (SELECT image_id, patch, row_number() OVER (PARTITION BY image_id ORDER BY round(weight * signal, 12) DESC, patch) AS place FROM sig JOIN pw USING (patch)), alloc AS (SELECT image_id, patch, CASE WHEN place <= 7 THEN 16 ELSE 1 END AS k FROM o)"
+_TILES = "t AS (SELECT image_id % 2 AS bucket_id, image_id // 2 // 6 AS chunk_id, patch // 4 // 2 * 2 + patch % 4 // 2 AS tile_id, max(k) AS most FROM alloc GROUP BY ALL)"
+ORACLE_SQL["record_accounting"] = _with((*_DCT, "sig", "pw"), _GRADIENT, _TILES) + "SELECT bucket_id::INTEGER AS bucket_id, chunk_id::INTEGER AS chunk_id, sum(most)::BIGINT AS reads, (count(*) * 16)::BIGINT AS full_reads FROM t GROUP BY bucket_id, chunk_id"
+ORACLE_SQL["bucket_store_serve"] = (
+    _with((*_DCT, "sig", "pw"), _GRADIENT, _TILES, "sc AS (SELECT band_id, greatest(max(abs(v)) / 127, 1e-12) AS scale FROM z GROUP BY ALL)",
+        "e AS (SELECT image_id % 2 AS bucket_id, count(DISTINCT image_id * 100 + patch) AS blocks, sum(CASE WHEN band_id < k THEN pow(greatest(-128, least(127, round_even(v::FLOAT::DOUBLE / scale, 0))) * scale, 2) ELSE 0 END) AS energy FROM z JOIN alloc USING (image_id, patch) JOIN sc USING (band_id) GROUP BY ALL)", "rd AS (SELECT bucket_id, sum(most) AS reads FROM t GROUP BY ALL)")
+    + "SELECT bucket_id::INTEGER AS bucket_id, blocks::BIGINT AS blocks, round(energy, 3) AS energy, reads::BIGINT AS reads FROM e JOIN rd USING (bucket_id)"
+)
+ORACLE_SQL["lowpass_baseline"] = _with(_DCT, f"t AS ({_MATCH})", "c AS (SELECT target, k FROM t, range(1, 17) r(k) QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(abs(k / 16.0::DOUBLE - target), 12), k) = 1)", "m AS (SELECT target, k, sum(CASE WHEN band_id >= k THEN v * v ELSE 0 END) / count(*) AS mse FROM c, z GROUP BY ALL)") + "SELECT target, k::INTEGER AS k, round(mse, 9) + 0.0 AS mse, round(CASE WHEN round(mse, 15) <= 0 THEN 120.0 ELSE least(120, -10 * log10(mse)) END, 4) AS psnr FROM m"
+ORACLE_SQL["policy_comparison"] = (
+    _with((*_DCT, "sig", "bw", "pw"), _greedy("signal * signal * bw.weight * bw.weight", 1, "round_even(0.4::DOUBLE * n * 16, 0)", weights=""), f"g AS ({_greedy_k(1)})",
+        "o AS (SELECT image_id, patch, row_number() OVER (PARTITION BY image_id ORDER BY round(weight * signal, 12) DESC, patch) AS a, row_number() OVER (PARTITION BY image_id ORDER BY round(weight, 12) DESC, patch) AS b FROM sig JOIN pw USING (patch))",
+        "alloc AS (SELECT 'greedy' AS policy, image_id, patch, k FROM g UNION ALL SELECT 'gradient', image_id, patch, CASE WHEN a <= 7 THEN 16 ELSE 1 END FROM o UNION ALL SELECT 'static', image_id, patch, CASE WHEN b <= 7 THEN 16 ELSE 1 END FROM o)",
+        "s AS (SELECT policy, sum(k) AS slots FROM alloc GROUP BY ALL)", "e AS (SELECT policy, sum(CASE WHEN band_id >= k THEN v * v ELSE 0 END) / count(*) AS mse FROM z JOIN alloc USING (image_id, patch) GROUP BY ALL)")
+    + "SELECT policy, round(mse, 9) AS mse, slots::BIGINT AS slots FROM e JOIN s USING (policy)"
+)
 _SHARD = _with(_DCT, "sc AS (SELECT band_id, greatest(max(abs(v)) / 127, 1e-12) AS scale FROM z GROUP BY ALL)", "q AS (SELECT image_id // 10 AS shard_id, image_id, patch, band_id, greatest(-128, least(127, round_even(v::FLOAT::DOUBLE / scale, 0))) * scale AS v FROM z JOIN sc USING (band_id))")
 ORACLE_SQL["shard_store_read"] = _SHARD + "SELECT shard_id::INTEGER AS shard_id, band_id::INTEGER AS band_id, count(DISTINCT image_id * 100 + patch)::BIGINT AS blocks, round(sum(v * v), 3) AS energy FROM q WHERE band_id < 8 AND shard_id IN (0, 1) GROUP BY ALL"
 ORACLE_SQL["bucket_batches"] = (
