@@ -45,6 +45,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM words LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)
 """
 
+#: The generated pages mark their articles, hold no other element than those of the article inside, and use these references.
+_REFERENCES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+_text = "regexp_replace(coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), ''), '<[^>]*>', ' ', 'g')"
+for _name, _char in _REFERENCES:
+    _text = f"replace({_text}, '{_name}', '{_char}')"
+OP7 = f"""
+WITH t AS (SELECT page_id, url, trim(regexp_replace({_text}, '\\s+', ' ', 'g')) AS text FROM pages)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
 OP9 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
@@ -90,4 +100,4 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM marked GROUP BY rid
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4, "op5_license_scans": OP5, "op9_exact_topk": OP9, "op10_line_dedup": OP10}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4, "op5_license_scans": OP5, "op7_html_extraction": OP7, "op9_exact_topk": OP9, "op10_line_dedup": OP10}
