@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from bandloom.sources.folders import shared_folder
 
 #: Bytes of one Arrow batch at most, so that a batch of very long texts stays small.
-ARROW_BATCH_BYTES = 32 << 20
+ARROW_BATCH_BYTES = 8 << 20
 #: Characters that the word rules call white space: \x20 and \x09-\x0D. bytes.split() cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 _BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
