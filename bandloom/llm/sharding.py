@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandloom.llm.common import cut
@@ -76,6 +76,12 @@ def binned(value: Column, lo: Column, scale: Column) -> Column:
     return F.least(F.lit(BINS - 1), F.floor((value - lo) * scale)).cast("int")
 
 
+def _literal_rows(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    """A few rows of numbers as constants of the plan."""
+    told = (", ".join(f"{v!r}D" if isinstance(v, float) else str(v) for v in row) for row in rows)
+    return spark.range(1).selectExpr(f"inline(array({', '.join(f'struct({t})' for t in told)}))").toDF(*names.split())
+
+
 def _medians(rows: DataFrame, bin_: Column) -> dict[int, tuple[int, int, int]]:
     """By node: (bin in which the weight `half` is reached, weight before it, its weight). One row for each node is collected."""
     sums = rows.groupBy("node", "half", bin_.alias("bin")).agg(F.sum("size").alias("weight"))
@@ -115,11 +121,11 @@ def fit(meta: DataFrame, shards: int, row_key: Column, leaves_per_shard: int = L
                 open_.append((r["node"], r["n"] / 2, dim, lo, BINS / (hi - lo)))
         if not open_:
             break
-        table = spark.createDataFrame(open_, "node int, half double, dim int, lo double, scale double")
+        table = _literal_rows(spark, "node half dim lo scale", open_)
         here = here.join(F.broadcast(table), "node")  # a row for each node that is cut
         mine = binned(F.get("point", F.col("dim")), F.col("lo"), F.col("scale"))
         medians = _medians(here, mine)
-        rest = spark.createDataFrame([(n, medians[n][0], half - medians[n][1]) for n, half, *_ in open_], "node int, median int, within double")
+        rest = _literal_rows(spark, "node median within", [(n, medians[n][0], half - medians[n][1]) for n, half, *_ in open_])
         inside = here.withColumn("bin", mine).join(F.broadcast(rest), "node").where(F.col("bin") == F.col("median"))
         ties = _medians(inside.drop("bin", "half").withColumnRenamed("within", "half"), F.col("tie_bin"))
         for n, half, dim, lo, scale in open_:
