@@ -8,19 +8,19 @@ from pyspark.sql import types as T
 
 _SERIES = ("epoch", "test_acc", "train_loss", "io_ratio", "approx_ratio")
 _PART = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in _SERIES])
-_RUN = T.StructType([T.StructField("tdcf", _PART), T.StructField("baseline", _PART), *_PART.fields])
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, parts: tuple[str, ...] = ("run", "baseline")) -> DataFrame:
     """Rows (run, epoch, acc, train_loss, io_ratio) of result files in folders named by their run.
 
-    Series may lie at the top or in a part of their own; files without an I/O ratio may have an approximate one, and files
+    Series may lie in one of the parts, the first that has them, or at the top; files without an I/O ratio may have an approximate one, and files
     without either read everything.
     """
-    files = spark.read.option("multiLine", "true").schema(_RUN).json(path).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1))
+    schema = T.StructType([*(T.StructField(p, _PART) for p in parts), *_PART.fields])
+    files = spark.read.option("multiLine", "true").schema(schema).json(path).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1))
 
     def series(name: str):
-        return F.coalesce(*(F.col(f"{part}.{name}") for part in ("tdcf", "baseline")), F.col(name))
+        return F.coalesce(*(F.col(f"{part}.{name}") for part in parts), F.col(name))
 
     acc = series("test_acc")
     ratio = F.coalesce(series("io_ratio"), series("approx_ratio"), F.array_repeat(F.lit(1.0), F.size(acc)))
