@@ -10,14 +10,14 @@ _SERIES = ("epoch", "test_acc", "train_loss", "io_ratio", "approx_ratio")
 _PART = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in _SERIES])
 
 
-def read_runs(spark: SparkSession, path: str, parts: tuple[str, ...] = ("run", "baseline")) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, parts: tuple[str, ...] = ("adaptive", "baseline")) -> DataFrame:
     """Rows (run, epoch, acc, train_loss, io_ratio) of result files in folders named by their run.
 
     Series may lie in one of the parts, the first that has them, or at the top; files without an I/O ratio may have an approximate one, and files
     without either read everything.
     """
     schema = T.StructType([*(T.StructField(p, _PART) for p in parts), *_PART.fields])
-    files = spark.read.option("multiLine", "true").schema(schema).json(path).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1))
+    files = spark.read.option("multiLine", "true").schema(schema).json(path).withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1))
 
     def series(name: str):
         return F.coalesce(*(F.col(f"{part}.{name}") for part in parts), F.col(name))
@@ -26,7 +26,7 @@ def read_runs(spark: SparkSession, path: str, parts: tuple[str, ...] = ("run", "
     ratio = F.coalesce(series("io_ratio"), series("approx_ratio"), F.array_repeat(F.lit(1.0), F.size(acc)))
     loss = F.coalesce(series("train_loss"), F.array_repeat(F.lit(None).cast("double"), F.size(acc)))
     zipped = F.arrays_zip(acc.alias("acc"), loss.alias("train_loss"), ratio.alias("io_ratio"))
-    rows = files.where(acc.isNotNull()).select("run", F.posexplode(zipped).alias("epoch", "p"))
+    rows = files.where(acc.isNotNull()).select(F.col("_folder").alias("run"), F.posexplode(zipped).alias("epoch", "p"))
     return rows.select("run", "epoch", "p.acc", "p.train_loss", "p.io_ratio")
 
 

@@ -67,7 +67,7 @@ def test_folder_of_classes_and_sizes(spark, tmp_path):
 
 
 def test_histories_of_all_ages(spark, tmp_path):
-    files = {"new": {"run": {"epoch": [0, 1], "test_acc": [0.1, 0.2], "io_ratio": [0.5, 0.6]}}, "old": {"baseline": {"test_acc": [0.3], "approx_ratio": [0.7]}}, "flat": {"test_acc": [0.4]}, "bad": {"x": 1}}
+    files = {"new": {"adaptive": {"epoch": [0, 1], "test_acc": [0.1, 0.2], "io_ratio": [0.5, 0.6]}}, "old": {"baseline": {"test_acc": [0.3], "approx_ratio": [0.7]}}, "flat": {"test_acc": [0.4]}, "bad": {"x": 1}}
     for name, content in files.items():
         (tmp_path / name).mkdir()
         (tmp_path / name / "results.json").write_text(json.dumps(content))
