@@ -2,48 +2,75 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandloom.functions.dims import Bands
-from bandloom.functions.transforms import array_sum, dct2, from_zigzag, idct2, keep_prefix, mean_abs, pad_index, positions_of, squared_error, to_zigzag
+from bandloom.functions.transforms import array_sum, dct2, from_zigzag, idct2, keep_prefix, mean_abs, positions_of, squared_error, to_zigzag
 
 PADDING = ("drop", "replicate", "zero")
 
 
+def _splitter(block: int, padding: str):
+    """Images of any shape to their blocks, channel by channel and row by row."""
+
+    def run(pixels: pd.Series, height: pd.Series, width: pd.Series, nph: pd.Series, npw: pd.Series) -> pd.Series:
+        out = []
+        for p, h, w, rows, cols in zip(pixels, height, width, nph, npw, strict=True):
+            a = np.asarray(p, dtype=np.float64).reshape(-1, h, w)
+            tall, wide = rows * block, cols * block
+            if padding == "zero":
+                canvas = np.zeros((len(a), tall, wide))
+                canvas[:, : min(h, tall), : min(w, wide)] = a[:, :tall, :wide]
+                a = canvas
+            else:
+                a = a[:, np.minimum(np.arange(tall), h - 1)][:, :, np.minimum(np.arange(wide), w - 1)]
+            cut = a.reshape(len(a), rows, block, cols, block).transpose(0, 1, 3, 2, 4)
+            out.append(list(cut.reshape(-1, block * block)))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<array<double>>")
+
+
 def split_blocks(images: DataFrame, block: int = 8, padding: str = "drop", canvas: tuple[Column, Column] | None = None) -> DataFrame:
     """Rows (image_id, channel, patch, nph, npw, pixels) of images (image_id, height, width, pixels in channel, row, column
-    order). Remainders are dropped, replicated from the edge or filled with zeros; a canvas (nph, npw) may be larger."""
+    order). Remainders are dropped, replicated from the edge or filled with zeros; a canvas (nph, npw) may be larger.
+
+    An image is cut once, in an Arrow batch, and only its blocks are exploded: no row carries the image beside a block.
+    """
     if padding not in PADDING:
         raise ValueError(f"unknown padding {padding!r}")
     h, w = F.col("height"), F.col("width")
     rows, cols = canvas or tuple((F.floor(s / block) if padding == "drop" else F.ceil(s / float(block))).cast("int") for s in (h, w))
-    df = images.select("image_id", "height", "width", "pixels", rows.alias("nph"), cols.alias("npw"))
-    df = df.where((F.col("nph") > 0) & (F.col("npw") > 0)).withColumn("channel", F.explode(F.sequence(F.lit(0), (F.size("pixels") / (h * w)).cast("int") - 1)))
-    df = df.withColumn("patch", F.explode(F.sequence(F.lit(0), F.col("nph") * F.col("npw") - 1)))
+    df = images.select("image_id", "height", "width", "pixels", rows.alias("nph"), cols.alias("npw")).where((F.col("nph") > 0) & (F.col("npw") > 0))
+    cut = df.select("image_id", "nph", "npw", _splitter(block, padding)("pixels", "height", "width", "nph", "npw").alias("blocks"))
+    each = cut.select("image_id", "nph", "npw", F.posexplode("blocks").alias("at", "pixels"))
+    patches = F.col("nph") * F.col("npw")
+    return each.select("image_id", F.floor(F.col("at") / patches).cast("int").alias("channel"), (F.col("at") % patches).cast("int").alias("patch"), "nph", "npw", "pixels")
+
 
-    def pixel(i: Column) -> Column:
-        y = (F.floor(F.col("patch") / F.col("npw")) * block + F.floor(i / block)).cast("int")
-        x = (F.col("patch") % F.col("npw") * block + i % block).cast("int")
-        inside = F.get("pixels", (F.col("channel") * h * w + pad_index(y, h) * w + pad_index(x, w)).cast("int")).cast("double")
-        return F.when((y < h) & (x < w), inside).otherwise(0.0) if padding == "zero" else inside
+def _merger(block: int):
+    def run(blocks: pd.Series, nph: pd.Series, npw: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        out = []
+        for cells, rows, cols, h, w in zip(blocks, nph, npw, height, width, strict=True):
+            plane = np.zeros((rows * cols, block * block))
+            for c in cells:
+                plane[c["patch"]] = c["pixels"]
+            whole = plane.reshape(rows, cols, block, block).transpose(0, 2, 1, 3).reshape(rows * block, cols * block)
+            out.append(whole[:h, :w].ravel())
+        return pd.Series(out, dtype=object)
 
-    return df.select("image_id", "channel", "patch", "nph", "npw", F.transform(F.sequence(F.lit(0), F.lit(block * block - 1)), pixel).alias("pixels"))
+    return F.pandas_udf(run, "array<double>")
 
 
 def merge_blocks(blocks: DataFrame, block: int = 8, height: Column | None = None, width: Column | None = None) -> DataFrame:
-    """Rows (image_id, channel, height, width, pixels): one plane for each image and channel, cut to height x width if given."""
-    plane = blocks.groupBy("image_id", "channel", "nph", "npw").agg(F.sort_array(F.collect_list(F.struct("patch", "pixels"))).alias("b"), *([F.max(height).alias("h"), F.max(width).alias("w")] if height is not None else []))
-    if height is None:
-        plane = plane.withColumn("h", F.col("nph") * block).withColumn("w", F.col("npw") * block)
-    spread = plane.withColumn("m", F.map_from_entries(F.transform("b", lambda b: F.struct(b["patch"], b["pixels"]))))
-
-    def pixel(i: Column) -> Column:
-        y, x = F.floor(i / F.col("w")).cast("int"), (i % F.col("w")).cast("int")
-        patch = (F.floor(y / block) * F.col("npw") + F.floor(x / block)).cast("int")
-        return F.get(F.try_element_at("m", patch), (y % block * block + x % block).cast("int"))
-
-    return spread.select("image_id", "channel", F.col("h").alias("height"), F.col("w").alias("width"), F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), pixel).alias("pixels"))
+    """Rows (image_id, channel, height, width, pixels): one plane for each image and channel, cut to height x width if given;
+    blocks that are missing are zeros."""
+    h, w = (F.max(c) if c is not None else F.max(F.col(n) * block) for c, n in ((height, "nph"), (width, "npw")))
+    plane = blocks.groupBy("image_id", "channel", "nph", "npw").agg(F.collect_list(F.struct("patch", "pixels")).alias("b"), h.cast("int").alias("height"), w.cast("int").alias("width"))
+    return plane.select("image_id", "channel", "height", "width", _merger(block)("b", "nph", "npw", "height", "width").alias("pixels"))
 
 
 def transformed(blocks: DataFrame) -> DataFrame:

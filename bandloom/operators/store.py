@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from bandloom.functions.codec import compress, unpack
 from bandloom.functions.dims import CROP_BANDS, Bands, quality_tables, zigzag
-from bandloom.functions.transforms import band_slice, from_ycbcr, quantise, to_ycbcr
-from bandloom.operators.blocks import merge_blocks, restored, split_blocks, transformed
+from bandloom.functions.transforms import band_slice, quantise, to_ycbcr
+from bandloom.operators.blocks import restored, split_blocks, transformed
 from bandloom.operators.crops import block_rect, overlapping_tiles
 
 BAND_STORE, RESIDUAL_STORE, SHARD_STORE, CHUNK_STORE = "bandloom_bands_v1", "bandloom_residuals_v1", "bandloom_shards_v1", "bandloom_chunks_v1"
@@ -139,16 +139,16 @@ def _pack(spec: ChunkSpec):
 
 def quantised_ycbcr(images: DataFrame, spec: ChunkSpec) -> DataFrame:
     """Rows (image_id, channel, patch, nph, npw, z): quantised coefficients of 8-bit YCbCr planes around zero."""
-    n = F.col("height") * F.col("width")
 
-    def plane(c: int) -> Column:
-        def value(i: Column) -> Column:
-            r, g, b = (F.get("pixels", (i + k * n).cast("int")).cast("double") * 255.0 for k in range(3))
-            return to_ycbcr(r, g, b)[c] - 128.0
-
-        return F.transform(F.sequence(F.lit(0), n - 1), value)
+    def planes(pixels: pd.Series) -> pd.Series:
+        out = []
+        for p in pixels:
+            r, g, b = np.asarray(p, dtype=np.float64).reshape(3, -1) * 255.0
+            y, cb, cr = to_ycbcr(r, g, b)
+            out.append(np.concatenate([y, cb, cr]) - 128.0)
+        return pd.Series(out, dtype=object)
 
-    planes = F.concat(*map(plane, range(3)))
+    planes = F.pandas_udf(planes, "array<double>")("pixels")
     z = transformed(split_blocks(images.withColumn("pixels", planes), spec.block, "replicate"))
     tables = quality_tables(spec.quality)[:, list(zigzag(8, 8))]
     steps = F.get(F.array(*(F.array(*(F.lit(int(q)) for q in t)) for t in tables)), F.col("channel"))
@@ -243,18 +243,26 @@ def crop_blocks(reads: DataFrame, spec: ChunkSpec) -> DataFrame:
 def read_crops(images: DataFrame, chunks: DataFrame, requests: DataFrame, spec: ChunkSpec, wanted: list[int] | None = None) -> DataFrame:
     """Rows (image_id, top, left, crop_h, crop_w, pixels RGB): requests served from the bands wanted, clipped to the image."""
     blocks = restored(crop_blocks(crop_reads(images, chunks, requests, spec, wanted), spec))
-    planes = blocks.groupBy("image_id", "crop", "npw").agg(F.map_from_entries(F.collect_list(F.struct(F.col("channel") * (1 << 24) + F.col("patch"), F.col("pixels")))).alias("m"))
+    parts = blocks.groupBy("image_id", "crop", "npw").agg(F.collect_list(F.struct("channel", "patch", "pixels")).alias("b"))
     h = F.least(F.col("crop.crop_h"), F.col("crop.height") - F.col("crop.top"))
     w = F.least(F.col("crop.crop_w"), F.col("crop.width") - F.col("crop.left"))
-
-    def sample(c: int, i: Column) -> Column:
-        y, x = F.col("crop.top") + F.floor(i / w).cast("int"), F.col("crop.left") + i % w
-        patch = (F.floor(y / 8) * F.col("npw") + F.floor(x / 8)).cast("int")
-        return F.get(F.try_element_at("m", patch + c * (1 << 24)), (y % 8 * 8 + x % 8).cast("int")) + 128.0
-
-    rgb = F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.struct(*(v.alias(n) for v, n in zip(from_ycbcr(*(sample(c, i) for c in range(3))), "rgb", strict=True))))
-    out = planes.select("image_id", F.col("crop.top").alias("top"), F.col("crop.left").alias("left"), h.alias("crop_h"), w.alias("crop_w"), rgb.alias("p"))
-    return out.select("image_id", "top", "left", "crop_h", "crop_w", F.concat("p.r", "p.g", "p.b").alias("pixels"))
+    parts = parts.select("image_id", "b", "npw", F.col("crop.top").alias("top"), F.col("crop.left").alias("left"), h.alias("crop_h"), w.alias("crop_w"))
+    return parts.select("image_id", "top", "left", "crop_h", "crop_w", F.pandas_udf(_crop_pixels, "array<double>")("b", "npw", "top", "left", "crop_h", "crop_w").alias("pixels"))
+
+
+def _crop_pixels(blocks: pd.Series, npw: pd.Series, top: pd.Series, left: pd.Series, crop_h: pd.Series, crop_w: pd.Series) -> pd.Series:
+    """RGB in 0..1 of each crop, from the YCbCr blocks that it touches."""
+    out = []
+    for cells, cols, t, l, h, w in zip(blocks, npw, top, left, crop_h, crop_w, strict=True):
+        r0, c0 = t // 8, l // 8
+        canvas = np.zeros((3, ((t + h + 7) // 8 - r0) * 8, ((l + w + 7) // 8 - c0) * 8))
+        for c in cells:
+            y, x = (c["patch"] // cols - r0) * 8, (c["patch"] % cols - c0) * 8
+            canvas[c["channel"], y : y + 8, x : x + 8] = np.asarray(c["pixels"]).reshape(8, 8)
+        y, cb, cr = canvas[:, t - r0 * 8 : t - r0 * 8 + h, l - c0 * 8 : l - c0 * 8 + w]
+        rgb = np.stack([y + 128 + 1.402 * cr, y + 128 - 0.344136 * cb - 0.714136 * cr, y + 128 + 1.772 * cb])
+        out.append(np.clip(rgb / 255, 0, 1).ravel())
+    return pd.Series(out, dtype=object)
 
 
 def crop_bytes(reads: DataFrame) -> DataFrame:

@@ -681,8 +681,9 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chunk_store_crops(spark, sf_dir):
     """Crops of a packed store with all bands and with three: bytes read, and the error against the images."""
-    path, im = scratch(spark), images(spark, sf_dir)
-    spec = store.ChunkSpec(tile_blocks=2)
+    path, spec = scratch(spark), store.ChunkSpec(tile_blocks=2)
+    images(spark, sf_dir).write.parquet(f"{path}/source")
+    im = spark.read.parquet(f"{path}/source")
     store.write_chunk_store(im, path, spec, records_per_shard=16)
     heads, chunks, spec = store.open_chunk_store(spark, path)
     wanted = im.select("image_id", F.lit(5).alias("top"), F.lit(3).alias("left"), F.lit(20).alias("crop_h"), F.lit(18).alias("crop_w"))
