@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -16,8 +17,8 @@ from bandloom.llm.common import bounded_batches, cut, keyed_texts, renamed, shuf
 
 #: Fingerprints of one trie below a shared prefix that one task joins; larger tries are split into pairs of subtrees.
 TRIE_ROWS = 20_000
-#: Fingerprints of a text's distinct words that make candidates for an exact check of similarity.
-VIEWS = 8
+#: Minima of a text's hashed shingles that make a band, and the share of pairs at the stated similarity that meet in a band.
+BAND_ROWS, RECALL = 5, 0.9995
 #: Node pairs that a task holds at once, and leaf pairs of two nodes that are compared directly.
 FRONTIER, LEAF_PAIRS = 1 << 19, 64
 
@@ -233,27 +234,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return known.join(nodes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_views(text: bytes, views: int = VIEWS) -> list[int]:
-    """SimHashes of the text's distinct words under `views` hash functions, as signed numbers; zeros without words.
-
-    An edited word changes one feature of these sets, but as many shingles as a shingle has words; so near copies lie nearer.
-    """
-    words = set(text.lower().split())
-    if not words:
-        return [0] * views
-    base = np.array([xxhash.xxh64_intdigest(w, 0) for w in words], dtype=np.uint64)
-    out = np.zeros(views, dtype=np.uint64)
-    for v in range(views):
-        h = (base ^ np.uint64(0x9E3779B97F4A7C15 * (v + 1) % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        h = np.ascontiguousarray(h ^ (h >> np.uint64(33)))
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[v] = sum(1 << i for i in np.flatnonzero(2 * ones > len(h)).tolist())
-    return out.view(np.int64).tolist()
-
-
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """Sorted hashes of the distinct word shingles of a text; one of the whole text if it has fewer words."""
     words = text.lower().split()
@@ -261,6 +241,22 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.sort(np.array([xxhash.xxh64_intdigest(g, 1) for g in grams], dtype=np.uint64))
 
 
+def band_count(similarity: float) -> int:
+    """Bands that let texts of this similarity agree in one of them with probability RECALL at least."""
+    meet = similarity**BAND_ROWS
+    return 1 if meet >= 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+
+
+def band_keys(grams: np.ndarray, bands: int) -> list[int]:
+    """A key for each band of minima of a set of hashed shingles, as signed numbers. A minimum is the same for two sets with a
+    probability of their Jaccard similarity."""
+    turns = np.random.default_rng(BAND_ROWS).integers(0, 1 << 31, (bands * BAND_ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    x = (grams >> np.uint64(32)).astype(np.uint32)
+    least = np.min([(turns * x[at : at + 4096]).min(axis=1) for at in range(0, len(x), 4096)], axis=0)
+    keys = [xxhash.xxh3_64_intdigest(row.tobytes()) for row in least.reshape(bands, BAND_ROWS)]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
 def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of texts (text_id, text) whose sets of shingles have at least this Jaccard similarity."""
     named = pairs.select(F.explode(F.array("u", "v")).alias("text_id")).distinct()
@@ -285,42 +281,44 @@ def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity:
     return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 3, views: int = VIEWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
     """Rows (id_col, component_id), one for each row of docs: groups of near copies.
 
-    Texts are linked if the fingerprints of their 3-word shingles differ in at most `budget` bits, or if a fingerprint of
-    their distinct words does in one of several views and their sets of `shingle`-word shingles then turn out to be at least
-    `similarity` alike. Candidates of all views come from the same trie join; equal texts are one node throughout. The exact
-    check is made along the links of the join's spanning forests, so its cost grows with the texts and not with their pairs.
+    Texts are linked if the fingerprints of their 3-word shingles differ in at most `budget` bits, or if their sets of
+    `shingle`-word shingles share a band of minima and then turn out to be at least `similarity` alike. The bands are so many
+    that a pair of that similarity shares one with probability RECALL, whatever the edits were. Equal texts are one node
+    throughout.
 
     Nulls, empty and repeated texts: as simhash_groups(). id_col may be a struct.
     """
     bounded_batches(docs.sparkSession)
     keyed = keyed_texts(docs, id_col, text_col).withColumn("text_id", F.xxhash64("text"))
+    bands = band_count(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [x or b"" for x in b.column(1).to_pylist()]
             first = np.array([fingerprint(t, 3, 42) for t in texts], dtype=np.uint64).view(np.int64).tolist()
-            prints = [[f, *word_views(t, views)] for f, t in zip(first, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(prints, pa.list_(pa.int64()))], ["id", "text_id", "prints"])
-
-    schema = T.StructType([renamed(keyed.schema["id"], "id"), T.StructField("text_id", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))])
-    known = cut(keyed.mapInArrow(run, schema), "views")
-    nodes = known.groupBy("text_id").agg(F.min("id").alias("least"), F.min("prints").alias("prints"))
-    prints = nodes.select("text_id", F.posexplode("prints").alias("view", "fp"))
-    heads = cut(prints.groupBy("view", "fp").agg(F.min("text_id").alias("head")), "heads")
-    same = prints.join(heads, ["view", "fp"]).where("text_id <> head").select("view", F.col("text_id").alias("u"), F.col("head").alias("v"))
-    links = near_links(heads.select("view", "fp"), budget)
+            keys = [band_keys(shingle_set(t, shingle), bands) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(first, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_id", "fp", "keys"])
+
+    schema = T.StructType([renamed(keyed.schema["id"], "id"), *(T.StructField(n, T.LongType()) for n in ("text_id", "fp")), T.StructField("keys", T.ArrayType(T.LongType()))])
+    known = cut(keyed.mapInArrow(run, schema), "bands")
+    nodes = cut(known.groupBy("text_id").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "texts")
+    heads = cut(nodes.groupBy("fp").agg(F.min("text_id").alias("head")), "heads")
+    same = nodes.join(heads, "fp").select(F.col("text_id").alias("u"), F.col("head").alias("v"))
+    links = near_links(heads.select(F.lit(0).alias("view"), "fp"), budget)
     for side in "uv":
-        links = links.join(heads.select("view", F.col("fp").alias(side), F.col("head").alias(f"{side}_head")), ["view", side])
-    found = same.unionAll(links.select("view", F.col("u_head").alias("u"), F.col("v_head").alias("v"))).where("u <> v")
-    found = cut(found.select("view", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "candidates")
-    sure = found.where("view = 0").select("u", "v")
-    asked = found.where("view > 0").select("u", "v").distinct().join(sure, ["u", "v"], "left_anti")
+        links = links.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head")), side)
+    sure = same.unionAll(links.select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))).where("u <> v")
+    sure = cut(sure.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "sure")
+    keys = nodes.select("text_id", F.posexplode("keys").alias("band", "key"))
+    shared = keys.groupBy("band", "key").agg(F.min("text_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    stars = cut(keys.join(shared, ["band", "key"]).where("text_id <> head").select(F.col("text_id").alias("u"), F.col("head").alias("v")).distinct(), "candidates")
     texts = keyed.select("text_id", F.coalesce("text", F.lit(b"")).alias("text"))
-    roots = connected_components(sure.unionAll(similar_pairs(texts, asked, shingle, similarity)).distinct())
+    asked = stars.join(sure, ["u", "v"], "left_anti")
+    roots = connected_components(sure.unionAll(similar_pairs(texts, asked, shingle, similarity)))
     nodes = nodes.select("text_id", "least").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(named, "root").select("text_id", "component_id")
-    return known.join(nodes, "text_id").select(F.col("id").alias(id_col), "component_id")
+    return known.select("id", "text_id").join(nodes, "text_id").select(F.col("id").alias(id_col), "component_id")

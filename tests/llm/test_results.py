@@ -426,3 +426,20 @@ def test_near_duplicates_by_similarity(spark, odd):
     assert len(alike) >= 20 and sum(out[100 + i] == i for i in alike) >= 0.9 * len(alike)
     assert all(out[i] == i for i in range(40))
     assert near_duplicates(odd, "doc_id").count() == odd.count()
+
+
+def test_near_duplicates_cut_and_extended(spark):
+    from bandloom.llm.simhash import near_duplicates, shingle_set
+
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, n = [], 240
+    for i in range(n):
+        text = r.choices(vocabulary, k=r.randint(80, 900))
+        rows.append((i, " ".join(text)))
+        copy = text[: -int(len(text) * r.choice([0.1, 0.17]))] if i % 2 else text + r.choices(vocabulary, k=int(len(text) * r.choice([0.15, 0.2])))
+        rows.append((1000 + i, " ".join(copy)))
+    sets = {i: set(shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    alike = [i for i in range(n) if len(sets[i] & sets[1000 + i]) >= 0.8 * len(sets[i] | sets[1000 + i])]
+    out = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert len(alike) >= 200 and sum(out[1000 + i] == i for i in alike) >= 0.99 * len(alike)
