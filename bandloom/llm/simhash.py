@@ -21,6 +21,8 @@ TRIE_ROWS = 20_000
 BAND_ROWS, RECALL = 5, 0.9995
 #: Node pairs that a task holds at once, and leaf pairs of two nodes that are compared directly.
 FRONTIER, LEAF_PAIRS = 1 << 19, 64
+#: Shingles of one side of a block of texts that a task compares.
+BLOCK_SHINGLES = 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int, seed: int) -> int:
@@ -257,16 +259,19 @@ def band_keys(grams: np.ndarray, bands: int) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of texts (text_id, text) whose sets of shingles have at least this Jaccard similarity."""
-    named = pairs.select(F.explode(F.array("u", "v")).alias("text_id")).distinct()
+def shingles_of(texts: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """Rows (text_id, grams) for the named texts among texts (text_id, text)."""
     asked = texts.join(named, "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["text_id", "grams"])
 
-    grams = cut(asked.mapInArrow(sets, "text_id long, grams binary"), "shingles")
+    return cut(asked.mapInArrow(sets, "text_id long, grams binary"), "shingles")
+
+
+def similar_pairs(grams: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of texts whose sets of shingles (text_id, grams) have at least this Jaccard similarity."""
     both = pairs.join(grams.select(F.col("text_id").alias("u"), F.col("grams").alias("a")), "u").join(grams.select(F.col("text_id").alias("v"), F.col("grams").alias("b")), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,13 +286,79 @@ def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity:
     return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
+def block_links(ids: list[int], labels: list[int], grams: list[np.ndarray], asked: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between the first `asked` texts of a block and all others that are at least this similar, one for each two
+    labels that they connect. Texts of one label are connected already."""
+    words, codes = np.unique(np.concatenate(grams), return_inverse=True)
+    n = np.array([len(g) for g in grams])
+    ends = np.cumsum(n)
+    label = np.unique(np.array(labels), return_inverse=True)[1]
+    mark = np.zeros(len(words), dtype=np.int32)
+    for i in range(asked):
+        if (label == label[i]).all():
+            continue
+        mine = codes[ends[i] - n[i] : ends[i]]
+        mark[mine] = 1
+        shared = np.add.reduceat(mark[codes], ends - n)
+        mark[mine] = 0
+        hits = np.flatnonzero((shared >= similarity * (n[i] + n - shared)) & (label != label[i]))
+        for j in hits.tolist():
+            if label[j] != label[i]:
+                yield max(ids[i], ids[j]), min(ids[i], ids[j])
+                label[label == label[j]] = label[i]
+
+
+def family_links(stars: DataFrame, roots: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that connect whatever pairs of at least this similarity connect within the families of candidates.
+
+    stars: candidates (u, v); a family is what they connect. roots: (node, root), the components that are known. A pair in one
+    component adds nothing, so the texts outside a family's largest component are compared with all of the family. Both sides
+    are cut into blocks of about BLOCK_SHINGLES, and a task takes a pair of blocks; its work grows with the texts outside times
+    the family, and no pair of them is left out.
+    """
+    found = connected_components(stars)
+    family = found.select(F.col("node").alias("text_id"), F.col("root").alias("family")).unionAll(found.select("root", "root").distinct())
+    known = family.join(roots.select(F.col("node").alias("text_id"), F.col("root").alias("label")), "text_id", "left")
+    known = cut(known.withColumn("label", F.coalesce("label", "text_id")), "families")
+    largest = known.groupBy("family", "label").count().groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("parts"))
+    rows = known.join(largest.where("parts > 1"), "family").join(grams, "text_id")
+    rows = cut(rows.select("family", "text_id", "label", (F.col("label") != F.col("largest")).alias("outside"), "grams"), "open")
+    blocks = lambda size: F.ceil(F.coalesce(F.sum(size), F.lit(0)) / (8 * BLOCK_SHINGLES)).cast("int")
+    sizes = rows.groupBy("family").agg(blocks(F.length("grams")).alias("n_all"), blocks(F.when(F.col("outside"), F.length("grams"))).alias("n_out"))
+    rows = rows.join(sizes, "family").withColumn("a", F.pmod(F.xxhash64("text_id"), "n_out").cast("int")).withColumn("b", F.pmod(F.xxhash64("text_id"), "n_all").cast("int"))
+    dealt = rows.where("outside").withColumn("b", F.explode(F.expr("sequence(0, n_all - 1)"))).withColumn("side", F.lit(0))
+    dealt = dealt.unionByName(rows.withColumn("a", F.explode(F.expr("sequence(0, n_out - 1)"))).withColumn("side", F.lit(1)))
+    dealt = dealt.select("family", "a", "b", "side", "text_id", "label", "grams")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, []
+
+        def told() -> pa.RecordBatch:
+            ids, labels = [r[1] for r in block], [r[2] for r in block]
+            pairs = list(block_links(ids, labels, [np.frombuffer(r[3], np.uint64) for r in block], sum(r[0] == 0 for r in block), similarity))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for *key, side, text_id, label, sent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if block:
+                        yield told()
+                    now, block = key, []
+                block.append((side, text_id, label, sent))
+        if block:
+            yield told()
+
+    n = shuffle_width(stars.sparkSession)
+    return dealt.repartition(n, "family", "a", "b").sortWithinPartitions("family", "a", "b", "side", "text_id").mapInArrow(join, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
     """Rows (id_col, component_id), one for each row of docs: groups of near copies.
 
     Texts are linked if the fingerprints of their 3-word shingles differ in at most `budget` bits, or if their sets of
     `shingle`-word shingles share a band of minima and then turn out to be at least `similarity` alike. The bands are so many
-    that a pair of that similarity shares one with probability RECALL, whatever the edits were. Equal texts are one node
-    throughout.
+    that a pair of that similarity shares one with probability RECALL, whatever the edits were. Texts of a band are first
+    checked against one of them; what that leaves apart is checked by family_links(). Equal texts are one node throughout.
 
     Nulls, empty and repeated texts: as simhash_groups(). id_col may be a struct.
     """
@@ -317,7 +388,9 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingl
     stars = cut(keys.join(shared, ["band", "key"]).where("text_id <> head").select(F.col("text_id").alias("u"), F.col("head").alias("v")).distinct(), "candidates")
     texts = keyed.select("text_id", F.coalesce("text", F.lit(b"")).alias("text"))
     asked = stars.join(sure, ["u", "v"], "left_anti")
-    roots = connected_components(sure.unionAll(similar_pairs(texts, asked, shingle, similarity)))
+    grams = shingles_of(texts, stars.select(F.explode(F.array("u", "v")).alias("text_id")).distinct(), shingle)
+    roots = connected_components(sure.unionAll(similar_pairs(grams, asked, similarity)))
+    roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(family_links(stars, roots, grams, similarity)).distinct())
     nodes = nodes.select("text_id", "least").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(named, "root").select("text_id", "component_id")

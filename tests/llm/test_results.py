@@ -443,3 +443,28 @@ def test_near_duplicates_cut_and_extended(spark):
     alike = [i for i in range(n) if len(sets[i] & sets[1000 + i]) >= 0.8 * len(sets[i] | sets[1000 + i])]
     out = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
     assert len(alike) >= 200 and sum(out[1000 + i] == i for i in alike) >= 0.99 * len(alike)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_near_duplicates_in_dense_neighbourhoods(spark, monkeypatch, small):
+    """Groups whose texts are alike in chains and sub-groups, so that the smallest id of a band is not near all of it."""
+    from bandloom.llm import simhash
+
+    if small:  # families are cut into several blocks
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 3000)
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for group in range(6):
+        base = r.choices(vocabulary, k=240)
+        for i in range(25):
+            text = list(base)
+            at = r.randrange(0, 180)
+            text[at : at + r.randint(30, 60)] = r.choices(vocabulary, k=45)
+            rows.append((100 * group + 4 * i, " ".join(text)))
+            rows.append((100 * group + 4 * i + 1, " ".join(text[:-20])))
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for _, t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = [rows[k][0] for k in _components(len(rows), alike)]
+    out = dict(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect())
+    assert 6 < len(set(want)) < len(rows) and [out[i] for i, _ in rows] == want
