@@ -51,6 +51,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLASS = re.compile(r"[^A-Za-z_-]+")
+_MARKED = re.compile(r"/(article|main)(?=[./]|$)")
 
 Item = list  # [key, flags, items]; key '#' is a text slot, '()' a group
 OPTIONAL, REPEATED = 1, 2
@@ -235,58 +236,59 @@ def slot_paths(items: list[Item], path: str = "") -> Iterator[str]:
             yield from slot_paths(inner, path if key == "()" else f"{path}/{key}")
 
 
-def content_paths(wrapper: list[Item], stats: dict[str, tuple[int, bool, int]], pages: int) -> list[str]:
-    """The text slots of a host's wrapper that hold the article.
+def content_paths(wrapper: list[Item], stats: dict[str, tuple], pages: int) -> list[str]:
+    """The text slots of a host's wrapper that can hold an article; see article() for those of a page.
 
-    Slots in elements that are not content never do. If the wrapper has article or main elements with text, their slots do.
-    Else those below the deepest element that still holds most of the host's varying text do; slots that say the same on
-    every page are template text. stats: by path (pages, whether it is one text, characters).
+    Slots in elements that are not content never do. Slots outside article and main elements that say the same on every page
+    without such elements are template text. stats: by path (pages, whether it is one text, ...) over those pages.
     """
     open_ = sorted({p for p in slot_paths(wrapper) if "!" not in p})
-    inside = [p for p in open_ if re.search(r"/(article|main)(?=[./]|$)", p)]
-    if inside:
-        return inside
-    varying = [p for p in open_ if not (pages >= 3 and stats.get(p, (0, False, 0))[0] >= pages and stats[p][1])]
-    mass = {p: stats.get(p, (0, False, 0))[2] for p in varying}
-    best, total = "", sum(mass.values())
-    while True:
-        heads = {p[: p.index("/", len(best) + 1)] if "/" in p[len(best) + 1 :] else p for p in varying if p.startswith(f"{best}/")}
-        deeper = [h for h in sorted(heads) if sum(n for p, n in mass.items() if p == h or p.startswith(f"{h}/")) >= 0.6 * total and h not in mass]
-        if not deeper:
-            return [p for p in varying if p == best or p.startswith(f"{best}/")]
-        best = deeper[0]
+    return [p for p in open_ if _MARKED.search(p) or not (pages >= 3 and p in stats and stats[p][0] >= pages and stats[p][1])]
+
+
+def marked(page: Page) -> bool:
+    """Whether a page has text in its own article or main elements."""
+    return any("!" not in path and _MARKED.search(path) for path, _ in page.slots)
 
 
 def article(page: Page, content: set[str]) -> str:
-    return " ".join(text for path, text in page.slots if path in content)
+    """The text of a page's own article or main elements; of a page without such text, that of the host's content slots, or of
+    all slots outside elements that are not content if it has none of these."""
+    own = [(path, text) for path, text in page.slots if "!" not in path]
+    inside = [text for path, text in own if _MARKED.search(path)]
+    return " ".join(inside or [text for path, text in own if path in content] or [text for _, text in own])
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's distinct skeletons and slot statistics by host."""
+    """Each task's distinct skeletons by host, and counts and slot statistics of the pages without text in article or main."""
     shapes: dict[tuple[str, str], int] = {}
+    plain: dict[str, int] = {}
     slots: dict[tuple[str, str], list[int]] = {}
 
     def told() -> pa.RecordBatch:
-        rows = [(h, "shape", s, n, 0, 0, 0) for (h, s), n in shapes.items()] + [(h, "slot", p, *x) for (h, p), x in slots.items()]
+        rows = [(h, "shape", s, n, 0, 0) for (h, s), n in shapes.items()] + [(h, "plain", "", n, 0, 0) for h, n in plain.items()] + [(h, "slot", p, *x) for (h, p), x in slots.items()]
         shapes.clear()
+        plain.clear()
         slots.clear()
-        kinds = (pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "kind", "what", "n", "lo", "hi", "chars"])
+        kinds = (pa.string(), pa.string(), pa.string(), *[pa.int64()] * 3)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "kind", "what", "n", "lo", "hi"])
 
     for b in batches:
         for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             page = Page(html or "")
             shape = json.dumps(skeleton(page.root)[2], separators=(",", ":"))
             shapes[host, shape] = shapes.get((host, shape), 0) + 1
+            if marked(page):
+                continue
+            plain[host] = plain.get(host, 0) + 1
             by_path: dict[str, list[str]] = {}
             for path, text in page.slots:
                 by_path.setdefault(path, []).append(text)
             for path, texts in by_path.items():
-                said = " ".join(texts)
-                h = xxhash.xxh3_64_intdigest(said) >> 1
-                s = slots.setdefault((host, path), [0, h, h, 0])
-                slots[host, path] = [s[0] + 1, min(s[1], h), max(s[2], h), s[3] + len(said)]
-        if len(shapes) + len(slots) > 50_000:  # a task's memory stays bounded
+                h = xxhash.xxh3_64_intdigest(" ".join(texts)) >> 1
+                s = slots.setdefault((host, path), [0, h, h])
+                slots[host, path] = [s[0] + 1, min(s[1], h), max(s[2], h)]
+        if len(shapes) + len(plain) + len(slots) > 50_000:  # a task's memory stays bounded
             yield told()
     if shapes:
         yield told()
@@ -321,35 +323,36 @@ def infer_wrappers(pages: DataFrame, parts: int = 64) -> DataFrame:
     wrapper.
     """
     n = shuffle_width(pages.sparkSession)
-    seen = cut(pages.mapInArrow(_observe, "host string, kind string, what string, n long, lo long, hi long, chars long"), "skeletons")
+    seen = cut(pages.mapInArrow(_observe, "host string, kind string, what string, n long, lo long, hi long"), "skeletons")
     shapes = seen.where("kind = 'shape'").groupBy("host", "what").agg(F.sum("n").alias("n"))
     first = shapes.select("host", F.pmod(F.xxhash64("what"), F.lit(parts)).cast("int").alias("part"), F.col("what").alias("wrapper"))
     schema = "host string, part int, wrapper string"
     wrappers = first.repartition(n, "host", "part").sortWithinPartitions("host", "part", "wrapper").mapInArrow(_align, schema)
     wrappers = wrappers.repartition(n, "host").sortWithinPartitions("host", "part").select("host", F.lit(0).alias("part"), "wrapper").mapInArrow(_align, schema)
-    slots = seen.where("kind = 'slot'").groupBy("host", "what").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.min, "lo"), (F.max, "hi"), (F.sum, "chars"))))
-    slots = slots.groupBy("host").agg(F.collect_list(F.struct("what", "n", (F.col("lo") == F.col("hi")).alias("one"), "chars")).alias("slots"))
+    slots = seen.where("kind = 'slot'").groupBy("host", "what").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.min, "lo"), (F.max, "hi"))))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("what", "n", (F.col("lo") == F.col("hi")).alias("one"))).alias("slots"))
+    plain = seen.where("kind = 'plain'").groupBy("host").agg(F.sum("n").alias("plain"))
     pages_of = shapes.groupBy("host").agg(F.sum("n").alias("pages"))
 
     def roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for host, n_pages, wrapper, stats in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for host, n_pages, wrapper, stats, n_plain in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 items = json.loads(wrapper)
-                told = {s["what"]: (s["n"], s["one"], s["chars"]) for s in stats or []}
-                rows.append((host, n_pages, expression(items), content_paths(items, told, n_pages)))
+                told = {s["what"]: (s["n"], s["one"]) for s in stats or []}
+                rows.append((host, n_pages, expression(items), content_paths(items, told, n_plain or 0)))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], ["host", "pages", "wrapper", "content"])
 
-    joined = pages_of.join(wrappers.select("host", "wrapper"), "host").join(slots, "host", "left")
-    return joined.select("host", "pages", "wrapper", "slots").mapInArrow(roles, "host string, pages long, wrapper string, content array<string>")
+    joined = pages_of.join(wrappers.select("host", "wrapper"), "host").join(slots, "host", "left").join(plain, "host", "left")
+    return joined.select("host", "pages", "wrapper", "slots", "plain").mapInArrow(roles, "host string, pages long, wrapper string, content array<string>")
 
 
 def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (id_col, url_col, text), one for each row of pages: the article's text by the wrapper of the page's host.
 
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by one space.
-    Wrappers come from all pages of a host. They are written to the shared folder; the join with pages is left to Spark, which
+    Wrappers come from all pages of a host; a page's own article and main elements go before them. They are written to the shared folder; the join with pages is left to Spark, which
     knows their size by then.
 
     Null and empty pages have empty text; null ids and urls and repeated rows are passed on (pages without a host in their url

@@ -282,6 +282,24 @@ def test_pages_without_an_article_use_the_varying_text():
     assert content_paths(wrapper, stats, 4) == ["/body/div.b/p"]
 
 
+PLAIN = "<body><div class='top'><p>Site name</p></div><div class='{2}'><h2>{0} title</h2><p>{0} {1}</p></div><div class='{2}-more'><p>{0} rest</p></div><div class='footer'>no</div></body>"
+
+
+@pytest.mark.parametrize("url", ["'http://mixed.org/' || page_id", "cast(null as string)"])
+def test_a_host_of_several_templates(spark, url):
+    """Pages with an article, and pages of a large and a small layout without one, whose text stands in two blocks."""
+    from bandloom.llm.html_wrappers import extract_articles
+
+    rows, want = [], {}
+    for i in range(30):
+        kind = ("a", "big", "big", "big", "big", "small")[i % 6]
+        long = "words " * (40 if kind == "big" else 3)
+        rows.append((i, f"<body><p>no</p><article><p>text {i}</p></article></body>" if kind == "a" else PLAIN.format(f"page{i}", long, kind)))
+        want[i] = f"text {i}" if kind == "a" else f"page{i} title page{i} {long.strip()} page{i} rest"
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", f"{url} as url", "html")
+    assert {r["page_id"]: r["text"] for r in extract_articles(pages).collect()} == want
+
+
 def test_wrappers_align():
     a = skeleton(Page("<body><h1>t</h1><p>x<p>y<ul><li>1<li>2</ul></body>").root)[2]
     b = skeleton(Page("<body><h1>t</h1><h2>s</h2><p>x</body>").root)[2]
