@@ -240,7 +240,8 @@ def content_paths(wrapper: list[Item], stats: dict[str, tuple], pages: int) -> l
     """The text slots of a host's wrapper that can hold an article; see article() for those of a page.
 
     Slots in elements that are not content never do. Slots outside article and main elements that say the same on every page
-    without such elements are template text. stats: by path (pages, whether it is one text, ...) over those pages.
+    without such elements are template text, if these pages have three texts or more. stats: by path (pages, whether it is one
+    text, ...) over those pages, whose number is pages; 0 if they have fewer texts.
     """
     open_ = sorted({p for p in slot_paths(wrapper) if "!" not in p})
     return [p for p in open_ if _MARKED.search(p) or not (pages >= 3 and p in stats and stats[p][0] >= pages and stats[p][1])]
@@ -260,13 +261,13 @@ def article(page: Page, content: set[str]) -> str:
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's distinct skeletons by host, and counts and slot statistics of the pages without text in article or main."""
+    """Each task's distinct skeletons by host, and texts and slot statistics of the pages without text in article or main."""
     shapes: dict[tuple[str, str], int] = {}
-    plain: dict[str, int] = {}
+    plain: dict[tuple[str, str], int] = {}
     slots: dict[tuple[str, str], list[int]] = {}
 
     def told() -> pa.RecordBatch:
-        rows = [(h, "shape", s, n, 0, 0) for (h, s), n in shapes.items()] + [(h, "plain", "", n, 0, 0) for h, n in plain.items()] + [(h, "slot", p, *x) for (h, p), x in slots.items()]
+        rows = [(h, "shape", s, n, 0, 0) for (h, s), n in shapes.items()] + [(h, "plain", x, n, 0, 0) for (h, x), n in plain.items()] + [(h, "slot", p, *x) for (h, p), x in slots.items()]
         shapes.clear()
         plain.clear()
         slots.clear()
@@ -280,7 +281,8 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shapes[host, shape] = shapes.get((host, shape), 0) + 1
             if marked(page):
                 continue
-            plain[host] = plain.get(host, 0) + 1
+            whole = xxhash.xxh3_128_hexdigest(" ".join(text for _, text in page.slots))
+            plain[host, whole] = plain.get((host, whole), 0) + 1
             by_path: dict[str, list[str]] = {}
             for path, text in page.slots:
                 by_path.setdefault(path, []).append(text)
@@ -331,7 +333,7 @@ def infer_wrappers(pages: DataFrame, parts: int = 64) -> DataFrame:
     wrappers = wrappers.repartition(n, "host").sortWithinPartitions("host", "part").select("host", F.lit(0).alias("part"), "wrapper").mapInArrow(_align, schema)
     slots = seen.where("kind = 'slot'").groupBy("host", "what").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.min, "lo"), (F.max, "hi"))))
     slots = slots.groupBy("host").agg(F.collect_list(F.struct("what", "n", (F.col("lo") == F.col("hi")).alias("one"))).alias("slots"))
-    plain = seen.where("kind = 'plain'").groupBy("host").agg(F.sum("n").alias("plain"))
+    plain = seen.where("kind = 'plain'").groupBy("host").agg(F.when(F.count_distinct("what") >= 3, F.sum("n")).alias("plain"))
     pages_of = shapes.groupBy("host").agg(F.sum("n").alias("pages"))
 
     def roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

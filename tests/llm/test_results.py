@@ -300,6 +300,15 @@ def test_a_host_of_several_templates(spark, url):
     assert {r["page_id"]: r["text"] for r in extract_articles(pages).collect()} == want
 
 
+def test_copies_of_a_page_do_not_make_its_text_a_template(spark):
+    from bandloom.llm.html_wrappers import extract_articles
+
+    html = "<body><div class='nav'>no</div><div class='b'><h2>Title</h2><p>{} text</p></div></body>"
+    rows = [(i, "http://copies.org/1", html.format("one")) for i in range(4)] + [(10 + i, f"http://mirrored.org/{i}", html.format("ab"[i == 3])) for i in range(4)]
+    out = {r["page_id"]: r["text"] for r in extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {**{i: "Title one text" for i in range(4)}, **{10 + i: f"Title {'ab'[i == 3]} text" for i in range(4)}}
+
+
 def test_wrappers_align():
     a = skeleton(Page("<body><h1>t</h1><p>x<p>y<ul><li>1<li>2</ul></body>").root)[2]
     b = skeleton(Page("<body><h1>t</h1><h2>s</h2><p>x</body>").root)[2]
