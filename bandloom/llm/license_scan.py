@@ -33,7 +33,8 @@ TEMPLATES = (
 )
 #: A block holds a template if it has at least this share of the template's distinct words.
 THRESHOLD = 0.8
-#: Blocks are the lines of a text; longer lines are cut into windows of BLOCK_WORDS words that start every BLOCK_STEP words.
+#: Blocks are the lines of a text and the text as a whole, since notices are wrapped; what is longer is cut into windows of
+#: BLOCK_WORDS words that start every BLOCK_STEP words.
 BLOCK_WORDS, BLOCK_STEP = 64, 32
 
 #: Lower-cases A-Z; every byte that is no word byte becomes a space, but line ends stay.
@@ -45,8 +46,9 @@ def normal(text: bytes) -> bytes:
     return text.translate(_WORD_BYTES)
 
 
-def blocks(lines: bytes) -> Iterator[list[bytes]]:
-    for line in lines.split(b"\n"):
+def blocks(text: bytes) -> Iterator[list[bytes]]:
+    lines = text.split(b"\n")
+    for line in lines if len(lines) == 1 else (*lines, text):
         words = line.split()
         yield words[:BLOCK_WORDS]
         for at in range(BLOCK_STEP, max(len(words) - BLOCK_STEP, 0), BLOCK_STEP):

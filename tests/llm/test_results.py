@@ -223,6 +223,18 @@ def test_base_places_overlap():
     assert base_places(b" ", (("cc by", "cc-by"),)) == (0, None, None, set())
 
 
+def test_wrapped_notices(spark):
+    from bandloom.llm.license_scan import license_scan
+
+    rows = []
+    for i, (text, _) in enumerate(TEMPLATES):
+        words = text.split()
+        for before in (0, 29, 41, 63):
+            rows.append((100 * i + before, "x\n" * before + "\n * ".join(" ".join(words[k : k + 4]) for k in range(0, len(words), 4)) + "\ny" * 40))
+    for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert TEMPLATES[r["doc_id"] // 100][1] in r["labels"].split(",") and r["score"] == 1.0
+
+
 # --- 6 tokens ---
 
 
