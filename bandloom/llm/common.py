@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from bandloom.sources.folders import shared_folder
 ARROW_BATCH_BYTES = 8 << 20
 #: Characters that the word rules call white space: \x20 and \x09-\x0D. bytes.split() cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
+#: Where cut() has written what it returned.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -33,7 +36,16 @@ def cut(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/bandloom/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more: what was made from them has been written or collected."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_folders.pop(table))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -13,10 +13,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from bandloom.llm import exact_topk as tk
+from bandloom.llm import html_wrappers as hw
 from bandloom.llm.common import read_table
 from bandloom.llm.decontaminate import Phrases, decontaminate, shard_hits
 from bandloom.llm.fm_index import FMIndex, Wavelet, suffix_array
-from bandloom.llm.html_wrappers import Page, aligned, content_paths, expression, folded, skeleton
 from bandloom.llm.license_scan import TEMPLATES, TemplateIndex, base_places
 from bandloom.llm.line_dedup import _Runs, bitmap, kept_lines, line_dedup, line_key
 from bandloom.llm.mixing import mix_sources, splitting_tree, water_fill
@@ -277,21 +277,58 @@ HARD = """<!doctype html><html><head><title>no</title><style>p{}</style></head><
 <div class="newsletter-box">no</div><p title="a>b" hidden>no</p>five&nbsp;&copy;</article></main><footer>no</footer><!-- no --></body></html>"""
 
 
+def wrapper_of(*pages):
+    wrapper = hw.Node("", hw.FRESH)
+    for p in pages:
+        hw.absorb(wrapper, hw.Page(p).root)
+    return wrapper
+
+
 def test_article_with_traps():
-    page = Page(HARD)
-    wrapper = skeleton(page.root)[2]
-    kept = set(content_paths(wrapper, {}, 1))
-    assert " ".join(t for p, t in page.slots if p in kept) == "Head <1> one two three four a b c d five ©"
+    assert hw.article(hw.Page(HARD), wrapper_of(HARD)) == "Head <1> one two three four a b c d five ©"
 
 
 def test_pages_without_an_article_use_the_varying_text():
     html = "<body><div class='a'><p>Same words everywhere on this site</p></div><div class='b'><p>{0} first</p><p>{0} second and more words</p></div></body>"
-    pages = [Page(html.format(i)) for i in range(4)]
-    wrapper = skeleton(pages[0].root)[2]
-    for p in pages[1:]:
-        wrapper = aligned(wrapper, skeleton(p.root)[2])
-    stats = {"/body/div.a/p": (4, True, 120), "/body/div.b/p": (4, False, 150)}
-    assert content_paths(wrapper, stats, 4) == ["/body/div.b/p"]
+    pages = [html.format(i) for i in range(4)]
+    assert hw.article(hw.Page(pages[2]), wrapper_of(*pages)) == "2 first 2 second and more words"
+
+
+def test_alignment_tells_slots_of_one_path_apart():
+    """Template text and article stand at one path, so only their places in the aligned pages tell them apart."""
+    pages = [f"<body><div><p>Slogan</p></div><div><p>text {i}</p>{'<p>more</p>' * (i % 3)}</div><div><p>Imprint</p></div></body>" for i in range(7)]
+    wrapper = wrapper_of(*pages)
+    assert hw.expression(wrapper) == "(<body>(<div>(<p>#SAME</>)</>)(<div>(<p>#TEXT</>)+</>)(<div>(<p>#SAME</>)</>)</>)"
+    assert [hw.article(hw.Page(p), wrapper) for p in pages] == [" ".join([f"text {i}", *["more"] * (i % 3)]) for i in range(7)]
+
+
+def test_names_of_classes_inside_articles():
+    """Words in a name do not drop text of an article; only what the wrapper shows to be template text, or sure names, do."""
+    names = "ad-hoc share-capital related-work popup-book notice social-history skip-list comment".split()
+    page = lambda i: "<article><p>a</p>" + "".join(f"<div class='{c}'>{c} {i}</div>" for c in names) + "<div class='share'>Share</div><ol class='comments'><li>no</ol></article>"
+    wrapper = wrapper_of(*map(page, range(4)))
+    assert hw.article(hw.Page(page(1)), wrapper) == "a " + " ".join(f"{c} 1" for c in names)
+    assert hw.article(hw.Page(page(1)), wrapper_of(page(1))) == "a " + " ".join(f"{c} 1" for c in names) + " Share"
+
+
+def test_deep_wide_and_long_pages(spark):
+    deep = "<div>" * 5000 + "deep" + "</div>" * 4000 + "<p>end"
+    wide = "".join(f"<{'p h2 h3 ul'.split()[i * 7919 % 11 % 4]} class='c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'>{i} " for i in range(9000))
+    long = "<p>" + "words " * 200_000
+    rows = [(i, "http://odd.org/", x) for i, x in enumerate([deep, wide, long, deep, "<a " * 50_000, "</x>" * 50_000 + "t"])]
+    out = {r["page_id"]: r["text"] for r in hw.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0] == out[3] == "deep end" and out[1] == " ".join(map(str, range(9000))) and len(out[2]) == 1_199_999 and out[5] == "t"
+
+
+def test_wrappers_do_not_depend_on_how_pages_are_dealt(spark, sf, monkeypatch):
+    pages = read_table(spark, sf, "pages")
+    plain = pages.withColumn("html", F.regexp_replace("html", "<(/?)article>", "<$1section>"))
+    want = [sorted(map(tuple, hw.extract_articles(df).collect())) for df in (pages, plain)]
+    assert sum(x != y for x, y in zip(*want, strict=True)) <= 0.1 * len(want[0])  # sections between a menu and a footer
+    monkeypatch.setattr(hw, "CARRIED", 0)
+    monkeypatch.setattr(hw, "FAN", 3)
+    dealt = [sorted(map(tuple, hw.extract_articles(df.repartition(9)).collect())) for df in (pages, plain)]
+    assert dealt[0] == want[0] and sum(x != y for x, y in zip(dealt[1], want[1], strict=True)) <= 0.02 * len(want[1])
 
 
 PLAIN = "<body><div class='top'><p>Site name</p></div><div class='{2}'><h2>{0} title</h2><p>{0} {1}</p></div><div class='{2}-more'><p>{0} rest</p></div><div class='footer'>no</div></body>"
@@ -300,8 +337,6 @@ PLAIN = "<body><div class='top'><p>Site name</p></div><div class='{2}'><h2>{0} t
 @pytest.mark.parametrize("url", ["'http://mixed.org/' || page_id", "cast(null as string)"])
 def test_a_host_of_several_templates(spark, url):
     """Pages with an article, and pages of a large and a small layout without one, whose text stands in two blocks."""
-    from bandloom.llm.html_wrappers import extract_articles
-
     rows, want = [], {}
     for i in range(30):
         kind = ("a", "big", "big", "big", "big", "small")[i % 6]
@@ -309,25 +344,34 @@ def test_a_host_of_several_templates(spark, url):
         rows.append((i, f"<body><p>no</p><article><p>text {i}</p></article></body>" if kind == "a" else PLAIN.format(f"page{i}", long, kind)))
         want[i] = f"text {i}" if kind == "a" else f"page{i} title page{i} {long.strip()} page{i} rest"
     pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", f"{url} as url", "html")
-    assert {r["page_id"]: r["text"] for r in extract_articles(pages).collect()} == want
+    assert {r["page_id"]: r["text"] for r in hw.extract_articles(pages).collect()} == want
 
 
 def test_copies_of_a_page_do_not_make_its_text_a_template(spark):
-    from bandloom.llm.html_wrappers import extract_articles
-
     html = "<body><div class='nav'>no</div><div class='b'><h2>Title</h2><p>{} text</p></div></body>"
     rows = [(i, "http://copies.org/1", html.format("one")) for i in range(4)] + [(10 + i, f"http://mirrored.org/{i}", html.format("ab"[i == 3])) for i in range(4)]
-    out = {r["page_id"]: r["text"] for r in extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    out = {r["page_id"]: r["text"] for r in hw.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {**{i: "Title one text" for i in range(4)}, **{10 + i: f"Title {'ab'[i == 3]} text" for i in range(4)}}
 
 
 def test_wrappers_align():
-    a = skeleton(Page("<body><h1>t</h1><p>x<p>y<ul><li>1<li>2</ul></body>").root)[2]
-    b = skeleton(Page("<body><h1>t</h1><h2>s</h2><p>x</body>").root)[2]
-    assert expression(aligned(a, b)) == "(<body>(<h1>#TEXT</>)(<h2>#TEXT</>)?(<p>#TEXT</>)+(<ul>(<li>#TEXT</>)+</>)?</>)"
-    items = [[k, 0, [["#", 0, []]]] for k in "dtdtdt"]
-    assert expression(folded(items)) == "((<d>#TEXT</>)(<t>#TEXT</>))+"
-    assert aligned(a, a) == a
+    a, b = "<body><h1>t</h1><p>x<p>y<ul><li>1<li>2</ul></body>", "<body><h1>t</h1><h2>s</h2><p>x</body>"
+    assert hw.expression(wrapper_of(a, b)) == "(<body>(<h1>#TEXT</>)(<h2>#TEXT</>)?(<p>#TEXT</>)+(<ul>(<li>#TEXT</>)(<li>#TEXT</>)</>)?</>)"
+    lists = ["<dl>" + f"<dt>{i}<dd>x" * i + "</dl>" for i in (2, 3, 1)]
+    assert hw.expression(wrapper_of(*lists)) == "(<dl>((<dt>#TEXT</>)(<dd>#SAME</>))+</>)"
+    wrapper = wrapper_of(a, b)
+    assert hw.dumped(hw.loaded(hw.dumped(wrapper))) == hw.dumped(wrapper)
+    r = random.Random(1)
+    for _ in range(200):
+        x, y = (r.choices("abcd", k=r.randint(0, 12)) for _ in range(2))
+        told = list(hw.common(x, y))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+        assert [i for i, _ in told if i is not None] == list(range(len(x))) and [j for _, j in told if j is not None] == list(range(len(y)))
+        both = [(i, j) for i, j in told if i is not None and j is not None]
+        assert len(both) == best[-1][-1] and all(x[i] == y[j] for i, j in both)
 
 
 # --- 8 sharding ---
