@@ -20,7 +20,8 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandloom.llm.mixing import mix_sources
 
     mixed = mix_sources(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, shards=8)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    dealt = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["shard"], d["place"])), ",").alias("dealt")  # shard and place of each draw
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), dealt)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,16 @@ def test_splitting_tree_keeps_both_margins():
     assert (dealt.sum(axis=1) == quotas).all() and np.ptp(dealt.sum(axis=0)) <= 1 and (dealt >= 0).all()
 
 
-def test_mix(spark, sf):
+@pytest.mark.parametrize("few", [True, False])
+def test_mix(spark, sf, monkeypatch, few):
+    """Against brute force: each row's draws are those of its block, a source's blocks go to shards by exact quotas, and all draws
+    differ. few: blocks of few words, so that several passes and parts of blocks are drawn."""
+    from bandloom.llm import mixing
+
+    if few:
+        monkeypatch.setattr(mixing, "BLOCK_WORDS", 2000)
+    dealt = []
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, rng, tree=splitting_tree: dealt.append(tree(q, n, rng)) or dealt[-1])
     docs = read_table(spark, sf, "documents")
     rows = mix_sources(docs, shards=4).collect()
     by, sizes = defaultdict(list), {r["doc_id"]: len((r["text"] or "").encode().split()) for r in docs.collect()}
@@ -71,6 +80,47 @@ def test_mix(spark, sf):
     assert len(set(places)) == len(places) and {s for s, _ in places} == {0, 1, 2, 3}
     again = {r["doc_id"]: r["draws"] for r in mix_sources(docs.repartition(7), shards=4).collect()}
     assert again == {r["doc_id"]: r["draws"] for r in rows}
+    keys = {r["doc_id"]: r["key"] for r in mixing.sized(docs, F.col("doc_id"), "source", "text", "doc_id", 42).withColumnRenamed("payload", "doc_id").collect()}
+    total = sum(sizes.values())
+    block = max(1, min(mixing.BLOCK_WORDS, total // (4 * mixing.BLOCKS_PER_SHARD)))
+    for i, source in enumerate(sorted(by, key=lambda x: (x is None, x))):
+        mine, drawn = by[source], defaultdict(set)
+        blocks = max(1, mine[0]["source_size"] // block)
+        for r in mine:
+            for d in r["draws"]:
+                drawn[keys[r["doc_id"]] % blocks, d["pass"]].add(d["shard"])
+        assert all(len(shards) == 1 for shards in drawn.values())
+        got = Counter(s for shards in drawn.values() for s in shards)
+        quota = dealt[-1][i]
+        assert all(got[k] <= quota[k] for k in range(4)) and sum(quota) <= 2 * blocks
+        if mine[0]["target"] == 2 * mine[0]["source_size"]:  # two whole passes: only blocks without rows are not seen
+            assert sum(got.values()) == 2 * len({keys[r["doc_id"]] % blocks for r in mine})
+
+
+def test_the_tree_decides_what_is_drawn(spark, sf, monkeypatch):
+    from bandloom.llm import mixing
+
+    docs = read_table(spark, sf, "documents")
+    want = {r["doc_id"]: r["draws"] for r in mix_sources(docs, shards=4).collect()}
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, rng: np.c_[q // 2, np.zeros((len(q), n - 1), dtype=np.int64)])
+    got = {r["doc_id"]: r["draws"] for r in mix_sources(docs, shards=4).collect()}
+    assert {d["shard"] for x in got.values() for d in x} == {0} and sum(map(len, got.values())) < 0.7 * sum(map(len, want.values()))
+
+
+def test_mixed_rows_lie_in_shards_and_places(spark, sf, monkeypatch):
+    from bandloom.llm import mixing
+
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    want = Counter((r["doc_id"], d["shard"], d["place"]) for r in mix_sources(docs, shards=4).collect() for d in r["draws"])
+    place_of = defaultdict(list)
+    for i, shard, place in want:
+        place_of[i].append((shard, place))
+    parts = [p for p in mixing.mixed_rows(docs, shards=4).select("doc_id").rdd.glom().collect() if p]
+    assert Counter(r["doc_id"] for p in parts for r in p) == Counter(i for i, *_ in want.elements())
+    for p in parts:
+        now = (-1, -(2**63))
+        for r in p:  # each row's place is the next one of its draws: shards in order, places in order
+            now = min(x for x in place_of[r["doc_id"]] if x > now)
 
 
 # --- 2 quality ---
