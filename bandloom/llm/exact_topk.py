@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandloom.llm.common import bounded_batches, ceil_div
+from bandloom.llm.common import bounded_batches, ceil_div, cut
 
 #: Queries that one pass over the candidates answers; a pass carries them to the tasks (at 64 components about 33 MB).
 QUERY_BLOCK = 65_536
@@ -71,6 +71,19 @@ def accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
     return scores.astype(np.int64)
 
 
+def _strip(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best scores of each row that reach `least`; of equal ones the first columns. Never more than k a row."""
+    n = scores.shape[1]
+    if n > k:
+        bound = np.maximum(least, np.partition(scores, n - k, axis=1)[:, n - k])
+        above = scores > bound[:, None]
+        tied = scores == bound[:, None]
+        room = k - above.sum(axis=1)
+        tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= room[:, None]
+        return np.nonzero(above | tied)
+    return np.nonzero(scores >= least[:, None])
+
+
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each query; ties go to the smaller id."""
     order = np.lexsort((ids, -scores, query))
@@ -81,32 +94,37 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tup
 
 
 def scan(qids: np.ndarray, queries: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, id, score) of the k best candidates of all blocks for each query, a query's own id left out."""
-    found = (np.zeros(0, np.int64),) * 3
-    floor = np.full(len(qids), LOWEST)
+    """(query position, id, score) of the k best candidates of all blocks for each query, a query's own id left out.
+
+    Memory: the queries, k rows for each, and one strip of scores, however many scores are equal.
+    """
+    strips = range(0, len(qids), SCORE_ROWS)
+    found = [(np.zeros(0, np.int64),) * 3 for _ in strips]
+    floor = np.full(len(qids), LOWEST + 1)
     for all_ids, all_rows in blocks:
+        order = np.argsort(all_ids, kind="stable")  # so that of equal scores the smaller ids come first
+        all_ids, all_rows = all_ids[order], all_rows[order]
         for c in range(0, len(all_ids), SCORE_COLS):
-            ids, rows, new = all_ids[c : c + SCORE_COLS], all_rows[c : c + SCORE_COLS], []
-            for q in range(0, len(qids), SCORE_ROWS):
+            ids, rows = all_ids[c : c + SCORE_COLS], all_rows[c : c + SCORE_COLS]
+            for i, q in enumerate(strips):
                 scores = accumulate(queries[q : q + SCORE_ROWS], rows)
                 scores[qids[q : q + SCORE_ROWS, None] == ids] = LOWEST
-                least = np.maximum(floor[q : q + SCORE_ROWS], LOWEST + 1)
-                if len(ids) > k:
-                    least = np.maximum(least, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
-                r, col = np.nonzero(scores >= least[:, None])
-                new.append((r + q, ids[col], scores[r, col]))
-            found = _best(*(np.concatenate(x) for x in zip(found, *new, strict=True)), k)
-            last = np.bincount(found[0], minlength=len(qids)) == k
-            ends = np.cumsum(np.bincount(found[0], minlength=len(qids))) - 1
-            floor[last] = found[2][ends[last]]
-    return found
+                r, col = _strip(scores, floor[q : q + SCORE_ROWS], k)
+                if not len(r):
+                    continue
+                found[i] = mine = _best(*(np.concatenate(x) for x in zip(found[i], (r + q, ids[col], scores[r, col]), strict=True)), k)
+                count = np.bincount(mine[0] - q, minlength=len(scores))
+                full = np.flatnonzero(count == k)
+                floor[q + full] = mine[2][(np.cumsum(count) - 1)[full]]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """Rows (query_id, rank, id_col, score): for each query row its k highest integer inner products over all rows of vectors.
 
-    Each component x becomes floor(scale * x). The queries go to the tasks in blocks of about query_block rows (a fixed
-    bound), one pass over the candidates for each block; a task keeps k rows for each query, and a ranked window merges them.
+    Each component x becomes floor(scale * x). Queries are written in blocks of about query_block rows. One block at a time, of
+    that fixed size, goes to the tasks, which pass over the candidates and write k rows for each query; it is released before
+    the next one is read. A ranked window merges what the tasks wrote.
 
     Left out on both sides: rows with a null id, null vectors, and vectors with null or non-finite components. Shorter vectors
     count as filled up with zeros. Rows that share a query's id are its own rows and no candidates; equal query rows count
@@ -118,10 +136,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int =
     def pick(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null")
 
-    asked, merged = pick(queries).dropDuplicates(), None
-    rounds = ceil_div(asked.count(), query_block)
+    asked = pick(queries).dropDuplicates()
+    n_queries = asked.count()
+    rounds, merged = ceil_div(n_queries, query_block), None
+    if rounds > 1:  # by id and vector, so that many vectors of one id spread too
+        asked = cut(asked.withColumn("round", F.pmod(F.xxhash64("id", "v"), F.lit(rounds)).cast("int")), "queries", "round")
     for r in range(rounds):
-        table = asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).toArrow()
+        table = (asked.where(F.col("round") == r) if rounds > 1 else asked).select("id", "v").toArrow()
         keep, rows = integer_rows(table.column("v"), scale)
         sent = spark.sparkContext.broadcast((np.asarray(table.column("id"))[keep], rows))
 
@@ -134,9 +155,14 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int =
                     yield np.asarray(b.column(0))[keep], rows
 
             query, ids, scores = scan(qids, qrows, blocks(), k)
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(qids[query]), pa.array(ids), pa.array(scores)], ["query", "query_id", "id", "score"])
+            for at in range(0, len(query), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(query[part]), pa.array(qids[query[part]]), pa.array(ids[part]), pa.array(scores[part])], ["query", "query_id", "id", "score"])
 
         part = pick(vectors).mapInArrow(search, "query long, query_id long, id long, score long").withColumn("round", F.lit(r))
+        if rounds > 1:
+            part = cut(part, "found")
+            sent.destroy()
         merged = part if merged is None else merged.unionAll(part)
     order = Window.partitionBy("round", "query").orderBy(F.desc("score"), "id")
     best = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

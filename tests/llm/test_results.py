@@ -467,6 +467,19 @@ def test_topk_blocks_and_passes(spark, sf):
     assert some == want and exact
 
 
+def test_equal_scores_stay_within_k():
+    """Half of all rows equal: no step holds more than k rows of a query, and ties go to the smaller ids."""
+    rng = np.random.default_rng(6)
+    rows = np.where(np.arange(3000)[:, None] % 2, 7, rng.integers(-9, 9, (3000, 8)))
+    ids = rng.permutation(3000)
+    scores = rows[:600] @ rows.T
+    assert max(np.bincount(tk._strip(scores, np.full(600, tk.LOWEST + 1), 10)[0])) == 10
+    query, got, score = tk.scan(ids[:600], rows[:600], ((ids[a : a + 700], rows[a : a + 700]) for a in range(0, 3000, 700)), 10)
+    for q in range(600):
+        want = sorted((-s, i) for s, i in zip(scores[q], ids, strict=True) if i != ids[q])[:10]
+        assert list(zip(-score[query == q], got[query == q], strict=True)) == want
+
+
 def test_accumulation_of_sparse_rows():
     rng = np.random.default_rng(4)
     q, x = (rng.integers(-2000, 2000, s) * (rng.random(s) < 0.3) for s in ((7, 20), (50, 20)))
