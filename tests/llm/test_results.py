@@ -494,12 +494,14 @@ def test_accumulation_of_sparse_rows():
 @pytest.mark.parametrize("parts", [1, 3, 9])
 def test_streams_decide_like_one_sort(keep_first, parts):
     r = random.Random(parts)
-    rows = sorted({(r.randint(0, 12) if r.random() < 0.7 else 5, 0, r.randint(0, 30), 0, r.randint(0, 3)) for _ in range(600)})
+    times = {d: r.choice([1, 1, 1, 4]) for d in range(31)}
+    once = sorted({(r.randint(0, 12) if r.random() < 0.7 else 5, 0, r.randint(0, 30), 0, r.randint(0, 3)) for _ in range(600)})
+    rows = [(*x, n) for x in once for n in ([2, times[x[2]] - 2] if times[x[2]] > 2 else [times[x[2]]])]  # repeats of two batches
     docs, first = defaultdict(set), {}
-    for h, _, d, _, p in rows:
+    for h, _, d, _, p in once:
         docs[h].add(d)
         first.setdefault(h, (d, p))
-    want = sorted((h, d, p) for h, _, d, _, p in rows if len(docs[h]) >= 10 and not (keep_first and first[h] == (d, p)))
+    want = {(h, d, p) for h, _, d, _, p in once if sum(times[x] for x in docs[h]) >= 10 and not (keep_first and first[h] == (d, p))}
     edges = sorted(r.sample(range(1, len(rows)), parts - 1)) if parts > 1 else []
     # a document's rows of a key share a partition
     edges = [next(i for i in range(e, len(rows) + 1) if i == len(rows) or rows[i][:3] != rows[i - 1][:3]) for e in edges]
@@ -515,18 +517,18 @@ def test_streams_decide_like_one_sort(keep_first, parts):
             for kind, columns, n in told:
                 cells = list(zip(*(c.tolist() for c in columns), strict=True))
                 if kind == "drop":
-                    got += [(h, d, p) for h, _, d, _, p in cells]
+                    got += [(h, d, p) for h, _, d, _, p, _ in cells]
                 elif kind == "note":
                     notes += [(*c, n) for c in cells]
                 else:
                     open_ += cells
     total, lead = Counter(), {}
-    for h, _, d, _, p, n in notes:
+    for h, _, d, _, p, _, n in notes:
         total[h] += n
         lead[h] = min(lead.get(h, (d, p)), (d, p))
-    got += [(h, d, p) for h, _, d, _, p in open_ if total[h] >= 10]
-    got += [(h, d, p) for h, _, d, _, p, _ in notes if total[h] >= 10 and not (keep_first and lead[h] == (d, p))]
-    assert sorted(got) == want
+    got += [(h, d, p) for h, _, d, _, p, _ in open_ if total[h] >= 10 and not (keep_first and lead[h] == (d, p))]
+    got += [(h, d, p) for h, _, d, _, p, _, _ in notes if total[h] >= 10 and not (keep_first and lead[h] == (d, p))]
+    assert set(got) == want
 
 
 def test_bitmaps():
@@ -536,22 +538,32 @@ def test_bitmaps():
     assert kept_lines(b"", None) == ([b""], 1)
 
 
-@pytest.mark.parametrize("keep_first,min_chars", [(False, 1), (True, 1), (False, 11)])
-def test_line_dedup(spark, odd, keep_first, min_chars):
-    rows = [r for r in odd.select("doc_id", "text").distinct().collect()]
-    lines = {(r["doc_id"], r["text"]): (r["text"] or "").encode().split(b"\n") for r in rows}
+@pytest.mark.parametrize("carried", [0, 1 << 20])
+@pytest.mark.parametrize("min_chars", [1, 11])
+def test_line_dedup(spark, odd, min_chars, carried, monkeypatch):
+    """Brute force with a document for each row: null, repeated and clashing ids."""
+    from bandloom.llm import line_dedup as ld
+
+    monkeypatch.setattr(ld, "CARRIED", carried)
+    more = [(None, f"null id line\n{i}") for i in range(9)] + [(None, "null id line\n0")] + [(7000, f"one id\n{i}") for i in range(10)] + [(7001, "ten repeats")] * 10 + [(7002, "nine repeats")] * 9
+    df = odd.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = [(r["doc_id"], (r["text"] or "").encode().split(b"\n")) for r in df.collect()]
+    seen = Counter(k for _, lines in rows for k in {line_key(x) for x in lines})
+    stays = lambda x: not (len(line_key(x).decode()) >= min_chars and seen[line_key(x)] >= 10)
+    want = Counter((i, len(lines), sum(not stays(x) for x in lines), b"\n".join(x for x in lines if stays(x)).decode()) for i, lines in rows)
+    assert Counter(map(tuple, line_dedup(df.repartition(3), min_docs=10, min_chars=min_chars, keep_first=False).collect())) == want
+
+
+def test_first_lines_stay(spark, odd):
+    out = line_dedup(odd.distinct(), min_docs=10).collect()
+    twice = spark.createDataFrame([(1, "a\nb")] * 12 + [(2, "a\nc")], "doc_id long, text string")
+    assert {(r["doc_id"], r["kept"]) for r in line_dedup(twice, min_docs=10).collect()} == {(1, "a\nb"), (2, "c")}
     seen = defaultdict(set)
-    for k, ls in lines.items():
-        for line in ls:
-            seen[line_key(line)].add(k)
-    for r in line_dedup(odd.distinct(), min_docs=10, min_chars=min_chars, keep_first=False).collect() if not keep_first else []:
-        mine = [ls for (d, _), ls in lines.items() if d == r["doc_id"]]
-        kept = [[x for x in ls if not (len(line_key(x).decode()) >= max(min_chars, 1) and len(seen[line_key(x)]) >= 10)] for ls in mine]
-        assert r["kept"].encode() in [b"\n".join(k) for k in kept] and r["n_lines"] in map(len, mine)
-    if keep_first:
-        out = line_dedup(odd.distinct(), min_docs=10).collect()
-        left = Counter(line_key(x) for r in out for x in r["kept"].encode().split(b"\n"))
-        assert all(left[k] == 1 for k, docs in seen.items() if k and len(docs) >= 10)
+    for r in odd.select("doc_id", "text").distinct().collect():
+        for line in (r["text"] or "").encode().split(b"\n"):
+            seen[line_key(line)].add((r["doc_id"], r["text"]))
+    left = Counter(line_key(x) for r in out for x in r["kept"].encode().split(b"\n"))
+    assert all(left[k] == 1 for k, docs in seen.items() if k and len(docs) >= 10)
 
 
 def test_near_duplicates_by_similarity(spark, odd):
