@@ -16,6 +16,8 @@ from bandloom.sources.folders import shared_folder
 ARROW_BATCH_BYTES = 8 << 20
 #: Characters that the word rules call white space: \x20 and \x09-\x0D. bytes.split() cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of a table that may be sent to every task; larger ones are shuffled.
+CARRIED_BYTES = 32 << 20
 #: Where cut() has written what it returned.
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -63,3 +65,8 @@ def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def ceil_div(a: int, b: int) -> int:
     return max(1, math.ceil(a / b))
+
+
+def carried(table: DataFrame, row_bytes: int) -> DataFrame:
+    """table with a broadcast hint if its rows, counted, are few enough."""
+    return F.broadcast(table) if table.count() * row_bytes <= CARRIED_BYTES else table

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bandloom.llm.common import bounded_batches, cut, keyed_texts, renamed, shuffle_width
+from bandloom.llm.common import bounded_batches, carried, cut, discard, keyed_texts, renamed, shuffle_width
 
-#: Fingerprints of one trie below a shared prefix that one task joins; larger tries are split into pairs of subtrees.
-TRIE_ROWS = 20_000
+#: Fingerprints of a pair of subtrees that a task joins at most, bits by which larger ones go down the trie in a round, and rows
+#: that a task holds at a time.
+TRIE_ROWS, SPLIT_BITS, HELD_ROWS = 20_000, 4, 1 << 17
+#: A node with more than this part of all links is a hub.
+HUBS = 1000
 #: Minima of a text's hashed shingles that make a band, and the share of pairs at the stated similarity that meet in a band.
 BAND_ROWS, RECALL = 5, 0.9995
 #: Node pairs that a task holds at once, and leaf pairs of two nodes that are compared directly.
@@ -139,68 +142,108 @@ def trie_links(values: np.ndarray, nodes: np.ndarray, depth: int, budget: int) -
 
 
 def near_links(fps: DataFrame, budget: int = 3) -> DataFrame:
-    """Links (view, u, v) between distinct fingerprints (view, fp) of a view that connect exactly what pairs within the budget
-    connect.
+    """Links (u, v) between distinct fingerprints (fp) that connect exactly what pairs within the budget connect.
 
     Fingerprints within the budget agree in one of budget + 1 blocks of bits. So the join runs over budget + 1 rotated tries,
-    each cut into the subtries below one block's value, and each task walks subtries against themselves. A subtrie of more
-    than TRIE_ROWS is cut into its subtrees, and a task takes a pair of these; pairs whose paths differ in more bits than the
-    budget are never made. Tasks return a spanning forest of their links, so dense groups give no more links than members.
+    each cut into the subtries below one block's value, and each task walks subtries against themselves. Pairs of subtrees
+    with more than TRIE_ROWS members are replaced by the pairs of their subtrees SPLIT_BITS further down, round by round until
+    none is too large; pairs whose paths differ in more bits than the budget are never made. Tasks stream the pairs in order,
+    hold a few of them at a time and return a spanning forest of their links, so dense groups give no more links than members.
     """
     spark, n = fps.sparkSession, shuffle_width(fps.sparkSession)
     width = 64 // (budget + 1)
     depth = 64 - width
-    tries = [F.struct((F.col("view") * (budget + 1) + r).alias("trie"), (F.shiftleft("fp", r * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - r * width)) if r else F.col("fp")).alias("fp")) for r in range(budget + 1)]
-    rows = fps.select(F.explode(F.array(*tries)).alias("x")).select("x.trie", "x.fp", F.shiftrightunsigned("x.fp", depth).alias("prefix"))
-    large = rows.groupBy("trie", "prefix").count().where(F.col("count") > TRIE_ROWS)
-    bits = F.least(F.lit(12), F.ceil(F.log2(2 * F.col("count") / TRIE_ROWS))).cast("int")
-    rows = rows.join(large.select("trie", "prefix", bits.alias("bits")), ["trie", "prefix"], "left").fillna(0, ["bits"])
-    # bits of the path below the prefix, by which a large subtrie is cut
-    own = F.expr(f"cast(shiftrightunsigned(fp, {depth} - bits) & (shiftleft(1L, bits) - 1) as int)")
-    partners = F.expr(f"filter(sequence(0, cast(shiftleft(1L, bits) - 1 as int)), x -> bit_count(x ^ own) <= {budget})")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(partners))
-    rows = rows.select("trie", "prefix", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        trie, prefix, a, b, side, fp = (np.asarray(c.combine_chunks()) for c in table.columns)
+    tries = [F.struct(F.lit(r).alias("trie"), (F.shiftleft("fp", r * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - r * width)) if r else F.col("fp")).alias("fp")) for r in range(budget + 1)]
+    rows = fps.select(F.explode(F.array(*tries)).alias("x")).select("x.trie", "x.fp")
+    prefix = F.shiftrightunsigned("fp", depth)
+    rows = rows.select("trie", F.lit(0).alias("bits"), prefix.alias("a"), prefix.alias("b"), F.lit(False).alias("right"), "fp")
+    pairs, bits = None, 0
+    while bits < depth:
+        large = rows.groupBy("trie", "a", "b").count().where(F.col("count") > TRIE_ROWS).select("trie", "a", "b", F.lit(True).alias("large"))
+        if large.isEmpty():
+            break
+        told = rows.join(large, ["trie", "a", "b"], "left")
+        small = told.where("large is null").select(*rows.columns)
+        pairs = small if pairs is None else pairs.unionAll(small)
+        step = min(SPLIT_BITS, depth - bits)
+        bits += step
+        own = F.expr(f"shiftrightunsigned(fp, {depth - bits}) & {(1 << step) - 1}L")
+        spent = F.when(F.col("a") == F.col("b"), 0).otherwise(F.expr("bit_count(a ^ b)"))
+        other = F.explode(F.expr(f"filter(sequence(0L, {(1 << step) - 1}L), x -> bit_count(x ^ own) + spent <= {budget})"))
+        down = told.where("large").withColumn("own", own).withColumn("spent", spent).withColumn("other", other)
+        # below a node with itself a pair is made once, with the smaller path on the left
+        turned = F.when(F.col("a") == F.col("b"), F.col("own") > F.col("other")).otherwise(F.col("right"))
+        path = lambda c, right: F.col(c) * (1 << step) + F.when(F.col("turned") == F.lit(right), F.col("own")).otherwise(F.col("other"))
+        down = down.withColumn("turned", turned)
+        rows = cut(down.select("trie", F.lit(bits).alias("bits"), path("a", False).alias("a"), path("b", True).alias("b"), F.col("turned").alias("right"), "fp"), "subtrees")
+    pairs = rows if pairs is None else pairs.unionAll(rows)
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        trie, bits, a, b, right, fp = (np.asarray(c.combine_chunks()) for c in table.columns)
         values = fp.view(np.uint64)
-        order = np.lexsort((values, b, a, prefix, trie))
-        trie, prefix, a, b, side, values = (x[order] for x in (trie, prefix, a, b, side, values))
-        new = np.r_[True, (trie[1:] != trie[:-1]) | (prefix[1:] != prefix[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        lo = np.flatnonzero(new)
+        order = np.lexsort((values, right, b, a, bits, trie))
+        trie, bits, a, b, right, values = (x[order] for x in (trie, bits, a, b, right, values))
+        lo = np.flatnonzero(_starts(trie, bits, a, b))
         hi = np.r_[lo[1:], len(values)]
-        # in a pair of subtrees the left one's members come first, as their path bits are smaller
-        left = np.r_[0, np.cumsum(side == a)]
-        mid = lo + left[hi] - left[lo]
-        self_pair = a[lo] == b[lo]
-        nodes = np.where(self_pair[:, None], np.c_[lo, hi, lo, hi], np.c_[lo, mid, mid, hi]).astype(np.int64)
+        rights = np.r_[0, np.cumsum(right)]
+        mid = hi - (rights[hi] - rights[lo])  # in a pair of subtrees the left one's members come first
+        nodes = np.where((a[lo] == b[lo])[:, None], np.c_[lo, hi, lo, hi], np.c_[lo, mid, mid, hi]).astype(np.int64)
         nodes = nodes[(nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3]) & (hi - lo > 1)]
         u, v = trie_links(values, nodes, depth, budget)
-        turn = (trie[u] % (budget + 1) * width).astype(np.uint64)
+        turn = (trie[u] * width).astype(np.uint64)
         back = [np.where(turn > 0, (values[x] >> turn) | (values[x] << ((np.uint64(64) - turn) & np.uint64(63))), values[x]).view(np.int64) for x in (u, v)]
-        yield pa.RecordBatch.from_arrays([pa.array(trie[u] // (budget + 1)), pa.array(np.maximum(*back)), pa.array(np.minimum(*back))], ["view", "u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(*back)), pa.array(np.minimum(*back))], ["u", "v"])
 
-    dealt = rows.repartition(n, "trie", "prefix", "a", "b")
-    return dealt.mapInArrow(join, "view int, u long, v long").distinct()
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], HELD_ROWS
+        for b in batches:
+            held.append(b)
+            room -= b.num_rows
+            if room <= 0:
+                table = pa.Table.from_batches(held)
+                keys = [np.asarray(table.column(c).combine_chunks()) for c in range(4)]
+                whole = int(np.flatnonzero(_starts(*keys))[-1])  # the last pair may go on
+                if whole:
+                    yield links(table.slice(0, whole))
+                held, room = table.slice(whole).to_batches(), HELD_ROWS
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    dealt = pairs.repartition(n, "trie", "bits", "a", "b").sortWithinPartitions("trie", "bits", "a", "b")
+    return dealt.mapInArrow(join, "u long, v long").distinct()
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where rows, sorted by these keys, begin a new one."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """Rows (node, root): each linked node, roots left out, with the smallest node that it reaches.
 
     links: rows (u, v) with u > v. Alternating large-star and small-star rounds; each round is written to the shared folder,
-    so the lineage stays short, and only a count and a checksum reach the driver.
+    so the lineage stays short, and only a count and a checksum reach the driver. Hubs, nodes with more than a HUBS-th of all
+    links, are told to the tasks that hold their links, so that no hub's links meet in one task.
     """
 
-    def stars(e: DataFrame) -> DataFrame:
+    def told(e: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
+        """e with m, the smallest neighbour of u."""
+        limit = max(n_links // HUBS, 1)
+        hubs = F.broadcast(least.where(F.col("n") > limit).select("u", F.col("m").alias("hub")))  # 2 * HUBS at most
+        known = e.join(hubs, "u", "left")
+        others = known.where("hub is null").join(least.where(F.col("n") <= limit).select("u", "m"), "u").select("u", "v", "m")
+        return others.unionAll(known.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
+
+    def stars(e: DataFrame, n: int) -> DataFrame:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = told(both, least, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = told(large, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
     def state(e: DataFrame) -> tuple:
@@ -209,8 +252,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = cut(links, "links")
     now = state(edges)
     while now[0]:
-        edges = cut(stars(edges), "stars")
-        before, now = now, state(edges)
+        next_ = cut(stars(edges, now[0]), "stars")
+        discard(edges)
+        edges, before, now = next_, now, state(next_)
         if before == now:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -227,9 +271,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are ignored.
     """
     known = cut(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = known.groupBy("fp").agg(F.min("id").alias("least"))
-    links = near_links(nodes.select(F.lit(0).alias("view"), "fp"), budget)
-    roots = connected_components(links.select("u", "v"))
+    nodes = cut(known.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    roots = connected_components(near_links(nodes.select("fp"), budget))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(named, "root").select("fp", "component_id")
@@ -261,7 +304,7 @@ def band_keys(grams: np.ndarray, bands: int) -> list[int]:
 
 def shingles_of(texts: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
     """Rows (text_id, grams) for the named texts among texts (text_id, text)."""
-    asked = texts.join(named, "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
+    asked = texts.join(carried(named, 8), "text_id", "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -378,7 +421,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingl
     nodes = cut(known.groupBy("text_id").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "texts")
     heads = cut(nodes.groupBy("fp").agg(F.min("text_id").alias("head")), "heads")
     same = nodes.join(heads, "fp").select(F.col("text_id").alias("u"), F.col("head").alias("v"))
-    links = near_links(heads.select(F.lit(0).alias("view"), "fp"), budget)
+    links = near_links(heads.select("fp"), budget)
     for side in "uv":
         links = links.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head")), side)
     sure = same.unionAll(links.select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))).where("u <> v")

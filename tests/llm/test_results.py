@@ -175,8 +175,9 @@ def _fingerprint(text):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_simhash_groups(spark, odd, sf, monkeypatch, small):
-    if small:  # tries of more than four rows are split into pairs of subtrees
+    if small:  # tries of more than four rows are split into pairs of subtrees, as deep as it takes, and tasks hold few rows
         monkeypatch.setattr("bandloom.llm.simhash.TRIE_ROWS", 4)
+        monkeypatch.setattr("bandloom.llm.simhash.HELD_ROWS", 16)
     docs = odd.select("doc_id", "text").unionAll(read_table(spark, sf, "documents").select(F.col("doc_id") + 1000, "text"))
     rows = docs.collect()
     fps = [_fingerprint(r["text"] or "") for r in rows]
@@ -191,12 +192,29 @@ def test_simhash_groups(spark, odd, sf, monkeypatch, small):
     assert Counter(map(tuple, simhash_groups(docs).collect())) == want
 
 
+def test_dense_tries_are_split_as_deep_as_it_takes(spark, monkeypatch):
+    """Fingerprints that share all but their last bits: no fixed number of levels would part them."""
+    from bandloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "TRIE_ROWS", 12)
+    r = random.Random(12)
+    values = sorted({r.getrandbits(9) for _ in range(150)} | {r.getrandbits(9) << 40 for _ in range(50)} | {2**64 - 1 - r.getrandbits(12) for _ in range(60)})
+    links = simhash.near_links(spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long"), 2).collect()
+    at = {v: i for i, v in enumerate(values)}
+    pairs = [(at[x["u"] % 2**64], at[x["v"] % 2**64]) for x in links]
+    assert all((values[i] ^ values[j]).bit_count() <= 2 for i, j in pairs)
+    near = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 2]
+    assert _components(len(values), pairs) == _components(len(values), near)
+
+
 def test_fingerprint_of_long_text():
     text = " ".join(f"w{i % 977}" for i in range(200_000))
     assert fingerprint(text.encode(), 3, 42) == _fingerprint(text)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("hubs", [1000, 3])
+def test_components_of_a_long_chain(spark, monkeypatch, hubs):
+    monkeypatch.setattr("bandloom.llm.simhash.HUBS", hubs)
     chain = [(i + 1, i) for i in range(60)] + [(100, 90), (101, 100)]
     rows = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert rows == {**dict.fromkeys(range(1, 61), 0), 100: 90, 101: 90}
