@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm.common import cut, read_table
+from bandloom.llm.common import carried, cut, read_table
 from bandloom.llm.decontaminate import decontaminate
 from bandloom.llm.mixing import mixed_rows
 from bandloom.llm.quality import quality_scores
@@ -30,13 +30,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of equal rows one. A hash of the text stands in
-    for a null id."""
+    """Of each group of near copies the document with the smallest id stays, and of rows with equal id and text one, whatever
+    their other columns are. A hash of the text stands in for a null id. Only ids are shuffled, but for repeated rows."""
     key = F.struct(F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("k"), F.xxhash64("text").alias("t"))
     rows = _packed(docs).withColumn("key", key)
     groups = near_duplicates(rows, id_col="key", shingle=5, similarity=0.8, budget=3)
-    stay = groups.where(F.col("key") == F.col("component_id")).select("key.k", "key.t").distinct()
-    return rows.select("row", "key.k", "key.t").join(stay, ["k", "t"], "left_semi").dropDuplicates(["k", "t"]).select("row.*")
+    ids = groups.groupBy("key.k", "key.t").agg(F.count("*").alias("n"), F.max(F.col("key") == F.col("component_id")).alias("stays"))
+    other = cut(ids.where("not stays or n > 1"), "copies")
+    rows = rows.select("row", "key.k", "key.t")
+    alone = rows.join(carried(other.select("k", "t"), 24), ["k", "t"], "left_anti")
+    repeated = rows.join(carried(other.where("stays").select("k", "t"), 24), ["k", "t"], "left_semi").dropDuplicates(["k", "t"])
+    return alone.unionByName(repeated).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
