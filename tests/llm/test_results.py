@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bandloom.llm import exact_topk as tk
 from bandloom.llm import html_wrappers as hw
-from bandloom.llm import quality
+from bandloom.llm import quality, sharding
 from bandloom.llm.common import read_table
 from bandloom.llm.decontaminate import Phrases, decontaminate, shard_hits
 from bandloom.llm.fm_index import FMIndex, Wavelet, suffix_array
@@ -484,12 +484,13 @@ def test_wrappers_align():
 # --- 8 sharding ---
 
 
-def test_shards(spark, odd, sf):
+@pytest.mark.parametrize("shards", [1, 4, 7])
+def test_shards(spark, sf, shards):
     import zlib
 
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     for df in (docs, docs.unionAll(spark.range(10_000, 10_150).selectExpr("id", "'a copy of one text that many share'"))):
-        rows, text = kd_shards(df, 4).collect(), {r["doc_id"]: r["text"] for r in df.collect()}
+        rows, text = kd_shards(df, shards).collect(), {r["doc_id"]: r["text"] for r in df.collect()}
         size = Counter()
         slots = defaultdict(list)
         for r in rows:
@@ -497,21 +498,59 @@ def test_shards(spark, odd, sf):
             assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw)
             size[r["shard"]] += r["size"]
             slots[r["shard"]].append(r["slot"])
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(size) == {0, 1, 2, 3}
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(size) == set(range(shards))
         assert max(size.values()) - min(size.values()) <= max(r["size"] for r in rows) + sum(size.values()) / 64
         homes = defaultdict(set)
         for r in rows:
             homes[text[r["doc_id"]]].add(r["shard"])
         assert max(map(len, homes.values())) == 1
-        assert sorted(map(tuple, kd_shards(df.repartition(3), 4).collect())) == sorted(map(tuple, rows))
-
-
-def test_one_text_in_most_rows_is_split(spark):
-    df = spark.range(600).selectExpr("id as doc_id", "if(id % 10 < 6, 'the same text again', concat('text ', id, repeat(' w', int(id % 50)))) as text")
-    size = Counter()
+        assert sorted(map(tuple, kd_shards(df.repartition(3), shards).collect())) == sorted(map(tuple, rows))
+
+
+def test_the_tree_against_a_plain_one(spark, sf):
+    """Brute force: the same bins, cut node by node with lists; every shard is a box of the tree."""
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    meta = sharding.measured(docs, F.col("doc_id"))
+    key = F.xxhash64("payload", "crc")
+    plan = sharding.fit(meta, 8, key)
+    table = plan.binned(meta, key).select("payload", "size", "bins", "tie", "home").collect()
+    free = [r for r in table if r["home"] is None]
+    share = sum(r["size"] for r in table) / 8
+    room = [share - sum(r["size"] for r in table if r["home"] == s) for s in range(8)]
+    want = {r["payload"]: r["home"] for r in table}
+
+    def split(rows, lo, hi):
+        if hi - lo == 1:
+            want.update((r["payload"], lo) for r in rows)
+            return
+        mid = (lo + hi) // 2
+        width = [max(r["bins"][d] for r in rows) - min(r["bins"][d] for r in rows) for d in range(3)]
+        dim = width.index(max(width))
+        at = lambda r: (r["bins"][dim], r["tie"])
+        goal, before = sum(room[lo:mid]) / sum(room[lo:hi]) * sum(r["size"] for r in rows), 0
+        for point in sorted({at(r) for r in rows}):
+            here = sum(r["size"] for r in rows if at(r) == point)
+            if before + here >= goal:
+                first = (point[0], point[1] + (before + here - goal < goal - before))
+                break
+            before += here
+        split([r for r in rows if at(r) < first], lo, mid)
+        split([r for r in rows if at(r) >= first], mid, hi)
+
+    split(free, 0, 8)
+    assert {r["payload"]: r["shard"] for r in plan.assigned(meta, key).select("payload", "shard").collect()} == want
+
+
+@pytest.mark.parametrize("ids", ["id", "if(id % 10 < 6, 7, id)", "null"])
+def test_one_text_in_most_rows_is_split(spark, ids, monkeypatch):
+    """Copies with ids of their own, and repeated rows, which also part the groups that are numbered."""
+    monkeypatch.setattr(sharding, "NUMBERED_ROWS", 4)
+    df = spark.range(600).selectExpr(f"cast({ids} as long) as doc_id", "if(id % 10 < 6, 'the same text again', concat('text ', id, repeat(' w', int(id % 50)))) as text")
+    size, slots = Counter(), defaultdict(list)
     for r in kd_shards(df, 4).collect():
         size[r["shard"]] += r["size"]
-    assert max(size.values()) <= 1.1 * min(size.values())
+        slots[r["shard"]].append(r["slot"])
+    assert max(size.values()) <= 1.15 * min(size.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 # --- 9 top-k ---
