@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ PHRASES = (
     ("mit license", "mit"),
 )
 # Sentences of public licences and notices, and their labels.
-TEMPLATES = (
+SENTENCES = (
     ("this work is licensed under the gnu general public license version 3", "gpl"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
     ("licensed under the apache license version 2 0", "apache"),
@@ -31,11 +31,72 @@ TEMPLATES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
 )
+# Whole texts of short public licences, and the notices that longer ones ask for, as words.
+NOTICES = (
+    (
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
+        files the software to deal in the software without restriction including without limitation the rights to use copy modify
+        merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is
+        furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the software the software is provided as is without warranty of any
+        kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose
+        and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability
+        whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or
+        other dealings in the software""",
+        "mit",
+    ),
+    (
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+        conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the
+        following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and
+        the following disclaimer in the documentation and or other materials provided with the distribution neither the name of
+        the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission this software is provided by the copyright holders and contributors as
+        is and any express or implied warranties including but not limited to the implied warranties of merchantability and
+        fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any
+        direct indirect incidental special exemplary or consequential damages including but not limited to procurement of
+        substitute goods or services loss of use data or profits or business interruption however caused and on any theory of
+        liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the
+        use of this software even if advised of the possibility of such damage""",
+        "bsd",
+    ),
+    (
+        """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies the software is provided as is
+        and the author disclaims all warranties with regard to this software including all implied warranties of merchantability
+        and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any
+        damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other
+        tortious action arising out of or in connection with the use or performance of this software""",
+        "isc",
+    ),
+    (
+        """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+        you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or
+        agreed to in writing software distributed under the license is distributed on an as is basis without warranties or
+        conditions of any kind either express or implied see the license for the specific language governing permissions and
+        limitations under the license""",
+        "apache",
+    ),
+    (
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+        as published by the free software foundation either version 3 of the license or at your option any later version this
+        program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+        merchantability or fitness for a particular purpose see the gnu general public license for more details you should have
+        received a copy of the gnu general public license along with this program if not see http www gnu org licenses""",
+        "gpl",
+    ),
+    (
+        """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed
+        with this file you can obtain one at http mozilla org mpl 2 0""",
+        "mpl",
+    ),
+)
+TEMPLATES = (*SENTENCES, *((" ".join(text.split()), label) for text, label in NOTICES))
 #: A block holds a template if it has at least this share of the template's distinct words.
 THRESHOLD = 0.8
-#: Blocks are the lines of a text and the text as a whole, since notices are wrapped; what is longer is cut into windows of
-#: BLOCK_WORDS words that start every BLOCK_STEP words.
-BLOCK_WORDS, BLOCK_STEP = 64, 32
+#: Blocks for templates of up to `step` words are windows of two steps that start every step of words, across line ends, so that
+#: each place of a template lies in one. The steps are powers of two from this one on; lines are blocks for the first step too.
+FIRST_STEP = 32
 
 #: Lower-cases A-Z; every byte that is no word byte becomes a space, but line ends stay.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 10 else 32 for c in range(256))
@@ -46,13 +107,26 @@ def normal(text: bytes) -> bytes:
     return text.translate(_WORD_BYTES)
 
 
-def blocks(text: bytes) -> Iterator[list[bytes]]:
-    lines = text.split(b"\n")
-    for line in lines if len(lines) == 1 else (*lines, text):
-        words = line.split()
-        yield words[:BLOCK_WORDS]
-        for at in range(BLOCK_STEP, max(len(words) - BLOCK_STEP, 0), BLOCK_STEP):
-            yield words[at : at + BLOCK_WORDS]
+def step_of(template: str) -> int:
+    step = FIRST_STEP
+    while step < len(template.split()):
+        step *= 2
+    return step
+
+
+def windows(words: list[bytes], step: int) -> Iterator[list[bytes]]:
+    yield words[: 2 * step]
+    for at in range(step, max(len(words) - step, 0), step):
+        yield words[at : at + 2 * step]
+
+
+def blocks(text: bytes, words: list[bytes], step: int) -> Iterator[list[bytes]]:
+    """The blocks of a normal() text and its words for templates of up to `step` words."""
+    yield from windows(words, step)
+    if step == FIRST_STEP:
+        lines = text.split(b"\n")
+        for line in lines if len(lines) > 1 else ():
+            yield from windows(line.split(), step)
 
 
 class TemplateIndex:
@@ -70,7 +144,11 @@ class TemplateIndex:
                 self.prefix.setdefault(token, []).append((t, i))
         self.prefix_words = frozenset(w for w in vocabulary if self.rank[w] in self.prefix)
 
-    def matches(self, words: list[bytes]) -> Iterator[tuple[int, float]]:
+    def reachable(self, words: set[bytes]) -> bool:
+        """Whether a text of these words can have a block that holds a template: the filters, for the text as one block."""
+        return not self.prefix_words.isdisjoint(words) and any(True for _ in self.matches(words))
+
+    def matches(self, words: Iterable[bytes]) -> Iterator[tuple[int, float]]:
         """(template, containment) of every template of which the block has enough tokens."""
         have = {self.rank[w] for w in words if w in self.rank}
         seen: dict[int, int] = {}
@@ -101,7 +179,7 @@ def base_places(spaced: bytes, phrases: tuple[tuple[str, str], ...]) -> tuple[in
     return n, min(starts, default=None), max(starts, default=None), labels
 
 
-def token_frequency(docs: DataFrame, templates: tuple[tuple[str, str], ...], id_col: str, text_col: str) -> dict[bytes, int]:
+def token_frequency(docs: DataFrame, templates: tuple[tuple[str, str], ...], text_col: str) -> dict[bytes, int]:
     """In how many texts each template token stands, over all texts. One row for each template token reaches the driver."""
     vocabulary = frozenset(w for text, _ in templates for w in text.encode().split())
 
@@ -121,15 +199,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows (id_col, n_words, n_base, first_word, last_word, base_labels, labels, score), one for each row of docs.
 
     A first pass counts the template tokens over all texts; that order of frequency fixes the prefixes. The second pass joins
-    every block of every text with the templates through prefix, length and positional filters and an exact check. The
-    templates are a fixed list, so tasks carry them and no text is shuffled. score: the highest containment found, 0 if none.
+    every block of every text with the templates through prefix, length and positional filters and an exact check; a text
+    that does not hold a template as a whole has no block that does. The templates are a fixed list, so tasks carry them and
+    no text is shuffled. Blocks are windows at least twice as long as the template, so notices wrapped over lines are found. score: the highest containment found, 0 if none.
 
     Null texts count as empty; null ids and repeated rows are passed on; a text without words has no labels, null first_word
     and last_word and score 0; an empty table gives no rows; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     keyed = keyed_texts(docs, id_col, text_col)
-    index = TemplateIndex(templates, token_frequency(docs, templates, id_col, text_col), threshold)
+    frequency = token_frequency(docs, templates, text_col)
+    steps = {step: tuple(t for t in templates if step_of(t[0]) == step) for step in sorted({step_of(t) for t, _ in templates})}
+    indexes = {step: TemplateIndex(some, frequency, threshold) for step, some in steps.items()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,11 +220,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = lines.split()
                 n, first, last, base = base_places(b" ".join([b"", *words, b""]), phrases)
                 labels, score = set(base), 0.0
-                if not index.prefix_words.isdisjoint(words):
-                    for block in blocks(lines):
-                        for t, share in index.matches(block):
-                            labels.add(index.labels[t])
-                            score = max(score, share)
+                mine = set(words)
+                for step, index in indexes.items():
+                    if index.reachable(mine):
+                        for block in blocks(lines, words, step):
+                            for t, share in index.matches(block):
+                                labels.add(index.labels[t])
+                                score = max(score, share)
                 rows.append((len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)

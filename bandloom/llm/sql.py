@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bandloom.llm.license_scan import BLOCK_STEP, BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD
+from bandloom.llm.license_scan import FIRST_STEP, PHRASES, TEMPLATES, THRESHOLD, step_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,14 +28,19 @@ hits AS (
 base AS (
   SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
   FROM hits GROUP BY rid),
-templates AS (SELECT list_distinct(string_split(body, ' ')) AS s, label FROM {_values(TEMPLATES, 'n, body, label')}),
-lines AS (SELECT rid, regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}') AS lw FROM docs),
+templates AS (
+  SELECT list_distinct(string_split(body, ' ')) AS s, label, step FROM {_values(TEMPLATES, 'n, body, label')}
+  JOIN (VALUES {', '.join(f"({i}, {step_of(t)})" for i, (t, _) in enumerate(TEMPLATES))}) AS u(n, step) USING (n)),
+spans AS (
+  SELECT rid, w AS lw, step FROM words, (SELECT DISTINCT step FROM templates)
+  UNION ALL
+  SELECT rid, regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}') AS lw, {FIRST_STEP} AS step FROM docs),
 starts_of AS (
-  SELECT rid, lw, unnest(list_concat([0], range({BLOCK_STEP}, greatest(len(lw) - {BLOCK_STEP}, 0), {BLOCK_STEP}))) AS a FROM lines),
-blocks AS (SELECT rid, list_distinct(lw[a + 1 : a + {BLOCK_WORDS}]) AS b FROM starts_of),
+  SELECT rid, lw, step, unnest(list_concat([0], range(step, greatest(len(lw) - step, 0), step))) AS a FROM spans),
+blocks AS (SELECT rid, step, list_distinct(lw[a + 1 : a + 2 * step]) AS b FROM starts_of),
 joined AS (
   SELECT rid, label, len(list_intersect(s, b)) / len(s) AS share FROM blocks JOIN templates
-  ON len(list_intersect(s, b)) / len(s) >= {THRESHOLD}),
+  ON blocks.step = templates.step AND len(list_intersect(s, b)) / len(s) >= {THRESHOLD}),
 found AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS score FROM joined GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
   first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

@@ -18,7 +18,7 @@ from bandloom.llm import quality, sharding
 from bandloom.llm.common import read_table
 from bandloom.llm.decontaminate import Phrases, decontaminate, shard_hits
 from bandloom.llm.fm_index import FMIndex, Wavelet, suffix_array
-from bandloom.llm.license_scan import TEMPLATES, TemplateIndex, base_places
+from bandloom.llm.license_scan import TEMPLATES, TemplateIndex, base_places, license_scan, step_of
 from bandloom.llm.line_dedup import _Runs, bitmap, kept_lines, line_dedup, line_key
 from bandloom.llm.mixing import mix_sources, splitting_tree, water_fill
 from bandloom.llm.quality import quality_scores
@@ -331,15 +331,42 @@ def test_base_places_overlap():
 
 
 def test_wrapped_notices(spark):
-    from bandloom.llm.license_scan import license_scan
+    """Sentences and whole licence texts, wrapped at any width and commented, anywhere in a text."""
+    import textwrap
 
     rows = []
     for i, (text, _) in enumerate(TEMPLATES):
-        words = text.split()
-        for before in (0, 29, 41, 63):
-            rows.append((100 * i + before, "x\n" * before + "\n * ".join(" ".join(words[k : k + 4]) for k in range(0, len(words), 4)) + "\ny" * 40))
+        for width, before in ((25, 0), (70, 29), (72, 41), (78, 63), (78, 700)):
+            lines = textwrap.wrap(text, width)
+            rows.append((1000 * i + before, "x\n" * before + " * " + "\n * ".join(lines) + "\n" + "y\n" * 300))
     for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        assert TEMPLATES[r["doc_id"] // 100][1] in r["labels"].split(",") and r["score"] == 1.0
+        assert TEMPLATES[r["doc_id"] // 1000][1] in r["labels"].split(",") and r["score"] == 1.0
+
+
+def test_license_blocks_against_every_template(spark):
+    """Brute force without filters: every window and line with every template."""
+    r = random.Random(15)
+    rows = []
+    for i in range(60):
+        words = []
+        while len(words) < 700:
+            text = r.choice(TEMPLATES)[0].split()
+            some = [w for w in text if r.random() < r.choice([0.7, 0.85, 1.0])]
+            words += some + r.choices(["aa", "bb", "cc", "the", "license"], k=r.randint(0, 300))
+        rows.append((i, "".join(w + r.choice([" "] * 9 + ["\n"]) for w in words[: r.choice([20, 90, 400, 700])])))
+    for out in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[out["doc_id"]][1]
+        words, labels, best = text.split(), set(filter(None, out["base_labels"].split(","))), 0.0
+        for template, label in TEMPLATES:
+            step = step_of(template)
+            spans = [words, *([line.split() for line in text.split("\n")] if step == 32 else [])]
+            for span in spans:
+                for at in [0, *range(step, max(len(span) - step, 0), step)]:
+                    share = len(set(span[at : at + 2 * step]) & set(template.split())) / len(set(template.split()))
+                    if share >= 0.8:
+                        labels.add(label)
+                        best = max(best, share)
+        assert out["labels"] == ",".join(sorted(labels)) and out["score"] == best
 
 
 # --- 6 tokens ---
