@@ -151,7 +151,7 @@ def train(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray,
     if not len(target):
         return weights, bias
     at, value, share = np.concatenate(rows), np.concatenate(values), times / times.sum()
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for t in range(1, ROUNDS + 1):
         z = np.bincount(row, weights=weights[at] * value, minlength=len(rows)) + bias
@@ -259,10 +259,11 @@ def quality_scores(
     drawn = drawn.groupBy("hash").agg(F.count("*").alias("times"), F.first("text").alias("text"))  # equal texts meet as one row of each task
     sample = drawn.mapInArrow(describe, "hash long, times long, pattern binary, at binary, value binary").orderBy("hash").limit(2 * fit_rows).toArrow().to_pydict()
     chosen_votes = np.array([list(p) for p in sample["pattern"]], dtype=np.int64).reshape(-1, LABELLERS)
-    rows = [np.frombuffer(x, "<i4").astype(np.int64) for x in sample["at"]]
-    values = [np.frombuffer(x, "<f4").astype(np.float64) for x in sample["value"]]
+    rows = [np.frombuffer(x, "<i4") for x in sample["at"]]
+    values = [np.frombuffer(x, "<f4") for x in sample["value"]]
     times = np.minimum(np.array(sample["times"], dtype=np.float64), max(fit_rows / 10, 1))
     weights, bias = train(rows, values, model.posterior(chosen_votes)[:, GOOD], times)
+    del sample, rows, values
     sent = spark.sparkContext.broadcast((model, weights, bias))
 
     outputs = ["p_good", "p_noisy", "p_repetitive", "p_toxic", "score"]

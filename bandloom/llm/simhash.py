@@ -18,8 +18,8 @@ from bandloom.llm.common import bounded_batches, carried, cut, discard, keyed_te
 #: Fingerprints of a pair of subtrees that a task joins at most, bits by which larger ones go down the trie in a round, and rows
 #: that a task holds at a time.
 TRIE_ROWS, SPLIT_BITS, HELD_ROWS = 20_000, 4, 1 << 17
-#: A node with more than this part of all links is a hub.
-HUBS = 1000
+#: A node with more than so many links, and more than this part of all, is a hub.
+HUB_LINKS, HUBS = 1 << 16, 1000
 #: Minima of a text's hashed shingles that make a band, and the share of pairs at the stated similarity that meet in a band.
 BAND_ROWS, RECALL = 5, 0.9995
 #: Node pairs that a task holds at once, and leaf pairs of two nodes that are compared directly.
@@ -226,25 +226,29 @@ def connected_components(links: DataFrame) -> DataFrame:
     """Rows (node, root): each linked node, roots left out, with the smallest node that it reaches.
 
     links: rows (u, v) with u > v. Alternating large-star and small-star rounds; each round is written to the shared folder,
-    so the lineage stays short, and only a count and a checksum reach the driver. Hubs, nodes with more than a HUBS-th of all
-    links, are told to the tasks that hold their links, so that no hub's links meet in one task.
+    so the lineage stays short, and only a count and a checksum reach the driver. Where there are enough links for hubs, nodes
+    with more than HUB_LINKS and more than a HUBS-th of all links, these are told to the tasks that hold their links, so that
+    no hub's links meet in one task.
     """
 
-    def told(e: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
-        """e with m, the smallest neighbour of u."""
-        limit = max(n_links // HUBS, 1)
-        hubs = F.broadcast(least.where(F.col("n") > limit).select("u", F.col("m").alias("hub")))  # 2 * HUBS at most
-        known = e.join(hubs, "u", "left")
-        others = known.where("hub is null").join(least.where(F.col("n") <= limit).select("u", "m"), "u").select("u", "v", "m")
+    def told(e: DataFrame, n_links: int) -> DataFrame:
+        """e with m, the smallest of u and its neighbours."""
+        least = e.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        if n_links <= HUB_LINKS:
+            return e.join(least.select("u", "m"), "u")
+        least = cut(least, "least")
+        hubs = least.where(F.col("n") > max(HUB_LINKS, n_links // HUBS)).select("u", F.col("m").alias("hub"))  # 2 * HUBS at most
+        known = e.join(F.broadcast(hubs), "u", "left")
+        others = known.where("hub is null").join(least.select("u", "m"), "u").select("u", "v", "m")
         return others.unionAll(known.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
 
     def stars(e: DataFrame, n: int) -> DataFrame:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = told(both, least, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = told(large, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        large = told(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if n > HUB_LINKS // 2:
+            large = cut(large, "large")
+        small = told(large, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        return small.unionAll(large.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
