@@ -34,7 +34,7 @@ class Picture:
     scans: int = 0
     spectral: tuple[int, int, int] = (0, 63, 0)
     tables: dict[int, list[int]] = field(default_factory=dict)
-    codes: dict[tuple[int, int], dict[tuple[int, int], int]] = field(default_factory=dict)
+    codes: dict[tuple[int, int], list[int]] = field(default_factory=dict)
     components: list[Component] = field(default_factory=list)
     data: bytes = b""
 
@@ -43,15 +43,13 @@ class JpegError(ValueError):
     pass
 
 
-def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    """Canonical prefix codes: (length, code) to symbol."""
-    out, code, at = {}, 0, 0
-    for length, n in enumerate(counts, 1):
-        for _ in range(n):
-            out[length, code] = symbols[at]
-            code, at = code + 1, at + 1
-        code <<= 1
-    return out
+def _codes(counts: bytes, symbols: bytes) -> list[int]:
+    """For each 16 bits that may come next: the length of the code that they begin with times 256, plus its symbol; 0 for none.
+    Codes of a length follow each other, and shorter ones come first, so each takes the next stretch of the table."""
+    lengths = np.repeat(np.arange(1, 17), np.frombuffer(counts, dtype=np.uint8))
+    values = lengths * 256 + np.frombuffer(symbols[: len(lengths)], dtype=np.uint8)
+    table = np.repeat(values, 1 << (16 - lengths))[: 1 << 16]
+    return [*table.tolist(), *[0] * ((1 << 16) - len(table))]
 
 
 def parse(data: bytes) -> Picture:
@@ -119,13 +117,17 @@ class _Bits:
         self.held &= (1 << self.n) - 1
         return out
 
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (length, code) in codes:
-                return codes[length, code]
-        raise JpegError("no such code")
+    def symbol(self, codes: list[int]) -> int:
+        while self.n < 16:  # six bytes at a time; ones stand behind the end
+            more = self.data[self.at : self.at + 6]
+            self.held = self.held << 48 | int.from_bytes(more + b"\xff" * (6 - len(more)), "big")
+            self.at, self.n = self.at + 6, self.n + 48
+        found = codes[self.held >> (self.n - 16)]
+        if not found:
+            raise JpegError("no such code")
+        self.n -= found >> 8
+        self.held &= (1 << self.n) - 1
+        return found & 255
 
     def signed(self, n: int) -> int:
         value = self.take(n) if n else 0
@@ -222,3 +224,101 @@ def decode_blocks(files: DataFrame, key: str = "source", content: str = "content
 def subsampling_key(components: Column, h: Column, v: Column) -> Column:
     """The usual name of a luminance sampling of h x v against chrominance of 1 x 1."""
     return F.when(components == 1, "grayscale").when(components != 3, "other").when((h == 2) & (v == 2), "4:2:0").when((h == 2) & (v == 1), "4:2:2").when((h == 1) & (v == 1), "4:4:4").otherwise("other")
+
+
+def analysed(files: DataFrame, key: str = "source", content: str = "content") -> DataFrame:
+    """Rows (key, height, width, subsampling, reason, blocks, zero_share): what each file is, and why it cannot be read, if so."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for source, data in zip(batch[key], batch[content], strict=True):
+                p, reason, blocks, zeros = Picture(), None, None, None
+                try:
+                    p = parse(bytes(data))
+                    parts = coefficients(p)
+                    blocks = sum(x.shape[0] * x.shape[1] for x in parts)
+                    zeros = sum(int((x == 0).sum()) for x in parts) / (64.0 * blocks)
+                except (JpegError, IndexError, KeyError) as e:
+                    reason = str(e) or type(e).__name__
+                first = p.components[0] if p.components else Component(0, 0, 0, 0)
+                rows.append((source, p.height or None, p.width or None, len(p.components), first.h, first.v, reason, blocks, zeros))
+            yield pd.DataFrame(rows, columns=[key, *names]).astype(object)
+
+    names = ["height", "width", "components", "h", "v", "reason", "blocks", "zero_share"]
+    rows = files.select(key, content).mapInPandas(run, f"{key} {kind}, height int, width int, components int, h int, v int, reason string, blocks int, zero_share double")
+    name = F.when(F.col("components") > 0, subsampling_key(F.col("components"), F.col("h"), F.col("v")))
+    return rows.select(key, "height", "width", name.alias("subsampling"), "reason", "blocks", "zero_share")
+
+
+def report(analysis: DataFrame) -> DataFrame:
+    """Rows (subsampling, reason, files, blocks, zero_share) of analysed() files: their kinds, and why some cannot be read."""
+    return analysis.groupBy("subsampling", "reason").agg(F.count("*").alias("files"), F.sum("blocks").alias("blocks"), (F.sum(F.col("zero_share") * F.col("blocks")) / F.sum("blocks")).alias("zero_share"))
+
+
+def encode(parts: list[np.ndarray], sampling: list[tuple[int, int]], tables: list[list[int]], height: int, width: int, restart: int = 0, progressive: bool = False) -> bytes:
+    """Quantised zig-zag blocks (rows, columns, 64) of each component as a baseline file, with codes of 8 bits for all symbols.
+
+    sampling: (h, v) of each component; tables: quantisation tables. progressive: only marks the frame, as what cannot be read.
+    """
+
+    def segment(marker, body):
+        return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    out = b"\xff\xd8" + b"".join(segment(0xDB, bytes([i]) + bytes(int(v) for v in t)) for i, t in enumerate(tables))
+    n = len(parts)
+    out += segment(0xC2 if progressive else 0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, h << 4 | v, min(i, len(tables) - 1)]) for i, (h, v) in enumerate(sampling)))
+    symbols = [r << 4 | s for r in range(16) for s in range(11)]
+    for kind in (0, 1):
+        used = range(12) if kind == 0 else symbols
+        out += segment(0xC4, bytes([kind << 4]) + bytes([0] * 7 + [len(used)] + [0] * 8) + bytes(used))
+    if restart:
+        out += segment(0xDD, restart.to_bytes(2, "big"))
+    out += segment(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0]) for i in range(n)) + b"\x00\x3f\x00")
+    bits, data = "", b""
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        raw = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+        bits = ""
+        return raw.replace(b"\xff", b"\xff\x00")
+
+    def put(value, size):
+        nonlocal bits
+        if size:
+            bits += format(value if value >= 0 else value + (1 << size) - 1, f"0{size}b")
+
+    hmax, vmax = max(h for h, _ in sampling), max(v for _, v in sampling)
+    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+    before, marks = [0] * n, 0
+    for mcu in range(across * down):
+        if restart and mcu and mcu % restart == 0:
+            data += flush() + bytes([0xFF, 0xD0 + marks % 8])
+            before, marks = [0] * n, marks + 1
+        y, x = divmod(mcu, across)
+        for k, (h, v) in enumerate(sampling):
+            for b in range(h * v):
+                block = parts[k][y * v + b // h, x * h + b % h].tolist()
+                d = block[0] - before[k]
+                before[k] = block[0]
+                size = abs(d).bit_length()
+                bits += format(size, "08b")
+                put(d, size)
+                run = 0
+                last = max([i for i in range(1, 64) if block[i]], default=0)
+                for i in range(1, last + 1):
+                    if not block[i]:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits += format(symbols.index(0xF0), "08b")
+                        run -= 16
+                    size = abs(block[i]).bit_length()
+                    bits += format(symbols.index(run << 4 | size), "08b")
+                    put(block[i], size)
+                    run = 0
+                if last < 63:
+                    bits += format(symbols.index(0), "08b")
+    return out + data + flush() + b"\xff\xd9"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -106,6 +107,11 @@ def pad_index(at: Column, size: Column) -> Column:
     return F.greatest(F.lit(0), F.least(at, size - 1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once for a row, also where body uses it in a lambda of its own."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise(value: Column, mean: Column, std: Column) -> Column:
     return (value - mean) / std
 
@@ -127,6 +133,31 @@ def resize_weights(n_in: int, n_out: int, antialias: bool) -> np.ndarray:
     return weights / weights.sum(axis=1, keepdims=True)
 
 
+def view_size(height: Column, width: Column, shorter: int | None = None, most: int | None = None) -> tuple[Column, Column]:
+    """(height, width) of a view: the shorter side becomes `shorter`, or a longer side above `most` becomes `most`."""
+    side = F.least(height, width) if shorter is not None else F.greatest(height, width)
+    goal = F.lit(shorter) if shorter is not None else F.least(F.lit(most), side)
+    scaled = lambda n: F.when(n == side, goal).otherwise(F.greatest(F.lit(1), F.floor(n * goal / side + 0.5))).cast("int")
+    return scaled(height), scaled(width)
+
+
+def resize_any(pixels: Column | str, h: Column | str, w: Column | str, out_h: Column, out_w: Column, antialias: bool = True) -> Column:
+    """Separable bilinear resize of row-major planes of any size, one after the other, over Arrow batches."""
+
+    def run(images: pd.Series, h: pd.Series, w: pd.Series, oh: pd.Series, ow: pd.Series) -> pd.Series:
+        weights = lru_cache(256)(resize_weights)
+        out = []
+        for x, a, b, c, d in zip(images, h, w, oh, ow, strict=True):
+            if x is None:
+                out.append(None)
+                continue
+            planes = np.asarray(x, dtype=np.float64).reshape(-1, a, b)
+            out.append((weights(a, c, antialias) @ planes @ weights(b, d, antialias).T).ravel())
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(pixels, h, w, out_h, out_w)
+
+
 def resize(block: Column | str, h: int, w: int, out_h: int, out_w: int, antialias: bool = True) -> Column:
     """Separable bilinear resize of a row-major image of fixed size, over Arrow batches."""
     matrix = np.kron(resize_weights(h, out_h, antialias), resize_weights(w, out_w, antialias)).T

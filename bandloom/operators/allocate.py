@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandloom.operators.crops import uniform
+
 #: Scores are compared at this many decimals, so that ties do not hang on the last bit of a sum.
 DECIMALS = 12
 #: How a slot's worth comes from the patch's signal, the patch's sensitivity and the band's sensitivity.
@@ -73,7 +75,7 @@ def allocate(signal: DataFrame, fidelity: Fidelity, band_weights: DataFrame | No
     if fidelity.policy == "greedy":
         return _greedy(rows, fidelity, band_weights)
     if fidelity.policy == "random":
-        worth = F.xxhash64(F.lit(fidelity.seed), "image_id", "patch").cast("double")
+        worth = uniform(F.lit(fidelity.seed), F.col("image_id"), F.col("patch"))
     else:
         worth = F.round(F.col("pw") * (F.col("signal") if fidelity.policy == "gradient" else F.lit(1.0)), DECIMALS)
     rank = F.row_number().over(image.orderBy(worth.desc(), "patch"))

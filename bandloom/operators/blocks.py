@@ -116,6 +116,14 @@ def serve(coefficients: DataFrame, alloc: DataFrame, bands: Bands) -> DataFrame:
     return truncated(coefficients.join(alloc, ["image_id", "patch"]), bands, F.col("k"))
 
 
+def serve_error(coefficients: DataFrame, alloc: DataFrame, bands: Bands, by: list[str]) -> DataFrame:
+    """Rows (by, sq_error, values) of serving an allocation (image_id, patch, k): the transform is orthonormal, so the squared
+    error of the pixels is that of the coefficients that are left out, and nothing is transformed back."""
+    kept = positions_of(bands, F.col("k"))
+    lost = array_sum(F.transform("z", lambda v, i: F.when(i >= kept, v * v).otherwise(0.0)))
+    return coefficients.join(alloc, ["image_id", "patch"]).groupBy(*by).agg(F.sum(lost).alias("sq_error"), F.sum(F.size("z")).alias("values"))
+
+
 def served_quality(coefficients: DataFrame, served: DataFrame, by: list[str]) -> DataFrame:
     """Rows (by, sq_error, values): squared pixel error of what was served, after both sides' inverse transforms."""
     keys = ["image_id", "channel", "patch"] if "channel" in coefficients.columns else ["image_id", "patch"]

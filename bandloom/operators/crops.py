@@ -52,9 +52,26 @@ def centre_crop(df: DataFrame, output: int | None = None, most: int | None = Non
     return df.withColumns({"top": top, "left": left, "crop_h": ch.cast("int"), "crop_w": cw.cast("int")})
 
 
+def draw_key(*parts: Column) -> Column:
+    """A random string that depends on the parts alone, by a hash that every engine has, so that draws can be told anywhere."""
+    return F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary"))
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / float(1 << 53)
+    return F.conv(F.substring(draw_key(*parts), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def positions(rows: DataFrame, group: str, key: str, span: int = 1 << 16) -> DataFrame:
+    """rows with `at`, their place in the group by key from 0, and `members` of the group. Keys are whole numbers without large
+    gaps: ranges of them are numbered on their own and moved by what is before, so no task has more than `span` rows."""
+    rows = rows.withColumn("_part", F.floor(F.col(key) / span))
+    counts = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(group, "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_n").over(Window.partitionBy(group)).alias("members"))
+    own = F.row_number().over(Window.partitionBy(group, "_part").orderBy(key)) - 1
+    out = rows.withColumn("_own", own).join(counts, [group, "_part"])
+    return out.withColumn("at", F.col("_own") + F.col("_ahead")).select(*rows.drop("_part").columns, "at", "members")
 
 
 def random_crop(df: DataFrame, seed: int, scale: tuple[float, float] = (0.08, 1.0), ratio: tuple[float, float] = (0.75, 4 / 3), tries: int = 10) -> DataFrame:
@@ -92,8 +109,8 @@ def exact_buckets(shapes: DataFrame, block: int = 8) -> DataFrame:
     """
     rows = shapes.withColumn("nph", grid(F.col("height"), block)).withColumn("npw", grid(F.col("width"), block))
     ids = rows.select("nph", "npw").distinct().withColumn("bucket_id", F.row_number().over(Window.orderBy("nph", "npw")) - 1)
-    pos = F.row_number().over(Window.partitionBy("bucket_id").orderBy("image_id")) - 1
-    return rows.join(ids, ["nph", "npw"]).withColumn("bucket_pos", pos.cast("int"))
+    placed = positions(rows.join(ids, ["nph", "npw"]), "bucket_id", "image_id")
+    return placed.withColumn("bucket_pos", F.col("at").cast("int")).drop("at", "members")
 
 
 def bucket_factors(count: int) -> tuple[int, int]:

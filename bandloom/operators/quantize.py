@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from bandloom.functions.transforms import quantise, wrap16
 from bandloom.operators.metrics import global_ssim, quality
+from bandloom.operators.metrics import percentile as exact_percentile
 
 LIMITS = {"int8": 127, "int16": 32767}
 
 
 def calibrate(values: DataFrame, by: list[str], stat: str = "max", percentile: float = 99.99, limit: int = 127, multiplier: float = 1.0) -> DataFrame:
     """Rows (by, scale) of values (by, value): the step that takes the largest, or a percentile, of all |value| to the limit."""
-    top = F.max(F.abs("value")) if stat == "max" else F.percentile(F.abs("value"), F.lit(percentile / 100.0))
-    return values.groupBy(*by).agg((F.greatest(top / limit, F.lit(1e-12)) * multiplier).alias("scale"))
+    if stat == "max":
+        tops = values.groupBy(*by).agg(F.max(F.abs("value")).alias("percentile"))
+    else:
+        tops = exact_percentile(values, by, F.abs("value"), percentile / 100.0)
+    return tops.select(*by, (F.greatest(F.col("percentile") / limit, F.lit(1e-12)) * multiplier).alias("scale"))
 
 
 def quantised(values: DataFrame, scales: DataFrame, by: list[str], limit: int = 127) -> DataFrame:

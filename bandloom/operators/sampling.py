@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandloom.operators.crops import uniform
+from bandloom.functions.transforms import array_sum, let
+from bandloom.operators.crops import draw_key, positions, uniform
 
 
 def bucket_batches(rows: DataFrame, batch: int, seed: int | None = None, drop_last: bool = True, bucket: str = "bucket_id", key: str = "image_id") -> DataFrame:
     """rows with batch_no within their bucket and, with a seed, `place`: the order of the whole batches in an epoch.
 
-    Rows of a bucket stay in key order, so a batch reads few chunks. Each bucket is numbered on its own.
+    Rows of a bucket stay in key order, so a batch reads few chunks. Ranges of a bucket's keys are numbered on their own.
     """
-    own = Window.partitionBy(bucket)
-    out = rows.withColumn("at", F.row_number().over(own.orderBy(key)) - 1).withColumn("n", F.count("*").over(own))
-    out = out.withColumn("batch_no", F.floor(F.col("at") / batch).cast("int"))
+    out = positions(rows, bucket, key).withColumn("batch_no", F.floor(F.col("at") / batch).cast("int"))
     if drop_last:
-        out = out.where(F.col("at") < F.floor(F.col("n") / batch) * batch)
+        out = out.where(F.col("at") < F.floor(F.col("members") / batch) * batch)
     if seed is not None:
-        out = out.withColumn("place", F.xxhash64(F.lit(seed), bucket, "batch_no"))
-    return out.drop("at", "n")
+        out = out.withColumn("place", draw_key(F.lit(seed), F.col(bucket), F.col("batch_no")))
+    return out.drop("at", "members")
 
 
 def shard_batches(rows: DataFrame, records_per_shard: int, batch: int, drop_last: bool = False, key: str = "image_id", total: int | None = None) -> DataFrame:
@@ -39,6 +40,22 @@ def shard_batches(rows: DataFrame, records_per_shard: int, batch: int, drop_last
     return out
 
 
+def equalised(batches: DataFrame, world: int, seed: int, epoch: int, shard: str = "shard_id") -> DataFrame:
+    """batches (shard, batch_no) with the rank that reads each: a shuffled order of whole batches, dealt in turn, and the last ones
+    that would give some ranks one more left out, so that all ranks take the same number of steps. Batches, not rows, are
+    ordered; place is the step."""
+    each = batches.select(shard, "batch_no").distinct().withColumn("draw", draw_key(F.lit(seed), F.lit(epoch), F.col(shard), F.col("batch_no")))
+    # by the first two digits of the draw in parts, which are numbered on their own
+    each = each.withColumn("part", F.substring("draw", 1, 2))
+    counts = each.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # 256 parts
+    counts = counts.select("part", F.coalesce(ahead, F.lit(0)).alias("ahead"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("draw", shard, "batch_no")) - 1
+    at = each.withColumn("own", own).join(F.broadcast(counts), "part").withColumn("at", F.col("own") + F.col("ahead"))
+    at = at.where(F.col("at") < F.floor(F.col("total") / world) * world)
+    return at.select(shard, "batch_no", F.pmod("at", F.lit(world)).cast("int").alias("rank"), F.floor(F.col("at") / world).cast("int").alias("place"))
+
+
 def rank_stride(rows: DataFrame, world: int, rank: int | None = None, key: str = "image_id") -> DataFrame:
     """rows with the rank that reads them, or only one rank's rows."""
     out = rows.withColumn("rank", (F.col(key) % world).cast("int"))
@@ -47,39 +64,100 @@ def rank_stride(rows: DataFrame, world: int, rank: int | None = None, key: str =
 
 def random_subset(rows: DataFrame, n: int, seed: int, key: str = "image_id") -> DataFrame:
     """n rows in a random order: a top-n by hash, taken in each partition first."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.orderBy(draw_key(F.lit(seed), F.col(key)), key).limit(n)
+
+
+def sample_rows(rows: DataFrame, n: int, seed: int | None = None, key: str = "image_id") -> DataFrame:
+    """n rows, the first by key or, with a seed, random ones; a table without rows is an error."""
+    out = rows.orderBy(key).limit(n) if seed is None else random_subset(rows, n, seed, key)
+    if out.isEmpty():
+        raise ValueError("no samples")
+    return out
 
 
 def flips(rows: DataFrame, seed: int, epoch: int, w: int = 8, pixels: str = "pixels", key: str = "image_id") -> DataFrame:
     """rows whose row-major images of width w are mirrored for half the keys."""
-    mirrored = F.transform(F.sequence(F.lit(0), F.size(pixels) - 1), lambda i: F.get(pixels, (F.floor(i / w) * w + (w - 1) - i % w).cast("int")))
-    return rows.withColumn(pixels, F.when(uniform(F.lit(seed), F.lit(epoch), F.col(key)) < 0.5, mirrored).otherwise(F.col(pixels)))
+
+    def mirrored(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.get(p, (F.floor(i / w) * w + (w - 1) - i % w).cast("int")))
+
+    draw = uniform(F.lit(seed), F.lit(epoch), F.col(key)) < 0.5
+    return rows.withColumn(pixels, let(F.col(pixels), lambda p: F.when(draw, mirrored(p)).otherwise(p)))
 
 
 def jitter(rows: DataFrame, seed: int, epoch: int, strength: float = 0.2, pixels: str = "pixels", key: str = "image_id") -> DataFrame:
     """rows with brightness and contrast changed by up to `strength`, clamped to 0..1."""
     b, c = (1 + strength * (2 * uniform(F.lit(seed), F.lit(epoch), F.col(key), F.lit(i)) - 1) for i in range(2))
-    mean = F.aggregate(pixels, F.lit(0.0), lambda s, v: s + v) / F.size(pixels)
-    return rows.withColumn(pixels, F.transform(pixels, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((v * b) - mean * b) * c + mean * b))))
+
+    def changed(p: Column, s: Column) -> Column:
+        return F.transform(p, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v * s["b"] - s["mean"] * s["b"]) * s["c"] + s["mean"] * s["b"])))
+
+    mean = lambda p: array_sum(p) / F.size(p)
+    return rows.withColumn(pixels, let(F.col(pixels), lambda p: let(F.struct(b.alias("b"), c.alias("c"), mean(p).alias("mean")), lambda s: changed(p, s))))
+
+
+def saturation(rows: DataFrame, seed: int, epoch: int, strength: float = 0.2, pixels: str = "pixels", key: str = "image_id") -> DataFrame:
+    """rows whose RGB planes, one after the other, move from or towards their grey by up to `strength`, clamped to 0..1."""
+    draw = 1 + strength * (2 * uniform(F.lit(seed), F.lit(epoch), F.col(key), F.lit(4)) - 1)
+
+    def changed(p: Column, s: Column) -> Column:
+        n = (F.size(p) / 3).cast("int")
+
+        def pixel(v: Column, i: Column) -> Column:
+            at = i % n
+            grey = 0.299 * F.get(p, at) + 0.587 * F.get(p, at + n) + 0.114 * F.get(p, at + 2 * n)
+            return F.greatest(F.lit(0.0), F.least(F.lit(1.0), grey + (v - grey) * s))
+
+        return F.transform(p, pixel)
+
+    return rows.withColumn(pixels, let(F.col(pixels), lambda p: let(draw, lambda s: changed(p, s))))
+
+
+def _cell(p: Column, y: Column, x: Column, h: int, w: int) -> Column:
+    inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+    return F.when(inside, F.get(p, F.greatest(F.lit(0), y * w + x).cast("int"))).otherwise(0.0)
+
+
+def _moved(rows: DataFrame, dy: Column, dx: Column, h: int, w: int, pixels: str, pixel: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """rows with pixel(old pixels, y, x) at each place, which is moved by dy and dx."""
+
+    def moved(p: Column, d: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: pixel(p, F.floor(i / w) + d["dy"], i % w + d["dx"]))
+
+    return rows.withColumn(pixels, let(F.col(pixels), lambda p: let(F.struct(dy.alias("dy"), dx.alias("dx")), lambda d: moved(p, d))))
+
+
+def affine(rows: DataFrame, seed: int, epoch: int, most: float, h: int = 8, w: int = 8, pixels: str = "pixels", key: str = "image_id") -> DataFrame:
+    """rows moved by up to `most` pixels each way, parts of a pixel too: bilinear, zeros beyond the edge."""
+    dy, dx = ((2 * uniform(F.lit(seed), F.lit(epoch), F.col(key), F.lit(i)) - 1) * most for i in (5, 6))
+
+    def pixel(p: Column, y: Column, x: Column) -> Column:
+        y0, x0 = F.floor(y), F.floor(x)
+        fy, fx = y - y0, x - x0
+        row = lambda at: (1 - fx) * _cell(p, at, x0, h, w) + fx * _cell(p, at, x0 + 1, h, w)
+        return (1 - fy) * row(y0) + fy * row(y0 + 1)
+
+    return _moved(rows, dy, dx, h, w, pixels, pixel)
+
+
+def grid_crop(rows: DataFrame, seed: int, epoch: int, nph: int, npw: int, out_h: int, out_w: int, by: str = "patch", key: str = "image_id") -> DataFrame:
+    """rows (image, patch) of the out_h x out_w patches of a random place of the grid, with their place in it as `cell`."""
+    top, left = (F.floor(uniform(F.lit(seed), F.lit(epoch), F.col(key), F.lit(i)) * (n - out + 1)).cast("int") for i, n, out in ((7, nph, out_h), (8, npw, out_w)))
+    y, x = F.floor(F.col(by) / npw).cast("int") - top, F.col(by) % npw - left
+    return rows.withColumn("cell", (y * out_w + x).cast("int")).where((y >= 0) & (y < out_h) & (x >= 0) & (x < out_w))
 
 
 def shifted(rows: DataFrame, seed: int, epoch: int, most: int, h: int = 8, w: int = 8, pixels: str = "pixels", key: str = "image_id") -> DataFrame:
     """rows moved by up to `most` pixels each way, zeros behind: the crop of a zero-padded image."""
     dy, dx = (F.floor(uniform(F.lit(seed), F.lit(epoch), F.col(key), F.lit(i)) * (2 * most + 1)).cast("int") - most for i in (2, 3))
-
-    def pixel(i: Column) -> Column:
-        y, x = F.floor(i / w).cast("int") + dy, i % w + dx
-        inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
-        return F.when(inside, F.get(pixels, F.greatest(F.lit(0), y * w + x))).otherwise(0.0)
-
-    return rows.withColumn(pixels, F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), pixel))
+    return _moved(rows, dy, dx, h, w, pixels, lambda p, y, x: _cell(p, y, x, h, w))
 
 
 def _partners(rows: DataFrame, seed: int, batch: int, pixels: str, key: str) -> DataFrame:
     """rows beside another of their batch of keys: op and ol are its pixels and label."""
     own = Window.partitionBy("batch")
     base = rows.withColumn("batch", F.floor(F.col(key) / batch)).withColumn("at", F.row_number().over(own.orderBy(key)))
-    other = base.withColumn("at", F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)))
+    other = base.withColumn("at", F.row_number().over(own.orderBy(draw_key(F.lit(seed), F.col(key)), key)))
     return base.join(other.select("batch", "at", F.col(pixels).alias("op"), F.col("label").alias("ol")), ["batch", "at"])
 
 
@@ -103,17 +181,20 @@ def cutmix(rows: DataFrame, classes: int, seed: int, smoothing: float = 0.0, sid
     both = _partners(rows, seed, batch, pixels, key)
     top, left = (F.floor(uniform(F.lit(seed), F.col(key), F.lit(i)) * (n - side + 1)).cast("int") for i, n in ((0, h), (1, w)))
 
-    def pixel(v: Column, i: Column) -> Column:
-        y, x = F.floor(i / w), i % w
-        inside = (y >= F.col("top")) & (y < F.col("top") + side) & (x >= F.col("left")) & (x < F.col("left") + side)
-        return F.when(inside, F.get("op", i)).otherwise(v)
+    def pasted(s: Column) -> Column:
+        def pixel(v: Column, i: Column) -> Column:
+            y, x = F.floor(i / w), i % w
+            inside = (y >= s["top"]) & (y < s["top"] + side) & (x >= s["left"]) & (x < s["left"] + side)
+            return F.when(inside, F.get("op", i)).otherwise(v)
+
+        return F.transform(pixels, pixel)
 
-    both = both.withColumn("top", top).withColumn("left", left)
-    return both.select(key, F.transform(pixels, pixel).alias(pixels), _soft(classes, smoothing, F.lit(1 - side * side / (h * w))).alias("target"))
+    mixed = let(F.struct(top.alias("top"), left.alias("left")), pasted)
+    return both.select(key, mixed.alias(pixels), _soft(classes, smoothing, F.lit(1 - side * side / (h * w))).alias("target"))
 
 
 def random_coefficients(rows: DataFrame, kept: int, size: int, seed: int) -> DataFrame:
     """rows (z) with the same `kept` positions of `size` left for all blocks, drawn by hash: the random baseline."""
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(F.xxhash64(F.lit(seed), i).alias("h"), i.alias("i"))))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(draw_key(F.lit(seed), i).alias("h"), i.alias("i"))))
     chosen = F.transform(F.slice(order, 1, kept), lambda x: x["i"])
-    return rows.withColumn("z", F.transform("z", lambda v, i: F.when(F.array_contains(chosen, i), v).otherwise(0.0)))
+    return rows.withColumn("z", let(chosen, lambda c: F.transform("z", lambda v, i: F.when(F.array_contains(c, i), v).otherwise(0.0))))

@@ -6,6 +6,7 @@ reader of few bands opens few files; tiles are sorted, so row groups without a w
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions.codec import compress, unpack
 from bandloom.functions.dims import CROP_BANDS, Bands, quality_tables, zigzag
-from bandloom.functions.transforms import band_slice, quantise, to_ycbcr
+from bandloom.functions.transforms import band_slice, quantise, resize_any, to_ycbcr
 from bandloom.operators.blocks import restored, split_blocks, transformed
 from bandloom.operators.crops import block_rect, overlapping_tiles
 
@@ -177,22 +178,39 @@ def chunk_tables(images: DataFrame, spec: ChunkSpec) -> tuple[DataFrame, DataFra
 def write_chunk_store(images: DataFrame, path: str, spec: ChunkSpec, records_per_shard: int = 1024, resume: bool = False) -> None:
     """images (image_id, label, height, width, pixels RGB in 0..1) packed by tile and band, in folders by shard and band.
 
-    With resume only images that the store lacks are added; Spark's commit protocol leaves no half-written shard behind.
+    Every write has an id that its chunks and its images carry, and readers match both. So chunks of a write that failed before
+    its images were listed are never read, and a write that runs again stores each image once: with resume only images that
+    the store does not list are added. drop_orphans() deletes what failed writes have left.
     """
     spark = images.sparkSession
     if resume:
         open_metadata(spark, path, CHUNK_STORE)
         images = images.join(spark.read.parquet(f"{path}/images").select("image_id"), "image_id", "left_anti")
+    write_id = uuid.uuid4().hex
     heads, chunks = chunk_tables(images, spec)
+    heads = heads.withColumn("write_id", F.lit(write_id))
+    chunks = chunks.withColumn("write_id", F.lit(write_id))
     shard = F.floor(F.col("image_id") / records_per_shard).cast("int")
     mode = "append" if resume else "overwrite"
     # chunks first: an image that is listed has its chunks
-    chunks.withColumn("shard_id", shard).repartition("shard_id").sortWithinPartitions("shard_id", "band_id", "image_id", "tile_id").write.mode(mode).partitionBy("shard_id", "band_id").parquet(f"{path}/chunks")
+    chunks.withColumn("shard_id", shard).repartition("shard_id").sortWithinPartitions("shard_id", "band_id", "image_id", "tile_id").write.mode(mode).partitionBy("write_id", "shard_id", "band_id").parquet(f"{path}/chunks")
     heads.withColumn("shard_id", shard).write.mode(mode).parquet(f"{path}/images")
     if not resume:
         write_metadata(spark, path, CHUNK_STORE, {"quality": str(spec.quality), "tile_blocks": str(spec.tile_blocks), "codec": spec.codec})
 
 
+def drop_orphans(spark: SparkSession, path: str) -> list[str]:
+    """Deletes the chunks of writes that no image names; not while a write is running. Returns their ids."""
+    listed = {r[0] for r in spark.read.parquet(f"{path}/images").select("write_id").distinct().collect()}
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunks")
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in fs.listStatus(base) if s.getPath().getName().startswith("write_id=")]
+    orphans = [f for f in folders if f.getName().removeprefix("write_id=") not in listed]
+    for f in orphans:
+        fs.delete(f, True)
+    return [f.getName().removeprefix("write_id=") for f in orphans]
+
+
 def open_chunk_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, ChunkSpec]:
     o = open_metadata(spark, path, CHUNK_STORE)
     spec = ChunkSpec(int(o["quality"]), int(o["tile_blocks"]), codec=o["codec"])
@@ -201,10 +219,10 @@ def open_chunk_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def crop_reads(images: DataFrame, chunks: DataFrame, requests: DataFrame, spec: ChunkSpec, wanted: list[int] | None = None) -> DataFrame:
     """The chunks that requests (image_id, top, left, crop_h, crop_w) touch, with the range of blocks each request needs."""
-    heads = images.select("image_id", "shard_id", "nph", "npw", "height", "width")
+    heads = images.select("image_id", "shard_id", "write_id", "nph", "npw", "height", "width")
     tiles = overlapping_tiles(block_rect(requests.join(heads, "image_id"), spec.block), spec.tile_blocks)
     chosen = chunks if wanted is None else chunks.where(F.col("band_id").isin(wanted))
-    return tiles.join(chosen, ["shard_id", "image_id", "tile_id"])
+    return tiles.join(chosen, ["write_id", "shard_id", "image_id", "tile_id"])
 
 
 def _unpacker(spec: ChunkSpec):
@@ -250,6 +268,19 @@ def read_crops(images: DataFrame, chunks: DataFrame, requests: DataFrame, spec:
     return parts.select("image_id", "top", "left", "crop_h", "crop_w", F.pandas_udf(_crop_pixels, "array<double>")("b", "npw", "top", "left", "crop_h", "crop_w").alias("pixels"))
 
 
+def resized_crops(crops: DataFrame, out_h: int, out_w: int, antialias: bool = True) -> DataFrame:
+    """crops (crop_h, crop_w, pixels in planes) with their pixels resized to out_h x out_w, whatever their size."""
+    return crops.withColumn("pixels", resize_any("pixels", "crop_h", "crop_w", F.lit(out_h), F.lit(out_w), antialias))
+
+
+def residual_serve(spark: SparkSession, base: DataFrame, path: str, k: int, patches: list[int]) -> DataFrame:
+    """base (image_id, patch, pixels) of the first k bands with the stored residuals of these patches added; a residual store
+    without that k is an error."""
+    rest = read_residuals(spark, path, k, patches).select("image_id", "patch", "residual")
+    whole = F.zip_with("pixels", F.coalesce("residual", F.transform("pixels", lambda v: F.lit(0.0))), lambda a, b: a + b)
+    return base.join(rest, ["image_id", "patch"], "left").withColumn("pixels", whole).drop("residual")
+
+
 def _crop_pixels(blocks: pd.Series, npw: pd.Series, top: pd.Series, left: pd.Series, crop_h: pd.Series, crop_w: pd.Series) -> pd.Series:
     """RGB in 0..1 of each crop, from the YCbCr blocks that it touches."""
     out = []

@@ -241,7 +241,7 @@ def entropy_by_band(spark, sf_dir):
 @query
 def precision_search(spark, sf_dir):
     v = _values(spark, sf_dir).select("band_id", "value").persist()
-    trials = quantize.search_precision(v, ["band_id"], quantize.Gate(psnr=45.0, ssim=0.99), steps=4)
+    trials = quantize.search_precision(v, ["band_id"], quantize.Gate(psnr=45.0, ssim=0.99))
     v.unpersist()
     rows = [(i, t["dtype"], float(t["multiplier"]), float(t["psnr"]), float(t["ssim"]), float(t["clip_fraction"]), float(t["zero_fraction"]), t["passed"]) for i, t in enumerate(trials)]
     return spark.createDataFrame(rows, "trial int, dtype string, multiplier double, psnr double, ssim double, clip_fraction double, zero_fraction double, passed boolean")
@@ -351,11 +351,10 @@ def match_static_kq(spark, sf_dir):
 
 @query
 def serve_greedy_psnr(spark, sf_dir):
-    """The flagship: allocate half of the slots, read only those bands, reconstruct, and account for quality and bytes."""
+    """The flagship: allocate half of the slots, and account for the quality and bytes of serving only their bands."""
     z = coefficients(spark, sf_dir).select("image_id", "patch", "z")
     alloc = al.allocate(bl.patch_signal(z), HALF, band_weights(spark))
-    served = bl.serve(z, alloc, BANDS)
-    q = bl.served_quality(z, served, ["image_id"]).withColumn("mse", F.col("sq_error") / F.col("values"))
+    q = bl.serve_error(z, alloc, BANDS, ["image_id"]).withColumn("mse", F.col("sq_error") / F.col("values"))
     width = 4 * (BANDS.edges[0][1] - BANDS.edges[0][0])
     io = alloc.groupBy("image_id").agg(F.sum("k").alias("slots"), (F.sum("k") * width).alias("bytes_read"), (F.count("*") * BANDS.count * width).alias("full_bytes"))
     out = q.join(io, "image_id")
@@ -400,7 +399,7 @@ def policy_comparison(spark, sf_dir):
     signal, out = bl.patch_signal(z), None
     for policy in ("greedy", "gradient", "static"):
         alloc = al.allocate(signal, al.Fidelity(BANDS.count, k_low=1, ratio=0.4, policy=policy), band_weights(spark), patch_weights(spark))
-        cut = bl.served_quality(z, bl.serve(z, alloc, BANDS), ["image_id"]).agg(F.sum("sq_error").alias("e"), F.sum("values").alias("n"))
+        cut = bl.serve_error(z, alloc, BANDS, ["image_id"]).agg(F.sum("sq_error").alias("e"), F.sum("values").alias("n"))
         one = cut.crossJoin(alloc.agg(F.sum("k").alias("slots"))).select(F.lit(policy).alias("policy"), r(F.col("e") / F.col("n"), 9).alias("mse"), "slots")
         out = one if out is None else out.unionAll(one)
     return out
@@ -543,27 +542,31 @@ def bucket_batches(spark, sf_dir):
 def augmented(spark, sf_dir):
     b = blocks(spark, sf_dir).select((F.col("image_id") * PATCHES + F.col("patch")).alias("image_id"), F.transform("pixels", lambda v: (v + 1) / 2).alias("pixels"))
     out = sampling.shifted(sampling.jitter(sampling.flips(b, 1, 0), 1, 0), 1, 0, 2)
-    return out.select("image_id", F.size("pixels").alias("n"), r(tf.array_sum(F.col("pixels"))).alias("total"))
+    return out.select("image_id", F.posexplode("pixels").alias("i", "v")).select("image_id", "i", r("v").alias("value"))
 
 
 @query
 def mixup(spark, sf_dir):
     b = blocks(spark, sf_dir).select((F.col("image_id") * PATCHES + F.col("patch")).alias("image_id"), "label", "pixels")
-    m = sampling.mixup(b, 10, 3, smoothing=0.1)
-    return m.select("image_id", r(tf.array_sum(F.col("target"))).alias("mass"), F.size("pixels").alias("n"))
+    return _mixed(sampling.mixup(b, 10, 3, smoothing=0.1))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Pixels and soft labels by place."""
+    both = rows.select("image_id", F.posexplode("pixels").alias("i", "v"), "target")
+    return both.select("image_id", "i", r("v").alias("value"), r(F.coalesce(F.get("target", F.col("i")), F.lit(0.0)), 9).alias("target"))
 
 
 @query
 def cutmix(spark, sf_dir):
     b = blocks(spark, sf_dir).select((F.col("image_id") * PATCHES + F.col("patch")).alias("image_id"), "label", "pixels")
-    m = sampling.cutmix(b, 10, 3)
-    return m.select("image_id", r(tf.array_sum(F.col("target"))).alias("mass"), F.size("pixels").alias("n"))
+    return _mixed(sampling.cutmix(b, 10, 3))
 
 
 @query
 def random_coefficients(spark, sf_dir):
     z = sampling.random_coefficients(coefficients(spark, sf_dir).select("image_id", "patch", "z"), 20, 64, 5)
-    return z.groupBy("patch").agg(F.max(F.size(F.filter("z", lambda v: v != 0))).alias("most"), F.count("*").alias("n"))
+    return z.select("image_id", "patch", F.posexplode("z").alias("pos", "v")).groupBy("pos").agg(r(F.sum(F.col("v") * F.col("v"))).alias("energy"), F.count("*").alias("n"))
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -642,7 +645,7 @@ def shard_store_read(spark, sf_dir):
     path, z = scratch(spark), coefficients(spark, sf_dir).select("image_id", "patch", "z")
     scales = quantize.calibrate(_values(spark, sf_dir), ["band_id"])
     store.write_shard_store(z, path, BANDS, scales, records_per_shard=10)
-    rows = store.read_shard_store(spark, path, k=8, shards=[0, 1])
+    rows = store.read_shard_store(spark, path, k=8)
     return rows.groupBy("shard_id", "band_id").agg(F.count("*").alias("blocks"), r(F.sum(tf.array_sum(F.transform("vals", lambda v: v * v))), 3).alias("energy"))
 
 

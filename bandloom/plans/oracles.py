@@ -209,8 +209,39 @@ ORACLE_SQL["policy_comparison"] = (
     + "SELECT policy, round(mse, 9) AS mse, slots::BIGINT AS slots FROM e JOIN s USING (policy)"
 )
 _SHARD = _with(_DCT, "sc AS (SELECT band_id, greatest(max(abs(v)) / 127, 1e-12) AS scale FROM z GROUP BY ALL)", "q AS (SELECT image_id // 10 AS shard_id, image_id, patch, band_id, greatest(-128, least(127, round_even(v::FLOAT::DOUBLE / scale, 0))) * scale AS v FROM z JOIN sc USING (band_id))")
-ORACLE_SQL["shard_store_read"] = _SHARD + "SELECT shard_id::INTEGER AS shard_id, band_id::INTEGER AS band_id, count(DISTINCT image_id * 100 + patch)::BIGINT AS blocks, round(sum(v * v), 3) AS energy FROM q WHERE band_id < 8 AND shard_id IN (0, 1) GROUP BY ALL"
+ORACLE_SQL["shard_store_read"] = _SHARD + "SELECT shard_id::INTEGER AS shard_id, band_id::INTEGER AS band_id, count(DISTINCT image_id * 100 + patch)::BIGINT AS blocks, round(sum(v * v), 3) AS energy FROM q WHERE band_id < 8 GROUP BY ALL"
 ORACLE_SQL["bucket_batches"] = (
     ORACLE_SQL["coarse_buckets"].replace("SELECT image_id, bucket_id::INTEGER AS bucket_id, h::INTEGER AS bucket_nph, w::INTEGER AS bucket_npw FROM b JOIN k USING (raw)", "")
     + "SELECT image_id, bucket_id::INTEGER AS bucket_id, ((row_number() OVER w - 1) // 8)::INTEGER AS batch_no FROM b JOIN k USING (raw) WINDOW w AS (PARTITION BY bucket_id ORDER BY image_id) QUALIFY row_number() OVER w - 1 < count(*) OVER (PARTITION BY bucket_id) // 8 * 8"
 )
+
+
+def _u(*parts: object) -> str:
+    """uniform() of these parts."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(map(str, parts))})), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE)"
+
+
+ORACLE_SQL["alloc_random"] = _with((*_DCT, "sig"), f"o AS (SELECT image_id, patch, row_number() OVER (PARTITION BY image_id ORDER BY {_u(7, 'image_id', 'patch')} DESC, patch) AS place, count(*) OVER (PARTITION BY image_id) AS n FROM sig)") + "SELECT image_id, patch::INTEGER AS patch, (CASE WHEN place <= greatest(0, least(n, round_even((greatest(n, least(n * 16, round_even(0.4::DOUBLE * n * 16, 0))) - n) / 15.0, 0))) THEN 16 ELSE 1 END)::INTEGER AS k FROM o"
+ORACLE_SQL["random_crops"] = (
+    _with(("sh",),
+        f"u AS (SELECT image_id, height, width, t, {', '.join(f'{_u(11, "image_id", "t", i)} AS u{i}' for i in range(4))} FROM sh, range(1, 11) r(t))",
+        "a AS (SELECT *, height * width * (0.08::DOUBLE + 0.92::DOUBLE * u0) AS area, exp(ln(0.75::DOUBLE) + (ln(4.0::DOUBLE / 3) - ln(0.75::DOUBLE)) * u1) AS aspect FROM u)",
+        "d AS (SELECT *, round_even(sqrt(area * aspect), 0)::INTEGER AS cw, round_even(sqrt(area / aspect), 0)::INTEGER AS ch FROM a)",
+        "f AS (SELECT image_id, arg_min({'top': floor(u2 * (height - ch + 1))::INTEGER, 'left': floor(u3 * (width - cw + 1))::INTEGER, 'h': ch, 'w': cw}, t) AS c FROM d WHERE ch > 0 AND ch <= height AND cw > 0 AND cw <= width GROUP BY image_id)")
+    + "SELECT image_id, height::INTEGER AS height, width::INTEGER AS width, coalesce(c.top, (height - least(height, width)) // 2)::INTEGER AS top, coalesce(c.left, (width - least(height, width)) // 2)::INTEGER AS left, coalesce(c.h, least(height, width))::INTEGER AS crop_h, coalesce(c.w, least(height, width))::INTEGER AS crop_w FROM sh LEFT JOIN f USING (image_id)"
+)
+_VEC = "v AS (SELECT vec_id AS image_id, label, i, i // 8 AS y, i % 8 AS x, (embedding[i + 1]::DOUBLE + 1) / 2 AS p FROM embeddings, range(64) t(i))"
+ORACLE_SQL["augmented"] = _with((), _VEC,
+    f"d AS (SELECT DISTINCT image_id, {_u(1, 0, 'image_id')} < 0.5 AS flip, 1 + 0.2::DOUBLE * (2 * {_u(1, 0, 'image_id', 0)} - 1) AS b, 1 + 0.2::DOUBLE * (2 * {_u(1, 0, 'image_id', 1)} - 1) AS c, floor({_u(1, 0, 'image_id', 2)} * 5)::BIGINT - 2 AS dy, floor({_u(1, 0, 'image_id', 3)} * 5)::BIGINT - 2 AS dx FROM v)",
+    "f AS (SELECT image_id, y, CASE WHEN flip THEN 7 - x ELSE x END AS x, p, b, c, dy, dx FROM v JOIN d USING (image_id))",
+    "m AS (SELECT image_id, avg(p) AS mean FROM f GROUP BY ALL)",
+    "j AS (SELECT image_id, y, x, greatest(0.0, least(1.0, (p * b - mean * b) * c + mean * b)) AS p, dy, dx FROM f JOIN m USING (image_id))"
+) + "SELECT o.image_id, o.i::INTEGER AS i, round(coalesce(j.p, 0.0), 6) + 0.0 AS value FROM (SELECT image_id, i, y, x, dy, dx FROM v JOIN d USING (image_id)) o LEFT JOIN j ON j.image_id = o.image_id AND j.y = o.y + o.dy AND j.x = o.x + o.dx"
+_PARTNER = (
+    "own AS (SELECT vec_id AS image_id, label, embedding, vec_id // 64 AS batch, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) AS turn FROM embeddings)",
+    "oth AS (SELECT label AS ol, embedding AS oe, vec_id // 64 AS batch, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY md5(concat_ws(':', 3, vec_id)), vec_id) AS turn FROM embeddings)",
+    "two AS (SELECT image_id, label, ol, embedding, oe, i FROM own JOIN oth USING (batch, turn), range(64) t(i))",
+)
+ORACLE_SQL["mixup"] = _with((), *_PARTNER) + "SELECT image_id, i::INTEGER AS i, round(0.7::DOUBLE * embedding[i + 1]::DOUBLE + 0.3::DOUBLE * oe[i + 1]::DOUBLE, 6) + 0.0 AS value, round(CASE WHEN i < 10 THEN 0.7::DOUBLE * (label = i)::INTEGER * 0.9 + 0.3::DOUBLE * (ol = i)::INTEGER * 0.9 + 0.01 ELSE 0 END, 9) + 0.0 AS target FROM two"
+ORACLE_SQL["cutmix"] = _with((), *_PARTNER, f"c AS (SELECT vec_id AS image_id, floor({_u(3, 'vec_id', 0)} * 5) AS t, floor({_u(3, 'vec_id', 1)} * 5) AS l FROM embeddings)") + "SELECT image_id, i::INTEGER AS i, round(CASE WHEN i // 8 >= t AND i // 8 < t + 4 AND i % 8 >= l AND i % 8 < l + 4 THEN oe[i + 1]::DOUBLE ELSE embedding[i + 1]::DOUBLE END, 6) + 0.0 AS value, round(CASE WHEN i < 10 THEN 0.75 * (label = i)::INTEGER + 0.25 * (ol = i)::INTEGER ELSE 0 END, 9) + 0.0 AS target FROM two JOIN c USING (image_id)"
+ORACLE_SQL["random_coefficients"] = _with(_DCT, "kept AS (SELECT i AS pos FROM range(64) t(i) ORDER BY md5(concat_ws(':', 5, i)), i LIMIT 20)") + "SELECT pos::INTEGER AS pos, round(sum(CASE WHEN pos IN (SELECT pos FROM kept) THEN v * v ELSE 0 END), 6) + 0.0 AS energy, count(*)::BIGINT AS n FROM z GROUP BY pos"

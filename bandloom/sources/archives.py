@@ -3,76 +3,163 @@
 from __future__ import annotations
 
 import io
+import json
+import os
+import re
 import tarfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from bandloom.sources.folders import shard_list
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png")
 LABEL_SUFFIX = "cls"
+#: Bytes of images in a batch of samples.
+SAMPLE_BYTES = 8 << 20
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+:")
 SCHEMA = "shard string, position int, key string, content binary, label int"
 
 
-def members(content: bytes) -> Iterator[tuple[str, str, bytes]]:
-    """(key, suffix, bytes) of the files in an archive."""
-    with tarfile.open(fileobj=io.BytesIO(content)) as archive:
-        for m in archive:
-            if not m.isfile():
-                continue
+def members(archive: tarfile.TarFile) -> Iterator[tuple[str, str, tarfile.TarInfo]]:
+    """(key, suffix, member) of the files in an archive, whose contents are not read yet."""
+    for m in archive:
+        if m.isfile():
             folder, _, name = m.name.rpartition("/")
             base, _, suffix = name.partition(".")
-            yield f"{folder}/{base}" if folder else base, suffix.lower(), archive.extractfile(m).read()
+            yield f"{folder}/{base}" if folder else base, suffix.lower(), m
 
 
-def samples(content: bytes) -> Iterator[tuple[str, bytes, int]]:
-    """(key, image, label) as soon as both are there; samples that lack one are left out."""
-    images: dict[str, bytes] = {}
-    labels: dict[str, int] = {}
-    for key, suffix, data in members(content):
-        if suffix in IMAGE_SUFFIXES:
-            images[key] = data
-        elif suffix == LABEL_SUFFIX:
-            labels[key] = int(data.decode().strip())
-        if key in images and key in labels:
-            yield key, images.pop(key), labels.pop(key)
+def samples(file: BinaryIO, done: int = 0) -> Iterator[tuple[int, str, bytes, int]]:
+    """(position, key, image, label) as soon as both are there; samples that lack one are left out. Contents of the first `done`
+    samples are not read."""
+    images: dict[str, tarfile.TarInfo] = {}
+    labels: dict[str, tarfile.TarInfo] = {}
+    position = 0
+    with tarfile.open(fileobj=file) as archive:
+        for key, suffix, m in members(archive):
+            if suffix in IMAGE_SUFFIXES:
+                images[key] = m
+            elif suffix == LABEL_SUFFIX:
+                labels[key] = m
+            if key in images and key in labels:
+                image, label = images.pop(key), labels.pop(key)
+                if position >= done:
+                    yield position, key, archive.extractfile(image).read(), int(archive.extractfile(label).read().decode().strip())
+                position += 1
+            archive.members = []  # the list of what was seen would grow with the archive
+
+
+class _TarReader(DataSourceReader):
+    def __init__(self, shards: list[tuple[str, int]]) -> None:
+        self.shards = shards
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(s) for s in self.shards]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        shard, done = partition.value
+        with open(shard, "rb") as file:  # members are read one by one, so an archive may be larger than memory
+            for position, key, image, label in samples(file, done):
+                yield shard, position, key, image, label
+
+
+class TarSamples(DataSource):
+    """Archives on mounted folders as a Spark source: a partition for each. Option shards: JSON of [path, samples to skip]."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tar_samples"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _TarReader([tuple(s) for s in json.loads(self.options["shards"])])
 
 
 def read_archives(spark: SparkSession, patterns: str | list[str], skip: DataFrame | None = None) -> DataFrame:
-    """Rows (shard, position, key, content, label) of all samples; an archive is one task's work, read by Spark itself.
+    """Rows (shard, position, key, content, label) of all samples; an archive is one task's work.
 
-    skip: rows (shard, done): the first samples of a shard that are stored already.
+    Archives with a plain path are streamed member by member; others, such as those in object stores, are read as whole files by
+    Spark, which takes files of up to 2 GB. skip: rows (shard, done), one for each shard at most: the first samples of a shard
+    that are stored already, and whose contents are left unread.
     """
-    files = spark.read.format("binaryFile").load(shard_list(patterns)).select(F.col("path").alias("shard"), "content")
-    files = files.repartition("shard")
+    shards = shard_list(patterns)
+    done = {r["shard"]: r["done"] for r in skip.select("shard", "done").collect()} if skip is not None else {}
+    if not any(_SCHEME.match(s) for s in shards):
+        spark.dataSource.register(TarSamples)
+        return spark.read.format("tar_samples").option("shards", json.dumps([(s, done.get(s, 0)) for s in shards])).load()
+    files = spark.read.format("binaryFile").load(shards).select(F.col("path").alias("shard"), "content").repartition("shard")
 
-    def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch["shard"], batch["content"], strict=True):
-                rows = [(shard, i, key, image, label) for i, (key, image, label) in enumerate(samples(bytes(content)))]
-                yield pd.DataFrame(rows, columns=["shard", "position", "key", "content", "label"])
-
-    rows = files.mapInPandas(unfold, SCHEMA)
-    if skip is None:
-        return rows
-    done = rows.join(skip, "shard", "left")
-    return done.where(F.col("position") >= F.coalesce("done", F.lit(0))).select(*rows.columns)
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, held = [], 0
+                for position, key, image, label in samples(io.BytesIO(content.as_buffer()), done.get(shard, 0)):
+                    rows.append((shard, position, key, image, label))
+                    held += len(image)
+                    if held > SAMPLE_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
+                yield _batch(rows)
+
+    return files.mapInArrow(unfold, SCHEMA)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "position", "key", "content", "label"])
+
+
+def write_archives(rows: DataFrame, folder: str, samples_per_shard: int) -> list[str]:
+    """Rows (id, key, content, label) as archives of consecutive ids in a mounted folder; returns their names."""
+    os.makedirs(folder, exist_ok=True)
+    dealt = rows.withColumn("shard_id", F.floor(F.col("id") / samples_per_shard).cast("int")).repartition("shard_id").sortWithinPartitions("shard_id", "id")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, archive, written = None, None, []
+        for b in batches:
+            for shard, key, content, label in zip(*(b.column(c).to_pylist() for c in ("shard_id", "key", "content", "label")), strict=True):
+                if shard != now:
+                    if archive is not None:
+                        archive.close()
+                    now, name = shard, f"{folder}/part-{shard:06d}.tar"
+                    written.append(name)
+                    archive = tarfile.open(name, "w")
+                for suffix, data in ((IMAGE_SUFFIXES[0], content), (LABEL_SUFFIX, str(label).encode())):
+                    info = tarfile.TarInfo(f"{key}.{suffix}")
+                    info.size = len(data)
+                    archive.addfile(info, io.BytesIO(data))
+        if archive is not None:
+            archive.close()
+        yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], ["name"])
+
+    return sorted(r["name"] for r in dealt.select("shard_id", "key", "content", "label").mapInArrow(write, "name string").collect())
 
 
 def read_keys(spark: SparkSession, patterns: str | list[str], wanted: DataFrame, shard_of_key: str | None = None) -> DataFrame:
     """Samples of the wanted keys (column key); missing ones are an error. With a pattern whose first group is found in keys
-    and in shard names, only the shards that can hold a wanted key are opened."""
+    and in shard names, shards whose name fits a wanted key are opened first, and others only if a key is not in these."""
     shards = shard_list(patterns)
     if shard_of_key is not None:
         heads = {r[0] for r in wanted.select(F.regexp_extract("key", shard_of_key, 1)).distinct().collect()}  # one for each shard at most
         shards = [s for s in shards if any(h and h in s for h in heads)] or shards[:1]
-    rows = read_archives(spark, shards).join(wanted.select("key").distinct(), "key", "left_semi")
-    lost = wanted.select("key").distinct().join(rows.select("key"), "key", "left_anti").limit(5).collect()
-    if lost:
-        raise KeyError(f"missing keys: {', '.join(r[0] for r in lost)}")
+    keys = wanted.select("key").distinct()
+    rows = read_archives(spark, shards).join(keys, "key", "left_semi")
+    lost = keys.join(rows.select("key"), "key", "left_anti")
+    rest = [x for x in shard_list(patterns) if x not in set(shards)]
+    if rest and not lost.isEmpty():  # names do not tell after all: look in the other shards too
+        rows = rows.unionAll(read_archives(spark, rest).join(lost, "key", "left_semi"))
+    missing = keys.join(rows.select("key"), "key", "left_anti").limit(5).collect()
+    if missing:
+        raise KeyError(f"missing keys: {', '.join(r[0] for r in missing)}")
     return rows
 
 

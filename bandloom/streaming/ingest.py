@@ -13,7 +13,8 @@ IMAGE_SCHEMA = "image_id long, label int, height int, width int, pixels array<fl
 def ingest_images(spark: SparkSession, source: str, store: str, checkpoint: str, spec: ChunkSpec | None = None, records_per_shard: int = 1024, files_per_batch: int = 64) -> StreamingQuery:
     """Starts a query that adds the images of new Parquet files in `source` to the store, and stops when none are left.
 
-    A batch that runs again after a failure adds only images that the store lacks, so each is stored once.
+    A batch that runs again after a failure adds only images that the store does not list, and chunks that the failed run has
+    left are never read, so each image is stored once.
     """
     images = spark.readStream.schema(IMAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     spec = spec or ChunkSpec()

@@ -79,70 +79,7 @@ def test_histories_of_all_ages(spark, tmp_path):
     assert lines[3] == "| new | 0.20 | 0.20 | 0.550 | 45.0 % |"
 
 
-# --- JPEG: a small baseline encoder for the tests ---
-
-
-def encode(parts, sampling, tables, height, width, restart=0, progressive=False):
-    """Quantised zig-zag blocks as a baseline file, with one code of 8 bits for every symbol."""
-    def segment(marker, body):
-        return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
-
-    out = b"\xff\xd8" + b"".join(segment(0xDB, bytes([i]) + bytes(int(v) for v in t)) for i, t in enumerate(tables))
-    n = len(parts)
-    out += segment(0xC2 if progressive else 0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, h << 4 | v, min(i, len(tables) - 1)]) for i, (h, v) in enumerate(sampling)))
-    symbols = [r << 4 | s for r in range(16) for s in range(11)]
-    for kind in (0, 1):
-        used = range(12) if kind == 0 else symbols
-        out += segment(0xC4, bytes([kind << 4]) + bytes([0] * 7 + [len(used)] + [0] * 8) + bytes(used))
-    if restart:
-        out += segment(0xDD, restart.to_bytes(2, "big"))
-    out += segment(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0]) for i in range(n)) + b"\x00\x3f\x00")
-    bits, data = "", b""
-
-    def flush():
-        nonlocal bits
-        bits += "1" * (-len(bits) % 8)
-        raw = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
-        bits = ""
-        return raw.replace(b"\xff", b"\xff\x00")
-
-    def put(value, size):
-        nonlocal bits
-        if size:
-            bits += format(value if value >= 0 else value + (1 << size) - 1, f"0{size}b")
-
-    hmax, vmax = max(h for h, _ in sampling), max(v for _, v in sampling)
-    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
-    before, marks = [0] * n, 0
-    for mcu in range(across * down):
-        if restart and mcu and mcu % restart == 0:
-            data += flush() + bytes([0xFF, 0xD0 + marks % 8])
-            before, marks = [0] * n, marks + 1
-        y, x = divmod(mcu, across)
-        for k, (h, v) in enumerate(sampling):
-            for b in range(h * v):
-                block = parts[k][y * v + b // h, x * h + b % h].tolist()
-                d = block[0] - before[k]
-                before[k] = block[0]
-                size = abs(d).bit_length()
-                bits += format(size, "08b")
-                put(d, size)
-                run = 0
-                last = max([i for i in range(1, 64) if block[i]], default=0)
-                for i in range(1, last + 1):
-                    if not block[i]:
-                        run += 1
-                        continue
-                    while run > 15:
-                        bits += format(symbols.index(0xF0), "08b")
-                        run -= 16
-                    size = abs(block[i]).bit_length()
-                    bits += format(symbols.index(run << 4 | size), "08b")
-                    put(block[i], size)
-                    run = 0
-                if last < 63:
-                    bits += format(symbols.index(0), "08b")
-    return out + data + flush() + b"\xff\xd9"
+# --- JPEG ---
 
 
 @pytest.mark.parametrize("sampling,name,restart", [([(2, 2), (1, 1), (1, 1)], "4:2:0", 0), ([(2, 1), (1, 1), (1, 1)], "4:2:2", 2), ([(1, 1)] * 3, "4:4:4", 0), ([(1, 1)], "grayscale", 3)])
@@ -155,11 +92,11 @@ def test_jpeg_coefficients(spark, sampling, name, restart):
         q[rng.random(q.shape) < 0.8] = 0
         parts.append(q)
     tables = [[1] * 64, [2] * 64][: len(sampling)]
-    data = encode(parts, sampling, tables, h, w, restart)
+    data = jpeg.encode(parts, sampling, tables, h, w, restart)
     got = jpeg.coefficients(jpeg.parse(data))
     assert all((a == b).all() for a, b in zip(got, parts, strict=True))
     assert jpeg.planes(jpeg.parse(data), got).shape == (3, h, w)
-    files = spark.createDataFrame([("good", bytearray(data)), ("bad", bytearray(b"GIF")), ("progressive", bytearray(encode(parts, sampling, tables, h, w, progressive=True)))], "source string, content binary")
+    files = spark.createDataFrame([("good", bytearray(data)), ("bad", bytearray(b"GIF")), ("progressive", bytearray(jpeg.encode(parts, sampling, tables, h, w, progressive=True)))], "source string, content binary")
     rows = jpeg.decode_blocks(files).collect()
     assert sum(r["source"] == "good" for r in rows) == sum(p.shape[0] * p.shape[1] for p in parts)
     assert {r["source"] for r in rows if r["error"]} == {"bad", "progressive"}
@@ -170,7 +107,7 @@ def test_jpeg_coefficients(spark, sampling, name, restart):
 def test_flat_grey_jpeg_has_its_value():
     q = np.zeros((1, 1, 64), dtype=int)
     q[0, 0, 0] = 10
-    data = encode([q], [(1, 1)], [[8] * 64], 8, 8)
+    data = jpeg.encode([q], [(1, 1)], [[8] * 64], 8, 8)
     p = jpeg.parse(data)
     assert np.allclose(jpeg.planes(p, jpeg.coefficients(p)), (128 + 10) / 255)
     assert dims.zigzag(8, 8)[0] == 0
