@@ -116,3 +116,12 @@ def tile_specs(grids: DataFrame, tile_blocks: int = 4) -> DataFrame:
     at = F.sequence(F.lit(0), F.col("th") * F.col("tw") - 1)
     ids = F.transform(at, lambda i: ((F.col("r0") + F.floor(i / F.col("tw"))) * F.col("npw") + F.col("c0") + i % F.col("tw")).cast("int"))
     return tiles.withColumn("block_ids", ids)
+
+
+def nested_masks(spark: SparkSession, h: int, w: int, levels: int) -> DataFrame:
+    """Rows (level, u, v, kept): masks of h x w coefficients, each within the next; the last one keeps all."""
+    bands, order = Bands.even(h * w, levels), zigzag(h, w)
+    place = {int(i): p for p, i in enumerate(order)}
+    band = lambda p: next(b for b, (lo, hi) in enumerate(bands.edges) if lo <= p < hi)
+    rows = [(level, i // w, i % w, band(place[i]) <= level) for level in range(levels) for i in range(h * w)]
+    return spark.createDataFrame(rows, "level int, u int, v int, kept boolean")

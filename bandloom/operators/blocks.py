@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandloom.functions.dims import Bands
+from bandloom.functions.dims import Bands, zigzag
 from bandloom.functions.transforms import array_sum, dct2, from_zigzag, idct2, keep_prefix, mean_abs, positions_of, squared_error, to_zigzag
 
 PADDING = ("drop", "replicate", "zero")
@@ -131,3 +131,9 @@ def served_quality(coefficients: DataFrame, served: DataFrame, by: list[str]) ->
     b = restored(served.select(*keys, "z"), out="cut")
     both = a.join(b, keys)
     return both.groupBy(*by).agg(F.sum(squared_error(F.col("full"), F.col("cut"))).alias("sq_error"), F.sum(F.size("full")).alias("values"))
+
+
+def row_major_cut(coefficients: DataFrame, band_size: int, k: Column) -> DataFrame:
+    """coefficients with zeros at all but the first k * band_size places in row-major order, instead of zig-zag order."""
+    order = F.array(*(F.lit(int(i)) for i in zigzag(8, 8)))
+    return coefficients.withColumn("z", F.transform("z", lambda v, i: F.when(F.get(order, i) < k * band_size, v).otherwise(0.0)))

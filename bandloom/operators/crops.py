@@ -150,3 +150,24 @@ def storage_forecast(bucketed: DataFrame, block: int = 8, channels: int = 3) ->
 def adaptive_chunk(base: int, most_bytes: int, height: Column, width: Column) -> Column:
     """Records of a chunk: fewer for large images, one at least."""
     return F.least(F.lit(base), F.greatest(F.lit(1), F.floor(most_bytes / (3.0 * height * width * 4 * 2)))).cast("int")
+
+
+def sliced(images: DataFrame, pixels: str = "pixels") -> DataFrame:
+    """images (height, width, a crop, pixels in planes) with the crop's pixels, clipped to the image."""
+    h, w = F.least(F.col("crop_h"), F.col("height") - F.col("top")), F.least(F.col("crop_w"), F.col("width") - F.col("left"))
+    rows = images.withColumn("crop_h", h).withColumn("crop_w", w)
+    size, area = F.col("crop_h") * F.col("crop_w"), F.col("height") * F.col("width")
+
+    def pixel(i: Column) -> Column:
+        at = i % size
+        return F.get(pixels, (F.floor(i / size) * area + (F.floor(at / F.col("crop_w")) + F.col("top")) * F.col("width") + at % F.col("crop_w") + F.col("left")).cast("int"))
+
+    planes = (F.size(pixels) / area).cast("int")
+    return rows.withColumn(pixels, F.transform(F.sequence(F.lit(0), planes * size - 1), pixel))
+
+
+def bucket_histogram(bucketed: DataFrame, requested: int) -> DataFrame:
+    """Rows (bucket_id, images, share, buckets, requested): how full each bucket is, and how many there are of those asked for."""
+    counts = bucketed.groupBy("bucket_id").agg(F.count("*").alias("images"))
+    whole = counts.agg(F.sum("images").alias("n"), F.count("*").cast("int").alias("buckets"))
+    return counts.crossJoin(F.broadcast(whole)).select("bucket_id", "images", F.round(F.col("images") / F.col("n"), 9).alias("share"), "buckets", F.lit(requested).alias("requested"))

@@ -79,3 +79,12 @@ def run_summary(history: DataFrame) -> DataFrame:
     """Rows (run, best, final, avg_io, avg_saved) of epochs (run, epoch, acc, io_ratio)."""
     out = history.groupBy("run").agg(F.max("acc").alias("best"), F.max_by("acc", "epoch").alias("final"), F.avg("io_ratio").alias("avg_io"))
     return out.withColumn("avg_saved", (1 - F.col("avg_io")) * 100)
+
+
+def mismatches(a: DataFrame, b: DataFrame, key: str = "image_id") -> DataFrame:
+    """One row (matched, only_a, only_b, labels_differ, shapes_differ) of two tables (key, label, height, width)."""
+    one = lambda df, n: df.select(F.col(key), F.struct("label", "height", "width").alias(n))
+    both = one(a, "a").join(one(b, "b"), key, "full")
+    matched = F.col("a").isNotNull() & F.col("b").isNotNull()
+    shape = (F.col("a.height") != F.col("b.height")) | (F.col("a.width") != F.col("b.width"))
+    return both.agg(F.count_if(matched).alias("matched"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(matched & (F.col("a.label") != F.col("b.label"))).alias("labels_differ"), F.count_if(matched & shape).alias("shapes_differ"))

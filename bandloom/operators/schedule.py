@@ -73,3 +73,16 @@ def warmup_cosine(spark: SparkSession, total: int, base: float, warmup: int, lea
 def at_epoch(schedule: DataFrame, epoch: Column, last: int) -> Column:
     """The epoch whose entry holds at `epoch`: schedules go on with their last one."""
     return F.least(epoch, F.lit(last))
+
+
+def held_at(schedule: DataFrame, asked: DataFrame) -> DataFrame:
+    """The entry of a schedule (epoch, ...) that holds at each asked epoch: beyond its end, the last one."""
+    last = schedule.agg(F.max("epoch").alias("last"))
+    rows = asked.crossJoin(F.broadcast(last)).withColumn("held", F.least("epoch", "last"))
+    return rows.join(schedule.withColumnRenamed("epoch", "held"), "held").drop("held", "last")
+
+
+def summary(schedule: DataFrame, value: str) -> DataFrame:
+    """One row (epochs, first, last, least, most, mean) of a schedule."""
+    v = F.col(value)
+    return schedule.agg(F.count("*").alias("epochs"), F.min_by(v, "epoch").alias("first"), F.max_by(v, "epoch").alias("last"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 9).alias("mean"))

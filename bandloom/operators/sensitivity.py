@@ -54,3 +54,11 @@ def patch_quota(sensitivity: DataFrame, patches: int, share: float) -> DataFrame
     upto = F.sum("value").over(Window.partitionBy("epoch").orderBy(F.desc(F.round("value", 12)), "idx"))
     below = sensitivity.withColumn("below", F.round(upto, 12) < share)
     return below.groupBy("epoch").agg(F.least(F.count_if("below") + 1, F.lit(patches)).cast("int").alias("q"))
+
+
+def bucket_stats(gradients: DataFrame) -> DataFrame:
+    """Rows (bucket_id, kind, idx, value): shares of mean |gradient| by band over all buckets (bucket_id null), and by patch in
+    each bucket. gradients: rows (bucket_id, band_id, patch, g)."""
+    bands = gradients.groupBy(F.lit(None).cast("int").alias("bucket_id"), F.lit("band").alias("kind"), F.col("band_id").cast("int").alias("idx")).agg(F.avg(F.abs("g")).alias("value"))
+    patches = gradients.groupBy("bucket_id", F.lit("patch").alias("kind"), F.col("patch").cast("int").alias("idx")).agg(F.avg(F.abs("g")).alias("value"))
+    return normalised(bands.unionAll(patches), ["bucket_id", "kind"], "value")

@@ -245,3 +245,37 @@ _PARTNER = (
 ORACLE_SQL["mixup"] = _with((), *_PARTNER) + "SELECT image_id, i::INTEGER AS i, round(0.7::DOUBLE * embedding[i + 1]::DOUBLE + 0.3::DOUBLE * oe[i + 1]::DOUBLE, 6) + 0.0 AS value, round(CASE WHEN i < 10 THEN 0.7::DOUBLE * (label = i)::INTEGER * 0.9 + 0.3::DOUBLE * (ol = i)::INTEGER * 0.9 + 0.01 ELSE 0 END, 9) + 0.0 AS target FROM two"
 ORACLE_SQL["cutmix"] = _with((), *_PARTNER, f"c AS (SELECT vec_id AS image_id, floor({_u(3, 'vec_id', 0)} * 5) AS t, floor({_u(3, 'vec_id', 1)} * 5) AS l FROM embeddings)") + "SELECT image_id, i::INTEGER AS i, round(CASE WHEN i // 8 >= t AND i // 8 < t + 4 AND i % 8 >= l AND i % 8 < l + 4 THEN oe[i + 1]::DOUBLE ELSE embedding[i + 1]::DOUBLE END, 6) + 0.0 AS value, round(CASE WHEN i < 10 THEN 0.75 * (label = i)::INTEGER + 0.25 * (ol = i)::INTEGER ELSE 0 END, 9) + 0.0 AS target FROM two JOIN c USING (image_id)"
 ORACLE_SQL["random_coefficients"] = _with(_DCT, "kept AS (SELECT i AS pos FROM range(64) t(i) ORDER BY md5(concat_ws(':', 5, i)), i LIMIT 20)") + "SELECT pos::INTEGER AS pos, round(sum(CASE WHEN pos IN (SELECT pos FROM kept) THEN v * v ELSE 0 END), 6) + 0.0 AS energy, count(*)::BIGINT AS n FROM z GROUP BY pos"
+
+ORACLE_SQL["crop_resize"] = _with((), _VEC,
+    "c AS (SELECT image_id, image_id % 3 AS t, image_id % 2 AS l, least(3 + image_id % 3, 8 - image_id % 3) AS ch, least(2 + image_id % 5, 8 - image_id % 2) AS cw FROM v WHERE i = 0)",
+    *(f"w{n} AS (SELECT n, o, i, w / sum(w) OVER (PARTITION BY n, o) AS w FROM (SELECT n, o, i, greatest(0, 1 - abs(i - CASE WHEN n > {n} THEN (o + 0.5) * n / {n}.0::DOUBLE - 0.5 ELSE greatest(0, least(n - 1, (o + 0.5) * n / {n}.0::DOUBLE - 0.5)) END) / greatest(1, n / {n}.0::DOUBLE)) AS w FROM range(1, 9) a(n), range({n}) b(o), range(8) c(i) WHERE i < n))" for n in (6, 3)),
+) + "SELECT image_id, (wy.o * 3 + wx.o)::INTEGER AS i, round(sum(p * wy.w * wx.w), 6) + 0.0 AS value FROM v JOIN c USING (image_id) JOIN w6 wy ON wy.n = ch AND wy.i = y - t JOIN w3 wx ON wx.n = cw AND wx.i = x - l GROUP BY ALL"
+_SIDE = "CASE WHEN {a} = {s} THEN {g} ELSE greatest(1, floor({a} * {g} / {s}::DOUBLE + 0.5)) END::INTEGER"
+ORACLE_SQL["view_sizes"] = _with(("sh",), "s AS (SELECT *, least(height, width) AS lo, greatest(height, width) AS hi, least(160, greatest(height, width)) AS g FROM sh)") + f"SELECT image_id, {_SIDE.format(a='height', s='lo', g='128')} AS shorter_h, {_SIDE.format(a='width', s='lo', g='128')} AS shorter_w, {_SIDE.format(a='height', s='hi', g='g')} AS most_h, {_SIDE.format(a='width', s='hi', g='g')} AS most_w FROM s"
+ORACLE_SQL["grid_crops"] = f"SELECT image_id, patch::INTEGER AS patch, ((patch // 4 - t) * 2 + patch % 4 - l)::INTEGER AS cell FROM (SELECT vec_id // 20 AS image_id, vec_id % 20 AS patch, floor({_u(9, 2, 'vec_id // 20', 7)} * 3)::BIGINT AS t, floor({_u(9, 2, 'vec_id // 20', 8)} * 3)::BIGINT AS l FROM embeddings) WHERE patch // 4 - t BETWEEN 0 AND 2 AND patch % 4 - l BETWEEN 0 AND 1"
+ORACLE_SQL["saturated"] = _with((), _CHANNELS, f"s AS (SELECT image_id, i, r / 255 AS r, g / 255 AS g, b / 255 AS b, 0.299::DOUBLE * r / 255 + 0.587::DOUBLE * g / 255 + 0.114::DOUBLE * b / 255 AS y, 1 + 0.5 * (2 * {_u(4, 1, 'image_id', 4)} - 1) AS k FROM ch)") + " UNION ALL ".join(f"SELECT image_id, (i + {64 * n})::INTEGER AS i, round(greatest(0.0, least(1.0, y + ({c} - y) * k)), 6) + 0.0 AS value FROM s" for n, c in enumerate("rgb"))
+ORACLE_SQL["affine_shifts"] = _with((), _VEC,
+    f"d AS (SELECT image_id, (2 * {_u(6, 3, 'image_id', 5)} - 1) * 1.5 AS dy, (2 * {_u(6, 3, 'image_id', 6)} - 1) * 1.5 AS dx FROM v WHERE i = 0)",
+    "t AS (SELECT image_id, i, floor(y + dy) + a AS sy, floor(x + dx) + b AS sx, (CASE WHEN a = 1 THEN y + dy - floor(y + dy) ELSE 1 - (y + dy - floor(y + dy)) END) * (CASE WHEN b = 1 THEN x + dx - floor(x + dx) ELSE 1 - (x + dx - floor(x + dx)) END) AS w FROM v JOIN d USING (image_id), range(2) p(a), range(2) q(b))",
+) + "SELECT t.image_id, t.i::INTEGER AS i, round(sum(w * coalesce(v.p, 0.0)), 6) + 0.0 AS value FROM t LEFT JOIN v ON v.image_id = t.image_id AND v.y = t.sy AND v.x = t.sx GROUP BY ALL"
+ORACLE_SQL["nested_masks"] = _with(("zz",)) + "SELECT level::INTEGER AS level, r::INTEGER AS u, count(*)::BIGINT AS n FROM zz, range(5) t(level) WHERE least(pos // 12, 4) <= level GROUP BY ALL"
+ORACLE_SQL["row_major_cutoff"] = _with(_DCT) + "SELECT patch::INTEGER AS patch, round(sum(CASE WHEN u * 8 + w < (patch % 16 + 1) * 4 THEN v * v ELSE 0 END), 6) + 0.0 AS energy FROM z GROUP BY patch"
+ORACLE_SQL["residual_serve"] = _with(_DCT, _LOWPASS.format(n=16)) + "SELECT lp.image_id, lp.patch::INTEGER AS patch, lp.i::INTEGER AS i, round(CASE WHEN lp.patch IN (0, 7) THEN p ELSE lp.v END, 6) + 0.0 AS value FROM lp JOIN px USING (image_id, patch, i)"
+ORACLE_SQL["bucket_pilot_stats"] = _with(_GRAD, "b AS (SELECT NULL::INTEGER AS bucket_id, 'band' AS kind, band_id AS idx, avg(abs(g)) AS value FROM grad GROUP BY band_id UNION ALL SELECT (image_id % 3)::INTEGER, 'patch', patch, avg(abs(g)) FROM grad GROUP BY ALL)") + "SELECT bucket_id, kind, idx::INTEGER AS idx, round(value / (sum(value) OVER (PARTITION BY bucket_id, kind) + 1e-8), 9) AS value FROM b"
+ORACLE_SQL["bucket_histogram"] = (
+    ORACLE_SQL["coarse_buckets"].replace("SELECT image_id, bucket_id::INTEGER AS bucket_id, h::INTEGER AS bucket_nph, w::INTEGER AS bucket_npw FROM b JOIN k USING (raw)", "")
+    + "SELECT bucket_id::INTEGER AS bucket_id, count(*)::BIGINT AS images, round(count(*) / sum(count(*)) OVER (), 9) AS share, (count(*) OVER ())::INTEGER AS buckets, 16::INTEGER AS requested FROM b JOIN k USING (raw) GROUP BY bucket_id"
+)
+ORACLE_SQL["equalised_batches"] = "WITH b AS (SELECT DISTINCT vec_id // 48 AS shard_id, vec_id % 48 // 10 AS batch_no FROM embeddings), o AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', 8, 2, shard_id, batch_no)), shard_id, batch_no) - 1 AS at_, count(*) OVER () AS n FROM b) SELECT shard_id::INTEGER AS shard_id, batch_no::INTEGER AS batch_no, (at_ % 3)::INTEGER AS rank, (at_ // 3)::INTEGER AS place FROM o WHERE at_ < n // 3 * 3"
+ORACLE_SQL["sample_limits"] = _with(("sh",)) + "SELECT image_id, height::INTEGER AS height, width::INTEGER AS width FROM sh ORDER BY md5(concat_ws(':', 13, image_id)), image_id LIMIT 40"
+ORACLE_SQL["ssim_by_channel"] = _with((*_DCT, "scale99", "qz", "ih", "pairs"), "m AS (SELECT image_id, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c FROM pairs GROUP BY ALL)") + "SELECT image_id // 3 AS image_id, count(*)::BIGINT AS channels, round(avg((2 * ma * mb + 0.0001) * (2 * c + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009))), 9) AS ssim FROM m GROUP BY ALL"
+ORACLE_SQL["store_mismatches"] = _with(("sh",)) + "SELECT count(*) FILTER (image_id % 11 <> 5)::BIGINT AS matched, count(*) FILTER (image_id % 11 = 5)::BIGINT AS only_a, 0::BIGINT AS only_b, count(*) FILTER (image_id % 11 <> 5 AND image_id % 7 = 0)::BIGINT AS labels_differ, count(*) FILTER (image_id % 11 <> 5 AND image_id % 5 = 0)::BIGINT AS shapes_differ FROM sh"
+ORACLE_SQL["fidelity_at"] = "WITH s AS (SELECT e, greatest(16, least(256, round_even(256 * (0.4::DOUBLE + 0.5::DOUBLE * pow(e / 29.0::DOUBLE, 1.5)), 0)))::BIGINT AS budget FROM range(30) t(e)) SELECT a.e::INTEGER AS epoch, budget, 30::BIGINT AS epochs, (SELECT budget FROM s WHERE e = 0) AS first, (SELECT budget FROM s WHERE e = 29) AS last, (SELECT min(budget) FROM s) AS least, (SELECT max(budget) FROM s) AS most, (SELECT round(avg(budget), 9) FROM s) AS mean FROM range(0, 60, 7) a(e) JOIN s ON s.e = least(a.e, 29)"
+ORACLE_SQL["tar_scan"] = "WITH d AS (SELECT doc_id // 40 AS shard, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) - 1 AS position, doc_id, text FROM documents WHERE doc_id IS NOT NULL) SELECT shard::INTEGER AS shard, position::INTEGER AS position, 'd/k' || doc_id AS key, sha256(coalesce(text, '')) AS sha, (doc_id % 10)::INTEGER AS label FROM d WHERE position >= 10"
+ORACLE_SQL["jpeg_blocks"] = _with(_DCT) + "SELECT image_id, patch::INTEGER AS patch, pos::INTEGER AS pos, greatest(-1000, least(1000, round_even(v * 50.0, 0)))::INTEGER AS q FROM z"
+ORACLE_SQL["jpeg_report"] = _with(_DCT, "k AS (SELECT image_id, image_id % 4 AS kind, avg((round_even(v * 50.0, 0) = 0)::INTEGER) * count(*) / 1280.0 + (1280 - count(*)) / 1280.0 AS zeros FROM z GROUP BY ALL)") + "SELECT CASE WHEN kind = 3 THEN NULL ELSE 'grayscale' END AS subsampling, CASE kind WHEN 2 THEN 'only baseline files with a single full scan can be read' WHEN 3 THEN 'no JPEG' END AS reason, count(*)::BIGINT AS files, sum(CASE WHEN kind < 2 THEN 20 END)::BIGINT AS blocks, round(avg(CASE WHEN kind < 2 THEN zeros END), 6) AS zero_share FROM k GROUP BY 1, 2"
+ORACLE_SQL["run_histories"] = "WITH e AS (SELECT (user_id % 9)::INTEGER AS run, event_id % 6 AS x, round(avg(abs(value)), 9) AS acc FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT run, (row_number() OVER (PARTITION BY run ORDER BY x) - 1)::INTEGER AS epoch, acc, CASE WHEN run % 3 = 2 THEN 1.0 ELSE round(0.5 + x / 100.0::DOUBLE, 9) END::DOUBLE AS io_ratio FROM e"
+_IMAGES = "im AS (SELECT vec_id // 60 AS image_id FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id // 20) = 3)"
+ORACLE_SQL["streamed_store"] = f"WITH {_IMAGES} SELECT image_id, (image_id % 10)::INTEGER AS label, 40::INTEGER AS height, 32::INTEGER AS width, 5::INTEGER AS nph, 4::INTEGER AS npw, 6::INTEGER AS num_tiles, 24::BIGINT AS chunks, 80::BIGINT AS cells FROM im"
+ORACLE_SQL["crop_read_ops"] = f"WITH {_IMAGES}, t AS (SELECT image_id, image_id % 9 AS t FROM im) SELECT image_id, (2 * ((least(5, (t + 27) // 8) + 1) // 2 - t // 8 // 2) * 2)::BIGINT AS read_ops FROM t"
+ORACLE_SQL["trial_report"] = _with(_DCT, "e AS (SELECT band_id, round(sum(v * v), 6) AS energy FROM z GROUP BY ALL)") + "SELECT kind, band_id::INTEGER AS band_id, energy FROM e, (VALUES ('json'), ('csv')) t(kind)"

@@ -233,3 +233,39 @@ def test_store_prunes_shards_and_bands(spark, tmp_path):
     store.write_shard_store(z, path, bands, quantize.calibrate(values, ["band_id"]), 2)
     rows = store.read_shard_store(spark, path, k=4, shards=[1])
     assert {(r["shard_id"], r["band_id"]) for r in rows.select("shard_id", "band_id").distinct().collect()} == {(1, b) for b in range(4)}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.37, 0.5, 0.9999, 1.0])
+def test_exact_percentiles(spark, share):
+    """Also where one value is most of a group, and where all values are one."""
+    from bandloom.operators.metrics import percentile
+
+    rng = np.random.default_rng(2)
+    groups = {0: rng.normal(size=501), 1: np.full(40, 2.5), 2: np.r_[np.full(900, 1.0), rng.random(100) * 1e6], 3: np.array([7.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(1, None)], "g int, v double")
+    for r in percentile(df, ["g"], F.col("v"), share, bins=64).collect():
+        assert r["percentile"] == pytest.approx(np.percentile(groups[r["g"]], share * 100), rel=1e-12)
+
+
+def test_resize_of_any_size_is_that_of_a_fixed_size(spark):
+    rows = spark.createDataFrame([(i, h, w, np.random.default_rng(i).random(2 * h * w).tolist()) for i, (h, w) in enumerate([(8, 8), (5, 9), (20, 3), (1, 1)])], "id int, h int, w int, p array<double>")
+    for anti in (True, False):
+        for r in rows.select("id", "h", "w", "p", tf.resize_any("p", "h", "w", F.lit(4), F.lit(6), anti).alias("q")).collect():
+            planes = np.array(r["p"]).reshape(2, r["h"], r["w"])
+            want = np.stack([tf.resize_weights(r["h"], 4, anti) @ x @ tf.resize_weights(r["w"], 6, anti).T for x in planes])
+            assert r["q"] == pytest.approx(want.ravel())
+
+
+def test_places_in_groups(spark):
+    df = spark.createDataFrame([(i * 7, i % 3) for i in range(100)], "k long, g int")
+    rows = cr.positions(df, "g", "k", span=10).collect()
+    for g in range(3):
+        mine = sorted((r["k"], r["at"], r["members"]) for r in rows if r["g"] == g)
+        assert [x[1] for x in mine] == list(range(len(mine))) and {x[2] for x in mine} == {len(mine)}
+
+
+def test_equalised_ranks_take_the_same_steps(spark):
+    b = spark.range(23).selectExpr("cast(id % 5 as int) as shard_id", "cast(id as int) as batch_no")
+    rows = sampling.equalised(b, 4, 1, 0).collect()
+    assert len(rows) == 20 and sorted((r["rank"], r["place"]) for r in rows) == [(k, i) for k in range(4) for i in range(5)]
+    assert sorted(map(tuple, rows)) != sorted(map(tuple, sampling.equalised(b, 4, 1, 1).collect()))

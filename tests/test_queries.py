@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from bandloom.plans.catalog import QUERIES
-from bandloom.plans.oracles import ORACLE_SQL
+from bandloom.plans.queries import ORACLE_SQL, QUERIES
 from tests.compare import difference, duck
 
 

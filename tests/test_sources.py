@@ -54,6 +54,42 @@ def test_keys_from_archives(spark, shards):
         archives.read_keys(spark, shards, spark.createDataFrame([("k9",)], "key string"))
 
 
+def test_keys_in_shards_whose_names_do_not_tell(spark, tmp_path):
+    tar(tmp_path / "s-k1.tar", [("k1a.jpg", b"one"), ("k1a.cls", b"3")])
+    tar(tmp_path / "s-k2.tar", [("k1b.jpg", b"two"), ("k1b.cls", b"4")])
+    wanted = spark.createDataFrame([("k1a",), ("k1b",)], "key string")
+    rows = archives.read_keys(spark, [str(tmp_path / f"s-{k}.tar") for k in ("k1", "k2")], wanted, r"^(k\d)")
+    assert sorted((r["key"], r["label"]) for r in rows.collect()) == [("k1a", 3), ("k1b", 4)]
+
+
+def test_archives_by_address(spark, shards, monkeypatch):
+    """Files that only Spark can open, in batches of one sample."""
+    monkeypatch.setattr(archives, "SAMPLE_BYTES", 0)
+    named = [f"file://{s}" for s in folders.shard_list(shards)]
+    skip = spark.createDataFrame([(f"file:{named[0][7:]}", 1)], "shard string, done int")
+    rows = archives.read_archives(spark, named, skip).collect()
+    assert sorted((r["key"], bytes(r["content"]), r["position"]) for r in rows) == [("d/k3", b"three", 0), ("k2", b"two", 1)]
+
+
+def test_a_write_that_fails_half_way_leaves_no_doubles(spark, tmp_path):
+    from bandloom.operators import store
+
+    path, images = str(tmp_path / "s"), noise_images(spark, 3, base=(16, 16), steps=(0, 8))
+    store.write_chunk_store(images.where("image_id = 0"), path, store.ChunkSpec())
+    _, chunks = store.chunk_tables(images.where("image_id > 0"), store.ChunkSpec())  # chunks are there, the images are not listed
+    chunks.selectExpr("*", "'lost' as write_id", "0 as shard_id").write.mode("append").partitionBy("write_id", "shard_id", "band_id").parquet(f"{path}/chunks")
+    store.write_chunk_store(images, path, store.ChunkSpec(), resume=True)
+    wanted = images.selectExpr("image_id", "0 as top", "0 as left", "16 as crop_h", "16 as crop_w")
+
+    def read():
+        heads, chunks, spec = store.open_chunk_store(spark, path)
+        return sorted((r["image_id"], r["bytes_read"]) for r in store.crop_bytes(store.crop_reads(heads, chunks, wanted, spec)).collect()), heads.count()
+
+    before, n = read()
+    assert n == 3 and len(before) == 3
+    assert store.drop_orphans(spark, path) == ["lost"] and read() == (before, n)
+
+
 def test_folder_of_classes_and_sizes(spark, tmp_path):
     for name in ("cat/a.jpg", "cat/b.png", "ant/c.jpg"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
