@@ -13,10 +13,16 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one told to setCheckpointDir(). Where neither is
+    set, a temporary folder of a session in local mode; on a cluster that is an error, as no machine sees another's."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not told:
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        told = folder.get() if folder.isDefined() else None
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         own = tempfile.TemporaryDirectory(prefix="bandloom-")

@@ -24,6 +24,34 @@ def test_braces():
             folders.shard_list(bad)
 
 
+def test_shared_folder(spark):
+    class Told:
+        def __init__(self, conf=None, folder=None, master="local[2]"):
+            self.sparkContext = self
+            self.conf, self.folder, self.master, self.applicationId = conf, folder, master, "told"
+            self._jsc = self
+
+        def getConf(self):
+            return {"spark.checkpoint.dir": self.conf} if self.conf else {}
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return self.folder is not None
+
+        def get(self):
+            return self.folder
+
+    assert folders.shared_folder(Told("hdfs://a/b/", "/c")) == "hdfs://a/b" and folders.shared_folder(Told(None, "/c")) == "/c"
+    assert "bandloom-" in folders.shared_folder(Told())
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folders.shared_folder(Told(master="spark://x"))
+
+
 def tar(path, files):
     with tarfile.open(path, "w") as t:
         for name, data in files:
