@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bandloom.llm import exact_topk as tk
 from bandloom.llm import html_wrappers as hw
+from bandloom.llm import token_counts as tc
 from bandloom.llm import quality, sharding
 from bandloom.llm.common import read_table
 from bandloom.llm.decontaminate import Phrases, decontaminate, shard_hits
@@ -26,7 +27,6 @@ from bandloom.llm.queries import QUERIES, toxic_labels
 from bandloom.llm.sharding import kd_shards
 from bandloom.llm.simhash import connected_components, fingerprint, simhash_groups, trie_links
 from bandloom.llm.sql import ORACLE_SQL
-from bandloom.llm.token_counts import count_tokens
 from tests.compare import difference, duck
 from tests.llm.data import odd_documents
 
@@ -374,23 +374,40 @@ def test_license_blocks_against_every_template(spark):
 # --- 6 tokens ---
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_lengths_are_the_librarys(name, spark, sf):
-    from tokenizers import Tokenizer
+ODD_TEXTS = ["a <|endoftext|> b<|startoftext|>", "é é ́x", "\x1c\x1d a\x85b\xa0c  d", "it's  we'll\tI'M", "ΑΣ ΣΑΣ", "", "  ", "日本語 テスト１２", "w" * 5000 + " " + "x" * 9, "a  b   c \n d e", " a b ", "1 2.3 ,4 \u2003 x"]
 
-    texts = [r["text"] or "" for r in read_table(spark, sf, "documents").collect()]
-    texts += ["a <|endoftext|> b<|startoftext|>", "é é ́x", "\x1c\x1d a\x85b\xa0c  d", "it's  we'll\tI'M", "ΑΣ ΣΑΣ", "", "  ", "日本語 テスト１２", "w" * 5000 + " " + "x" * 9]
-    whole = [len(x.ids) for x in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)]
-    with open(public_tokenizers.path(name), "rb") as f:
-        assert count_tokens([t.encode() for t in texts], "tokenizers", f.read()) == whole
 
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("name,where", [("word_bpe_49k.json", tc.WORDS), ("byte_bpe_50k.json", tc.BEFORE_SPACE), ("piece_bpe_32k.model", tc.AT_SPACE)])
+def test_lengths_are_the_librarys(name, where, small, spark, sf, monkeypatch):
+    """All texts whole and in the library's own way; small: texts are cut at every other space, and nothing is remembered."""
+    if small:
+        monkeypatch.setattr(tc, "ENCODE_BYTES", 7)
+        monkeypatch.setattr(tc, "MEMO_BYTES", 0)
+    monkeypatch.setattr(tc, "_loaded", {})
+    texts = [r["text"] or "" for r in read_table(spark, sf, "documents").limit(60 if small else 1000).collect()] + ODD_TEXTS + [" ".join(ODD_TEXTS)]
+    path = public_tokenizers.path(name)
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
 
-def test_sentencepiece_lengths():
-    import sentencepiece
+        whole = [len(x.ids) for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    else:
+        import sentencepiece
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
+        whole = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
     with open(path, "rb") as f:
-        assert count_tokens([b"two words", b""], "sentencepiece", f.read()) == [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(["two words", ""])]
+        assert tc.count_tokens([t.encode() for t in texts], "tokenizers" if name.endswith(".json") else "sentencepiece", f.read()) == whole
+    assert [t.boundary for t in tc._loaded.values()] == [where]
+
+
+def test_boundaries_that_are_not_safe():
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        import json
+
+        spec = json.load(f)
+    assert tc.boundary("tokenizers", None, spec) == tc.WORDS
+    for change in ({"pre_tokenizer": None}, {"added_tokens": [{"content": "a b"}]}, {"normalizer": {"type": "Prepend", "prepend": "x"}}, {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": "\\s+"}, "behavior": "Removed", "invert": True}}):
+        assert tc.boundary("tokenizers", None, spec | change) == tc.WHOLE
 
 
 # --- 7 pages ---
