@@ -48,3 +48,35 @@ def test_decontamination_drops_planted_passages(spark, sf):
     planted = docs.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 5000).withColumn("text", F.concat(F.lit("before "), F.upper(F.lit(item)), F.lit(" after")))
     out = cp.decontamination(spark, docs.unionAll(planted), sf)
     assert out.where("doc_id >= 5000").count() == 0 and out.count() == docs.count()
+
+
+def test_run_against_brute_force(spark, sf):
+    """The whole pipeline over a small table: what the classifier keeps, then copies, benchmark windows and the mix by plain Python."""
+    from collections import Counter
+
+    from bandloom.llm.mixing import water_fill
+    from tests.llm.test_results import near_copies
+
+    docs = read_table(spark, sf, "documents")
+    good = {r["doc_id"] for r in cp.quality(spark, docs, sf).select("doc_id").collect()}
+    rows = sorted((r["doc_id"], r["text"] or "", r["source"]) for r in docs.collect() if r["doc_id"] in good)
+    root = near_copies([t.encode() for _, t, _ in rows])
+    rows = [x for k, x in enumerate(rows) if root[k] == k]
+    table = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+    words = lambda t: (t or "").encode().translate(table).split()
+    items = [words(r["text"]) for r in read_table(spark, sf, "benchmark").collect()]
+    windows = {tuple(w[k : k + 10]) for w in items for k in range(max(1, len(w) - 9)) if w}
+    lengths = {len(w) for w in windows}
+    clean = lambda w: not any(tuple(w[k : k + n]) in windows for n in lengths for k in range(len(w) - n + 1))
+    rows = [x for x in rows if clean(words(x[1]))]
+    out = cp.run(spark, sf).collect()
+    times = Counter(r["doc_id"] for r in out)
+    assert set(times) <= {i for i, *_ in rows} and {r["shard"] for r in out} == set(range(8))
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s))
+    size = {i: len(t.encode().split()) for i, t, _ in rows}
+    sizes = [sum(size[i] for i, _, x in rows if x == s) for s in sources]
+    targets = water_fill(sizes, [(3, 1, 2)[k % 3] for k in range(len(sources))], 1.5, 2.0)
+    for s, n, target in zip(sources, sizes, targets, strict=True):
+        mine = [i for i, _, x in rows if x == s]
+        assert abs(sum(size[i] * times[i] for i in mine) - target) <= max(size[i] for i in mine) / 2 + 1
+        assert all(int(target // n) <= times[i] <= -(-target // n) for i in mine) if n else True

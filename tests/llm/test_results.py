@@ -768,3 +768,56 @@ def test_near_duplicates_in_dense_neighbourhoods(spark, monkeypatch, small):
     want = [rows[k][0] for k in _components(len(rows), alike)]
     out = dict(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect())
     assert 6 < len(set(want)) < len(rows) and [out[i] for i, _ in rows] == want
+
+
+def test_near_duplicates_beside_texts_of_the_same_words(spark):
+    """A third text of the same words in another order is near neither; it must not keep a pair apart."""
+    from bandloom.llm import simhash
+
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(30):
+        text = r.choices(vocabulary, k=200)
+        copy = [*text[:150], *r.choices(vocabulary, k=8), *text[158:]]
+        other = r.sample(text, len(text))
+        rows += [(10 * i + k, " ".join(x)) for k, x in enumerate((other, text, copy))]
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    assert all(len(sets[10 * i + 1] & sets[10 * i + 2]) >= 0.8 * len(sets[10 * i + 1] | sets[10 * i + 2]) for i in range(30))
+    out = dict(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect())
+    assert all(out[10 * i + 2] == 10 * i + 1 and out[10 * i] == 10 * i for i in range(30))
+
+
+def near_copies(texts):
+    """Brute force: the smallest place that each text reaches through pairs of 0.8 similarity, or of close fingerprints."""
+    from bandloom.llm.simhash import shingle_set
+
+    sets = [shingle_set(t, 5) for t in texts]
+    often = Counter(g for s in sets for g in s.tolist())
+    by_first, pairs = defaultdict(list), []
+    for i, s in enumerate(sets):
+        mine = set(s.tolist())
+        rare = sorted(mine, key=lambda g: (often[g], g))[: len(mine) - -(-8 * len(mine) // 10) + 1]
+        for j in {j for g in rare for j in by_first[g]}:
+            other = set(sets[j].tolist())
+            if len(mine & other) >= 0.8 * len(mine | other):
+                pairs.append((i, j))
+        for g in rare:
+            by_first[g].append(i)
+    fps = np.array([fingerprint(t, 3, 42) for t in texts], dtype=np.uint64)
+    for i in range(len(fps)):
+        pairs += [(i, int(j)) for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3)]
+    return _components(len(texts), pairs)
+
+
+@pytest.mark.parametrize("sf_", ["sf0.01", "sf0.1"])
+def test_near_duplicates_against_all_pairs(spark, sf_):
+    """Every component over a whole table of documents."""
+    from bandloom.llm.simhash import near_duplicates
+
+    docs = read_table(spark, f"/root/testdata/{sf_}", "documents").where("doc_id is not null").select("doc_id", "text")
+    rows = sorted((r["doc_id"], (r["text"] or "").encode()) for r in docs.collect())
+    root = near_copies([t for _, t in rows])
+    out = dict(near_duplicates(docs, "doc_id").collect())
+    wrong = sum(out[i] != rows[root[k]][0] for k, (i, _) in enumerate(rows))
+    assert wrong <= 0.001 * len(rows)  # pairs at 0.8 meet in a band with a probability of 0.9995
