@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandloom.llm.common import cut, shuffle_width
+from bandloom.llm.common import cut
 
 #: Words of a block at most, about, and blocks that each output shard gets on average at least (while a block has a word).
 BLOCK_WORDS, BLOCKS_PER_SHARD = 1 << 18, 64
@@ -174,14 +174,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 8, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: whole rows of docs, one for each draw, with all columns of docs and no others.
 
-    A partition holds rows of few shards, shard by shard, and those of a shard in the random order of their places; a shard is
-    spread over as many partitions as its share of the mix.
+    Each partition lays its own rows out shard by shard, and those of a shard in the random order of their places, so no text is
+    shuffled; a shard is what all partitions have of it.
     """
     stats = cut(sized(docs, F.lit(None).cast("int"), source_col, text_col, id_col, seed), "sizes")
     plan = plan_mix(stats, weights, share, most, shards, seed)
     rows = sized(docs, F.struct(*docs.columns), source_col, text_col, id_col, seed)
     drawn = draw(rows, plan, seed).select("payload", F.explode("draws").alias("drawn")).select("payload", "drawn.shard", "drawn.place")
-    n = shuffle_width(docs.sparkSession)
-    part = F.shiftrightunsigned("place", 48) * F.lit(n) / F.lit(1 << 16)
-    laid = drawn.repartition(n, "shard", part.cast("int")).sortWithinPartitions("shard", "place")
-    return laid.select("payload.*")
+    return drawn.sortWithinPartitions("shard", "place").select("payload.*")
