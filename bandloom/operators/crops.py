@@ -171,3 +171,18 @@ def bucket_histogram(bucketed: DataFrame, requested: int) -> DataFrame:
     counts = bucketed.groupBy("bucket_id").agg(F.count("*").alias("images"))
     whole = counts.agg(F.sum("images").alias("n"), F.count("*").cast("int").alias("buckets"))
     return counts.crossJoin(F.broadcast(whole)).select("bucket_id", "images", F.round(F.col("images") / F.col("n"), 9).alias("share"), "buckets", F.lit(requested).alias("requested"))
+
+
+def padded(images: DataFrame, canvas_h: Column, canvas_w: Column, pixels: str = "pixels") -> DataFrame:
+    """images (height, width, pixels in planes) on a canvas at least as large, such as their bucket's: the last row and column go
+    on. canvas_h and canvas_w are added; height and width stay those of the image."""
+    rows = images.withColumn("canvas_h", canvas_h.cast("int")).withColumn("canvas_w", canvas_w.cast("int"))
+    size, area = F.col("canvas_h") * F.col("canvas_w"), F.col("height") * F.col("width")
+
+    def pixel(i: Column) -> Column:
+        at = i % size
+        y, x = F.least(F.floor(at / F.col("canvas_w")), F.col("height") - 1), F.least(at % F.col("canvas_w"), F.col("width") - 1)
+        return F.get(pixels, (F.floor(i / size) * area + y * F.col("width") + x).cast("int"))
+
+    planes = (F.size(pixels) / area).cast("int")
+    return rows.withColumn(pixels, F.transform(F.sequence(F.lit(0), planes * size - 1), pixel))

@@ -324,10 +324,11 @@ def placed(bucketed: DataFrame, chunk: int | Column) -> DataFrame:
 
 def write_bucket_store(coefficients: DataFrame, places: DataFrame, path: str, bands: Bands, scales: DataFrame, tile_blocks: int = 4, codec: str = "zlib", level: int = 6, limit: int = 127) -> None:
     """coefficients (image_id, patch, z) of placed images (image_id, bucket_id, npw, chunk_id, chunk_pos) as int8 records of
-    (bucket, chunk, tile, band); a record holds its blocks by image and patch."""
+    (bucket, chunk, tile, band); a record holds its blocks by image and patch. scales: rows (band_id, scale), or (bucket_id,
+    band_id, scale) where each bucket has its own."""
     spark = coefficients.sparkSession
     rows = long_bands(coefficients.select("image_id", "patch", "z").join(places.select("image_id", "bucket_id", "npw", "chunk_id", "chunk_pos"), "image_id"), bands)
-    rows = rows.join(F.broadcast(scales), "band_id").withColumn("tile_id", tile_of(F.col("patch"), F.col("npw"), tile_blocks))  # a row for each band
+    rows = rows.join(F.broadcast(scales), _scale_keys(scales)).withColumn("tile_id", tile_of(F.col("patch"), F.col("npw"), tile_blocks))  # a row for each band
     q = F.transform("vals", lambda v: quantise(v, F.col("scale"), limit))
     cell = F.struct("chunk_pos", "patch", "image_id", q.alias("vals"))
     records = rows.groupBy("bucket_id", "band_id", "chunk_id", "tile_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
@@ -345,6 +346,10 @@ def write_bucket_store(coefficients: DataFrame, places: DataFrame, path: str, ba
     write_metadata(spark, path, BUCKET_STORE, {"edges": ";".join(f"{a},{b}" for a, b in bands.edges), "tile_blocks": str(tile_blocks), "codec": codec})
 
 
+def _scale_keys(scales: DataFrame) -> list[str]:
+    return [c for c in ("bucket_id", "band_id") if c in scales.columns]
+
+
 def read_bucket_store(spark: SparkSession, path: str, alloc: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, records): the blocks (image_id, patch, z) that alloc (image_id, patch, k) grants, and the records (length) that
     had to be read for them. A record is read if any of its blocks needs its band; blocks get exactly their k bands."""
@@ -360,9 +365,10 @@ def read_bucket_store(spark: SparkSession, path: str, alloc: DataFrame) -> tuple
         return pd.Series([np.frombuffer(unpack(bytes(p), int(k), codec), dtype=np.int8).reshape(-1, widths[b]).astype(float).tolist() for p, k, b in zip(payload, n, band, strict=True)])
 
     values = F.pandas_udf(split, "array<array<double>>")("payload", "raw_length", "band_id")
-    cells = records.select("band_id", F.explode(F.arrays_zip("blocks", values.alias("vals"))).alias("c")).select("band_id", "c.blocks.image_id", "c.blocks.patch", "c.vals")
+    cells = records.select("bucket_id", "band_id", F.explode(F.arrays_zip("blocks", values.alias("vals"))).alias("c")).select("bucket_id", "band_id", "c.blocks.image_id", "c.blocks.patch", "c.vals")
     granted = cells.join(alloc, ["image_id", "patch"]).where(F.col("band_id") < F.col("k"))
-    granted = granted.join(F.broadcast(spark.read.parquet(f"{path}/scales")), "band_id").withColumn("vals", F.transform("vals", lambda v: (v * F.col("scale")).cast("float")))
+    scales = spark.read.parquet(f"{path}/scales")
+    granted = granted.join(F.broadcast(scales), _scale_keys(scales)).withColumn("vals", F.transform("vals", lambda v: (v * F.col("scale")).cast("float")))
     return gather_bands(granted, bands, ["image_id", "patch"]), records.select("bucket_id", "chunk_id", "tile_id", "band_id", "length")
 
 

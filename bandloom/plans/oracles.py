@@ -279,3 +279,22 @@ _IMAGES = "im AS (SELECT vec_id // 60 AS image_id FROM embeddings GROUP BY 1 HAV
 ORACLE_SQL["streamed_store"] = f"WITH {_IMAGES} SELECT image_id, (image_id % 10)::INTEGER AS label, 40::INTEGER AS height, 32::INTEGER AS width, 5::INTEGER AS nph, 4::INTEGER AS npw, 6::INTEGER AS num_tiles, 24::BIGINT AS chunks, 80::BIGINT AS cells FROM im"
 ORACLE_SQL["crop_read_ops"] = f"WITH {_IMAGES}, t AS (SELECT image_id, image_id % 9 AS t FROM im) SELECT image_id, (2 * ((least(5, (t + 27) // 8) + 1) // 2 - t // 8 // 2) * 2)::BIGINT AS read_ops FROM t"
 ORACLE_SQL["trial_report"] = _with(_DCT, "e AS (SELECT band_id, round(sum(v * v), 6) AS energy FROM z GROUP BY ALL)") + "SELECT kind, band_id::INTEGER AS band_id, energy FROM e, (VALUES ('json'), ('csv')) t(kind)"
+ORACLE_SQL["record_files"] = "WITH v AS (SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: floor((x::DOUBLE + 1) / 2 * 255) / 255.0::DOUBLE)) AS total FROM embeddings ORDER BY vec_id LIMIT 400) SELECT kind, (row_number() OVER (PARTITION BY kind ORDER BY vec_id) - 1)::BIGINT AS position, label::INTEGER AS label, round(total, 6) + 0.0 AS total FROM v, (VALUES ('records'), ('idx')) t(kind)"
+ORACLE_SQL["bucket_canvas"] = _with((), _VEC, "s AS (SELECT image_id, 4 + image_id % 4 AS h, 5 + image_id % 3 AS w, image_id % 2 AS b FROM v WHERE i = 0)", "c AS (SELECT b, max(h) AS ch, max(w) AS cw FROM s GROUP BY b)") + "SELECT s.image_id, (a.y * cw + a.x)::INTEGER AS i, round(v.p, 6) + 0.0 AS value FROM s JOIN c USING (b), (SELECT y, x FROM range(8) p(y), range(8) q(x)) a JOIN v ON v.image_id = s.image_id AND v.y = least(a.y, h - 1) AND v.x = least(a.x, w - 1) WHERE a.y < ch AND a.x < cw"
+_BUCKET_SCALE = "sb AS (SELECT image_id % 2 AS bucket_id, band_id, greatest(quantile_cont(abs(v), 0.99) / 127, 1e-12) AS scale FROM z GROUP BY ALL)"
+ORACLE_SQL["bucket_scales"] = _with(_DCT, _BUCKET_SCALE) + "SELECT bucket_id::INTEGER AS bucket_id, band_id::INTEGER AS band_id, round(scale, 9) AS scale FROM sb"
+ORACLE_SQL["bucket_scaled_serve"] = _with(_DCT, _BUCKET_SCALE) + "SELECT image_id, count(DISTINCT patch)::BIGINT AS blocks, round(sum(pow(greatest(-128, least(127, round_even(v::FLOAT::DOUBLE / scale, 0))) * scale, 2)), 3) AS energy FROM z JOIN sb ON sb.bucket_id = image_id % 2 AND sb.band_id = z.band_id WHERE z.band_id < 6 GROUP BY image_id"
+ORACLE_SQL["crop_pixels"] = f"""WITH {_CTE['basis']}, {_CTE['zz']}, {_IMAGES}, qt AS ({_table(95)}),
+p3 AS (SELECT vec_id // 60 AS image_id, vec_id // 20 % 3 AS c, vec_id % 20 AS patch, i, (embedding[i + 1]::DOUBLE + 1) / 2 * 255 AS v FROM embeddings, range(64) t(i)),
+rgb AS (SELECT image_id, patch, i, max(CASE WHEN c = 0 THEN v END) AS r, max(CASE WHEN c = 1 THEN v END) AS g, max(CASE WHEN c = 2 THEN v END) AS b FROM p3 JOIN im USING (image_id) GROUP BY ALL),
+yc AS (SELECT image_id, patch, i // 8 AS y, i % 8 AS x, 0 AS c, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b - 128 AS p FROM rgb
+  UNION ALL SELECT image_id, patch, i // 8, i % 8, 1, -0.168736::DOUBLE * r - 0.331264::DOUBLE * g + 0.5::DOUBLE * b FROM rgb
+  UNION ALL SELECT image_id, patch, i // 8, i % 8, 2, 0.5::DOUBLE * r - 0.418688::DOUBLE * g - 0.081312::DOUBLE * b FROM rgb),
+h AS (SELECT image_id, patch, c, k AS u, x, sum(value * p) AS s FROM yc JOIN basis ON basis.i = y GROUP BY ALL),
+d AS (SELECT image_id, patch, c, u, k AS w, sum(value * s) AS v FROM h JOIN basis ON basis.i = x GROUP BY ALL),
+q AS (SELECT image_id, patch, d.c, u, w, round_even(v / q, 0) * q AS v FROM d JOIN zz ON u = zz.r AND w = zz.c JOIN qt ON channel = d.c AND "natural" = u * 8 + w WHERE pos < 21),
+ih AS (SELECT image_id, patch, c, w, i AS y, sum(value * v) AS s FROM q JOIN basis ON k = u GROUP BY ALL),
+sp AS (SELECT image_id, patch, c, y, i AS x, sum(value * s) AS v FROM ih JOIN basis ON k = w GROUP BY ALL),
+co AS (SELECT image_id, patch // 4 * 8 + y - 5 AS y, patch % 4 * 8 + x - 3 AS x, max(CASE WHEN c = 0 THEN v END) + 128 AS l, max(CASE WHEN c = 1 THEN v END) AS cb, max(CASE WHEN c = 2 THEN v END) AS cr FROM sp GROUP BY ALL)
+SELECT image_id, (n * 360 + y * 18 + x)::INTEGER AS i, round(greatest(0.0, least(1.0, CASE n WHEN 0 THEN l + 1.402::DOUBLE * cr WHEN 1 THEN l - 0.344136::DOUBLE * cb - 0.714136::DOUBLE * cr ELSE l + 1.772::DOUBLE * cb END / 255)), 4) + 0.0 AS value
+FROM co, range(3) t(n) WHERE y BETWEEN 0 AND 19 AND x BETWEEN 0 AND 17"""

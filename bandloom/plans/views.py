@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from bandloom.operators import blocks as bl
 from bandloom.operators import crops as cr
 from bandloom.operators import metrics, sampling, schedule, store
 from bandloom.operators import sensitivity as se
-from bandloom.plans.catalog import QUERIES, _gradients, _pixel_pairs, _values, images, query, scratch
+from bandloom.plans.catalog import QUERIES, _gradients, _pixel_pairs, _places, _values, images, query, scratch
 from bandloom.plans.substrate import BANDS, NPH, NPW, blocks, coefficients, r, shapes, table
 from bandloom.sources import archives, reports
 from bandloom.streaming.ingest import ingest_images
@@ -240,3 +242,64 @@ def trial_report(spark, sf_dir):
     a = spark.read.schema("band_id int, energy double").json(f"{path}/json")
     b = spark.read.option("header", "true").option("inferSchema", "true").csv(f"{path}/csv")
     return a.select(F.lit("json").alias("kind"), "band_id", "energy").unionAll(b.select(F.lit("csv"), F.col("band_id").cast("int"), F.col("energy").cast("double")))
+
+
+@query
+def record_files(spark, sf_dir):
+    """Vectors written as files of labelled binary records and as a pair of IDX files, and the images read back from both."""
+    folder = scratch(spark).removeprefix("file:")
+    os.makedirs(folder)
+    v = _vectors(spark, sf_dir).select("image_id", "label", F.transform("pixels", lambda p: F.floor(p * 255).cast("int")).alias("q"))
+    rows = v.orderBy("image_id").limit(400).collect()  # small files, written by the driver
+    with open(f"{folder}/records.bin", "wb") as a, open(f"{folder}/images.idx", "wb") as b, open(f"{folder}/labels.idx", "wb") as c:
+        b.write(bytes(16))
+        c.write(bytes(8))
+        for x in rows:
+            a.write(bytes([7, x["label"], *x["q"]]))
+            b.write(bytes(x["q"]))
+            c.write(bytes([x["label"]]))
+    a = archives.read_labelled_records(spark, f"{folder}/records.bin", 2, 1, 8).select(F.lit("records").alias("kind"), "position", "label", "pixels")
+    b = archives.read_idx(spark, f"{folder}/images.idx", f"{folder}/labels.idx", 8).select(F.lit("idx").alias("kind"), "position", "label", "pixels")
+    return a.unionAll(b).select("kind", "position", "label", r(tf.array_sum(F.col("pixels"))).alias("total"))
+
+
+@query
+def bucket_canvas(spark, sf_dir):
+    """Images of several sizes on the canvas of their bucket."""
+    rows = _vectors(spark, sf_dir).withColumns({"height": F.lit(8), "width": F.lit(8), "top": F.lit(0), "left": F.lit(0), "crop_h": (4 + F.col("image_id") % 4).cast("int"), "crop_w": (5 + F.col("image_id") % 3).cast("int")})
+    cut = cr.sliced(rows).withColumn("height", F.col("crop_h")).withColumn("width", F.col("crop_w")).withColumn("bucket_id", (F.col("image_id") % 2).cast("int"))
+    canvas = cut.groupBy("bucket_id").agg(F.max("height").alias("h"), F.max("width").alias("w"))
+    return _by_place(cr.padded(cut.join(F.broadcast(canvas), "bucket_id"), F.col("h"), F.col("w")))
+
+
+def _bucket_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.operators import quantize
+
+    return quantize.calibrate(_values(spark, sf_dir).withColumn("bucket_id", (F.col("image_id") % 2).cast("int")), ["bucket_id", "band_id"], "percentile", 99.0)
+
+
+@query
+def bucket_scales(spark, sf_dir):
+    return _bucket_scales(spark, sf_dir).select("bucket_id", "band_id", r("scale", 9).alias("scale"))
+
+
+@query
+def bucket_scaled_serve(spark, sf_dir):
+    """What a bucketed store with scales of its own for each bucket serves of six bands of every block."""
+    path, z = scratch(spark), coefficients(spark, sf_dir).select("image_id", "patch", "z")
+    store.write_bucket_store(z, _places(spark, sf_dir), path, BANDS, _bucket_scales(spark, sf_dir), tile_blocks=2)
+    served, _ = store.read_bucket_store(spark, path, z.select("image_id", "patch", F.lit(6).alias("k")))
+    return served.groupBy("image_id").agg(F.count("*").alias("blocks"), r(F.sum(tf.array_sum(F.transform("z", lambda v: v * v))), 3).alias("energy"))
+
+
+@query
+def crop_pixels(spark, sf_dir):
+    """Pixels of crops that a packed store serves from three of its bands."""
+    path, spec = scratch(spark), store.ChunkSpec(tile_blocks=2)
+    images(spark, sf_dir).write.parquet(f"{path}/source")
+    im = spark.read.parquet(f"{path}/source")
+    store.write_chunk_store(im, path, spec, records_per_shard=16)
+    heads, chunks, spec = store.open_chunk_store(spark, path)
+    wanted = im.select("image_id", F.lit(5).alias("top"), F.lit(3).alias("left"), F.lit(20).alias("crop_h"), F.lit(18).alias("crop_w"))
+    served = store.read_crops(heads, chunks, wanted, spec, [0, 1, 2])
+    return served.select("image_id", F.posexplode("pixels").alias("i", "v")).select("image_id", "i", r("v", 4).alias("value"))

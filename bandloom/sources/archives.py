@@ -10,8 +10,10 @@ import tarfile
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -176,3 +178,46 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Rows (file, class_id) of tab-separated annotations, whose further columns are left."""
     lines = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 2)
     return lines.select(F.trim(F.get("p", F.lit(0))).alias("file"), F.trim(F.get("p", F.lit(1))).alias("class_id"))
+
+
+def read_records(spark: SparkSession, path: str, header: int, size: int) -> DataFrame:
+    """Rows (path, position, record) of files of fixed-size binary records behind a header. Records leave a task in batches."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = memoryview(content.as_buffer())[header:]
+                if len(data) % size:
+                    raise ValueError(f"{name} does not hold whole records of {size} bytes")
+                step = max(1, SAMPLE_BYTES // size)
+                for at in range(0, len(data) // size, step):
+                    n = min(step, len(data) // size - at)
+                    part = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), n, [None, pa.py_buffer(data[at * size : (at + n) * size])])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(at, at + n), pa.int64()), part.cast(pa.binary())], ["path", "position", "record"])
+
+    return files.mapInArrow(unfold, "path string, position long, record binary")
+
+
+def read_labelled_records(spark: SparkSession, path: str, labels: int, channels: int, side: int) -> DataFrame:
+    """Rows (path, position, label, height, width, pixels in planes, 0..1) of files whose records are `labels` label bytes, the
+    last of which counts, and then the planes of an image, as CIFAR has them (one label byte, or two: coarse and fine)."""
+    rows = read_records(spark, path, 0, labels + channels * side * side)
+    byte = lambda i: F.conv(F.hex(F.substring("record", i, 1)), 16, 10).cast("int")
+    return rows.select("path", "position", byte(F.lit(labels)).alias("label"), F.lit(side).alias("height"), F.lit(side).alias("width"), _bytes(F.substring("record", labels + 1, channels * side * side)).alias("pixels"))
+
+
+def read_idx(spark: SparkSession, images: str, labels: str, side: int = 28) -> DataFrame:
+    """Rows (position, label, height, width, pixels in 0..1) of an IDX file of images and one of labels, as MNIST has them."""
+    pixels = read_records(spark, images, 16, side * side).select("position", _bytes(F.col("record")).alias("pixels"))
+    marks = read_records(spark, labels, 8, 1).select("position", F.conv(F.hex("record"), 16, 10).cast("int").alias("label"))
+    return pixels.join(marks, "position").select("position", "label", F.lit(side).alias("height"), F.lit(side).alias("width"), "pixels")
+
+
+def _bytes(data: Column) -> Column:
+    """Bytes as numbers in 0..1."""
+
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, dtype=np.uint8) / 255.0 for x in batch], dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(data)
