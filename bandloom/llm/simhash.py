@@ -9,7 +9,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -399,18 +399,25 @@ def family_links(stars: DataFrame, roots: DataFrame, grams: DataFrame, similarit
     return dealt.repartition(n, "family", "a", "b").sortWithinPartitions("family", "a", "b", "side", "text_id").mapInArrow(join, "u long, v long")
 
 
+def text_name(text: Column) -> Column:
+    """The number by which equal texts are one; different texts that happen to share it are told apart by another hash."""
+    return F.xxhash64(text)
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
     """Rows (id_col, component_id), one for each row of docs: groups of near copies.
 
     Texts are linked if the fingerprints of their 3-word shingles differ in at most `budget` bits, or if their sets of
     `shingle`-word shingles share a band of minima and then turn out to be at least `similarity` alike. The bands are so many
     that a pair of that similarity shares one with probability RECALL, whatever the edits were. Texts of a band are first
-    checked against one of them; what that leaves apart is checked by family_links(). Equal texts are one node throughout.
+    checked against one of them; what that leaves apart is checked by family_links(). Equal texts are one node throughout;
+    different texts whose 64-bit hashes agree are found by a second hash and named by it.
 
     Nulls, empty and repeated texts: as simhash_groups(). id_col may be a struct.
     """
     bounded_batches(docs.sparkSession)
-    keyed = keyed_texts(docs, id_col, text_col).withColumn("text_id", F.xxhash64("text"))
+    keyed = keyed_texts(docs, id_col, text_col)
+    keyed = keyed.withColumn("text_id", text_name(F.col("text"))).withColumn("second", F.xxhash64(F.lit("second"), "text"))
     bands = band_count(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,11 +425,20 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingl
             texts = [x or b"" for x in b.column(1).to_pylist()]
             first = np.array([fingerprint(t, 3, 42) for t in texts], dtype=np.uint64).view(np.int64).tolist()
             keys = [band_keys(shingle_set(t, shingle), bands) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(first, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(first, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_id", "second", "fp", "keys"])
+
+    def texts_of(known: DataFrame) -> DataFrame:
+        found = known.groupBy("text_id").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), (F.min("second") != F.max("second")).alias("clash"))
+        return cut(found, "texts")
 
-    schema = T.StructType([renamed(keyed.schema["id"], "id"), *(T.StructField(n, T.LongType()) for n in ("text_id", "fp")), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([renamed(keyed.schema["id"], "id"), *(T.StructField(n, T.LongType()) for n in ("text_id", "second", "fp")), T.StructField("keys", T.ArrayType(T.LongType()))])
     known = cut(keyed.mapInArrow(run, schema), "bands")
-    nodes = cut(known.groupBy("text_id").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "texts")
+    nodes = texts_of(known)
+    if not nodes.where("clash").isEmpty():
+        clashes = cut(nodes.where("clash").select("text_id", "clash"), "clashes")
+        known, keyed = (df.join(carried(clashes, 9), "text_id", "left").withColumn("text_id", F.when(F.col("clash"), F.col("second")).otherwise(F.col("text_id"))).drop("clash") for df in (known, keyed))
+        known = cut(known, "bands")
+        nodes = texts_of(known)
     heads = cut(nodes.groupBy("fp").agg(F.min("text_id").alias("head")), "heads")
     same = nodes.join(heads, "fp").select(F.col("text_id").alias("u"), F.col("head").alias("v"))
     links = near_links(heads.select("fp"), budget)

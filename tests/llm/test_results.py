@@ -821,3 +821,12 @@ def test_near_duplicates_against_all_pairs(spark, sf_):
     out = dict(near_duplicates(docs, "doc_id").collect())
     wrong = sum(out[i] != rows[root[k]][0] for k, (i, _) in enumerate(rows))
     assert wrong <= 0.001 * len(rows)  # pairs at 0.8 meet in a band with a probability of 0.9995
+
+
+def test_texts_whose_hashes_agree_stay_apart(spark, sf, monkeypatch):
+    from bandloom.llm import simhash
+
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    want = sorted(map(tuple, simhash.near_duplicates(docs, "doc_id").collect()))
+    monkeypatch.setattr(simhash, "text_name", lambda text: F.pmod(F.xxhash64(text), F.lit(150)))
+    assert sorted(map(tuple, simhash.near_duplicates(docs, "doc_id").collect())) == want
