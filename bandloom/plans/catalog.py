@@ -243,7 +243,7 @@ def precision_search(spark, sf_dir):
     v = _values(spark, sf_dir).select("band_id", "value").persist()
     trials = quantize.search_precision(v, ["band_id"], quantize.Gate(psnr=45.0, ssim=0.99))
     v.unpersist()
-    rows = [(i, t["dtype"], float(t["multiplier"]), float(t["psnr"]), float(t["ssim"]), float(t["clip_fraction"]), float(t["zero_fraction"]), t["passed"]) for i, t in enumerate(trials)]
+    rows = [(i, t["dtype"], *(round(float(t[c]), d) for c, d in (("multiplier", 9), ("psnr", 4), ("ssim", 9), ("clip_fraction", 9), ("zero_fraction", 9))), t["passed"]) for i, t in enumerate(trials)]
     return spark.createDataFrame(rows, "trial int, dtype string, multiplier double, psnr double, ssim double, clip_fraction double, zero_fraction double, passed boolean")
 
 
