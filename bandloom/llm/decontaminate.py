@@ -15,8 +15,8 @@ from bandloom.llm.fm_index import FMIndex
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 10
-#: Words of a shard: a task indexes so many at once (about 100 MB).
-SHARD_WORDS = 1_000_000
+#: Words of a shard: a task indexes so many at once (about 30 MB).
+SHARD_WORDS = 300_000
 #: Bytes of benchmark text that one pass takes to the tasks; a larger benchmark takes more passes.
 PASS_BYTES = 32 << 20
 

@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandloom.llm.common import cut
+from bandloom.llm.common import CARRIED_BYTES, cut
 
 #: Words of a block at most, about, and blocks that each output shard gets on average at least (while a block has a word).
 BLOCK_WORDS, BLOCKS_PER_SHARD = 1 << 18, 64
 #: Blocks from the boundary block on from which rows are taken singly to come near a target, and words of them at least.
 POOL_BLOCKS, POOL_WORDS = 8, 1 << 17
+#: Bytes of a row of sources, about.
+SOURCE_BYTES = 256
 #: Words `[^\x20\x09-\x0D]+` of a text.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,6 +81,8 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...], share: float, most: floa
     full = [int(t // n) if n else 0 for t, n in zip(targets, sizes, strict=True)]
     table = [(s, i, n, t, max(1, n // block), f, t - f * n) for i, ((s, n), t, f) in enumerate(zip(found, targets, full, strict=True))]
     sources = spark.createDataFrame(table, "source string, source_no int, source_size long, target double, blocks long, full int, rest double")
+    if len(table) * SOURCE_BYTES <= CARRIED_BYTES:  # so that rows do not meet by source, of which one may hold a third of them
+        sources = F.broadcast(sources)
 
     words = blocked(rows, sources).groupBy("source_no", "block").agg(F.sum("size").alias("words"))
     blocks = cut(words, "blocks").join(sources.drop("source", "source_size", "target"), "source_no")
