@@ -110,11 +110,13 @@ class _Loaded:
                 self.memo.clear()
                 self.held = 0
             new = list(set(chain.from_iterable(pieces)) - self.memo.keys())
-            found = dict(zip(new, self.lengths(new), strict=True))
-            yield from (sum(n if (n := self.memo.get(w)) is not None else found[w] for w in p) for p in pieces)
-            kept = {w: n for w, n in found.items() if len(w) <= MEMO_PIECE}
-            self.memo.update(kept)
-            self.held += sum(map(len, kept)) + 64 * len(kept)
+            self.memo.update(zip(new, self.lengths(new), strict=True))
+            yield from (sum(map(self.memo.__getitem__, p)) for p in pieces)
+            for w in new:
+                if len(w) > MEMO_PIECE:
+                    del self.memo[w]
+                else:
+                    self.held += len(w) + 64
             at = end
 
     def cut(self, text: bytes) -> list[bytes]:
