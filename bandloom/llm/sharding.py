@@ -82,7 +82,7 @@ class ShardPlan:
 
 
 def _literal_rows(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
-    """A few rows of numbers as constants of the plan."""
+    """A few rows of numbers, or of literals as they stand, as constants of the plan."""
     told = (", ".join(f"{v!r}D" if isinstance(v, float) else str(v) for v in row) for row in rows)
     return spark.range(1).selectExpr(f"inline(array({', '.join(f'struct({t})' for t in told)}))").toDF(*names.split())
 
@@ -124,7 +124,7 @@ def fit(meta: DataFrame, shards: int, row_key: Column) -> ShardPlan:
         homes.append((g, s))
         heapq.heappush(emptiest, (held + n, s))
     if homes:
-        plan.placed = spark.createDataFrame(homes, "grp long, home int")
+        plan.placed = _literal_rows(spark, "grp home", [(f"{g}L", s) for g, s in homes])
     room = [max(share - held, 0.0) for held, _ in sorted(emptiest, key=lambda x: x[1])]
 
     rows = plan.binned(meta, row_key).where("home is null").select("size", "bins", "tie")
