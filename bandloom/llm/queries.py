@@ -1,9 +1,11 @@
-"""The queries that apply the ten corpus operators to their whole tables."""
+"""The queries that apply the corpus operators to their whole tables."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("mark"))
 
 
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Of every tenth document, by a hash of its id, the words from some place on repeat; a null id has no such words."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    order = np.arange(n)
+    order[a:] = a + (order[a:] - a) % p
+    return order
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandloom.llm.mixing import mix_sources
 
@@ -87,6 +102,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.llm.resampling import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=25, least_words=20, longest=2, buckets=10_000, seed=7)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandloom.llm.periodic_runs import periodic_runs, strongest
+
+    found = periodic_runs(read_table(spark, sf_dir, "documents"), least=24, times=3, reorder=repeated_tail)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), strongest("runs").alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -98,4 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_exact_topk": op9_exact_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
