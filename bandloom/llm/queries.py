@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bandloom.llm.common import read_table
 
 TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
+PACKING_TOKENIZER = "byte_bpe_50k.json"
 
 
 def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +103,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from bandloom.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER), room=2048, end_id=1)
+
+
 def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandloom.llm.resampling import resample
 
@@ -129,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_exact_topk": op9_exact_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op11_sequence_packing": op11_sequence_packing,
     "op12_target_resampling": op12_target_resampling,
     "op13_periodic_runs": op13_periodic_runs,
 }
