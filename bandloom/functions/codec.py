@@ -1,4 +1,4 @@
-"""Lossless payload codecs over Arrow batches: zstd and zlib, with length checks."""
+"""Lossless payload codecs over Arrow batches: zstd, zlib and none, with length checks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CODECS = ("zstd", "zlib")
+CODECS = ("zstd", "zlib", "none")
 
 
 def _known(codec: str) -> str:
@@ -18,8 +18,8 @@ def _known(codec: str) -> str:
 
 
 def pack(raw: bytes, codec: str, level: int) -> bytes:
-    if not raw:
-        return b""
+    if not raw or codec == "none":
+        return raw
     if codec == "zlib":
         return zlib.compress(raw, level)
     import zstandard
@@ -28,8 +28,8 @@ def pack(raw: bytes, codec: str, level: int) -> bytes:
 
 
 def unpack(payload: bytes, raw_length: int, codec: str) -> bytes:
-    if not payload:
-        raw = b""
+    if not payload or codec == "none":
+        raw = payload
     elif codec == "zlib":
         raw = zlib.decompress(payload)
     else:

@@ -19,8 +19,9 @@ from bandloom.functions.dims import CROP_BANDS, Bands, quality_tables, zigzag
 from bandloom.functions.transforms import band_slice, quantise, resize_any, to_ycbcr
 from bandloom.operators.blocks import restored, split_blocks, transformed
 from bandloom.operators.crops import block_rect, overlapping_tiles
+from bandloom.sources import files, packed
 
-BAND_STORE, RESIDUAL_STORE, SHARD_STORE, CHUNK_STORE = "bandloom_bands_v1", "bandloom_residuals_v1", "bandloom_shards_v1", "bandloom_chunks_v1"
+BAND_STORE, RESIDUAL_STORE, SHARD_STORE, CHUNK_STORE, PACKED_STORE = "bandloom_bands_v1", "bandloom_residuals_v1", "bandloom_shards_v1", "bandloom_chunks_v1", "bandloom_packed_v1"
 
 
 def write_metadata(spark: SparkSession, path: str, format_: str, values: dict[str, str]) -> None:
@@ -260,7 +261,12 @@ def crop_blocks(reads: DataFrame, spec: ChunkSpec) -> DataFrame:
 
 def read_crops(images: DataFrame, chunks: DataFrame, requests: DataFrame, spec: ChunkSpec, wanted: list[int] | None = None) -> DataFrame:
     """Rows (image_id, top, left, crop_h, crop_w, pixels RGB): requests served from the bands wanted, clipped to the image."""
-    blocks = restored(crop_blocks(crop_reads(images, chunks, requests, spec, wanted), spec))
+    return served_crops(crop_reads(images, chunks, requests, spec, wanted), spec)
+
+
+def served_crops(reads: DataFrame, spec: ChunkSpec) -> DataFrame:
+    """The crops of crop_reads() with the payloads of their chunks."""
+    blocks = restored(crop_blocks(reads, spec))
     parts = blocks.groupBy("image_id", "crop", "npw").agg(F.collect_list(F.struct("channel", "patch", "pixels")).alias("b"))
     h = F.least(F.col("crop.crop_h"), F.col("crop.height") - F.col("crop.top"))
     w = F.least(F.col("crop.crop_w"), F.col("crop.width") - F.col("crop.left"))
@@ -304,6 +310,53 @@ def crop_bytes(reads: DataFrame) -> DataFrame:
     return runs.groupBy(*keys).agg(F.sum("n").alias("bytes_read"), F.count("*").alias("read_ops"))
 
 
+# --- packed stores: chunks in payload files, read by byte ranges ---
+
+
+def packed_rows(images: DataFrame, spec: ChunkSpec, records_per_shard: int) -> DataFrame:
+    """images (image_id, label, height, width, pixels, and source_key, source_url if they are there) as rows of a packed store."""
+    heads, chunks = chunk_tables(images, spec)
+    shard = F.floor(F.col("image_id") / records_per_shard).cast("int").alias("shard_id")
+    head = [f.split()[0] for f in packed.HEAD.split(", ")]
+    named = [F.col(c).cast(t) if c in heads.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in packed.HEAD.split(", "))]
+    nothing = [F.lit(-1).alias("tile_id"), F.lit(-1).alias("band_id"), F.lit(0).alias("num_blocks"), F.lit(0).alias("raw_length"), F.lit(None).cast("binary").alias("payload")]
+    rows = chunks.select(shard, "image_id", "tile_id", F.col("band_id").cast("int"), "num_blocks", "raw_length", "payload", *(F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in packed.HEAD.split(", "))))
+    return rows.unionByName(heads.select(shard, "image_id", *nothing, *(c.alias(n) for c, n in zip(named, head, strict=True))))
+
+
+def write_packed_store(images: DataFrame, path: str, spec: ChunkSpec, records_per_shard: int = 1024, contiguous: bool = True, batch: str = "") -> None:
+    """Adds images to a packed store as shards of consecutive images, all or none; see sources.packed. The first write fixes the
+    format. With contiguous, images must follow on those that are there; a batch that was added before is not added again."""
+    spark = images.sparkSession
+    options = {"quality": str(spec.quality), "tile_blocks": str(spec.tile_blocks), "codec": spec.codec, "records_per_shard": str(records_per_shard)}
+    if files.names(f"{path}/metadata"):
+        if (known := open_metadata(spark, path, PACKED_STORE)) != options:
+            raise ValueError(f"{path} holds {known}, not {options}")
+    else:
+        write_metadata(spark, path, PACKED_STORE, options)
+    packed.write_packed(packed_rows(images, spec, records_per_shard), path, spec.bands.count, contiguous, batch)
+
+
+def open_packed_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, ChunkSpec]:
+    """(images, chunks without payloads, format) of what the store's manifest lists."""
+    o = open_metadata(spark, path, PACKED_STORE)
+    return *packed.packed_index(spark, path), ChunkSpec(int(o["quality"]), int(o["tile_blocks"]), codec=o["codec"])
+
+
+def packed_reads(spark: SparkSession, path: str, requests: DataFrame, wanted: list[int] | None = None) -> tuple[DataFrame, ChunkSpec]:
+    """(the chunks that requests (image_id, top, left, crop_h, crop_w) touch, with their payloads and reads; the store's format).
+    Requests meet the index, which has no payloads; only the byte ranges that remain are then read."""
+    heads, chunks, spec = open_packed_store(spark, path)
+    return packed.fetch(crop_reads(heads, chunks, requests, spec, wanted), path, "top", "left"), spec
+
+
+def coefficient_rows(chunks: DataFrame, images: DataFrame, spec: ChunkSpec) -> DataFrame:
+    """Rows (image_id, band_id, patch, channel, vals): dequantised coefficients of whole chunks."""
+    rows = chunks.join(images.select("image_id", "write_id", "nph", "npw"), ["image_id", "write_id"])
+    cells = rows.select("image_id", "band_id", F.explode(_unpacker(spec)("payload", "raw_length", "band_id", "tile_id", "nph", "npw")).alias("b"))
+    return cells.select("image_id", "band_id", "b.*")
+
+
 # --- bucketed stores: images of one grid together, packed by chunk of images, tile and band ---
 
 BUCKET_STORE = "bandloom_buckets_v1"
