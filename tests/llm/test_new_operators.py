@@ -103,9 +103,11 @@ def test_ids_are_those_of_the_tokenizer(spark, sf, monkeypatch):
     tok = Tokenizer.from_file(BYTE_BPE)
     with open(BYTE_BPE, "rb") as f:
         memo = packing.IdMemo(f.read())
+    assert memo.merges is not None
     r = random.Random(2)
     odd = ["", " ", "  a  b ", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a\u00a0 b", "a \u00a0b", "\u3000 a", "é è  ê", "a\n b\t c", "it's we'll", "1 2 3 !! ?", "end ", " start", "a\u200b b", "\U0001f600 \U0001f600"]
-    chars = "ab é'1! \n\t\u00a0\u2003<|x"
+    odd += ["no.\nNext,\nlast! a.\n b ab.\nab.\nab ,\n", "Ab.cd ab.. ab,\n\nab \u0101b \u0251b ab1 a\u0301", "x" * 90 + " " + "y" * 90 + ".\nz"]
+    chars = "ab é.,'1! \n\t\u00a0\u2003<|x"
     odd += ["".join(r.choices(chars, k=r.randint(0, 40))) for _ in range(600)]
     texts = odd + [x["text"] or "" for x in read_table(spark, sf, "documents").collect()]
     for at in range(0, len(texts), 50):
