@@ -313,10 +313,11 @@ def crop_bytes(reads: DataFrame) -> DataFrame:
 # --- packed stores: chunks in payload files, read by byte ranges ---
 
 
-def packed_rows(images: DataFrame, spec: ChunkSpec, records_per_shard: int) -> DataFrame:
-    """images (image_id, label, height, width, pixels, and source_key, source_url if they are there) as rows of a packed store."""
+def packed_rows(images: DataFrame, spec: ChunkSpec, records_per_shard: int, first_image: int = 0, first_shard: int = 0) -> DataFrame:
+    """images (image_id, label, height, width, pixels, and source_key, source_url if they are there) as rows of a packed store;
+    shards are numbered from first_shard, that of first_image."""
     heads, chunks = chunk_tables(images, spec)
-    shard = F.floor(F.col("image_id") / records_per_shard).cast("int").alias("shard_id")
+    shard = (F.floor((F.col("image_id") - first_image) / records_per_shard) + first_shard).cast("int").alias("shard_id")
     head = [f.split()[0] for f in packed.HEAD.split(", ")]
     named = [F.col(c).cast(t) if c in heads.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in packed.HEAD.split(", "))]
     nothing = [F.lit(-1).alias("tile_id"), F.lit(-1).alias("band_id"), F.lit(0).alias("num_blocks"), F.lit(0).alias("raw_length"), F.lit(None).cast("binary").alias("payload")]
@@ -324,9 +325,10 @@ def packed_rows(images: DataFrame, spec: ChunkSpec, records_per_shard: int) -> D
     return rows.unionByName(heads.select(shard, "image_id", *nothing, *(c.alias(n) for c, n in zip(named, head, strict=True))))
 
 
-def write_packed_store(images: DataFrame, path: str, spec: ChunkSpec, records_per_shard: int = 1024, contiguous: bool = True, batch: str = "") -> None:
+def write_packed_store(images: DataFrame, path: str, spec: ChunkSpec, records_per_shard: int = 1024, contiguous: bool = True, batch: str = "", own_shards: bool = False) -> None:
     """Adds images to a packed store as shards of consecutive images, all or none; see sources.packed. The first write fixes the
-    format. With contiguous, images must follow on those that are there; a batch that was added before is not added again."""
+    format. With contiguous, images must follow on those that are there; a batch that was added before is not added again. Shards
+    are numbered by image, or with own_shards on from the last one that is there."""
     spark = images.sparkSession
     options = {"quality": str(spec.quality), "tile_blocks": str(spec.tile_blocks), "codec": spec.codec, "records_per_shard": str(records_per_shard)}
     if files.names(f"{path}/metadata"):
@@ -334,7 +336,13 @@ def write_packed_store(images: DataFrame, path: str, spec: ChunkSpec, records_pe
             raise ValueError(f"{path} holds {known}, not {options}")
     else:
         write_metadata(spark, path, PACKED_STORE, options)
-    packed.write_packed(packed_rows(images, spec, records_per_shard), path, spec.bands.count, contiguous, batch)
+    first_image = first_shard = 0
+    if own_shards:
+        if batch and any(s["batch"] == batch for s in packed.committed(path)):
+            return
+        first_image = images.agg(F.min("image_id")).first()[0] or 0
+        first_shard = max((s["shard_id"] for s in packed.committed(path)), default=-1) + 1
+    packed.write_packed(packed_rows(images, spec, records_per_shard, first_image, first_shard), path, spec.bands.count, contiguous, batch)
 
 
 def open_packed_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, ChunkSpec]:

@@ -44,3 +44,17 @@ sz AS (SELECT image_id, (40 - image_id % 10 % 4 * 7 + 7) // 8 AS nph, (32 - imag
 rows AS (SELECT image_id, nph, npw, '' AS batch FROM sz UNION ALL SELECT image_id + ((SELECT max(image_id) FROM sz) // 2 + 1) * 2, nph, npw, 'stream 0' FROM sz WHERE image_id < 4)
 SELECT (image_id // 2)::INTEGER AS shard_id, count(*)::BIGINT AS images, sum(((nph + 1) // 2) * ((npw + 1) // 2) * 4)::BIGINT AS chunks, sum(nph * npw * 3 * 64 * 2)::BIGINT AS bytes,
   min(image_id)::BIGINT AS first_image, max(image_id)::BIGINT AS last_image, batch FROM rows GROUP BY ALL"""
+
+_SAMPLES = """docs AS (SELECT doc_id AS id, 'd/k' || doc_id * 7919 % 100003 AS key, coalesce(text, '') AS t, (length(text) % 10)::INTEGER AS label, doc_id // 64 AS shard,
+  row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id) - 1 AS position FROM documents WHERE doc_id IS NOT NULL)"""
+# A sample is two headers of 512 bytes, the image and the label, both padded to 512.
+ORACLE_SQL["tar_index"] = f"""WITH {_SAMPLES}, n AS (SELECT *, octet_length(encode(t)) AS size FROM docs),
+spot AS (SELECT *, coalesce(sum(1536 + (size + 511) // 512 * 512) OVER (PARTITION BY shard ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM n)
+SELECT shard::INTEGER AS shard, position::INTEGER AS position, key, (start + 512)::BIGINT AS image_offset, size::BIGINT AS image_length,
+  (start + 1024 + (size + 511) // 512 * 512)::BIGINT AS label_offset, 1::BIGINT AS label_length FROM spot"""
+ORACLE_SQL["tar_by_key"] = f"""WITH {_SAMPLES}
+SELECT kind, shard::INTEGER AS shard, position::INTEGER AS position, key, sha256(t) AS sha, label FROM docs, (VALUES ('key'), ('tail')) k(kind)
+WHERE (kind = 'key' AND label = 3) OR (kind = 'tail' AND position >= 50)"""
+ORACLE_SQL["tar_stream"] = f"WITH {_SAMPLES} SELECT key, sha256(t) AS sha, label, count(*)::BIGINT AS times FROM docs GROUP BY ALL"
+ORACLE_SQL["streamed_pixels"] = _PIXELS.replace("(embedding[i + 1]::DOUBLE + 1) / 2 * 255 AS v", "floor((embedding[i + 1]::DOUBLE + 1) / 2 * 255) AS v").replace(" WHERE pos < 21", "") + """
+SELECT image_id, label, image_id || '-' || h || '-' || w AS source_key, (n * h * w + y * w + x)::INTEGER AS i, round(v, 4) + 0.0 AS value FROM px JOIN sz USING (image_id) WHERE y < h AND x < w"""

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from bandloom.operators import store
 from bandloom.plans.catalog import images, query, scratch
-from bandloom.plans.substrate import r
-from bandloom.sources import packed
+from bandloom.plans.substrate import r, table
+from bandloom.sources import archives, packed
+from bandloom.streaming.ingest import ingest_packed
 
 #: Nothing is compressed here, so that lengths follow from the images alone.
 PACKED = store.ChunkSpec(tile_blocks=2, codec="none")
@@ -80,3 +81,70 @@ def packed_manifest(spark, sf_dir):
     for _ in range(2):
         store.write_packed_store(more, path, PACKED, records_per_shard=2, contiguous=False, batch="stream 0")
     return packed.manifest(spark, path).select("shard_id", "images", "chunks", "bytes", "first_image", "last_image", F.col("batch").alias("batch"))
+
+
+# --- archives by index, and as a stream ---
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as samples; keys do not tell their archive."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    return d.select(F.col("doc_id").alias("id"), F.concat(F.lit("d/k"), F.col("doc_id") * 7919 % 100_003).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), (F.length("text") % 10).cast("int").alias("label"))
+
+
+@query
+def tar_index(spark, sf_dir):
+    """Where each sample of the archives of all documents lies."""
+    index = archives.member_index(spark, archives.write_archives(_samples(spark, sf_dir), scratch(spark), 64))
+    return index.withColumn("shard", F.regexp_extract("shard", r"part-(\d+)", 1).cast("int"))
+
+
+@query
+def tar_by_key(spark, sf_dir):
+    """Samples of some keys, and those of every archive from the fiftieth on, read by their bytes."""
+    path = scratch(spark)
+    archives.member_index(spark, archives.write_archives(_samples(spark, sf_dir), f"{path}/tar", 64)).write.parquet(f"{path}/index")
+    index = spark.read.parquet(f"{path}/index")
+    keys = archives.read_indexed_keys(index, _samples(spark, sf_dir).where("label = 3").select("key"))
+    tail = archives.read_indexed(index.where("position >= 50"))
+    out = keys.withColumn("kind", F.lit("key")).unionAll(tail.withColumn("kind", F.lit("tail")))
+    return out.select("kind", F.regexp_extract("shard", r"part-(\d+)", 1).cast("int").alias("shard"), "position", "key", F.sha2("content", 256).alias("sha"), "label")
+
+
+@query
+def tar_stream(spark, sf_dir):
+    """Archives that come in two parts, streamed sample by sample over a restart: every sample is there, and how often."""
+    path, rows = scratch(spark), _samples(spark, sf_dir)
+    last = rows.agg(F.max("id")).first()[0] // 2
+    for part, per_batch in ((rows.where(F.col("id") <= last), 100), (rows.where(F.col("id") > last), 0)):
+        archives.write_archives(part.withColumn("id", F.col("id") + F.when(F.col("id") > last, 64).otherwise(0)), f"{path}/tar", 64)
+        stream = archives.stream_archives(spark, f"{path}/tar", samples_per_batch=per_batch, checkpoint=f"{path}/progress")
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/progress").option("path", f"{path}/out")
+        running = (writer if per_batch else writer.trigger(availableNow=True)).start()
+        if per_batch:
+            running.processAllAvailable()
+            running.stop()
+        running.awaitTermination()
+    out = spark.read.schema(archives.SCHEMA).parquet(f"{path}/out")
+    return out.groupBy("key", F.sha2("content", 256).alias("sha"), "label").agg(F.count("*").alias("times"))
+
+
+@query
+def streamed_pixels(spark, sf_dir):
+    """Pixels of images whose bytes come in archives and go into a packed store as a stream that is started twice."""
+    path = scratch(spark)
+    mixed_images(spark, sf_dir).write.parquet(f"{path}/source")
+    im = spark.read.parquet(f"{path}/source")
+    byte = F.transform("pixels", lambda v: F.lpad(F.hex(F.floor(v * 255).cast("int")), 2, "0"))
+    name = F.concat_ws("-", "image_id", "height", "width")
+    archives.write_archives(im.select(F.col("image_id").alias("id"), name.alias("key"), F.unhex(F.array_join(byte, "")).alias("content"), "label"), f"{path}/tar", 2)
+    part = F.split("key", "-")
+    shape = {n: F.get(part, F.lit(k)).cast(t) for k, (n, t) in enumerate((("image_id", "long"), ("height", "int"), ("width", "int")))}
+    images_ = archives.stream_archives(spark, f"{path}/tar").withColumns(shape | {"pixels": archives.byte_values(F.col("content")), "source_key": F.col("key"), "source_url": F.col("shard")})
+    for _ in range(2):
+        ingest_packed(images_.drop("content", "key", "shard", "position"), f"{path}/store", f"{path}/progress", PACKED, records_per_shard=2).awaitTermination()
+    heads, _, _ = store.open_packed_store(spark, f"{path}/store")
+    whole = heads.select("image_id", F.lit(0).alias("top"), F.lit(0).alias("left"), F.col("height").alias("crop_h"), F.col("width").alias("crop_w"))
+    reads, spec = store.packed_reads(spark, f"{path}/store", whole)
+    served = store.served_crops(reads, spec).join(heads.select("image_id", "label", "source_key"), "image_id")
+    return served.select("image_id", "label", "source_key", F.posexplode("pixels").alias("i", "v")).select("image_id", "label", "source_key", "i", r("v", 4).alias("value"))

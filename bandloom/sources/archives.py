@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import re
 import tarfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 from typing import BinaryIO
 
 import numpy as np
@@ -16,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from bandloom.sources import files
 from bandloom.sources.folders import shard_list
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png")
@@ -26,6 +28,9 @@ LABEL_SUFFIX = "cls"
 SAMPLE_BYTES = 8 << 20
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+:")
 SCHEMA = "shard string, position int, key string, content binary, label int"
+INDEX_SCHEMA = "shard string, position int, key string, image_offset long, image_length long, label_offset long, label_length long"
+_INDEX_NAMES = ["shard", "position", "key", "image_offset", "image_length", "label_offset", "label_length"]
+_INDEX_TYPES = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 4]
 
 
 def members(archive: tarfile.TarFile) -> Iterator[tuple[str, str, tarfile.TarInfo]]:
@@ -64,11 +69,10 @@ class _TarReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(s) for s in self.shards]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         shard, done = partition.value
         with open(shard, "rb") as file:  # members are read one by one, so an archive may be larger than memory
-            for position, key, image, label in samples(file, done):
-                yield shard, position, key, image, label
+            yield from _batches((shard, *x) for x in samples(file, done))
 
 
 class TarSamples(DataSource):
@@ -97,21 +101,26 @@ def read_archives(spark: SparkSession, patterns: str | list[str], skip: DataFram
     if not any(_SCHEME.match(s) for s in shards):
         spark.dataSource.register(TarSamples)
         return spark.read.format("tar_samples").option("shards", json.dumps([(s, done.get(s, 0)) for s in shards])).load()
-    files = spark.read.format("binaryFile").load(shards).select(F.col("path").alias("shard"), "content").repartition("shard")
+    whole = spark.read.format("binaryFile").load(shards).select(F.col("path").alias("shard"), "content").repartition("shard")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, held = [], 0
-                for position, key, image, label in samples(io.BytesIO(content.as_buffer()), done.get(shard, 0)):
-                    rows.append((shard, position, key, image, label))
-                    held += len(image)
-                    if held > SAMPLE_BYTES:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                yield _batch(rows)
+                yield from _batches((shard, *x) for x in samples(io.BytesIO(content.as_buffer()), done.get(shard, 0)))
 
-    return files.mapInArrow(unfold, SCHEMA)
+    return whole.mapInArrow(unfold, SCHEMA)
+
+
+def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Samples in batches of about SAMPLE_BYTES."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
+        if size > SAMPLE_BYTES:
+            yield _batch(held)
+            held, size = [], 0
+    yield _batch(held)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -121,31 +130,213 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def write_archives(rows: DataFrame, folder: str, samples_per_shard: int) -> list[str]:
-    """Rows (id, key, content, label) as archives of consecutive ids in a mounted folder; returns their names."""
-    os.makedirs(folder, exist_ok=True)
+    """Rows (id, key, content, label) as archives of consecutive ids; returns their names. A task writes an archive under a name of
+    its own and then renames it, so none is ever seen half written, and one that is written again is the same."""
     dealt = rows.withColumn("shard_id", F.floor(F.col("id") / samples_per_shard).cast("int")).repartition("shard_id").sortWithinPartitions("shard_id", "id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, archive, written = None, None, []
-        for b in batches:
-            for shard, key, content, label in zip(*(b.column(c).to_pylist() for c in ("shard_id", "key", "content", "label")), strict=True):
-                if shard != now:
-                    if archive is not None:
-                        archive.close()
-                    now, name = shard, f"{folder}/part-{shard:06d}.tar"
-                    written.append(name)
-                    archive = tarfile.open(name, "w")
-                for suffix, data in ((IMAGE_SUFFIXES[0], content), (LABEL_SUFFIX, str(label).encode())):
-                    info = tarfile.TarInfo(f"{key}.{suffix}")
-                    info.size = len(data)
-                    archive.addfile(info, io.BytesIO(data))
-        if archive is not None:
-            archive.close()
+        fs, inner = files.located(folder)
+        fs.create_dir(inner, recursive=True)
+        written: list[str] = []
+        each = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("shard_id", "key", "content", "label")), strict=True))
+        for shard, members_ in groupby(each, key=lambda row: row[0]):
+            name, own = f"part-{shard:06d}.tar", f"{inner}/.part-{shard:06d}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(own) as out, tarfile.open(fileobj=out, mode="w|") as archive:
+                for _, key, content, label in members_:
+                    for suffix, data in ((IMAGE_SUFFIXES[0], content), (LABEL_SUFFIX, str(label).encode())):
+                        info = tarfile.TarInfo(f"{key}.{suffix}")
+                        info.size = len(data)
+                        archive.addfile(info, io.BytesIO(data))
+            fs.move(own, f"{inner}/{name}")
+            written.append(f"{folder}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], ["name"])
 
     return sorted(r["name"] for r in dealt.select("shard_id", "key", "content", "label").mapInArrow(write, "name string").collect())
 
 
+# --- the index of an archive's members: samples are then read by their bytes, and an archive by many tasks ---
+
+
+def places(file: BinaryIO) -> Iterator[tuple[int, str, int, int, int, int]]:
+    """(position, key, image offset, its length, label offset, its length) of the samples of an archive, from its headers alone."""
+    images: dict[str, tarfile.TarInfo] = {}
+    labels: dict[str, tarfile.TarInfo] = {}
+    position = 0
+    with tarfile.open(fileobj=file, mode="r:") as archive:
+        for key, suffix, m in members(archive):
+            if suffix in IMAGE_SUFFIXES:
+                images[key] = m
+            elif suffix == LABEL_SUFFIX:
+                labels[key] = m
+            if key in images and key in labels:
+                image, label = images.pop(key), labels.pop(key)
+                yield position, key, image.offset_data, image.size, label.offset_data, label.size
+                position += 1
+            archive.members = []
+
+
+def member_index(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
+    """Rows of INDEX_SCHEMA, one for each sample: an archive is one task's work, which reads headers and skips contents. Written
+    once as a table, it serves every later read: by key, from a position on, or of some archives."""
+    shards = spark.createDataFrame([(s,) for s in shard_list(patterns)], "shard string")
+    shards = shards.repartition(min(shards.count(), 4096), "shard")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                fs, inner = files.located(shard)
+                with fs.open_input_file(inner) as file:
+                    rows = ((shard, *x) for x in places(file))
+                    while some := list(islice(rows, 65_536)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _INDEX_TYPES, strict=True)], _INDEX_NAMES)
+
+    return shards.mapInArrow(walk, INDEX_SCHEMA)
+
+
+def read_indexed(index: DataFrame) -> DataFrame:
+    """Rows of SCHEMA for rows of the index: only the bytes of their images and labels are read. Tasks take ranges of archives and
+    places, so an archive is shared out among many, and one of which nothing is wanted is not opened."""
+    width = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.select(*_INDEX_NAMES).repartitionByRange(width, "shard", "image_offset").sortWithinPartitions("shard", "image_offset")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, rows in groupby(zip(*(c.to_pylist() for c in b.columns), strict=True), key=lambda row: row[0]):
+                fs, inner = files.located(shard)
+                with fs.open_input_file(inner) as file:
+                    yield from _batches(_read_rows(file, list(rows)))
+
+    return dealt.mapInArrow(read, SCHEMA)
+
+
+def _read_rows(file: BinaryIO, rows: list[tuple]) -> Iterator[tuple]:
+    """Samples of one archive; the pieces of up to 1 024 of them are read in the order of their places."""
+    for at in range(0, len(rows), 1024):
+        some = rows[at : at + 1024]
+        pieces = sorted({(o, n) for r in some for o, n in ((r[3], r[4]), (r[5], r[6]))})
+        found: dict[tuple[int, int], bytes] = {}
+        last: dict[tuple[int, int], int] = {}
+        for k, r in enumerate(some):
+            last[r[3], r[4]] = last[r[5], r[6]] = k
+        reads = files.fetched(file, pieces, gap=4096)
+        for k, (shard, position, key, io_, in_, lo, ln) in enumerate(some):
+            while (io_, in_) not in found or (lo, ln) not in found:
+                first, end, parts, _, _ = next(reads)
+                found.update(zip(pieces[first:end], parts, strict=True))
+            image, label = found[io_, in_], found[lo, ln]
+            for piece in ((io_, in_), (lo, ln)):
+                if last[piece] == k:
+                    found.pop(piece, None)
+            yield shard, position, key, image, int(label.decode().strip())
+
+
+def read_indexed_keys(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Samples of the wanted keys (column key), found by the index whatever the archives are called; missing ones are an error."""
+    keys = wanted.select("key").distinct()
+    missing = keys.join(index, "key", "left_anti").limit(5).collect()
+    if missing:
+        raise KeyError(f"missing keys: {', '.join(str(r[0]) for r in missing)}")
+    return read_indexed(index.join(keys, "key", "left_semi"))
+
+
+# --- archives as a stream ---
+
+
+class _TarStream(DataSourceStreamReader):
+    """Offsets are (name of an archive, samples of it that are done); archives are taken in the order of their names, so new ones
+    must sort behind those that are there. A batch takes all that is there, or `shards` whole archives, or `samples` samples."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.shards, self.samples = options["path"], int(options.get("shards_per_batch", 0)), int(options.get("samples_per_batch", 0))
+        self.at: dict | None = None
+        if "checkpoint" in options:
+            done = [n for n in files.names(f"{options['checkpoint']}/commits") if n.isdigit()]
+            last = max(done, key=int, default=None)
+            self.at = {"shard": "", "sample": 0} if last is None else json.loads(files.read_file(f"{options['checkpoint']}/offsets/{last}").decode().splitlines()[-1])
+
+    def _names(self) -> list[str]:
+        return [n for n in files.names(self.path) if n.endswith(".tar")]
+
+    def initialOffset(self) -> dict:
+        return {"shard": "", "sample": 0}
+
+    def latestOffset(self) -> dict:
+        names = self._names()
+        if self.at is None or not (self.shards or self.samples):
+            return {"shard": names[-1], "sample": -1} if names else {"shard": "", "sample": 0}
+        shard, done = self.at["shard"], self.at["sample"]
+        rest = [n for n in names if n > shard or (n == shard and done >= 0)]
+        if not self.samples:
+            if rest:
+                self.at = {"shard": rest[: self.shards][-1], "sample": -1}
+            return self.at
+        room = self.samples
+        for n in rest:
+            start = done if n == shard else 0
+            size = self._count(n)
+            if start + room < size:
+                self.at = {"shard": n, "sample": start + room}
+                return self.at
+            room -= size - start
+            self.at = {"shard": n, "sample": -1}
+            if room == 0:
+                break
+        return self.at
+
+    def _count(self, name: str) -> int:
+        fs, inner = files.located(f"{self.path}/{name}")
+        with fs.open_input_file(inner) as file:
+            return sum(1 for _ in places(file))
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = end
+        out = []
+        for n in self._names():
+            lo = 0 if n > start["shard"] else start["sample"] if n == start["shard"] else -1
+            hi = -1 if n < end["shard"] else end["sample"]
+            if lo >= 0 and n <= end["shard"] and lo != hi:
+                out.append(InputPartition((f"{self.path}/{n}", lo, hi)))
+        return out
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        shard, lo, hi = partition.value
+        fs, inner = files.located(shard)
+        with fs.open_input_file(inner) as file:
+            rows = [(shard, *x) for x in islice(places(file), lo, None if hi < 0 else hi)]
+            yield from _batches(_read_rows(file, rows))
+
+
+class TarStream(DataSource):
+    """A folder of archives as a stream. Options: path, shards_per_batch (no limit), samples_per_batch (no limit), checkpoint."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tar_stream"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return _TarStream(dict(self.options))
+
+
+def stream_archives(spark: SparkSession, folder: str, shards_per_batch: int = 0, samples_per_batch: int = 0, checkpoint: str | None = None) -> DataFrame:
+    """A stream of the samples (SCHEMA) of the archives in a folder, each once over restarts from one checkpoint. The checkpoint
+    has where it is, so nothing is looked up in what was written.
+
+    Without limits the driver only lists the folder, and a batch, whose archives are tasks, takes all that is there. Limits are for
+    streams that go on (with availableNow a start takes one batch); they need the query's checkpoint, as Spark does not tell a
+    source where it starts, and it is read for that. With samples_per_batch the driver also reads the headers of a batch's archives.
+    """
+    limits = {"shards_per_batch": shards_per_batch, "samples_per_batch": samples_per_batch}
+    if any(limits.values()):
+        if checkpoint is None:
+            raise ValueError("limits need the checkpoint of the query")
+        limits["checkpoint"] = checkpoint
+    spark.dataSource.register(TarStream)
+    return spark.readStream.format("tar_stream").options(path=folder, **limits).load()
+
+
 def read_keys(spark: SparkSession, patterns: str | list[str], wanted: DataFrame, shard_of_key: str | None = None) -> DataFrame:
     """Samples of the wanted keys (column key); missing ones are an error. With a pattern whose first group is found in keys
     and in shard names, shards whose name fits a wanted key are opened first, and others only if a key is not in these."""
@@ -204,17 +395,17 @@ def read_labelled_records(spark: SparkSession, path: str, labels: int, channels:
     last of which counts, and then the planes of an image, as CIFAR has them (one label byte, or two: coarse and fine)."""
     rows = read_records(spark, path, 0, labels + channels * side * side)
     byte = lambda i: F.conv(F.hex(F.substring("record", i, 1)), 16, 10).cast("int")
-    return rows.select("path", "position", byte(F.lit(labels)).alias("label"), F.lit(side).alias("height"), F.lit(side).alias("width"), _bytes(F.substring("record", labels + 1, channels * side * side)).alias("pixels"))
+    return rows.select("path", "position", byte(F.lit(labels)).alias("label"), F.lit(side).alias("height"), F.lit(side).alias("width"), byte_values(F.substring("record", labels + 1, channels * side * side)).alias("pixels"))
 
 
 def read_idx(spark: SparkSession, images: str, labels: str, side: int = 28) -> DataFrame:
     """Rows (position, label, height, width, pixels in 0..1) of an IDX file of images and one of labels, as MNIST has them."""
-    pixels = read_records(spark, images, 16, side * side).select("position", _bytes(F.col("record")).alias("pixels"))
+    pixels = read_records(spark, images, 16, side * side).select("position", byte_values(F.col("record")).alias("pixels"))
     marks = read_records(spark, labels, 8, 1).select("position", F.conv(F.hex("record"), 16, 10).cast("int").alias("label"))
     return pixels.join(marks, "position").select("position", "label", F.lit(side).alias("height"), F.lit(side).alias("width"), "pixels")
 
 
-def _bytes(data: Column) -> Column:
+def byte_values(data: Column) -> Column:
     """Bytes as numbers in 0..1."""
 
     def run(batch: pd.Series) -> pd.Series:

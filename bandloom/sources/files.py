@@ -73,12 +73,12 @@ def delete_files(folder: str, which: Iterable[str]) -> None:
         fs.delete_file(f"{inner}/{name}")
 
 
-def spans(pieces: list[tuple[int, int]], most: int = SPAN_BYTES) -> list[tuple[int, int, int, int]]:
+def spans(pieces: list[tuple[int, int]], most: int = SPAN_BYTES, gap: int = 0) -> list[tuple[int, int, int, int]]:
     """(first piece, end piece, start, end) of the reads that fetch pieces (offset, length) in ascending order: pieces that follow
-    on each other, or are the same, are one read of up to `most` bytes."""
+    on each other within `gap` bytes, or are the same, are one read of up to `most` bytes."""
     out: list[tuple[int, int, int, int]] = []
     for k, (offset, length) in enumerate(pieces):
-        if out and out[-1][2] <= offset <= out[-1][3] and max(out[-1][3], offset + length) - out[-1][2] <= most:
+        if out and out[-1][2] <= offset <= out[-1][3] + gap and max(out[-1][3], offset + length) - out[-1][2] <= most:
             first, _, start, end = out[-1]
             out[-1] = (first, k + 1, start, max(end, offset + length))
         else:
@@ -86,9 +86,9 @@ def spans(pieces: list[tuple[int, int]], most: int = SPAN_BYTES) -> list[tuple[i
     return out
 
 
-def fetched(file: Readable, pieces: list[tuple[int, int]], most: int = SPAN_BYTES) -> Iterator[tuple[int, int, list[bytes], int, int]]:
+def fetched(file: Readable, pieces: list[tuple[int, int]], most: int = SPAN_BYTES, gap: int = 0) -> Iterator[tuple[int, int, list[bytes], int, int]]:
     """For each read of spans(): (first piece, end piece, the pieces' bytes, start, length). Only these bytes are read."""
-    for first, end, start, stop in spans(pieces, most):
+    for first, end, start, stop in spans(pieces, most, gap):
         data = file.read_at(stop - start, start)
         if len(data) != stop - start:
             raise OSError(f"{len(data)} bytes at {start} instead of {stop - start}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from bandloom.operators.store import ChunkSpec, write_chunk_store
+from bandloom.operators.store import ChunkSpec, write_chunk_store, write_packed_store
 
 IMAGE_SCHEMA = "image_id long, label int, height int, width int, pixels array<float>"
 
@@ -30,3 +30,15 @@ def ingest_images(spark: SparkSession, source: str, store: str, checkpoint: str,
         write_chunk_store(batch.dropDuplicates(["image_id"]), store, spec, records_per_shard, resume=known)
 
     return images.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_packed(images: DataFrame, store: str, checkpoint: str, spec: ChunkSpec | None = None, records_per_shard: int = 1024) -> StreamingQuery:
+    """Starts a query that adds a stream of images (image_id, label, height, width, pixels, source_key, source_url) to a packed
+    store, and stops when none are left. A batch becomes shards of its own, listed with its number and the stream's checkpoint; one
+    that runs again finds itself listed and adds nothing, so each image is stored once and nothing is looked up by image."""
+    spec = spec or ChunkSpec()
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        write_packed_store(batch, store, spec, records_per_shard, contiguous=False, batch=f"{checkpoint}:{batch_id}", own_shards=True)
+
+    return images.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
