@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+from typing import TypeVar
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandloom.functions.dims import Bands
 from bandloom.functions.transforms import array_sum, let
 from bandloom.operators.crops import draw_key, positions, uniform
 
+Row = TypeVar("Row")
+
 
 def bucket_batches(rows: DataFrame, batch: int, seed: int | None = None, drop_last: bool = True, bucket: str = "bucket_id", key: str = "image_id") -> DataFrame:
     """rows with batch_no within their bucket and, with a seed, `place`: the order of the whole batches in an epoch.
@@ -62,6 +70,34 @@ def rank_stride(rows: DataFrame, world: int, rank: int | None = None, key: str =
     return out if rank is None else out.where(F.col("rank") == rank)
 
 
+def reservoir(rows: Iterable[Row], size: int, draw: np.random.Generator) -> Iterator[Row]:
+    """rows in a random order that looks `size` of them ahead: each leaves when a later one takes its place, at random."""
+    held: list[Row] = []
+    for row in rows:
+        if len(held) < size:
+            held.append(row)
+        else:
+            k = int(draw.integers(size))
+            yield held[k]
+            held[k] = row
+    draw.shuffle(held)
+    yield from held
+
+
+def buffer_shuffle(rows: DataFrame, size: int, seed: int) -> DataFrame:
+    """rows, each partition on its own in the order of a reservoir of `size` rows: one pass without a sort or a shuffle, in memory
+    for `size` rows and a batch. The order depends on the seed, the partition's number and its rows' order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        each = (b.slice(i, 1) for b in batches for i in range(b.num_rows))
+        out = reservoir(each, size, draw)
+        while some := list(islice(out, 1024)):
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def random_subset(rows: DataFrame, n: int, seed: int, key: str = "image_id") -> DataFrame:
     """n rows in a random order: a top-n by hash, taken in each partition first."""
     return rows.orderBy(draw_key(F.lit(seed), F.col(key)), key).limit(n)
@@ -198,3 +234,13 @@ def random_coefficients(rows: DataFrame, kept: int, size: int, seed: int) -> Dat
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(draw_key(F.lit(seed), i).alias("h"), i.alias("i"))))
     chosen = F.transform(F.slice(order, 1, kept), lambda x: x["i"])
     return rows.withColumn("z", let(chosen, lambda c: F.transform("z", lambda v, i: F.when(F.array_contains(c, i), v).otherwise(0.0))))
+
+
+def random_patches(rows: DataFrame, bands: Bands, patches: int, k: Column, q: Column, seed: int) -> DataFrame:
+    """rows (patch, z) with `chosen` and what a server of k bands and q patches leaves of z, the patches drawn by hash instead of
+    by sensitivity: one order of patches for all images and epochs, whose first q keep all coefficients, the others k bands."""
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(patches - 1)), lambda p: F.struct(draw_key(F.lit(seed), p).alias("h"), p.alias("p"))))
+    places = rows.sparkSession.range(1).select(F.posexplode(F.transform(order, lambda x: x["p"])).alias("drawn", "patch"))  # a row for each patch
+    width = F.get(F.array(*(F.lit(bands.width(b)) for b in range(bands.count + 1))), k)
+    out = rows.join(F.broadcast(places), "patch").withColumn("chosen", F.col("drawn") < q).withColumn("_kept", width)
+    return out.withColumn("z", F.transform("z", lambda v, i: F.when(F.col("chosen") | (i < F.col("_kept")), v).otherwise(0.0))).drop("drawn", "_kept")

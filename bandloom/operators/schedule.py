@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def epochs(spark: SparkSession, total: int) -> DataFrame:
@@ -26,31 +29,57 @@ def budget_schedule(spark: SparkSession, total: int, patches: int, bands: int, s
     return epochs(spark, total).select("epoch", budget.alias("budget"), (budget / float(full)).alias("io_ratio"))
 
 
+def pooled(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The least-squares non-decreasing fit, by pooling adjacent violators: each value is pushed and merged once, so it is linear."""
+    means, held, sizes = [], [], []
+    for v, w in zip(values.tolist(), weights.tolist(), strict=True):
+        n = 1
+        while means and means[-1] >= v:
+            v = (means[-1] * held[-1] + v * w) / (held[-1] + w)
+            w, n = w + held.pop(), n + sizes.pop()
+            means.pop()
+        means.append(v)
+        held.append(w)
+        sizes.append(n)
+    return np.repeat(means, sizes)
+
+
+def isotonic_fits(points: DataFrame, by: list[str], x: str, value: str) -> DataFrame:
+    """Rows (by, x, fitted): the non-decreasing least-squares fit of each group's series, all groups in one shuffle. Points of one
+    x are pooled before it, so a task gets a row for each x of its groups; a series is as long as a schedule has epochs. Null
+    points are left out."""
+    keys = [F.col(c) for c in by]
+    each = points.where(F.col(value).isNotNull() & F.col(x).isNotNull()).groupBy(*keys, F.col(x)).agg(F.avg(F.col(value).cast("double")).alias("_v"), F.count("*").alias("_n"))
+
+    def fit(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values(x)
+        return series[[*by, x]].assign(fitted=pooled(series["_v"].to_numpy(), series["_n"].to_numpy(dtype=float)))
+
+    schema = T.StructType([*(points.schema[c] for c in [*by, x]), T.StructField("fitted", T.DoubleType())])
+    return each.groupBy(*keys).applyInPandas(fit, schema)
+
+
 def isotonic(pilot: DataFrame, value: str) -> DataFrame:
-    """Rows (epoch, fitted): the least-squares non-decreasing fit by the max-min formula over all epoch intervals.
+    """Rows (epoch, fitted): the least-squares non-decreasing fit of one pilot."""
+    return isotonic_fits(pilot.select(F.lit(0).alias("series"), "epoch", value), ["series"], "epoch", value).drop("series")
+
 
-    A pilot is a few epochs, so the interval join is small.
-    """
-    base = pilot.select("epoch", F.col(value).cast("double").alias("v"))
-    sums = base.withColumn("s", F.sum("v").over(Window.orderBy("epoch"))).withColumn("n", F.row_number().over(Window.orderBy("epoch")))
-    a, b, t = sums.alias("a"), sums.alias("b"), sums.alias("t")
-    spans = a.join(b, F.col("a.n") <= F.col("b.n")).select(F.col("a.n").alias("i"), F.col("b.n").alias("j"), ((F.col("b.s") - F.col("a.s") + F.col("a.v")) / (F.col("b.n") - F.col("a.n") + 1)).alias("mean"))
-    inner = t.join(spans, (F.col("i") <= F.col("t.n")) & (F.col("t.n") <= F.col("j")))
-    least = inner.groupBy(F.col("t.epoch").alias("epoch"), "i").agg(F.min("mean").alias("m"))
-    return least.groupBy("epoch").agg(F.max("m").alias("fitted"))
+def pilot_schedules(pilots: DataFrame, by: list[str], total: int, most: Column) -> DataFrame:
+    """Rows (by, epoch, value) for `total` epochs of each series of pilots (by, epoch, value): the isotonic fit, then its mean
+    slope, clipped to 1..most, never falling, whole. most may differ by series."""
+    fitted = isotonic_fits(pilots, by, "epoch", "value")
+    ends = fitted.groupBy(*by).agg(F.count("*").alias("n"), F.min_by("fitted", "epoch").alias("first"), F.max_by("fitted", "epoch").alias("last"), F.map_from_entries(F.collect_list(F.struct("epoch", "fitted"))).alias("seen"))
+    at = ends.select("*", most.cast("double").alias("most"), F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("epoch"))
+    slope = (F.col("last") - F.col("first")) / F.greatest(F.col("n") - 1, F.lit(1))
+    going = F.coalesce(F.try_element_at("seen", F.col("epoch")), F.col("last") + slope * (F.col("epoch") - F.col("n") + 1))
+    risen = F.max(F.greatest(F.lit(1.0), F.least("most", going))).over(Window.partitionBy(*by).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0))
+    return at.select(*by, "epoch", F.bround(F.round(risen, 9)).cast("int").alias("value"))
 
 
 def pilot_schedule(pilot: DataFrame, value: str, total: int, most: int) -> DataFrame:
-    """Rows (epoch, value) for all epochs: the isotonic fit, then its mean slope, clipped to 1..most, never falling, whole."""
-    spark = pilot.sparkSession
-    fitted = isotonic(pilot, value)
-    ends = fitted.agg(F.count("*").alias("n"), F.min_by("fitted", "epoch").alias("first"), F.max_by("fitted", "epoch").alias("last"))
-    at = epochs(spark, total).crossJoin(F.broadcast(ends)).join(fitted, "epoch", "left")
-    slope = (F.col("last") - F.col("first")) / F.greatest(F.col("n") - 1, F.lit(1))
-    going = F.coalesce("fitted", F.col("last") + slope * (F.col("epoch") - F.col("n") + 1))
-    clipped = F.greatest(F.lit(1.0), F.least(F.lit(float(most)), going))
-    risen = F.max(clipped).over(Window.orderBy("epoch"))
-    return at.select("epoch", F.bround(risen).cast("int").alias(value))
+    """Rows (epoch, value) for all epochs of one pilot, see pilot_schedules()."""
+    one = pilot.select(F.lit(0).alias("series"), F.col("epoch").cast("int").alias("epoch"), F.col(value).alias("value"))
+    return pilot_schedules(one, ["series"], total, F.lit(most)).select("epoch", F.col("value").alias(value))
 
 
 def continue_sensitivity(history: DataFrame, total: int, floor: float = 1e-8) -> DataFrame:

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandloom.functions.dims import Bands
+from bandloom.operators.blocks import restored
+
 #: Keeps a sum of nothing from dividing by zero; it also keeps shares just below one.
 TINY = 1e-8
 
@@ -31,6 +34,28 @@ def softmax_gradients(points: DataFrame, centroids: DataFrame) -> DataFrame:
     return points.withColumn("grad", F.pandas_udf(run, "array<double>")("x", "label"))
 
 
+def residual_gradients(points: DataFrame, centroids: DataFrame, bands: Bands, k: int) -> DataFrame:
+    """points (image_id, patch, label, z) with grad: d loss / d r, as pixels, of the residual r that the first k bands leave out.
+
+    The model sees the served base, the first k bands, and the residual on it; r has no part in these bands, so the gradient
+    with respect to it is that of the other coefficients, put back into pixels.
+    """
+    kept = bands.width(k)
+    base = points.withColumn("x", F.transform("z", lambda v, i: F.when(i < kept, v).otherwise(0.0)))
+    whole = base.withColumn("x", F.zip_with("x", F.transform("z", lambda v, i: F.when(i >= kept, v).otherwise(0.0)), lambda a, b: a + b))
+    g = softmax_gradients(whole, centroids).drop("x")
+    return restored(g.withColumn("z", F.transform("grad", lambda v, i: F.when(i >= kept, v).otherwise(0.0))).drop("grad"), out="grad")
+
+
+def residual_sensitivity(points: DataFrame, centroids: DataFrame, bands: Bands, k: int, by: list[str], step: str = "image_id") -> DataFrame:
+    """Rows (by, patch, value): each patch's share of the mean absolute gradient, summed over its pixels, of the residual above k
+    bands; steps weigh the same however many rows they have."""
+    size = F.aggregate("grad", F.lit(0.0), lambda a, v: a + F.abs(v)).alias("value")
+    steps = residual_gradients(points, centroids, bands, k).select(*by, step, "patch", size)
+    steps = steps.groupBy(*by, step, "patch").agg(F.avg("value").alias("value"))
+    return normalised(step_means(steps, [*by, "patch"], "value", step), by, "value")
+
+
 def normalised(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Each group's values as shares of its sum."""
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))

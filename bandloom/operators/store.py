@@ -18,7 +18,8 @@ from bandloom.functions.codec import compress, unpack
 from bandloom.functions.dims import CROP_BANDS, Bands, quality_tables, zigzag
 from bandloom.functions.transforms import band_slice, quantise, resize_any, to_ycbcr
 from bandloom.operators.blocks import restored, split_blocks, transformed
-from bandloom.operators.crops import block_rect, overlapping_tiles
+from bandloom.operators.crops import adaptive_chunk, block_rect, coarse_buckets, exact_buckets, overlapping_tiles, positions
+from bandloom.operators.quantize import calibrate
 from bandloom.sources import files, packed
 
 BAND_STORE, RESIDUAL_STORE, SHARD_STORE, CHUNK_STORE, PACKED_STORE = "bandloom_bands_v1", "bandloom_residuals_v1", "bandloom_shards_v1", "bandloom_chunks_v1", "bandloom_packed_v1"
@@ -384,20 +385,21 @@ def placed(bucketed: DataFrame, chunk: int | Column) -> DataFrame:
 
 
 def write_bucket_store(coefficients: DataFrame, places: DataFrame, path: str, bands: Bands, scales: DataFrame, tile_blocks: int = 4, codec: str = "zlib", level: int = 6, limit: int = 127) -> None:
-    """coefficients (image_id, patch, z) of placed images (image_id, bucket_id, npw, chunk_id, chunk_pos) as int8 records of
-    (bucket, chunk, tile, band); a record holds its blocks by image and patch. scales: rows (band_id, scale), or (bucket_id,
-    band_id, scale) where each bucket has its own."""
+    """coefficients (image_id, patch, z, and channel if there are several) of placed images (image_id, bucket_id, npw, chunk_id,
+    chunk_pos) as int8 records of (bucket, chunk, tile, band); a record holds its blocks by image, patch and channel. scales: rows
+    (band_id, scale), and bucket_id or channel where each has its own."""
     spark = coefficients.sparkSession
-    rows = long_bands(coefficients.select("image_id", "patch", "z").join(places.select("image_id", "bucket_id", "npw", "chunk_id", "chunk_pos"), "image_id"), bands)
+    block = ["patch", *(c for c in ("channel",) if c in coefficients.columns)]
+    rows = long_bands(coefficients.select("image_id", *block, "z").join(places.select("image_id", "bucket_id", "npw", "chunk_id", "chunk_pos"), "image_id"), bands)
     rows = rows.join(F.broadcast(scales), _scale_keys(scales)).withColumn("tile_id", tile_of(F.col("patch"), F.col("npw"), tile_blocks))  # a row for each band
     q = F.transform("vals", lambda v: quantise(v, F.col("scale"), limit))
-    cell = F.struct("chunk_pos", "patch", "image_id", q.alias("vals"))
+    cell = F.struct("chunk_pos", *block, "image_id", q.alias("vals"))
     records = rows.groupBy("bucket_id", "band_id", "chunk_id", "tile_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
     def raw(cells: pd.Series) -> pd.Series:
         return cells.map(lambda c: b"".join(np.asarray(x["vals"], dtype=np.int8).tobytes() for x in c))
 
-    keys = F.transform("cells", lambda c: F.struct(c["image_id"].alias("image_id"), c["patch"].alias("patch")))
+    keys = F.transform("cells", lambda c: F.struct(*(c[n].alias(n) for n in ("image_id", *block))))
     packed = records.select("bucket_id", "band_id", "chunk_id", "tile_id", keys.alias("blocks"), F.pandas_udf(raw, "binary")("cells").alias("raw"))
     packed = packed.select("bucket_id", "band_id", "chunk_id", "tile_id", "blocks", F.octet_length("raw").alias("raw_length"), compress("raw", codec, level).alias("payload"))
     packed = packed.withColumn("length", F.octet_length("payload"))
@@ -407,12 +409,38 @@ def write_bucket_store(coefficients: DataFrame, places: DataFrame, path: str, ba
     write_metadata(spark, path, BUCKET_STORE, {"edges": ";".join(f"{a},{b}" for a, b in bands.edges), "tile_blocks": str(tile_blocks), "codec": codec})
 
 
+def write_quantised_store(images: DataFrame, path: str, bands: Bands, buckets: int | None = None, tile_blocks: int = 4, base_chunk: int = 256, most_bytes: int = 1 << 30, stat: str = "max", percentile: float = 99.99, block: int = 8) -> None:
+    """images (image_id, height, width, pixels in planes) of any sizes as a bucketed store of int8, in two passes over them.
+
+    Images of one grid are a bucket, or with `buckets` of one area and aspect. They are padded with zeros to the bucket's canvas,
+    and a chunk is as many of them as `most_bytes` of working memory hold, base_chunk at most; a record is built in one group, and
+    no group is larger than a chunk's tile. The first pass finds each bucket's step for every channel and band, by its largest
+    value or a percentile; the second quantises and packs.
+    """
+    shapes = images.select("image_id", "height", "width")
+    if buckets is None:
+        placed_ = exact_buckets(shapes, block).withColumns({"canvas_nph": F.col("nph"), "canvas_npw": F.col("npw")})
+    else:
+        rough = coarse_buckets(shapes, buckets, block)
+        placed_ = positions(rough, "bucket_id", "image_id").withColumn("bucket_pos", F.col("at").cast("int")).withColumns({"canvas_nph": F.col("bucket_nph"), "canvas_npw": F.col("bucket_npw")})
+    size = adaptive_chunk(base_chunk, most_bytes, F.col("canvas_nph") * block, F.col("canvas_npw") * block)
+    chunked = placed(placed_, size).select("image_id", "height", "width", F.col("bucket_id").cast("int").alias("bucket_id"), "bucket_pos", "chunk_id", "chunk_pos", F.col("canvas_nph").cast("int").alias("nph"), F.col("canvas_npw").cast("int").alias("npw"))
+    chunked.write.mode("overwrite").parquet(f"{path}/places")
+    places = images.sparkSession.read.schema(chunked.schema).parquet(f"{path}/places")
+    wide = images.select("image_id", "height", "width", "pixels").join(places.select("image_id", F.col("nph").alias("canvas_nph"), F.col("npw").alias("canvas_npw")), "image_id")
+    z = transformed(split_blocks(wide, block, "zero", canvas=(F.col("canvas_nph"), F.col("canvas_npw")))).select("image_id", "channel", "patch", "z")
+    values = z.join(places.select("image_id", "bucket_id"), "image_id").select("bucket_id", "channel", F.posexplode("z").alias("pos", "value")).withColumn("band_id", bands.of(F.col("pos")).cast("int"))
+    scales = calibrate(values, ["bucket_id", "channel", "band_id"], stat, percentile)
+    scales.write.mode("overwrite").parquet(f"{path}/calibration")
+    write_bucket_store(z, places, path, bands, images.sparkSession.read.schema(scales.schema).parquet(f"{path}/calibration"), tile_blocks)
+
+
 def _scale_keys(scales: DataFrame) -> list[str]:
-    return [c for c in ("bucket_id", "band_id") if c in scales.columns]
+    return [c for c in ("bucket_id", "channel", "band_id") if c in scales.columns]
 
 
 def read_bucket_store(spark: SparkSession, path: str, alloc: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, records): the blocks (image_id, patch, z) that alloc (image_id, patch, k) grants, and the records (length) that
+    """(blocks, records): the blocks (image_id, patch, z, and channel if the store has it) that alloc (image_id, patch, k) grants, and the records (length) that
     had to be read for them. A record is read if any of its blocks needs its band; blocks get exactly their k bands."""
     o = open_metadata(spark, path, BUCKET_STORE)
     bands, t, codec = Bands(tuple(tuple(int(x) for x in e.split(",")) for e in o["edges"].split(";"))), int(o["tile_blocks"]), o["codec"]
@@ -426,11 +454,12 @@ def read_bucket_store(spark: SparkSession, path: str, alloc: DataFrame) -> tuple
         return pd.Series([np.frombuffer(unpack(bytes(p), int(k), codec), dtype=np.int8).reshape(-1, widths[b]).astype(float).tolist() for p, k, b in zip(payload, n, band, strict=True)])
 
     values = F.pandas_udf(split, "array<array<double>>")("payload", "raw_length", "band_id")
-    cells = records.select("bucket_id", "band_id", F.explode(F.arrays_zip("blocks", values.alias("vals"))).alias("c")).select("bucket_id", "band_id", "c.blocks.image_id", "c.blocks.patch", "c.vals")
+    block = [f for f in records.schema["blocks"].dataType.elementType.names if f != "image_id"]
+    cells = records.select("bucket_id", "band_id", F.explode(F.arrays_zip("blocks", values.alias("vals"))).alias("c")).select("bucket_id", "band_id", "c.blocks.image_id", *(f"c.blocks.{n}" for n in block), "c.vals")
     granted = cells.join(alloc, ["image_id", "patch"]).where(F.col("band_id") < F.col("k"))
     scales = spark.read.parquet(f"{path}/scales")
     granted = granted.join(F.broadcast(scales), _scale_keys(scales)).withColumn("vals", F.transform("vals", lambda v: (v * F.col("scale")).cast("float")))
-    return gather_bands(granted, bands, ["image_id", "patch"]), records.select("bucket_id", "chunk_id", "tile_id", "band_id", "length")
+    return gather_bands(granted, bands, ["image_id", *block]), records.select("bucket_id", "chunk_id", "tile_id", "band_id", "length")
 
 
 def record_reads(alloc: DataFrame, places: DataFrame, bands: int, tile_blocks: int) -> DataFrame:

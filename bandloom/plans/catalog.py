@@ -250,12 +250,16 @@ def precision_search(spark, sf_dir):
 # --- sensitivity ---
 
 
+def centroids(z: DataFrame) -> DataFrame:
+    """The mean coefficients of each label."""
+    cells = z.select("label", F.posexplode("z").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("w"))
+    return cells.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("w"))
+
+
 def _gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradients of the coefficients of a softmax over class centroids."""
     z = coefficients(spark, sf_dir)
-    cells = z.select("label", F.posexplode("z").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("w"))
-    centroids = cells.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("w"))
-    g = se.softmax_gradients(z.select("image_id", "patch", "label", F.col("z").alias("x")), centroids)
+    g = se.softmax_gradients(z.select("image_id", "patch", "label", F.col("z").alias("x")), centroids(z))
     return g.select("image_id", "patch", "label", F.posexplode("grad").alias("pos", "g")).withColumn("band_id", BANDS.of(F.col("pos")))
 
 

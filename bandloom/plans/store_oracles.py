@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bandloom.plans.oracles import _CTE, _IMAGES, _table
+from bandloom.plans.oracles import _CTE, _DCT, _GRAD, _IMAGES, _table, _with
+from bandloom.plans.oracles import ORACLE_SQL as SQL
 
 #: Pixels of the mixed images, padded to whole blocks by their last row and column, then their quantised coefficients:
 #: q (image_id, patch, brow, bcol, c, pos, v) and sz (image_id, h, w, nph, npw).
@@ -58,3 +59,43 @@ WHERE (kind = 'key' AND label = 3) OR (kind = 'tail' AND position >= 50)"""
 ORACLE_SQL["tar_stream"] = f"WITH {_SAMPLES} SELECT key, sha256(t) AS sha, label, count(*)::BIGINT AS times FROM docs GROUP BY ALL"
 ORACLE_SQL["streamed_pixels"] = _PIXELS.replace("(embedding[i + 1]::DOUBLE + 1) / 2 * 255 AS v", "floor((embedding[i + 1]::DOUBLE + 1) / 2 * 255) AS v").replace(" WHERE pos < 21", "") + """
 SELECT image_id, label, image_id || '-' || h || '-' || w AS source_key, (n * h * w + y * w + x)::INTEGER AS i, round(v, 4) + 0.0 AS value FROM px JOIN sz USING (image_id) WHERE y < h AND x < w"""
+
+ORACLE_SQL["tar_shuffled"] = ORACLE_SQL["tar_stream"]
+ORACLE_SQL["buffer_shuffled"] = "SELECT vec_id, label, round(embedding[1]::DOUBLE, 9) + 0.0 AS head FROM embeddings"
+ORACLE_SQL["scan_manifest"] = f"""WITH {_SAMPLES}, d AS (SELECT *, octet_length(encode(t)) AS size FROM docs),
+held AS (
+  SELECT 0 AS step, * FROM d WHERE shard % 10 < 9
+  UNION ALL SELECT step, d.* FROM d, (VALUES (1), (2), (3)) v(step) WHERE shard <> 2 AND (shard <> 1 OR label < 8) AND (step < 3 OR label < 6)),
+n AS (SELECT 0 AS step, count(DISTINCT shard) AS scanned FROM d WHERE shard % 10 < 9
+  UNION ALL SELECT 1, count(DISTINCT shard) FROM d WHERE shard % 10 = 9 OR shard = 1
+  UNION ALL SELECT 2, 0 UNION ALL SELECT 3, count(DISTINCT shard) FROM d WHERE shard <> 2)
+SELECT step::INTEGER AS step, scanned::BIGINT AS scanned, shard::INTEGER AS shard, count(*)::BIGINT AS docs, sum(size)::BIGINT AS bytes FROM held JOIN n USING (step) GROUP BY ALL"""
+ORACLE_SQL["pilot_schedules"] = """WITH e AS (SELECT user_id % 6 AS run, event_id % 10 AS epoch, count(*) AS n, sum(event_id) AS s FROM events GROUP BY ALL),
+pilot AS (SELECT run, 'k' AS kind, epoch, 1 + s % 16 AS v FROM e UNION ALL SELECT run, 'q', epoch, 1 + (s + n) % 20 FROM e),
+sums AS (SELECT *, sum(v) OVER w AS s, row_number() OVER w AS n FROM pilot WINDOW w AS (PARTITION BY run, kind ORDER BY epoch)),
+spans AS (SELECT a.run, a.kind, a.n AS i, b.n AS j, (b.s - a.s + a.v)::DOUBLE / (b.n - a.n + 1) AS m FROM sums a JOIN sums b ON a.run = b.run AND a.kind = b.kind AND a.n <= b.n),
+least_ AS (SELECT t.run, t.kind, t.epoch, i, min(m) AS m FROM sums t JOIN spans p ON t.run = p.run AND t.kind = p.kind AND i <= t.n AND t.n <= j GROUP BY ALL),
+iso AS (SELECT run, kind, epoch, max(m) AS fitted FROM least_ GROUP BY ALL),
+ends AS (SELECT run, kind, count(*) AS n, arg_min(fitted, epoch) AS f, arg_max(fitted, epoch) AS l FROM iso GROUP BY ALL),
+g AS (SELECT ends.run, ends.kind, t.epoch, greatest(1.0, least(CASE WHEN ends.kind = 'k' THEN 16.0 ELSE 20.0 END, coalesce(fitted, l + (l - f) / greatest(n - 1, 1) * (t.epoch - n + 1)))) AS v
+  FROM range(40) t(epoch) CROSS JOIN ends LEFT JOIN iso ON iso.epoch = t.epoch AND iso.run = ends.run AND iso.kind = ends.kind)
+SELECT run::INTEGER AS run, kind, epoch::INTEGER AS epoch, round_even(round(max(v) OVER (PARTITION BY run, kind ORDER BY epoch), 9), 0)::INTEGER AS value FROM g"""
+ORACLE_SQL["sensitivity_residual"] = _with(_GRAD, "gz AS (SELECT image_id, patch, label, zz.r AS u, zz.c AS w, g FROM grad JOIN zz USING (pos) WHERE band_id >= 4)",
+    "gh AS (SELECT image_id, patch, label, w, i AS y, sum(value * g) AS s FROM gz JOIN basis ON k = u GROUP BY ALL)", "gp AS (SELECT image_id, patch, label, y, i AS x, sum(value * s) AS g FROM gh JOIN basis ON k = w GROUP BY ALL)",
+    "st AS (SELECT label AS epoch, image_id, patch, sum(abs(g)) AS v FROM gp GROUP BY ALL)", "me AS (SELECT epoch, patch, avg(v) AS v FROM st GROUP BY ALL)") + "SELECT epoch, patch::INTEGER AS idx, round(v / (sum(v) OVER (PARTITION BY epoch) + 1e-8), 9) AS value FROM me"
+ORACLE_SQL["replica_metrics"] = f"""WITH eq AS ({SQL['equalised_batches']}),
+s AS (SELECT place AS step, count(*)::DOUBLE AS rows, sum(label)::DOUBLE AS labels FROM embeddings JOIN eq ON shard_id = vec_id // 48 AND batch_no = vec_id % 48 // 10 GROUP BY ALL)
+SELECT rank::INTEGER AS rank, step, metric, CASE metric WHEN 'rows' THEN rows ELSE labels END AS total FROM s, range(3) r(rank), (VALUES ('rows'), ('labels')) m(metric)"""
+ORACLE_SQL["quantised_store"] = f"""WITH {_CTE['basis']}, {_CTE['zz']}, {_IMAGES},
+sz AS (SELECT *, (h + 7) // 8 AS nph, (w + 7) // 8 AS npw FROM (SELECT image_id, 40 - image_id % 10 % 4 * 7 AS h, 32 - image_id % 3 * 9 AS w FROM im)),
+bu AS (SELECT nph, npw, row_number() OVER (ORDER BY nph, npw) - 1 AS bucket_id, least(3, greatest(1, floor(60000 / (3.0 * nph * 8 * npw * 8 * 4 * 2)))) AS chunk FROM (SELECT DISTINCT nph, npw FROM sz)),
+pl AS (SELECT image_id, bucket_id, (at_ // chunk)::INTEGER AS chunk_id, (at_ % chunk)::INTEGER AS chunk_pos FROM (SELECT image_id, nph, npw, row_number() OVER (PARTITION BY nph, npw ORDER BY image_id) - 1 AS at_ FROM sz) JOIN bu USING (nph, npw)),
+p3 AS (SELECT vec_id // 60 AS image_id, vec_id // 20 % 3 AS c, vec_id % 20 // 4 * 8 + i // 8 AS y, vec_id % 20 % 4 * 8 + i % 8 AS x, (embedding[i + 1]::DOUBLE + 1) / 2 AS v FROM embeddings, range(64) t(i)),
+cells AS (SELECT image_id, c, y // 8 * npw + x // 8 AS patch, y % 8 AS y, x % 8 AS x, CASE WHEN y < h AND x < w THEN v ELSE 0 END AS p FROM p3 JOIN sz USING (image_id) WHERE y < nph * 8 AND x < npw * 8),
+hs AS (SELECT image_id, patch, c, k AS u, x, sum(value * p) AS s FROM cells JOIN basis ON basis.i = y GROUP BY ALL),
+d AS (SELECT image_id, bucket_id, patch, hs.c, least(pos // 4, 15) AS band_id, v FROM (SELECT image_id, patch, c, u, k AS w, sum(value * s) AS v FROM hs JOIN basis ON basis.i = x GROUP BY ALL) hs JOIN zz ON u = zz.r AND w = zz.c JOIN pl USING (image_id)),
+sc AS (SELECT bucket_id, c, band_id, greatest(max(abs(v)) / 127, 1e-12) AS scale FROM d GROUP BY ALL),
+e AS (SELECT image_id, d.c, count(DISTINCT patch) AS blocks, sum(pow(greatest(-128, least(127, round_even(v::FLOAT::DOUBLE / scale, 0))) * scale, 2)) AS energy FROM d JOIN sc ON d.bucket_id = sc.bucket_id AND d.c = sc.c AND d.band_id = sc.band_id GROUP BY ALL)
+SELECT image_id, c::INTEGER AS channel, blocks::BIGINT AS blocks, round(energy, 3) AS energy, bucket_id::INTEGER AS bucket_id, chunk_id, chunk_pos FROM e JOIN pl USING (image_id)"""
+ORACLE_SQL["random_patches"] = _with(_DCT, "d AS (SELECT p AS patch, row_number() OVER (ORDER BY md5(concat_ws(':', 11, p))) - 1 AS drawn FROM range(20) t(p))",
+    "f AS (SELECT z.*, drawn < 4 + image_id % 3 * 5 AS chosen, 4 * (1 + image_id % 3 * 4) AS width FROM z JOIN d USING (patch))") + "SELECT image_id, patch::INTEGER AS patch, chosen, round(sum(CASE WHEN chosen OR pos < width THEN v * v ELSE 0 END), 6) + 0.0 AS energy FROM f GROUP BY ALL"

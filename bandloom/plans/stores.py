@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.operators import store
-from bandloom.plans.catalog import images, query, scratch
-from bandloom.plans.substrate import r, table
-from bandloom.sources import archives, packed
+from bandloom.operators import replicas, sampling, schedule, store
+from bandloom.operators import sensitivity as se
+from bandloom.plans.catalog import centroids, images, query, scratch
+from bandloom.plans.substrate import BANDS, PATCHES, coefficients, r, table
+from bandloom.sources import archives, files, packed, scans
 from bandloom.streaming.ingest import ingest_packed
 
 #: Nothing is compressed here, so that lengths follow from the images alone.
@@ -148,3 +151,108 @@ def streamed_pixels(spark, sf_dir):
     reads, spec = store.packed_reads(spark, f"{path}/store", whole)
     served = store.served_crops(reads, spec).join(heads.select("image_id", "label", "source_key"), "image_id")
     return served.select("image_id", "label", "source_key", F.posexplode("pixels").alias("i", "v")).select("image_id", "label", "source_key", "i", r("v", 4).alias("value"))
+
+
+# --- scans with a manifest, and shuffles without a sort ---
+
+
+@query
+def scan_manifest(spark, sf_dir):
+    """Four scans of archives of all documents: of all; after one archive was written anew, one has come and one has gone; of
+    nothing new; and with other parameters. How many files each has scanned, and the results that then hold."""
+    path, rows = scratch(spark), _samples(spark, sf_dir)
+    first = rows.where(F.col("id") % 640 < 576)  # every tenth archive is not there yet
+    out = None
+    for step, (most, written) in enumerate(((10, first), (10, rows.where("id div 64 = 1 and label < 8")), (10, None), (6, None))):
+        if written is not None:
+            archives.write_archives(written, f"{path}/tar", 64)
+        if step == 1:
+            archives.write_archives(rows.where("id div 64 % 10 = 9"), f"{path}/tar", 64)
+            files.delete_files(f"{path}/tar", ["part-000002.tar"])
+
+        def scan(shards: DataFrame, most: int = most) -> DataFrame:
+            names = [x[0] for x in shards.select("shard").collect()]  # a row for each archive
+            each = archives.read_indexed(archives.member_index(spark, names)).where(F.col("label") < most)
+            return each.groupBy("shard").agg(F.count("*").alias("docs"), F.sum(F.octet_length("content")).alias("bytes"))
+
+        found = scans.ensured(spark, f"{path}/tar", f"{path}/scan", {"most": most}, scan, "*.tar")
+        scanned = scans.finished_runs(f"{path}/scan")[-1]["scanned"] if step != 2 else 0
+        if step == 2 and len(scans.finished_runs(f"{path}/scan")) != 2:
+            raise AssertionError("a scan of nothing new was a run")
+        one = found.select(F.lit(step).alias("step"), F.lit(scanned).cast("long").alias("scanned"), F.regexp_extract("shard", r"part-(\d+)", 1).cast("int").alias("shard"), "docs", "bytes")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query
+def tar_shuffled(spark, sf_dir):
+    """All samples of archives in random streams, and how many streams and places there are."""
+    names = archives.write_archives(_samples(spark, sf_dir), scratch(spark), 64)
+    rows = archives.shuffled_archives(spark, names, seed=5, streams=4, size=50)
+    return rows.groupBy("key", F.sha2("content", 256).alias("sha"), "label").agg(F.count("*").alias("times"))
+
+
+@query
+def buffer_shuffled(spark, sf_dir):
+    """All vectors after a shuffle by reservoirs."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("head"))
+    return sampling.buffer_shuffle(e.repartition(6), 100, 3).select("vec_id", "label", r("head", 9).alias("head"))
+
+
+# --- schedules and sensitivities ---
+
+
+@query
+def pilot_schedules(spark, sf_dir):
+    """Bands and patches of pilots by user group, as schedules of 40 epochs, in one grouped pass."""
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 6).cast("int").alias("run"), (F.col("event_id") % 10).cast("int").alias("epoch")).agg(F.count("*").alias("n"), F.sum("event_id").alias("s"))
+    both = e.select("run", "epoch", F.explode(F.array(F.struct(F.lit("k").alias("kind"), (1 + F.col("s") % 16).alias("value")), F.struct(F.lit("q").alias("kind"), (1 + (F.col("s") + F.col("n")) % 20).alias("value")))).alias("c")).select("run", "c.kind", "epoch", F.col("c.value").cast("double").alias("value"))
+    return schedule.pilot_schedules(both, ["run", "kind"], 40, F.when(F.col("kind") == "k", 16).otherwise(20))
+
+
+@query
+def sensitivity_residual(spark, sf_dir):
+    """Shares by pseudo-epoch (the label) and patch of the gradient of what the first four bands leave out."""
+    z = coefficients(spark, sf_dir).select("image_id", "patch", "label", "z")
+    s = se.residual_sensitivity(z, centroids(z), BANDS, 4, ["label"])
+    return s.select(F.col("label").alias("epoch"), F.col("patch").cast("int").alias("idx"), r("value", 9).alias("value"))
+
+
+# --- replicas, and the quantised store from end to end ---
+
+
+def _measure(rows: pa.Table) -> dict[str, float]:
+    return {"rows": rows.num_rows, "labels": float(pc.sum(rows.column("label")).as_py())}
+
+
+@query
+def replica_metrics(spark, sf_dir):
+    """What three replicas that stream their batches know after each step of the rows and labels that all have seen."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
+    batches = sampling.shard_batches(e, 48, 10)
+    dealt = sampling.equalised(batches, 3, 8, 2)
+    return replicas.run_replicas(batches.join(dealt, ["shard_id", "batch_no"]).select("rank", "place", "label"), 3, _measure)
+
+
+@query
+def quantised_store(spark, sf_dir):
+    """Energy that a store of int8 serves of every image and channel, and the chunk of each: images of several sizes, in buckets
+    by grid, with steps of their own and chunks as large as their canvas allows."""
+    path = scratch(spark)
+    mixed_images(spark, sf_dir).write.parquet(f"{path}/source")
+    im = spark.read.parquet(f"{path}/source")
+    store.write_quantised_store(im, f"{path}/store", BANDS, tile_blocks=2, base_chunk=3, most_bytes=60_000)
+    places = spark.read.parquet(f"{path}/store/images")
+    every = places.select("image_id", F.explode(F.sequence(F.lit(0), F.col("nph") * F.col("npw") - 1)).alias("patch")).withColumn("k", F.lit(BANDS.count))
+    served, _ = store.read_bucket_store(spark, f"{path}/store", every)
+    energy = served.groupBy("image_id", "channel").agg(F.count("*").alias("blocks"), r(F.sum(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)), 3).alias("energy"))
+    return energy.join(places.select("image_id", "bucket_id", "chunk_id", "chunk_pos"), "image_id")
+
+
+@query
+def random_patches(spark, sf_dir):
+    """What the baseline of random patches serves at three fidelities."""
+    z = coefficients(spark, sf_dir).select("image_id", "patch", "z")
+    level = (F.col("image_id") % 3).cast("int")
+    kept = sampling.random_patches(z, BANDS, PATCHES, 1 + level * 4, 4 + level * 5, seed=11)
+    return kept.select("image_id", "patch", "chosen", r(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)).alias("energy"))

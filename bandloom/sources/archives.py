@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -28,6 +29,9 @@ LABEL_SUFFIX = "cls"
 SAMPLE_BYTES = 8 << 20
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+:")
 SCHEMA = "shard string, position int, key string, content binary, label int"
+_TYPES = {"shard": pa.string(), "position": pa.int32(), "key": pa.string(), "content": pa.binary(), "label": pa.int32()}
+SHUFFLED_SCHEMA = f"{SCHEMA}, stream int, place long"
+_SHUFFLED_TYPES = _TYPES | {"stream": pa.int32(), "place": pa.int64()}
 INDEX_SCHEMA = "shard string, position int, key string, image_offset long, image_length long, label_offset long, label_length long"
 _INDEX_NAMES = ["shard", "position", "key", "image_offset", "image_length", "label_offset", "label_length"]
 _INDEX_TYPES = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 4]
@@ -75,6 +79,54 @@ class _TarReader(DataSourceReader):
             yield from _batches((shard, *x) for x in samples(file, done))
 
 
+class _ShuffledReader(DataSourceReader):
+    """Streams of archives in a drawn order, each with a reservoir."""
+
+    def __init__(self, shards: list[str], seed: int, streams: int, size: int) -> None:
+        order = sorted(shards, key=lambda s: hashlib.sha256(f"{seed}:{s.rpartition('/')[2]}".encode()).digest())
+        self.streams, self.seed, self.size = [order[k::streams] for k in range(min(streams, len(order)))], seed, size
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition((k, s)) for k, s in enumerate(self.streams)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        from bandloom.operators.sampling import reservoir
+
+        stream, shards = partition.value
+
+        def each() -> Iterator[tuple]:
+            for shard in shards:
+                fs, inner = files.located(shard)
+                with fs.open_input_file(inner) as file:
+                    yield from ((shard, *x) for x in samples(file))
+
+        mixed = reservoir(each(), self.size, np.random.default_rng([self.seed, stream]))
+        for b in _batches(((*row, stream, place) for place, row in enumerate(mixed)), _SHUFFLED_TYPES):
+            yield b
+
+
+class ShuffledTar(DataSource):
+    """Archives in a random order. Options: shards (JSON), seed, streams, size."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tar_shuffled"
+
+    def schema(self) -> str:
+        return SHUFFLED_SCHEMA
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _ShuffledReader(json.loads(self.options["shards"]), *(int(self.options[n]) for n in ("seed", "streams", "size")))
+
+
+def shuffled_archives(spark: SparkSession, patterns: str | list[str], seed: int, streams: int, size: int = 1000) -> DataFrame:
+    """Rows (SCHEMA, stream, place): all samples, in `streams` tasks that read whole archives in an order drawn by the seed and the
+    archives' names, each through a reservoir of `size` samples. Nothing is sorted or shuffled, and a task holds `size` samples
+    whatever its archives hold; place is the order in a stream, the same for the same seed, archives and streams."""
+    spark.dataSource.register(ShuffledTar)
+    return spark.read.format("tar_shuffled").options(shards=json.dumps(shard_list(patterns)), seed=seed, streams=streams, size=size).load()
+
+
 class TarSamples(DataSource):
     """Archives on mounted folders as a Spark source: a partition for each. Option shards: JSON of [path, samples to skip]."""
 
@@ -111,22 +163,22 @@ def read_archives(spark: SparkSession, patterns: str | list[str], skip: DataFram
     return whole.mapInArrow(unfold, SCHEMA)
 
 
-def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterable[tuple], kinds: dict[str, pa.DataType] | None = None) -> Iterator[pa.RecordBatch]:
     """Samples in batches of about SAMPLE_BYTES."""
+    kinds = kinds or _TYPES
     held, size = [], 0
     for row in rows:
         held.append(row)
         size += len(row[3])
         if size > SAMPLE_BYTES:
-            yield _batch(held)
+            yield _batch(held, kinds)
             held, size = [], 0
-    yield _batch(held)
+    yield _batch(held, kinds)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "position", "key", "content", "label"])
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
 def write_archives(rows: DataFrame, folder: str, samples_per_shard: int) -> list[str]:
