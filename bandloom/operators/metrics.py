@@ -40,21 +40,26 @@ def entropy(symbols: DataFrame, by: list[str], value: str = "value", total: bool
     return out.select(*by, "symbols", "bits", (F.col("bits") * F.col("symbols") / 8).alias("bytes"), (F.col("zeros") / F.col("symbols")).alias("zero_share"))
 
 
-def percentile(values: DataFrame, by: list[str], value: Column, share: float, bins: int = 1 << 16) -> DataFrame:
+def _bin(v: Column, bins: int) -> Column:
+    """A number that never falls as v rises: `bins` bins for each power of two, on either side of zero; NaN comes last."""
+    size = F.floor(F.log2(F.abs(v)) * bins) + 1100 * bins
+    finite = F.when(v > 0, size).when(v < 0, -size).otherwise(0)
+    return F.when(F.isnan(v) | (v == float("inf")), 1 << 40).when(v == float("-inf"), -(1 << 40)).otherwise(finite)
+
+
+def percentile(values: DataFrame, by: list[str], value: Column, share: float, bins: int = 1 << 11) -> DataFrame:
     """Rows (by, percentile): exact, linear between the two nearest ranks. by: keys of few groups, such as bands or replicas.
 
-    A histogram of equal bins tells in which bins the two ranks lie; only the values of these are then ranked, each once with
-    its count. So no task holds a group's values, but for those of one bin.
+    Two passes without a shuffle of values: counts by fixed bins tell in which bins the two ranks lie, and only the values of
+    these are then ranked, each once with its count. So no task holds a group's values, but for those of one bin.
     """
-    v = values.select(*by, value.cast("double").alias("v")).where("v is not null")
-    ends = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    place = (F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins
-    told = v.join(F.broadcast(ends), by).withColumn("bin", F.coalesce(F.least(F.lit(bins - 1), F.floor(place)), F.lit(0)))  # a row for each group
-    at = share * (F.col("n") - 1)
-    counts = told.groupBy(*by, "n", "bin").agg(F.count("*").alias("c")).withColumn("low", F.floor(at)).withColumn("high", F.ceil(at))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("bin"))
-    hit = counts.withColumn("before", upto - F.col("c")).where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("c") > F.col("low")))
-    inside = told.drop("n").join(F.broadcast(hit.select(*by, "bin", "before", "n", "low", "high")), [*by, "bin"])  # two bins of each group
+    told = values.select(*by, value.cast("double").alias("v")).where("v is not null").withColumn("bin", _bin(F.col("v"), bins))
+    counts = told.groupBy(*by, "bin").agg(F.count("*").alias("c"))
+    whole, at = Window.partitionBy(*by), share * (F.col("n") - 1)
+    counts = counts.withColumns({"n": F.sum("c").over(whole), "upto": F.sum("c").over(whole.orderBy("bin"))})
+    counts = counts.withColumns({"low": F.floor(at), "high": F.ceil(at), "before": F.col("upto") - F.col("c")})
+    hit = counts.where((F.col("before") <= F.col("high")) & (F.col("upto") > F.col("low")))
+    inside = told.join(F.broadcast(hit.select(*by, "bin", "before", "n", "low", "high")), [*by, "bin"])  # two bins of each group
     ranked = inside.groupBy(*by, "bin", "before", "n", "low", "high", "v").count()
     end = F.col("before") + F.sum("count").over(Window.partitionBy(*by, "bin").orderBy("v"))
     ranked = ranked.withColumn("end", end)
@@ -64,14 +69,27 @@ def percentile(values: DataFrame, by: list[str], value: Column, share: float, bi
 
 
 def io_report(reads: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by, reads, bytes_read, full_bytes, io_ratio, avg_bytes, p95_bytes) of reads (bytes, full)."""
-    out = reads.groupBy(*by).agg(
-        F.count("*").alias("reads"),
-        F.sum("bytes").alias("bytes_read"),
-        F.sum("full").alias("full_bytes"),
-        F.avg("bytes").alias("avg_bytes"),
+    """Rows (by, reads, bytes_read, full_bytes, io_ratio, avg_bytes, p95_bytes) of reads (bytes, full).
+
+    Reads are counted by their size first, so one pass and one shuffle of sizes give sums and ranks; a group has as many rows then
+    as there are sizes of a read.
+    """
+    sizes = reads.groupBy(*by, "bytes").agg(F.count("*").alias("_n"), F.sum("full").alias("_full"))
+    known, group = F.when(F.col("bytes").isNotNull(), F.col("_n")).otherwise(0), Window.partitionBy(*by)
+    at = 0.95 * (F.sum(known).over(group) - 1)
+    sizes = sizes.withColumns({"_upto": F.sum(known).over(group.orderBy("bytes")), "_known": known, "_at": at})
+    pick = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_known") <= rank), F.col("bytes")))
+    out = sizes.groupBy(*by).agg(
+        F.sum("_n").alias("reads"),
+        F.sum(F.col("bytes") * F.col("_n")).alias("bytes_read"),
+        F.sum("_full").alias("full_bytes"),
+        (F.sum(F.col("bytes") * F.col("_n")) / F.nullif(F.sum("_known"), F.lit(0))).alias("avg_bytes"),
+        pick(F.floor("_at")).cast("double").alias("_low"),
+        pick(F.ceil("_at")).cast("double").alias("_high"),
+        F.max("_at").alias("_at"),
     )
-    out = out.join(percentile(reads, by, F.col("bytes"), 0.95).withColumnRenamed("percentile", "p95_bytes"), by)
+    p95 = F.col("_low") + (F.col("_at") - F.floor("_at")) * (F.col("_high") - F.col("_low"))
+    out = out.withColumn("p95_bytes", p95).drop("_low", "_high", "_at")
     return out.withColumn("io_ratio", F.col("bytes_read") / F.nullif(F.col("full_bytes"), F.lit(0)))
 
 

@@ -269,3 +269,30 @@ def test_equalised_ranks_take_the_same_steps(spark):
     rows = sampling.equalised(b, 4, 1, 0).collect()
     assert len(rows) == 20 and sorted((r["rank"], r["place"]) for r in rows) == [(k, i) for k in range(4) for i in range(5)]
     assert sorted(map(tuple, rows)) != sorted(map(tuple, sampling.equalised(b, 4, 1, 1).collect()))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.37, 0.95, 0.9999, 1.0])
+def test_percentile_is_exact_in_two_passes(spark, share):
+    from bandloom.operators import metrics
+
+    r = np.random.default_rng(2)
+    groups = {0: r.normal(size=501) ** 3, 1: np.array([0.0, -0.0, 5e-324, -1e300, 1e300, 2.0, 2.0, 2.0]), 2: np.array([4.0]), 3: np.repeat([1.0, 1.5, -3.0], 40)}
+    rows = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [(0, None)], "g int, v double")
+    got = {x["g"]: x["percentile"] for x in metrics.percentile(rows, ["g"], F.col("v"), share).collect()}
+    assert got == {g: pytest.approx(float(np.quantile(v, share)), rel=1e-12, abs=1e-300) for g, v in groups.items()}
+    scans = metrics.percentile(rows, ["g"], F.col("v"), share)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert scans <= 2
+
+
+def test_io_report_reads_once(spark):
+    from bandloom.operators import metrics
+
+    rows = spark.createDataFrame([(k % 2, (k * 7919) % 50, 100) for k in range(301)] + [(2, None, 10)], "g int, bytes int, full int")
+    out = metrics.io_report(rows, ["g"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    for x in out.collect():
+        v = np.array([(k * 7919) % 50 for k in range(301) if k % 2 == x["g"]], float)
+        if x["g"] == 2:
+            assert (x["reads"], x["bytes_read"], x["p95_bytes"]) == (1, None, None)
+        else:
+            assert (x["reads"], x["bytes_read"], x["avg_bytes"], x["p95_bytes"]) == (len(v), v.sum(), pytest.approx(v.mean()), pytest.approx(np.quantile(v, 0.95)))
