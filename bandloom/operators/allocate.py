@@ -109,6 +109,11 @@ def prefix_for_ratio(bands: int, ratio: float) -> int:
     return min(max(-int(-ratio * bands // 1), 1), bands)
 
 
+def prefix_column(ratio: Column, bands: int) -> Column:
+    """prefix_for_ratio() by row."""
+    return F.least(F.greatest(F.ceil(F.round(ratio * bands, DECIMALS)), F.lit(1)), F.lit(bands)).cast("int")
+
+
 def kq_ratio(k: Column | float, q: Column | float, bands: int, patches: int):
     """The served share of a low-pass base of k bands with q full patches."""
     f = k / bands

@@ -139,6 +139,16 @@ def coarse_buckets(shapes: DataFrame, count: int = 16, block: int = 8) -> DataFr
     return rows.join(F.broadcast(known), "raw").select(*shapes.columns, "nph", "npw", "bucket_id", "bucket_nph", "bucket_npw")  # at most `count` buckets
 
 
+def one_bucket(requests: DataFrame, places: DataFrame, batch: str = "batch_no") -> DataFrame:
+    """requests (batch, image_id) with their bucket_id; a batch whose images lie in several buckets, or in none, fails the query,
+    as its rows could not be stacked."""
+    rows = requests.join(places.select("image_id", "bucket_id"), "image_id", "left")
+    kinds = rows.groupBy(batch).agg(F.min("bucket_id").alias("lo"), F.max("bucket_id").alias("hi"), F.count_if(F.col("bucket_id").isNull()).alias("lost"))
+    bad = (F.col("lo") != F.col("hi")) | (F.col("lost") > 0)
+    only = F.when(bad, F.raise_error(F.concat(F.lit("images of one bucket are needed in batch "), F.col(batch).cast("string")))).otherwise(F.col("lo"))
+    return rows.drop("bucket_id").join(kinds.select(batch, only.cast("int").alias("bucket_id")), batch)
+
+
 def storage_forecast(bucketed: DataFrame, block: int = 8, channels: int = 3) -> DataFrame:
     """Rows (bucket_id, nph, npw, images, patches, blocks, raw_bytes) of one byte for each coefficient."""
     out = bucketed.groupBy("bucket_id").agg(F.max("nph").alias("nph"), F.max("npw").alias("npw"), F.count("*").alias("images"))

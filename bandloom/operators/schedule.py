@@ -15,10 +15,37 @@ def epochs(spark: SparkSession, total: int) -> DataFrame:
     return spark.range(total).select(F.col("id").cast("int").alias("epoch"))
 
 
-def ramp(epoch: Column, total: int, start: float, end: float, gamma: float) -> Column:
-    """start + (end - start) * (epoch / last) ** gamma; later epochs stay at the end."""
-    last = max(total - 1, 1)
-    return start + (end - start) * F.pow(F.least(epoch, F.lit(last)) / float(last), F.lit(gamma))
+def ramp(epoch: Column, total: Column | int, start: Column | float, end: Column | float, gamma: Column | float) -> Column:
+    """start + (end - start) * (epoch / last) ** gamma; later epochs stay at the end. All may differ by row."""
+    last = F.greatest(_column(total) - 1, F.lit(1))
+    return _column(start) + (_column(end) - _column(start)) * F.pow(F.least(epoch, last) / last.cast("double"), _column(gamma).cast("double"))
+
+
+def _column(value: Column | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def slots(ratio: Column, full: Column | int, least: Column | int) -> Column:
+    """Whole slots of a share, half to even, at least `least`."""
+    return F.greatest(_column(least), F.least(F.bround(_column(full) * ratio), _column(full))).cast("long")
+
+
+def run_schedules(runs: DataFrame, beyond: int = 0, k_low: int = 1) -> DataFrame:
+    """Rows (run, epoch, budget, io_ratio, lr) of runs (run, total, warmup, start, end, gamma, patches, bands, base_lr) for all their
+    epochs and `beyond` more, in which the last budget holds: what get_fidelity() says of each run at each epoch."""
+    at = runs.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("total") - 1 + beyond)))
+    held = F.least("epoch", F.col("total") - 1)
+    full = F.col("patches") * F.col("bands")
+    budget = slots(ramp(held, F.col("total"), F.col("start"), F.col("end"), F.col("gamma")), full, F.col("patches") * k_low)
+    lr = cosine(F.col("epoch"), F.col("total"), F.col("base_lr"), F.col("warmup"))
+    return at.select("run", F.col("epoch").cast("int").alias("epoch"), budget.alias("budget"), (budget / full).alias("io_ratio"), lr.alias("lr"))
+
+
+def cosine(epoch: Column, total: Column | int, base: Column | float, warmup: Column | int, least: float = 0.0) -> Column:
+    """Linear warm-up, then half a cosine down to `least`, which later epochs keep."""
+    progress = F.least(F.lit(1.0), (epoch - _column(warmup)) / F.greatest(_column(total) - _column(warmup), F.lit(1)).cast("double"))
+    down = least + (_column(base) - least) * 0.5 * (1 + F.cos(F.lit(math.pi) * progress))
+    return F.when(epoch < _column(warmup), _column(base) * (epoch + 1) / F.greatest(_column(warmup), F.lit(1)).cast("double")).otherwise(down)
 
 
 def budget_schedule(spark: SparkSession, total: int, patches: int, bands: int, start: float, end: float = 1.0, gamma: float = 1.0, k_low: int = 1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bandloom.plans import stores, views  # noqa: F401  (their queries)
+from bandloom.plans import measured, stores, views  # noqa: F401  (their queries)
 from bandloom.plans.catalog import QUERIES
 from bandloom.plans.oracles import ORACLE_SQL as SQL
 from bandloom.plans.store_oracles import ORACLE_SQL as STORE_SQL

@@ -99,3 +99,42 @@ e AS (SELECT image_id, d.c, count(DISTINCT patch) AS blocks, sum(pow(greatest(-1
 SELECT image_id, c::INTEGER AS channel, blocks::BIGINT AS blocks, round(energy, 3) AS energy, bucket_id::INTEGER AS bucket_id, chunk_id, chunk_pos FROM e JOIN pl USING (image_id)"""
 ORACLE_SQL["random_patches"] = _with(_DCT, "d AS (SELECT p AS patch, row_number() OVER (ORDER BY md5(concat_ws(':', 11, p))) - 1 AS drawn FROM range(20) t(p))",
     "f AS (SELECT z.*, drawn < 4 + image_id % 3 * 5 AS chosen, 4 * (1 + image_id % 3 * 4) AS width FROM z JOIN d USING (patch))") + "SELECT image_id, patch::INTEGER AS patch, chosen, round(sum(CASE WHEN chosen OR pos < width THEN v * v ELSE 0 END), 6) + 0.0 AS energy FROM f GROUP BY ALL"
+
+# --- queries of plans.measured ---
+
+_RUNS = """e AS (SELECT user_id % 9 AS run, count(*) AS n, sum(event_id) AS s FROM events GROUP BY ALL),
+runs AS (SELECT run, 5 + n % 30 AS total, n % 4 AS warmup, 0.3::DOUBLE + s % 10 / 100.0::DOUBLE AS start, 0.7::DOUBLE + s % 7 / 25.0::DOUBLE AS fin, 1 + n % 3 / 2.0::DOUBLE AS gamma, 4 + s % 50 AS patches, 0.1::DOUBLE + n % 5 / 10.0::DOUBLE AS base FROM e)"""
+
+
+def _budgets(beyond: int) -> str:
+    return f"""WITH {_RUNS}, at AS (SELECT *, unnest(range(total + {beyond})) AS epoch FROM runs),
+b AS (SELECT *, greatest(patches, least(patches * 16, round_even(patches * 16 * (start + (fin - start) * pow(least(epoch, total - 1) / greatest(total - 1, 1)::DOUBLE, gamma)), 0))) AS budget,
+  CASE WHEN epoch < warmup THEN base * (epoch + 1) / greatest(warmup, 1)::DOUBLE ELSE base * 0.5 * (1 + cos(pi() * least(1.0, (epoch - warmup) / greatest(total - warmup, 1)::DOUBLE))) END AS lr FROM at)
+""".replace("at AS (", "ats AS (").replace("FROM at)", "FROM ats)")
+
+
+ORACLE_SQL["run_budgets"] = _budgets(5) + "SELECT run::INTEGER AS run, epoch::INTEGER AS epoch, budget::BIGINT AS budget, round(budget / (patches * 16), 9) AS io_ratio, round(lr, 9) + 0.0 AS lr FROM b"
+ORACLE_SQL["run_budget_summary"] = _budgets(0) + "SELECT run::INTEGER AS run, arg_min(budget, epoch)::BIGINT AS first, arg_max(budget, epoch)::BIGINT AS last, round(avg(budget / (patches * 16)), 9) AS avg_io FROM b GROUP BY run"
+ORACLE_SQL["nested_mask_energy"] = _with(_DCT, "m AS (SELECT image_id, least(pos // 12, 4) AS band, sum(v * v) AS e FROM z GROUP BY ALL)") + "SELECT image_id, level::INTEGER AS level, round(sum(e), 6) AS energy FROM m, range(5) l(level) WHERE band <= level GROUP BY ALL"
+ORACLE_SQL["uniform_fidelity"] = _with(_DCT, "u AS (SELECT *, least(16, greatest(1, ceil(round(label / 9.0::DOUBLE * 16, 12))))::INTEGER AS k FROM z)") + "SELECT label, k, count(DISTINCT (image_id, patch))::BIGINT AS blocks, round(sum(CASE WHEN pos >= k * 4 THEN v * v ELSE 0 END), 6) + 0.0 AS sq_error FROM u GROUP BY ALL"
+ORACLE_SQL["matched_fidelity"] = """WITH e AS (SELECT (event_id % 24)::INTEGER AS part, round(avg(abs(value) / (1 + abs(value))), 6) AS target FROM events WHERE value IS NOT NULL GROUP BY ALL),
+low AS (SELECT target, k, k / 16.0::DOUBLE AS ratio, row_number() OVER (PARTITION BY target ORDER BY round(abs(k / 16.0::DOUBLE - target), 12), k) AS p FROM (SELECT DISTINCT target FROM e), range(1, 17) a(k)),
+pair AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(abs(ratio - target), 12), k, q) AS p FROM (SELECT target, k, q, k / 16.0::DOUBLE + (1 - k / 16.0::DOUBLE) * (q / 20.0::DOUBLE) AS ratio FROM (SELECT DISTINCT target FROM e), range(1, 17) a(k), range(1, 21) b(q)))
+SELECT part, target, low.k::INTEGER AS low_k, round(low.ratio, 9) AS low_ratio, pair.k::INTEGER AS k, pair.q::INTEGER AS q, round(pair.ratio, 9) AS ratio FROM e JOIN low USING (target) JOIN pair USING (target) WHERE low.p = 1 AND pair.p = 1"""
+ORACLE_SQL["refoldered"] = f"WITH {_SAMPLES} SELECT id, 'n0' || label AS class_name, (dense_rank() OVER (ORDER BY 'n0' || label) - 1)::INTEGER AS label, sha256(t) AS sha FROM docs"
+ORACLE_SQL["artefact_sizes"] = f"""WITH {_SAMPLES}, f AS (SELECT label AS folder, count(*) AS files, sum(octet_length(encode(t))) AS bytes FROM docs GROUP BY ALL),
+w AS (SELECT count(*) AS n, avg(bytes) AS m, stddev_pop(bytes) AS s FROM f)
+SELECT folder, files::BIGINT AS files, bytes::BIGINT AS bytes, n::BIGINT AS n, round(m, 3) AS mean_bytes, round(s, 3) AS std_bytes, round(m * 100000, 1) AS forecast_bytes FROM f, w"""
+ORACLE_SQL["record_shards"] = """SELECT (vec_id // 100)::INTEGER AS file, (row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1)::BIGINT AS position, label::INTEGER AS label,
+  round(list_sum(list_transform(embedding, lambda x: floor((x::DOUBLE + 1) / 2 * 255) / 255.0::DOUBLE)), 6) + 0.0 AS total FROM embeddings"""
+ORACLE_SQL["braced_archives"] = "SELECT (doc_id // 20)::INTEGER AS shard, count(*)::BIGINT AS samples, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes FROM documents WHERE doc_id // 20 IN (0, 1, 2, 3, 6, 7) GROUP BY ALL"
+_HISTORY = """h AS (SELECT (user_id % 9)::VARCHAR AS run, event_id % 6 AS epoch, round(avg(abs(value)), 6) AS acc, 0.25 + count(*) % 64 / 128.0::DOUBLE AS io FROM events WHERE value IS NOT NULL GROUP BY ALL),
+s AS (SELECT run, max(acc) AS best, arg_max(acc, epoch) AS final, avg(io) AS io FROM h GROUP BY run)"""
+ORACLE_SQL["summary_lines"] = f"""WITH {_HISTORY} SELECT 0 AS place, '| run | best | final | I/O | saved |' AS line UNION ALL SELECT 1, '|---|---|---|---|---|'
+UNION ALL SELECT (row_number() OVER (ORDER BY run) + 1)::INTEGER, format('| {{}} | {{:.2f}} | {{:.2f}} | {{:.3f}} | {{:.1f}} % |', run, best, final, io, (1 - io) * 100) FROM s"""
+ORACLE_SQL["wanted_runs"] = f"WITH {_HISTORY} SELECT place::INTEGER AS place, run, round(best, 6) AS best, round(io, 9) AS avg_io FROM s JOIN (VALUES ('7', 0), ('none', 1), ('2', 2), ('5', 3)) w(run, place) USING (run)"
+ORACLE_SQL["trial_rows"] = _with(_DCT, "t AS (SELECT label, band_id, round(sum(v * v), 6) AS energy, count(*) AS n FROM z GROUP BY ALL)") + "SELECT kind, label, band_id::INTEGER AS band_id, energy, n::BIGINT AS n FROM t, (VALUES ('json'), ('csv')) k(kind)"
+ORACLE_SQL["bucket_guard"] = """WITH g AS (SELECT doc_id, (64 + n_chars % 193 + 31) // 32 AS nph, (64 + (doc_id * 37) % 193 + 31) // 32 AS npw FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT nph, npw, row_number() OVER (ORDER BY nph, npw) - 1 AS bucket_id FROM (SELECT DISTINCT nph, npw FROM g)),
+p AS (SELECT bucket_id, row_number() OVER (PARTITION BY bucket_id ORDER BY doc_id) - 1 AS pos FROM g JOIN b USING (nph, npw))
+SELECT (bucket_id * 100000 + pos // 4)::INTEGER AS batch_no, bucket_id::INTEGER AS bucket_id, count(*)::BIGINT AS images FROM p GROUP BY ALL"""

@@ -417,6 +417,58 @@ def read_image_folder(spark: SparkSession, path: str, glob: str = "*.[jJpP]*[gG]
     return rows.join(labels, "class_name").select("path", "class_name", "label", "content")
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes rows (path, content) as files below a folder, by the tasks that have them; returns rows (path, bytes). A file is written
+    under another name and then renamed, so that a task that runs again replaces it whole."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = files.located(folder)
+        for b in batches:
+            sizes = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                place, _, name = f"{inner}/{path}".rpartition("/")
+                fs.create_dir(place, recursive=True)
+                own = f"{place}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(own) as out:
+                    out.write(content)
+                fs.move(own, f"{place}/{name}")
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return rows.select("path", "content").mapInArrow(write, "path string, bytes long")
+
+
+def refolder(spark: SparkSession, images: str, annotations: str, target: str) -> DataFrame:
+    """Copies images of one flat folder into a folder for each class that the annotations (file, class_id) give them, where
+    read_image_folder() reads them; returns rows (path, bytes). Files without an annotation, and annotations without a file, are
+    an error."""
+    found = spark.read.format("binaryFile").load(images).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
+    both = found.join(read_annotations(spark, annotations), "file", "full")
+    fits = F.when(F.col("content").isNull() | F.col("class_id").isNull(), F.raise_error(F.concat(F.lit("no pair for "), F.col("file")))).otherwise(F.concat_ws("/", "class_id", "file"))
+    return write_files(both.select(fits.cast("string").alias("path"), "content"), target)
+
+
+def write_records(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes rows (file, place, record) as files of their records one after another; returns rows (path, bytes). A file is streamed
+    by one task."""
+    dealt = rows.select("file", "place", "record").repartition("file").sortWithinPartitions("file", "place")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = files.located(folder)
+        fs.create_dir(inner, recursive=True)
+        each = (x for b in batches for x in zip(b.column("file").to_pylist(), b.column("record").to_pylist(), strict=True))
+        for name, records in groupby(each, key=lambda x: x[0]):
+            own, size = f"{inner}/.{name}-{uuid.uuid4().hex}", 0
+            with fs.open_output_stream(own) as out:
+                for _, record in records:
+                    out.write(record)
+                    size += len(record)
+            fs.move(own, f"{inner}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], ["path", "bytes"])
+
+    return dealt.mapInArrow(write, "path string, bytes long")
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Rows (file, class_id) of tab-separated annotations, whose further columns are left."""
     lines = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,26 @@ def write_trials(trials: list[dict], spark: SparkSession, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
 
 
+def write_trial_rows(trials: DataFrame, path: str) -> None:
+    """Trials, one for each row, as JSON and as CSV, written by the tasks that have them."""
+    trials.write.mode("overwrite").json(f"{path}/json")
+    trials.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
+
+
+def in_order(summary: DataFrame, wanted: list[str], run: str = "run") -> DataFrame:
+    """The runs of a list, with their `place` in it; those without a history are left out, and others too."""
+    names = summary.sparkSession.createDataFrame([(n, k) for k, n in enumerate(dict.fromkeys(wanted))], f"{run} string, place int")
+    return summary.withColumn(run, F.col(run).cast("string")).join(F.broadcast(names), run)
+
+
+def markdown_lines(summary: DataFrame, title: str = "run") -> DataFrame:
+    """Rows (place, line) of a table of run_summary() as Markdown: a head of two lines, then a line for each run by name."""
+    line = F.format_string("| %s | %.2f | %.2f | %.3f | %.1f %% |", F.col(title).cast("string"), "best", "final", "avg_io", "avg_saved")
+    body = summary.select((F.row_number().over(Window.orderBy(title)) + 1).alias("place"), line.alias("line"))  # a row for each run
+    head = summary.sparkSession.createDataFrame([(0, f"| {title} | best | final | I/O | saved |"), (1, "|---|---|---|---|---|")], "place int, line string")
+    return head.unionAll(body)
+
+
 def markdown(summary: DataFrame, title: str = "run") -> list[str]:
     """Lines of a table of run_summary(); a run is one line."""
     line = F.format_string("| %s | %.2f | %.2f | %.3f | %.1f %% |", F.col(title).cast("string"), "best", "final", "avg_io", "avg_saved")

@@ -216,3 +216,40 @@ def test_quantised_store_serves_what_went_in(spark, tmp_path, buckets):
         assert np.abs(plane[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8].ravel() - r["pixels"]).max() < 0.2
     assert served.count() == sum(3 * r["nph"] * r["npw"] for r in rows.values())
     assert records.select("bucket_id", "chunk_id", "tile_id", "band_id").distinct().count() == records.count()
+
+
+# --- schedules of many runs, folders and guards ---
+
+
+def test_run_schedules_are_those_of_one_run(spark):
+    runs = spark.createDataFrame([(1, 30, 5, 0.4, 0.9, 1.5, 16, 16, 0.4), (2, 1, 0, 0.2, 0.8, 1.0, 3, 16, 0.1)], "run int, total int, warmup int, start double, end double, gamma double, patches int, bands int, base_lr double")
+    rows = schedule.run_schedules(runs, beyond=2).collect()
+    one = {r["epoch"]: r for r in schedule.budget_schedule(spark, 30, 16, 16, 0.4, 0.9, 1.5).collect()}
+    lr = {r["epoch"]: r["lr"] for r in schedule.warmup_cosine(spark, 30, 0.4, 5).collect()}
+    for r in (x for x in rows if x["run"] == 1):
+        held = one[min(r["epoch"], 29)]
+        assert (r["budget"], r["io_ratio"]) == (held["budget"], pytest.approx(held["io_ratio"]))
+        assert r["lr"] == pytest.approx(lr.get(r["epoch"], 0.0), abs=1e-12)
+    assert [r["budget"] for r in rows if r["run"] == 2] == [10, 10, 10]
+
+
+def test_refolder_wants_pairs(spark, tmp_path):
+    images = spark.createDataFrame([("a.jpg", bytearray(b"1")), ("b.jpg", bytearray(b"2"))], "path string, content binary")
+    assert sorted(map(tuple, archives.write_files(images, str(tmp_path / "flat")).collect())) == [("a.jpg", 1), ("b.jpg", 1)]
+    (tmp_path / "val.txt").write_text("a.jpg\tn1\t0\nb.jpg\tn2\t0\n")
+    archives.refolder(spark, f"{tmp_path}/flat/*.jpg", str(tmp_path / "val.txt"), str(tmp_path / "out")).collect()
+    assert sorted(os.listdir(tmp_path / "out")) == ["n1", "n2"] and os.listdir(tmp_path / "out" / "n2") == ["b.jpg"]
+    (tmp_path / "val.txt").write_text("a.jpg\tn1\t0\nc.jpg\tn2\t0\n")
+    with pytest.raises(Exception, match="no pair for"):
+        archives.refolder(spark, f"{tmp_path}/flat/*.jpg", str(tmp_path / "val.txt"), str(tmp_path / "out")).collect()
+
+
+def test_batches_of_one_bucket(spark):
+    from bandloom.operators.crops import one_bucket
+
+    places = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "image_id long, bucket_id int")
+    ask = lambda rows: one_bucket(spark.createDataFrame(rows, "batch_no int, image_id long"), places).collect()
+    assert sorted((r["batch_no"], r["image_id"], r["bucket_id"]) for r in ask([(0, 0), (0, 1), (1, 2)])) == [(0, 0, 1), (0, 1, 1), (1, 2, 2)]
+    for bad in ([(0, 0), (0, 2)], [(0, 9)]):
+        with pytest.raises(Exception, match="one bucket"):
+            ask(bad)
