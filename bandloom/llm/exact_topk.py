@@ -122,8 +122,8 @@ def scan(qids: np.ndarray, queries: np.ndarray, blocks: Iterator[tuple[np.ndarra
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """Rows (query_id, rank, id_col, score): for each query row its k highest integer inner products over all rows of vectors.
 
-    Each component x becomes floor(scale * x). Queries are written in blocks of about query_block rows. One block at a time, of
-    that fixed size, goes to the tasks, which pass over the candidates and write k rows for each query; it is released before
+    Each component x becomes floor(scale * x); scores beyond a long count as the largest or smallest one, so they tie and go by
+    id. Queries are written in blocks of about query_block rows. One block at a time, of that fixed size, goes to the tasks, which pass over the candidates and write k rows for each query; it is released before
     the next one is read. A ranked window merges what the tasks wrote.
 
     Left out on both sides: rows with a null id, null vectors, and vectors with null or non-finite components. Shorter vectors

@@ -65,8 +65,9 @@ _CLASS = re.compile(r"[^A-Za-z_-]+")
 OPTIONAL, REPEATED, FRESH, ANY_ORDER, LOOSE = 1, 2, 4, 8, 16
 #: Different pages that must have the same text in a slot for it to be template text.
 SAME_PAGES = 3
-#: Equal neighbours of a page that are one repeated item on sight, and items of a level beyond which it is generalised.
-RUN, WIDE = 64, 256
+#: A level is generalised if mismatches have made it this many times, and by this many items, longer than on the widest page: a
+#: bound for what one host's layouts may differ, at which the length of pages has no part.
+GROWTH, SPARE = 4, 64
 #: Nodes of the wrappers that a task holds, wrappers that a task merges in a round, and bytes of wrappers that tasks carry.
 TASK_NODES, FAN, CARRIED = 400_000, 64, 32 << 20
 
@@ -102,19 +103,22 @@ def _key(tag: str, attributes: str, inside: bool) -> tuple[str, str]:
                     mark = named(value, inside) or mark
                 if name == "class":
                     classes += [c for c in (_CLASS.sub("", c) for c in value.split()) if c]
-    return ".".join([tag, *sorted(set(classes))[:3]]) + mark, mark
+    names = ".".join(sorted(set(classes)))
+    names = xxhash.xxh3_64_hexdigest(names) if len(names) > 64 else names
+    return (f"{tag}.{names}" if names else tag) + mark, mark
 
 
 class Node:
     """An element, a group of elements '(...)' or a text slot '#' of a page or of a wrapper.
 
     text: of a slot, a hash of the text that it has on all pages, or 0. pages: hashes of SAME_PAGES different pages with the slot.
+    widest: of a wrapper's element, how many items the page with the most of them has in it.
     """
 
-    __slots__ = ("key", "flags", "kids", "text", "pages")
+    __slots__ = ("key", "flags", "kids", "text", "pages", "widest")
 
-    def __init__(self, key: str, flags: int = 0, kids: list[Node] | None = None, text: int = 0, pages: tuple[int, ...] = ()) -> None:
-        self.key, self.flags, self.kids, self.text, self.pages = key, flags, [] if kids is None else kids, text, pages
+    def __init__(self, key: str, flags: int = 0, kids: list[Node] | None = None, text: int = 0, pages: tuple[int, ...] = (), widest: int = 0) -> None:
+        self.key, self.flags, self.kids, self.text, self.pages, self.widest = key, flags, [] if kids is None else kids, text, pages, widest
 
 
 class Slot:
@@ -350,14 +354,14 @@ def level(w: list[Node], p: list[Node], flags: int) -> tuple[list[Node], list[tu
         elif i is None:
             key, nodes = pi[j]
             new = [Node(key, FRESH | (0 if fresh else OPTIONAL)) for _ in nodes]
-            if _repeats(key, *nodes) or len(nodes) > RUN:
+            if _repeats(key, *nodes):
                 one(key, new[0], nodes)
             else:
                 kids += new
                 below += zip(new, nodes, strict=True)
         else:
             key, (ws, ps) = wi[i][0], (wi[i][1], pi[j][1])
-            if len(ws) == len(ps) <= RUN and not _repeats(key, *ws, *ps) and not flags & LOOSE:
+            if len(ws) == len(ps) and not _repeats(key, *ws, *ps) and not flags & LOOSE:
                 kids += ws
                 below += zip(ws, ps, strict=True)
             else:
@@ -365,6 +369,11 @@ def level(w: list[Node], p: list[Node], flags: int) -> tuple[list[Node], list[tu
     return kids, below
 
 
+def too_long(w: Node) -> int:
+    """The items of a level beyond which its order says nothing."""
+    return GROWTH * w.widest + SPARE
+
+
 def generalised(w: Node) -> list[tuple[Node, Node]]:
     """What is to be aligned for a level too varied for an order: then it holds any items of its kinds, in any number."""
     heads: dict[str, Node] = {}
@@ -374,7 +383,7 @@ def generalised(w: Node) -> list[tuple[Node, Node]]:
         if (head := heads.setdefault(x.key, x)) is not x:
             below.append((head, x))
     w.kids = list(heads.values())
-    w.flags |= ANY_ORDER | (LOOSE if len(heads) > WIDE else 0)
+    w.flags |= ANY_ORDER | (LOOSE if len(heads) > too_long(w) else 0)
     return below
 
 
@@ -389,8 +398,9 @@ def absorb(wrapper: Node, page: Node) -> None:
             w.text = p.text if flags & FRESH or w.text == p.text else 0
             w.pages = tuple(sorted({*w.pages, *p.pages}))[:SAME_PAGES]
             continue
+        w.widest = max(w.widest, p.widest or len(p.kids))
         w.kids, below = level(w.kids, p.kids, flags)
-        if len(w.kids) > WIDE:
+        if len(w.kids) > too_long(w):
             below += generalised(w)
         todo += reversed(below)
 
@@ -456,15 +466,15 @@ def dumped(wrapper: Node) -> str:
     rows, todo = [], [(0, wrapper)]
     while todo:
         depth, x = todo.pop()
-        rows.append((depth, x.key, x.flags, x.text, *x.pages))
+        rows.append((depth, x.key, x.flags, x.widest, x.text, *x.pages))
         todo += ((depth + 1, k) for k in reversed(x.kids))
     return json.dumps(rows, separators=(",", ":"))
 
 
 def loaded(text: str) -> Node:
     line: list[Node] = []
-    for depth, key, flags, digest, *pages in json.loads(text):
-        node = Node(key, flags, [], digest, tuple(pages))
+    for depth, key, flags, widest, digest, *pages in json.loads(text):
+        node = Node(key, flags, [], digest, tuple(pages), widest)
         if depth:
             line[depth - 1].kids.append(node)
         del line[depth:]

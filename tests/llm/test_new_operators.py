@@ -267,3 +267,39 @@ def test_runs_edges(spark, odd):
     r = periodic_runs(ties).select("runs", strongest("runs").alias("best")).first()
     assert [tuple(x) for x in r["runs"]] == [(0, 30, 1), (30, 30, 1), (60, 120, 2)] and r["best"]["length"] == 120
     assert periodic_runs(ties).select(F.size("runs")).first()[0] == 3
+
+
+# --- 7 wrappers at any length ---
+
+
+@pytest.mark.parametrize("blocks", [20, 255, 257, 600, 2000])
+def test_wrappers_judge_long_pages_as_short_ones(blocks):
+    """Every second block is fixed template text; then pairs of a notice and a story as equal neighbours."""
+    from bandloom.llm import html_wrappers as hw
+
+    page = lambda i: "<body>" + "".join(f"<div class='k{'abcdefgh'[b % 8]}x{'stuvw'[b % 5]}'>{f'fixed {b}' if b % 2 else f'own {b} {i}'}</div>" for b in range(blocks)) + "</body>"
+    pairs = lambda i: "<body>" + "".join(f"<p>Site notice</p><p>Story {b} {i}</p>" for b in range(blocks // 2)) + "</body>"
+    for make, want in ((page, [f"own {b} 4" for b in range(0, blocks, 2)]), (pairs, [f"Story {b} 4" for b in range(blocks // 2)])):
+        wrapper = hw.Node("", hw.FRESH)
+        for i in range(6):
+            hw.absorb(wrapper, hw.Page(make(i)).root)
+        assert hw.article(hw.Page(make(4)), wrapper) == " ".join(want)
+        assert hw.dumped(hw.loaded(hw.dumped(wrapper))) == hw.dumped(wrapper)
+
+
+def test_all_classes_name_an_element():
+    from bandloom.llm import html_wrappers as hw
+
+    keys = {hw._key("div", f" class='{c}'", False)[0] for c in ("aa bb cc x", "aa bb cc y", "x cc bb aa", " ".join(f"long{chr(97 + k)}" for k in range(20)))}
+    assert len(keys) == 3 and all(len(k) < 80 for k in keys)
+
+
+def test_layouts_that_differ_stay_bounded():
+    """A host whose pages share nothing: the wrapper stays within a few times the widest page."""
+    from bandloom.llm import html_wrappers as hw
+
+    wrapper, r = hw.Node("", hw.FRESH), random.Random(3)
+    for i in range(120):
+        hw.absorb(wrapper, hw.Page("<body>" + "".join(f"<div class='{''.join(r.choices('abcdefgh', k=5))}'>{i}</div>" for _ in range(30)) + "</body>").root)
+    body = wrapper.kids[0]
+    assert body.widest == 30 and hw.size(wrapper) < 3 * hw.too_long(body)
