@@ -22,7 +22,8 @@ SCORES = {
 
 @dataclass(frozen=True)
 class Fidelity:
-    """What a pass over the data may read. ratio: of all slots of the visible patches; or budget: slots of an image.
+    """What a pass over the data may read. ratio: of all slots of the visible patches; or budget: slots of an image. quota, or q_ratio
+    of the visible patches: how many a binary policy raises from k_low to k_high bands, whatever the budget.
 
     policy: greedy (slots by SCORES[score]), gradient (whole patches by signal * sensitivity), static (by sensitivity) or
     random (by a hash of seed, image and patch).
@@ -34,6 +35,7 @@ class Fidelity:
     ratio: float | None = None
     budget: int | None = None
     quota: int | None = None
+    q_ratio: float | None = None
     policy: str = "greedy"
     score: str = "energy"
     strict: bool = False
@@ -58,6 +60,8 @@ class Fidelity:
         """Patches that a binary policy raises to the high fidelity."""
         if self.quota is not None:
             return F.least(patches, F.lit(self.quota))
+        if self.q_ratio is not None:
+            return F.bround(F.lit(self.q_ratio) * patches).cast("int")
         extra = F.greatest(self.slots(patches) - patches * self.k_low, F.lit(0))
         return F.greatest(F.lit(0), F.least(patches, F.bround(extra / max(self.top - self.k_low, 1)))).cast("int")
 
@@ -65,11 +69,13 @@ class Fidelity:
 def allocate(signal: DataFrame, fidelity: Fidelity, band_weights: DataFrame | None = None, patch_weights: DataFrame | None = None) -> DataFrame:
     """Rows (image_id, patch, k) from rows (image_id, patch, signal) of the visible patches.
 
-    band_weights (band_id, weight) and patch_weights (patch, weight) default to ones; both are dimension tables. Ties go to
+    band_weights (band_id, weight) and patch_weights (patch, weight, and bucket_id if signal has it and buckets have weights of
+    their own) default to ones; both are dimension tables. Ties go to
     the smaller patch, then the smaller band. A patch's k counts its slots, so it reads the prefix of k bands.
     """
-    rows = signal.select("image_id", "patch", "signal")
-    rows = rows.join(F.broadcast(patch_weights.withColumnRenamed("weight", "pw")), "patch") if patch_weights is not None else rows.withColumn("pw", F.lit(1.0))
+    keys = ["patch"] if patch_weights is None else [c for c in ("bucket_id", "patch") if c in patch_weights.columns]
+    rows = signal.select("image_id", "signal", *keys)
+    rows = rows.join(F.broadcast(patch_weights.withColumnRenamed("weight", "pw")), keys) if patch_weights is not None else rows.withColumn("pw", F.lit(1.0))
     image = Window.partitionBy("image_id")
     rows = rows.withColumn("patches", F.count("*").over(image).cast("int"))
     if fidelity.policy == "greedy":

@@ -6,6 +6,7 @@ reader of few bands opens few files; tiles are sorted, so row groups without a w
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from bandloom.functions.transforms import band_slice, quantise, resize_any, to_y
 from bandloom.operators.blocks import restored, split_blocks, transformed
 from bandloom.operators.crops import adaptive_chunk, block_rect, coarse_buckets, exact_buckets, overlapping_tiles, positions
 from bandloom.operators.quantize import calibrate
+from bandloom.operators.sampling import equalised, shard_batches
 from bandloom.sources import files, packed
 
 BAND_STORE, RESIDUAL_STORE, SHARD_STORE, CHUNK_STORE, PACKED_STORE = "bandloom_bands_v1", "bandloom_residuals_v1", "bandloom_shards_v1", "bandloom_chunks_v1", "bandloom_packed_v1"
@@ -346,6 +348,41 @@ def write_packed_store(images: DataFrame, path: str, spec: ChunkSpec, records_pe
     packed.write_packed(packed_rows(images, spec, records_per_shard, first_image, first_shard), path, spec.bands.count, contiguous, batch)
 
 
+def ensured_packed_store(images: DataFrame, path: str, spec: ChunkSpec, records_per_shard: int = 1024) -> str:
+    """The folder of a packed store of these images (numbered from 0) in this format below `path`: built if there is none,
+    continued by the shards that it lacks if some are there, and left alone if all are. Each format has a folder of its own, so
+    another format never spoils a store."""
+    told = f"{spec.quality}-{spec.tile_blocks}-{spec.block}-{spec.codec}-{spec.level}-{spec.bands.edges}-{records_per_shard}"
+    folder = f"{path}/{hashlib.sha256(told.encode()).hexdigest()[:16]}"
+    there = packed.committed(folder)
+    following = max((s["last_image"] for s in there), default=-1) + 1
+    last = images.agg(F.max("image_id")).first()[0]
+    if last is not None and following <= last:
+        if following % records_per_shard:
+            raise ValueError(f"the last shard of {folder} is not full, so no image can follow on {following - 1}")
+        write_packed_store(images.where(F.col("image_id") >= following), folder, spec, records_per_shard)
+    return folder
+
+
+def loader(spark: SparkSession, path: str, requests: DataFrame, batch: int, world: int, seed: int, epoch: int, records_per_shard: int, wanted: list[int] | None = None) -> DataFrame:
+    """Rows (rank, place, image_ids, labels, images): the batches of an epoch, stacked, as replicas take them.
+
+    requests: a crop (image_id, top, left, crop_h, crop_w) for each image, all of one size. Batches are runs of images of one shard,
+    so a batch reads few ranges; whole batches are shuffled by seed and epoch and dealt so that all ranks take equally many. A
+    stack holds `batch` images; its images are arrays of pixels in the order of image_ids.
+    """
+    heads, _, _ = open_packed_store(spark, path)
+    total = heads.count()
+    batches = shard_batches(requests, records_per_shard, batch, drop_last=True, total=total)
+    dealt = equalised(batches, world, seed, epoch)
+    chosen = batches.join(dealt, ["shard_id", "batch_no"])
+    reads, spec = packed_reads(spark, path, chosen.select("image_id", "top", "left", "crop_h", "crop_w"), wanted)
+    served = served_crops(reads, spec).join(chosen.select("image_id", "rank", "place"), "image_id").join(heads.select("image_id", "label"), "image_id")
+    stack = served.groupBy("rank", "place").agg(F.sort_array(F.collect_list(F.struct("image_id", "label", "pixels"))).alias("s"))
+    part = lambda name: F.transform("s", lambda x: x[name])
+    return stack.select("rank", "place", part("image_id").alias("image_ids"), part("label").alias("labels"), part("pixels").alias("images"))
+
+
 def open_packed_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, ChunkSpec]:
     """(images, chunks without payloads, format) of what the store's manifest lists."""
     o = open_metadata(spark, path, PACKED_STORE)

@@ -138,3 +138,23 @@ ORACLE_SQL["bucket_guard"] = """WITH g AS (SELECT doc_id, (64 + n_chars % 193 +
 b AS (SELECT nph, npw, row_number() OVER (ORDER BY nph, npw) - 1 AS bucket_id FROM (SELECT DISTINCT nph, npw FROM g)),
 p AS (SELECT bucket_id, row_number() OVER (PARTITION BY bucket_id ORDER BY doc_id) - 1 AS pos FROM g JOIN b USING (nph, npw))
 SELECT (bucket_id * 100000 + pos // 4)::INTEGER AS batch_no, bucket_id::INTEGER AS bucket_id, count(*)::BIGINT AS images FROM p GROUP BY ALL"""
+
+# --- indexes, stores on demand, loaders and modes ---
+
+_GRIDS = "gr AS (SELECT image_id, (40 - image_id % 10 % 4 * 7 + 7) // 8 AS nph, (32 - image_id % 3 * 9 + 7) // 8 AS npw FROM im)"
+ORACLE_SQL["packed_global_index"] = f"WITH {_IMAGES} SELECT image_id, (image_id // 2)::INTEGER AS shard_id, (row_number() OVER (PARTITION BY image_id // 2 ORDER BY image_id) - 1)::INTEGER AS row FROM im"
+ORACLE_SQL["ensured_store"] = f"""WITH {_IMAGES}, {_GRIDS}
+SELECT step::INTEGER AS step, (image_id // 2)::INTEGER AS shard_id, count(*)::BIGINT AS images, sum(((nph + t - 1) // t) * ((npw + t - 1) // t) * 4)::BIGINT AS chunks, sum(nph * npw * 3 * 64 * 2)::BIGINT AS bytes
+FROM gr, (VALUES (0, 2), (1, 2), (2, 2), (3, 4)) s(step, t) WHERE step > 0 OR image_id < (SELECT max(image_id) FROM im) // 4 * 2 GROUP BY ALL"""
+ORACLE_SQL["loader_batches"] = f"""{_PIXELS},
+want AS (SELECT *, image_id * 7 % 8 AS t, image_id * 5 % 6 AS l, least(11, h - image_id * 7 % 8) AS ch, least(8, w - image_id * 5 % 6) AS cw FROM sz),
+o AS (SELECT shard_id, row_number() OVER (ORDER BY md5(concat_ws(':', 4, 1, shard_id, 0)), shard_id) - 1 AS spot, count(*) OVER () AS n FROM (SELECT image_id // 2 AS shard_id FROM sz GROUP BY ALL HAVING count(*) = 2)),
+eq AS (SELECT shard_id, spot % 2 AS rank, spot // 2 AS place FROM o WHERE spot < n // 2 * 2)
+SELECT rank::INTEGER AS rank, place::INTEGER AS place, string_agg(DISTINCT image_id::VARCHAR, ',' ORDER BY image_id::VARCHAR) AS ids, sum(DISTINCT label * 1000 + image_id % 2)::INTEGER // 1000 AS labels, count(*)::INTEGER AS n, round(avg(v), 5) + 0.0 AS mean
+FROM px JOIN want USING (image_id) JOIN eq ON shard_id = image_id // 2 WHERE y >= t AND y < t + ch AND x >= l AND x < l + cw GROUP BY ALL"""
+ORACLE_SQL["bucketed_modes"] = _with(_DCT, "s AS (SELECT image_id, patch, image_id % 3 AS b, avg(abs(v)) AS signal FROM z WHERE patch % 4 < 2 + image_id % 3 GROUP BY ALL)",
+    "w AS (SELECT *, (1 + (b * 20 + patch) * 7 % 11) / 11.0::DOUBLE AS pw, count(*) OVER (PARTITION BY image_id) AS n FROM s)",
+    "c AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(pw * signal, 12) DESC, patch, band) AS spot, greatest(n, least(n * 16, round_even(0.35::DOUBLE * n * 16, 0))) - n AS extra FROM w, range(1, 16) t(band))",
+    "g AS (SELECT image_id, patch, 1 + count(*) FILTER (spot <= extra) AS k FROM c GROUP BY ALL)",
+    "f AS (SELECT image_id, patch, CASE WHEN row_number() OVER (PARTITION BY image_id ORDER BY round(pw * signal, 12) DESC, patch) <= round_even(0.4::DOUBLE * n, 0) THEN 12 ELSE 3 END AS k FROM w)") + """
+SELECT 'full' AS mode, image_id, patch::INTEGER AS patch, 16::INTEGER AS k FROM s UNION ALL SELECT 'budget', image_id, patch::INTEGER, k::INTEGER FROM g UNION ALL SELECT 'fidelity', image_id, patch::INTEGER, k::INTEGER FROM f"""

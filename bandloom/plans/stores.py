@@ -7,6 +7,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandloom.operators import allocate as al
+from bandloom.operators import blocks as bl
 from bandloom.operators import replicas, sampling, schedule, store
 from bandloom.operators import sensitivity as se
 from bandloom.plans.catalog import centroids, images, query, scratch
@@ -256,3 +258,53 @@ def random_patches(spark, sf_dir):
     level = (F.col("image_id") % 3).cast("int")
     kept = sampling.random_patches(z, BANDS, PATCHES, 1 + level * 4, 4 + level * 5, seed=11)
     return kept.select("image_id", "patch", "chosen", r(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)).alias("energy"))
+
+
+# --- indexes, stores on demand, loaders and modes ---
+
+
+@query
+def packed_global_index(spark, sf_dir):
+    """Where each image of a packed store is."""
+    return packed.global_index(spark, _packed(spark, sf_dir)[0])
+
+
+@query
+def ensured_store(spark, sf_dir):
+    """The shards of stores on demand: of half of the images, then of all in the same format, again, and in another format."""
+    path = scratch(spark)
+    mixed_images(spark, sf_dir).write.parquet(f"{path}/source")
+    im = spark.read.parquet(f"{path}/source")
+    half = im.agg(F.max("image_id")).first()[0] // 4 * 2
+    out = None
+    for step, (rows, spec) in enumerate(((im.where(F.col("image_id") < half), PACKED), (im, PACKED), (im, PACKED), (im, store.ChunkSpec(tile_blocks=4, codec="none")))):
+        m = packed.manifest(spark, store.ensured_packed_store(rows, f"{path}/stores", spec, 2))
+        one = m.select(F.lit(step).alias("step"), "shard_id", "images", "chunks", "bytes")
+        counted = spark.createDataFrame(one.collect(), "step int, shard_id int, images long, chunks long, bytes long")  # a row for each shard, as of now
+        out = counted if out is None else out.unionAll(counted)
+    return out
+
+
+@query
+def loader_batches(spark, sf_dir):
+    """Stacked batches of crops for two replicas in an epoch: their images, labels and mean pixels."""
+    path, im = _packed(spark, sf_dir)
+    wanted = im.select("image_id", (F.col("image_id") * 7 % 8).cast("int").alias("top"), (F.col("image_id") * 5 % 6).cast("int").alias("left"), F.lit(11).alias("crop_h"), F.lit(8).alias("crop_w"))
+    stacks = store.loader(spark, path, wanted, batch=2, world=2, seed=4, epoch=1, records_per_shard=2, wanted=[0, 1, 2])
+    flat = F.flatten("images")
+    mean = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v) / F.size(flat)
+    return stacks.select("rank", "place", F.array_join("image_ids", ",").alias("ids"), F.aggregate("labels", F.lit(0), lambda a, v: a + v).alias("labels"), F.size(flat).alias("n"), r(mean, 5).alias("mean"))
+
+
+@query
+def bucketed_modes(spark, sf_dir):
+    """Bands of the patches in view of images in three buckets, whose patches have weights of their own: everything, under a
+    budget, and as two fidelities."""
+    s = bl.patch_signal(coefficients(spark, sf_dir).select("image_id", "patch", "z")).withColumn("bucket_id", (F.col("image_id") % 3).cast("int")).where("patch % 4 < 2 + bucket_id")
+    weights = spark.range(3 * PATCHES).select(F.floor(F.col("id") / PATCHES).cast("int").alias("bucket_id"), (F.col("id") % PATCHES).cast("int").alias("patch"), ((1 + F.col("id") * 7 % 11) / 11.0).alias("weight"))
+    modes = {"full": al.Fidelity(BANDS.count, ratio=1.0), "budget": al.Fidelity(BANDS.count, ratio=0.35, score="sensitivity"), "fidelity": al.Fidelity(BANDS.count, k_low=3, k_high=12, q_ratio=0.4, policy="gradient")}
+    out = None
+    for name, mode in modes.items():
+        one = al.allocate(s, mode, patch_weights=weights).withColumn("mode", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -19,7 +19,7 @@ from itertools import accumulate
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -283,6 +283,13 @@ def packed_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return listed(spark.read.schema(head).parquet(f"{path}/images")), listed(spark.read.schema(INDEX).parquet(f"{path}/chunks"))
 
 
+def global_index(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (image_id, shard_id, row): the shard of each image, and its place in the shard's list of images."""
+    images, _ = packed_index(spark, path)
+    place = F.row_number().over(Window.partitionBy("write_id").orderBy("image_id")) - 1  # the images of one shard
+    return images.select("image_id", "shard_id", place.cast("int").alias("row"))
+
+
 def fetch(rows: DataFrame, path: str, *more: str) -> DataFrame:
     """Rows of packed_index(), with any further columns, and their payload, span and span_length. Rows are dealt by ranges of their
     place, and of `more` columns where many rows want one chunk, so tasks read ascending ranges of few files."""
