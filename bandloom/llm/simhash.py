@@ -26,6 +26,8 @@ BAND_ROWS, RECALL = 5, 0.9995
 FRONTIER, LEAF_PAIRS = 1 << 19, 64
 #: Shingles of one side of a block of texts that a task compares.
 BLOCK_SHINGLES = 1 << 20
+#: Pairs of a family of candidates beyond which it is cut by further bands.
+FAMILY_WORK = 1 << 22
 
 
 def fingerprint(text: bytes, shingle: int, seed: int) -> int:
@@ -296,10 +298,10 @@ def band_count(similarity: float) -> int:
     return 1 if meet >= 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
 
 
-def band_keys(grams: np.ndarray, bands: int) -> list[int]:
-    """A key for each band of minima of a set of hashed shingles, as signed numbers. A minimum is the same for two sets with a
-    probability of their Jaccard similarity."""
-    turns = np.random.default_rng(BAND_ROWS).integers(0, 1 << 31, (bands * BAND_ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+def band_keys(grams: np.ndarray, bands: int, level: int = 0) -> list[int]:
+    """A key for each band of minima of a set of hashed shingles, as signed numbers; each level has minima of its own. A minimum is
+    the same for two sets with a probability of their Jaccard similarity."""
+    turns = np.random.default_rng([BAND_ROWS, level] if level else BAND_ROWS).integers(0, 1 << 31, (bands * BAND_ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     x = (grams >> np.uint64(32)).astype(np.uint32)
     least = np.min([(turns * x[at : at + 4096]).min(axis=1) for at in range(0, len(x), 4096)], axis=0)
     keys = [xxhash.xxh3_64_intdigest(row.tobytes()) for row in least.reshape(bands, BAND_ROWS)]
@@ -355,21 +357,58 @@ def block_links(ids: list[int], labels: list[int], grams: list[np.ndarray], aske
                 label[label == label[j]] = label[i]
 
 
-def family_links(stars: DataFrame, roots: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) that connect whatever pairs of at least this similarity connect within the families of candidates.
+def open_families(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (family, text_id, label, outside, work, members) of families of candidates, (family, text_id), that hold more than one
+    component; label: the component, outside: not of the family's largest one, work: pairs that a comparison of those outside
+    with all makes."""
+    known = members.join(roots.select(F.col("node").alias("text_id"), F.col("root").alias("label")), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    parts = known.groupBy("family", "label").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("members"))
+    sizes = sizes.where("most < members").withColumn("work", (F.col("members") - F.col("most")) * F.col("members"))
+    return known.join(sizes, "family").select("family", "text_id", "label", (F.col("label") != F.col("largest")).alias("outside"), "work", "members")
 
-    stars: candidates (u, v); a family is what they connect. roots: (node, root), the components that are known. A pair in one
-    component adds nothing, so the texts outside a family's largest component are compared with all of the family. Both sides
-    are cut into blocks of about BLOCK_SHINGLES, and a task takes a pair of blocks; its work grows with the texts outside times
-    the family, and no pair of them is left out.
+
+def split_families(large: DataFrame, grams: DataFrame, bands: int, level: int) -> DataFrame:
+    """Rows (family, text_id, members): families (family, text_id, members) cut by further bands of minima, of which a pair of the
+    similarity shares one as surely as of the first; members is still the size of the family that was cut."""
+    rows = large.select("family", "text_id", "members").join(grams, "text_id")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [band_keys(np.frombuffer(g, np.uint64), bands, level) for g in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64()))], ["family", "text_id", "members", "keys"])
+
+    each = rows.select("text_id", "family", "members", "grams").mapInArrow(cut_up, "family long, text_id long, members long, keys array<long>")
+    each = each.select("text_id", "members", "family", F.posexplode("keys").alias("band", "key"))
+    return each.select(F.xxhash64("family", "band", "key", F.lit(level)).alias("family"), "text_id", "members")
+
+
+def candidate_families(keys: DataFrame, roots: DataFrame, grams: DataFrame, bands: int) -> DataFrame:
+    """open_families() of the texts that share a band (text_id, band, key), those with much work cut by further bands until they are
+    small, or until cutting leaves more than half of them together: then they are near each other for the most part."""
+    members = keys.select(F.xxhash64("band", "key").alias("family"), "text_id")
+    done, level = None, 0
+    while True:
+        now = cut(open_families(members.select("family", "text_id"), roots), "families")
+        large = F.col("work") > FAMILY_WORK
+        if level:  # those that a cut has not made smaller stay as they are
+            large = large & (F.col("members") <= F.col("before") / 2)
+            now = cut(now.join(members.groupBy("family").agg(F.max("members").alias("before")), "family"), "families")
+        small = now.where(~large).drop("before")
+        done = small if done is None else done.unionByName(small)
+        if now.where(large).isEmpty():
+            return done
+        level += 1
+        members = cut(split_families(now.where(large), grams, bands, level), "members")
+
+
+def family_links(families: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that connect whatever pairs of at least this similarity connect within the families of candidate_families().
+
+    A pair in one component adds nothing, so the texts outside a family's largest component are compared with all of the family.
+    Both sides are cut into blocks of about BLOCK_SHINGLES, and a task takes a pair of blocks; no pair of them is left out.
     """
-    found = connected_components(stars)
-    family = found.select(F.col("node").alias("text_id"), F.col("root").alias("family")).unionAll(found.select("root", "root").distinct())
-    known = family.join(roots.select(F.col("node").alias("text_id"), F.col("root").alias("label")), "text_id", "left")
-    known = cut(known.withColumn("label", F.coalesce("label", "text_id")), "families")
-    largest = known.groupBy("family", "label").count().groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("parts"))
-    rows = known.join(largest.where("parts > 1"), "family").join(grams, "text_id")
-    rows = cut(rows.select("family", "text_id", "label", (F.col("label") != F.col("largest")).alias("outside"), "grams"), "open")
+    rows = cut(families.select("family", "text_id", "label", "outside").join(grams, "text_id"), "open")
     blocks = lambda size: F.ceil(F.coalesce(F.sum(size), F.lit(0)) / (8 * BLOCK_SHINGLES)).cast("int")
     sizes = rows.groupBy("family").agg(blocks(F.length("grams")).alias("n_all"), blocks(F.when(F.col("outside"), F.length("grams"))).alias("n_out"))
     rows = rows.join(sizes, "family").withColumn("a", F.pmod(F.xxhash64("text_id"), "n_out").cast("int")).withColumn("b", F.pmod(F.xxhash64("text_id"), "n_all").cast("int"))
@@ -395,7 +434,7 @@ def family_links(stars: DataFrame, roots: DataFrame, grams: DataFrame, similarit
         if block:
             yield told()
 
-    n = shuffle_width(stars.sparkSession)
+    n = shuffle_width(families.sparkSession)
     return dealt.repartition(n, "family", "a", "b").sortWithinPartitions("family", "a", "b", "side", "text_id").mapInArrow(join, "u long, v long")
 
 
@@ -410,7 +449,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingl
     Texts are linked if the fingerprints of their 3-word shingles differ in at most `budget` bits, or if their sets of
     `shingle`-word shingles share a band of minima and then turn out to be at least `similarity` alike. The bands are so many
     that a pair of that similarity shares one with probability RECALL, whatever the edits were. Texts of a band are first
-    checked against one of them; what that leaves apart is checked by family_links(). Equal texts are one node throughout;
+    checked against one of them; what that leaves apart is checked by family_links(), within a band only, so texts that share
+    no more than a template are not compared with each other: a large band of them is cut by further bands. Equal texts are one node throughout;
     different texts whose 64-bit hashes agree are found by a second hash and named by it.
 
     Nulls, empty and repeated texts: as simhash_groups(). id_col may be a struct.
@@ -448,12 +488,13 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingl
     sure = cut(sure.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "sure")
     keys = nodes.select("text_id", F.posexplode("keys").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.min("text_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    stars = cut(keys.join(shared, ["band", "key"]).where("text_id <> head").select(F.col("text_id").alias("u"), F.col("head").alias("v")).distinct(), "candidates")
+    meeting = cut(keys.join(shared.select("band", "key", "head"), ["band", "key"]), "meeting")
+    stars = cut(meeting.where("text_id <> head").select(F.col("text_id").alias("u"), F.col("head").alias("v")).distinct(), "candidates")
     texts = keyed.select("text_id", F.coalesce("text", F.lit(b"")).alias("text"))
     asked = stars.join(sure, ["u", "v"], "left_anti")
     grams = shingles_of(texts, stars.select(F.explode(F.array("u", "v")).alias("text_id")).distinct(), shingle)
     roots = connected_components(sure.unionAll(similar_pairs(grams, asked, similarity)))
-    roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(family_links(stars, roots, grams, similarity)).distinct())
+    roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(family_links(candidate_families(meeting, roots, grams, bands), grams, similarity)).distinct())
     nodes = nodes.select("text_id", "least").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(named, "root").select("text_id", "component_id")

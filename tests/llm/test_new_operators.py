@@ -303,3 +303,34 @@ def test_layouts_that_differ_stay_bounded():
         hw.absorb(wrapper, hw.Page("<body>" + "".join(f"<div class='{''.join(r.choices('abcdefgh', k=5))}'>{i}</div>" for _ in range(30)) + "</body>").root)
     body = wrapper.kids[0]
     assert body.widest == 30 and hw.size(wrapper) < 3 * hw.too_long(body)
+
+
+# --- near copies over a common template ---
+
+
+@pytest.mark.parametrize("texts", [600, 1200])
+def test_texts_over_one_template_are_not_compared_pairwise(spark, monkeypatch, texts):
+    """Texts of 140 common and 100 own words, and one near copy of every twentieth: the pairs grow with the texts, not their square."""
+    from bandloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "FAMILY_WORK", 400)
+    work = []
+    whole = simhash.candidate_families
+
+    def counted(*args):
+        found = whole(*args)
+        work.append(found.where("outside").groupBy("family").agg(F.count("*").alias("n"), F.max("members").alias("m")).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0)
+        return found
+
+    monkeypatch.setattr(simhash, "candidate_families", counted)
+    r = random.Random(9)
+    common = [f"t{i}" for i in range(140)]
+    rows = []
+    for i in range(texts):
+        own = [f"w{r.randrange(50_000)}" for _ in range(100)]
+        rows.append((10 * i, " ".join([*common, *own])))
+        if i % 20 == 0:
+            rows.append((10 * i + 1, " ".join([*common, *own[:-8], *[f"x{r.randrange(50_000)}" for _ in range(8)]])))
+    out = dict(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect())
+    assert all(out[i] == i - i % 10 for i, _ in rows)
+    assert work[0] < 60 * texts
