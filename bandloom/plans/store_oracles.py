@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bandloom.plans.oracles import _CTE, _DCT, _GRAD, _IMAGES, _table, _with
 from bandloom.plans.oracles import ORACLE_SQL as SQL
+from bandloom.plans.stores import DIM, FLOOR
 
 #: Pixels of the mixed images, padded to whole blocks by their last row and column, then their quantised coefficients:
 #: q (image_id, patch, brow, bcol, c, pos, v) and sz (image_id, h, w, nph, npw).
@@ -57,7 +58,7 @@ ORACLE_SQL["tar_by_key"] = f"""WITH {_SAMPLES}
 SELECT kind, shard::INTEGER AS shard, position::INTEGER AS position, key, sha256(t) AS sha, label FROM docs, (VALUES ('key'), ('tail')) k(kind)
 WHERE (kind = 'key' AND label = 3) OR (kind = 'tail' AND position >= 50)"""
 ORACLE_SQL["tar_stream"] = f"WITH {_SAMPLES} SELECT key, sha256(t) AS sha, label, count(*)::BIGINT AS times FROM docs GROUP BY ALL"
-ORACLE_SQL["streamed_pixels"] = _PIXELS.replace("(embedding[i + 1]::DOUBLE + 1) / 2 * 255 AS v", "floor((embedding[i + 1]::DOUBLE + 1) / 2 * 255) AS v").replace(" WHERE pos < 21", "") + """
+ORACLE_SQL["streamed_pixels"] = _PIXELS.replace("(embedding[i + 1]::DOUBLE + 1) / 2 * 255 AS v", f"(floor((embedding[i + 1]::DOUBLE + 1) / 2 * 255) / 255 * {DIM}::DOUBLE + {FLOOR}::DOUBLE) * 255 AS v").replace(" WHERE pos < 21", "") + """
 SELECT image_id, label, image_id || '-' || h || '-' || w AS source_key, (n * h * w + y * w + x)::INTEGER AS i, round(v, 4) + 0.0 AS value FROM px JOIN sz USING (image_id) WHERE y < h AND x < w"""
 
 ORACLE_SQL["tar_shuffled"] = ORACLE_SQL["tar_stream"]
@@ -96,7 +97,7 @@ hs AS (SELECT image_id, patch, c, k AS u, x, sum(value * p) AS s FROM cells JOIN
 d AS (SELECT image_id, bucket_id, patch, hs.c, least(pos // 4, 15) AS band_id, v FROM (SELECT image_id, patch, c, u, k AS w, sum(value * s) AS v FROM hs JOIN basis ON basis.i = x GROUP BY ALL) hs JOIN zz ON u = zz.r AND w = zz.c JOIN pl USING (image_id)),
 sc AS (SELECT bucket_id, c, band_id, greatest(max(abs(v)) / 127, 1e-12) AS scale FROM d GROUP BY ALL),
 e AS (SELECT image_id, d.c, count(DISTINCT patch) AS blocks, sum(pow(greatest(-128, least(127, round_even(v::FLOAT::DOUBLE / scale, 0))) * scale, 2)) AS energy FROM d JOIN sc ON d.bucket_id = sc.bucket_id AND d.c = sc.c AND d.band_id = sc.band_id GROUP BY ALL)
-SELECT image_id, c::INTEGER AS channel, blocks::BIGINT AS blocks, round(energy, 3) AS energy, bucket_id::INTEGER AS bucket_id, chunk_id, chunk_pos FROM e JOIN pl USING (image_id)"""
+SELECT image_id, c::INTEGER AS channel, blocks::BIGINT AS blocks, round(energy, 2) AS energy, bucket_id::INTEGER AS bucket_id, chunk_id, chunk_pos FROM e JOIN pl USING (image_id)"""
 ORACLE_SQL["random_patches"] = _with(_DCT, "d AS (SELECT p AS patch, row_number() OVER (ORDER BY md5(concat_ws(':', 11, p))) - 1 AS drawn FROM range(20) t(p))",
     "f AS (SELECT z.*, drawn < 4 + image_id % 3 * 5 AS chosen, 4 * (1 + image_id % 3 * 4) AS width FROM z JOIN d USING (patch))") + "SELECT image_id, patch::INTEGER AS patch, chosen, round(sum(CASE WHEN chosen OR pos < width THEN v * v ELSE 0 END), 6) + 0.0 AS energy FROM f GROUP BY ALL"
 

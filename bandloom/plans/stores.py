@@ -18,6 +18,8 @@ from bandloom.streaming.ingest import ingest_packed
 
 #: Nothing is compressed here, so that lengths follow from the images alone.
 PACKED = store.ChunkSpec(tile_blocks=2, codec="none")
+#: Contrast and brightness of images that come as bytes: whole bytes would give coefficients that lie between two steps.
+DIM, FLOOR = 0.9712345, 0.0123456
 
 
 def mixed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +147,7 @@ def streamed_pixels(spark, sf_dir):
     archives.write_archives(im.select(F.col("image_id").alias("id"), name.alias("key"), F.unhex(F.array_join(byte, "")).alias("content"), "label"), f"{path}/tar", 2)
     part = F.split("key", "-")
     shape = {n: F.get(part, F.lit(k)).cast(t) for k, (n, t) in enumerate((("image_id", "long"), ("height", "int"), ("width", "int")))}
-    images_ = archives.stream_archives(spark, f"{path}/tar").withColumns(shape | {"pixels": archives.byte_values(F.col("content")), "source_key": F.col("key"), "source_url": F.col("shard")})
+    images_ = archives.stream_archives(spark, f"{path}/tar").withColumns(shape | {"pixels": F.transform(archives.byte_values(F.col("content")), lambda v: v * DIM + FLOOR), "source_key": F.col("key"), "source_url": F.col("shard")})
     for _ in range(2):
         ingest_packed(images_.drop("content", "key", "shard", "position"), f"{path}/store", f"{path}/progress", PACKED, records_per_shard=2).awaitTermination()
     heads, _, _ = store.open_packed_store(spark, f"{path}/store")
@@ -247,7 +249,7 @@ def quantised_store(spark, sf_dir):
     places = spark.read.parquet(f"{path}/store/images")
     every = places.select("image_id", F.explode(F.sequence(F.lit(0), F.col("nph") * F.col("npw") - 1)).alias("patch")).withColumn("k", F.lit(BANDS.count))
     served, _ = store.read_bucket_store(spark, f"{path}/store", every)
-    energy = served.groupBy("image_id", "channel").agg(F.count("*").alias("blocks"), r(F.sum(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)), 3).alias("energy"))
+    energy = served.groupBy("image_id", "channel").agg(F.count("*").alias("blocks"), r(F.sum(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)), 2).alias("energy"))
     return energy.join(places.select("image_id", "bucket_id", "chunk_id", "chunk_pos"), "image_id")
 
 
