@@ -89,7 +89,7 @@ s AS (SELECT place AS step, count(*)::DOUBLE AS rows, sum(label)::DOUBLE AS labe
 SELECT rank::INTEGER AS rank, step, metric, CASE metric WHEN 'rows' THEN rows ELSE labels END AS total FROM s, range(3) r(rank), (VALUES ('rows'), ('labels')) m(metric)"""
 ORACLE_SQL["quantised_store"] = f"""WITH {_CTE['basis']}, {_CTE['zz']}, {_IMAGES},
 sz AS (SELECT *, (h + 7) // 8 AS nph, (w + 7) // 8 AS npw FROM (SELECT image_id, 40 - image_id % 10 % 4 * 7 AS h, 32 - image_id % 3 * 9 AS w FROM im)),
-bu AS (SELECT nph, npw, row_number() OVER (ORDER BY nph, npw) - 1 AS bucket_id, least(3, greatest(1, floor(60000 / (3.0 * nph * 8 * npw * 8 * 4 * 2)))) AS chunk FROM (SELECT DISTINCT nph, npw FROM sz)),
+bu AS (SELECT nph, npw, row_number() OVER (ORDER BY nph, npw) - 1 AS bucket_id, least(3, greatest(1, floor(60000 / (3.0 * nph * 8 * npw * 8 * 4 * 2))))::BIGINT AS chunk FROM (SELECT DISTINCT nph, npw FROM sz)),
 pl AS (SELECT image_id, bucket_id, (at_ // chunk)::INTEGER AS chunk_id, (at_ % chunk)::INTEGER AS chunk_pos FROM (SELECT image_id, nph, npw, row_number() OVER (PARTITION BY nph, npw ORDER BY image_id) - 1 AS at_ FROM sz) JOIN bu USING (nph, npw)),
 p3 AS (SELECT vec_id // 60 AS image_id, vec_id // 20 % 3 AS c, vec_id % 20 // 4 * 8 + i // 8 AS y, vec_id % 20 % 4 * 8 + i % 8 AS x, (embedding[i + 1]::DOUBLE + 1) / 2 AS v FROM embeddings, range(64) t(i)),
 cells AS (SELECT image_id, c, y // 8 * npw + x // 8 AS patch, y % 8 AS y, x % 8 AS x, CASE WHEN y < h AND x < w THEN v ELSE 0 END AS p FROM p3 JOIN sz USING (image_id) WHERE y < nph * 8 AND x < npw * 8),
@@ -97,7 +97,7 @@ hs AS (SELECT image_id, patch, c, k AS u, x, sum(value * p) AS s FROM cells JOIN
 d AS (SELECT image_id, bucket_id, patch, hs.c, least(pos // 4, 15) AS band_id, v FROM (SELECT image_id, patch, c, u, k AS w, sum(value * s) AS v FROM hs JOIN basis ON basis.i = x GROUP BY ALL) hs JOIN zz ON u = zz.r AND w = zz.c JOIN pl USING (image_id)),
 sc AS (SELECT bucket_id, c, band_id, greatest(max(abs(v)) / 127, 1e-12) AS scale FROM d GROUP BY ALL),
 e AS (SELECT image_id, d.c, count(DISTINCT patch) AS blocks, sum(pow(greatest(-128, least(127, round_even(v::FLOAT::DOUBLE / scale, 0))) * scale, 2)) AS energy FROM d JOIN sc ON d.bucket_id = sc.bucket_id AND d.c = sc.c AND d.band_id = sc.band_id GROUP BY ALL)
-SELECT image_id, c::INTEGER AS channel, blocks::BIGINT AS blocks, round(energy, 2) AS energy, bucket_id::INTEGER AS bucket_id, chunk_id, chunk_pos FROM e JOIN pl USING (image_id)"""
+SELECT image_id, c::INTEGER AS channel, blocks::BIGINT AS blocks, round(energy, 3) AS energy, bucket_id::INTEGER AS bucket_id, chunk_id, chunk_pos FROM e JOIN pl USING (image_id)"""
 ORACLE_SQL["random_patches"] = _with(_DCT, "d AS (SELECT p AS patch, row_number() OVER (ORDER BY md5(concat_ws(':', 11, p))) - 1 AS drawn FROM range(20) t(p))",
     "f AS (SELECT z.*, drawn < 4 + image_id % 3 * 5 AS chosen, 4 * (1 + image_id % 3 * 4) AS width FROM z JOIN d USING (patch))") + "SELECT image_id, patch::INTEGER AS patch, chosen, round(sum(CASE WHEN chosen OR pos < width THEN v * v ELSE 0 END), 6) + 0.0 AS energy FROM f GROUP BY ALL"
 
