@@ -26,7 +26,7 @@ _BLANK = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u180e
 #: A piece that is a word of letters, ASCII signs at its end, and the same again in further lines: each is a token run of its own.
 _LINES = re.compile(r"([A-Za-z]*)([,.;:!?]?)(?:\n([A-Za-z]+)([,.;:!?]?))*")
 #: Pieces between gaps of which a worker remembers the ids, in two generations of this many, and the longest of them.
-_MEMO, _MEMO_CHARS = 150_000, 24
+_MEMO, _MEMO_CHARS = 400_000, 24
 #: Characters of texts that are split together, and that one call of the tokenizer takes.
 GROUP_CHARS = 2 << 20
 _CALL = 1 << 16
