@@ -152,3 +152,13 @@ def bucket_guard(spark, sf_dir):
     else:
         raise AssertionError("a batch across buckets has passed")
     return good.groupBy("batch_no", "bucket_id").agg(F.count("*").alias("images"))
+
+
+@query
+def source_mismatches(spark, sf_dir):
+    """Documents as their table lists them, and as their texts and labels are: which of them agree in label and shape."""
+    d, marks = table(spark, sf_dir, "documents").where("doc_id is not null"), table(spark, sf_dir, "labels")
+    a = d.select(F.col("doc_id").alias("image_id"), F.lit(1).alias("label"), F.col("n_chars").cast("int").alias("height"), F.length("source").alias("width"))
+    words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    b = d.join(marks, "doc_id").select(F.col("doc_id").alias("image_id"), F.col("quality").cast("int").alias("label"), F.length(F.coalesce("text", F.lit(""))).alias("height"), F.when(words > 40, F.length("source")).otherwise(F.length("lang")).alias("width"))
+    return metrics.mismatches(a, b)

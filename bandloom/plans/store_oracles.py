@@ -31,13 +31,12 @@ ORACLE_SQL["packed_crops"] = f"""{_PIXELS},
 want AS (SELECT *, image_id * 7 % 8 AS t, image_id * 5 % 6 AS l, least(11, h - image_id * 7 % 8) AS ch, least(8, w - image_id * 5 % 6) AS cw FROM sz)
 SELECT image_id, (n * ch * cw + (y - t) * cw + x - l)::INTEGER AS i, round(v, 4) + 0.0 AS value
 FROM px JOIN want USING (image_id) WHERE y >= t AND y < t + ch AND x >= l AND x < l + cw"""
-# A value is two bytes; bands 0 and 1 of a tile lie together and are one read, and band 3 meets band 0 of the image's next tile.
+# A value is two bytes; three channels, and 1 + 5 + 43 values of a block in bands 0, 1 and 3.
 ORACLE_SQL["packed_crop_bytes"] = f"""WITH {_IMAGES},
 sz AS (SELECT *, (h + 7) // 8 AS nph, (w + 7) // 8 AS npw, image_id * 7 % 8 AS t FROM (SELECT image_id, 40 - image_id % 10 % 4 * 7 AS h, 32 - image_id % 3 * 9 AS w FROM im)),
 cells AS (SELECT image_id, ty * ((npw + 1) // 2) + tx AS tile_id, least(2, nph - 2 * ty) * least(2, npw - 2 * tx) AS n FROM sz, range(3) a(ty), range(2) b(tx)
-  WHERE 2 * ty < least(nph, (t + 16) // 8) AND 2 * ty + 2 > t // 8 AND 2 * tx < least(npw, 2) AND 2 * tx < npw AND 2 * ty < nph),
-lag AS (SELECT *, coalesce(tile_id - lag(tile_id) OVER (PARTITION BY image_id ORDER BY tile_id) = 1, false) AS follows FROM cells)
-SELECT image_id, sum(n * 3 * (6 + 43) * 2)::BIGINT AS bytes_opened, (2 * count(*) - count(*) FILTER (follows))::BIGINT AS reads FROM lag GROUP BY image_id"""
+  WHERE 2 * ty < least(nph, (t + 16) // 8) AND 2 * ty + 2 > t // 8 AND 2 * tx < least(npw, 2) AND 2 * tx < npw AND 2 * ty < nph)
+SELECT (image_id // 2)::INTEGER AS shard_id, sum(n * 3 * (6 + 43) * 2)::BIGINT AS bytes_opened FROM cells GROUP BY ALL"""
 ORACLE_SQL["packed_ranges"] = f"""{_MIXED}
 SELECT image_id, band_id::INTEGER AS band_id, count(DISTINCT (patch, c))::BIGINT AS cells, round(sum(abs(v)), 3) AS total, (2 * count(*))::BIGINT AS bytes_opened
 FROM q JOIN sz USING (image_id) WHERE image_id >= 3 AND band_id IN (0, 2) AND brow // 2 * ((npw + 1) // 2) + bcol // 2 <= 2 GROUP BY ALL"""
@@ -159,3 +158,8 @@ ORACLE_SQL["bucketed_modes"] = _with(_DCT, "s AS (SELECT image_id, patch, image_
     "g AS (SELECT image_id, patch, 1 + count(*) FILTER (spot <= extra) AS k FROM c GROUP BY ALL)",
     "f AS (SELECT image_id, patch, CASE WHEN row_number() OVER (PARTITION BY image_id ORDER BY round(pw * signal, 12) DESC, patch) <= round_even(0.4::DOUBLE * n, 0) THEN 12 ELSE 3 END AS k FROM w)") + """
 SELECT 'full' AS mode, image_id, patch::INTEGER AS patch, 16::INTEGER AS k FROM s UNION ALL SELECT 'budget', image_id, patch::INTEGER, k::INTEGER FROM g UNION ALL SELECT 'fidelity', image_id, patch::INTEGER, k::INTEGER FROM f"""
+
+ORACLE_SQL["source_mismatches"] = """WITH b AS (SELECT d.doc_id, quality, length(coalesce(text, '')) AS h, CASE WHEN len(string_split(coalesce(text, ''), ' ')) > 40 THEN length(source) ELSE length(lang) END AS w FROM documents d JOIN labels USING (doc_id)),
+m AS (SELECT d.doc_id AS x, b.doc_id AS y, quality, n_chars, length(source) AS sw, h, w FROM (SELECT * FROM documents WHERE doc_id IS NOT NULL) d FULL JOIN b ON d.doc_id = b.doc_id)
+SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL)::BIGINT AS matched, count(*) FILTER (y IS NULL)::BIGINT AS only_a, count(*) FILTER (x IS NULL)::BIGINT AS only_b,
+  count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND quality <> 1)::BIGINT AS labels_differ, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND (n_chars <> h OR sw <> w))::BIGINT AS shapes_differ FROM m"""
