@@ -283,12 +283,14 @@ def _read_rows(file: BinaryIO, rows: list[tuple]) -> Iterator[tuple]:
 
 
 def read_indexed_keys(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Samples of the wanted keys (column key), found by the index whatever the archives are called; missing ones are an error."""
-    keys = wanted.select("key").distinct()
-    missing = keys.join(index, "key", "left_anti").limit(5).collect()
+    """Samples of the wanted keys (column key), found by the index whatever the archives are called; missing ones are an error. Keys
+    need not be unique over archives: all samples of a key come, or with a column shard in wanted only those of that archive."""
+    on = [c for c in ("key", "shard") if c in wanted.columns]
+    keys = wanted.select(*on).distinct()
+    missing = keys.join(index, on, "left_anti").limit(5).collect()
     if missing:
-        raise KeyError(f"missing keys: {', '.join(str(r[0]) for r in missing)}")
-    return read_indexed(index.join(keys, "key", "left_semi"))
+        raise KeyError(f"missing keys: {', '.join(str(r['key']) for r in missing)}")
+    return read_indexed(index.join(keys, on, "left_semi"))
 
 
 # --- archives as a stream ---

@@ -42,6 +42,16 @@ def test_only_archives_with_wanted_keys_are_opened(spark, names, tmp_path):
         archives.read_indexed_keys(index, spark.createDataFrame([("nowhere",)], "key string"))
 
 
+def test_a_key_of_several_archives(spark, tmp_path):
+    rows = spark.range(8).select("id", F.concat(F.lit("k"), F.col("id") % 4).alias("key"), F.col("id").cast("string").cast("binary").alias("content"), F.col("id").cast("int").alias("label"))
+    names = archives.write_archives(rows, str(tmp_path / "tar"), 4)
+    index = archives.member_index(spark, names)
+    assert sorted(r["label"] for r in archives.read_indexed_keys(index, spark.createDataFrame([("k1",)], "key string")).collect()) == [1, 5]
+    assert [r["label"] for r in archives.read_indexed_keys(index, spark.createDataFrame([("k1", names[1])], "key string, shard string")).collect()] == [5]
+    with pytest.raises(KeyError, match="k1"):
+        archives.read_indexed_keys(index, spark.createDataFrame([("k1", "elsewhere")], "key string, shard string"))
+
+
 def test_pieces_out_of_order_and_far_apart(tmp_path):
     data = bytes(range(256)) * 64
     files.write_file(str(tmp_path / "f"), data[:100] + b"7" + data[101:12_000] + b"8" + data[12_001:])
