@@ -183,9 +183,11 @@ def _jpegs(spark: SparkSession, sf_dir: str, kinds: int) -> DataFrame:
 
 @query
 def jpeg_blocks(spark, sf_dir):
-    """Quantised coefficients read from JPEG files."""
+    """Quantised coefficients read from JPEG files. A file is a whole grid; blocks that fill up a last image are not returned."""
     rows = jpeg.decode_blocks(_jpegs(spark, sf_dir, 2)).where("error is null")
-    return rows.select(F.col("source").alias("image_id"), (F.col("block_row") * NPW + F.col("block_col")).alias("patch"), F.posexplode("coeffs").alias("pos", "q"))
+    rows = rows.select(F.col("source").alias("image_id"), (F.col("block_row") * NPW + F.col("block_col")).alias("patch"), "coeffs")
+    rows = rows.join(blocks(spark, sf_dir).select("image_id", "patch"), ["image_id", "patch"], "left_semi")
+    return rows.select("image_id", "patch", F.posexplode("coeffs").alias("pos", "q"))
 
 
 @query

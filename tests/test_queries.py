@@ -22,6 +22,19 @@ def test_oracle(name, spark, sf, con):
     assert difference(QUERIES[name](spark, sf), con, ORACLE_SQL[name]) is None
 
 
+@pytest.fixture(scope="module")
+def ragged(spark, sf, tmp_path_factory):
+    """The last image lacks four of its blocks."""
+    folder = str(tmp_path_factory.mktemp("ragged"))
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 496").write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["jpeg_blocks"])
+def test_a_last_image_that_is_not_full(name, spark, ragged):
+    assert difference(QUERIES[name](spark, ragged), duck(ragged), ORACLE_SQL[name]) is None
+
+
 def test_random_queries_agree_on_reruns(spark, sf):
     for name in ("alloc_random", "random_crops", "augmented", "mixup"):
         first, again = (sorted(map(tuple, QUERIES[name](spark, sf).collect())) for _ in range(2))
