@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,6 +65,12 @@ class Fidelity:
         extra = F.greatest(self.slots(patches) - patches * self.k_low, F.lit(0))
         return F.greatest(F.lit(0), F.least(patches, F.bround(extra / max(self.top - self.k_low, 1)))).cast("int")
 
+    def of_grid(self, patches: int) -> Fidelity:
+        """The same with the quota that its ratio gives a binary policy in a grid of so many patches: an image of which fewer are
+        there keeps that quota, and may then exceed its own budget."""
+        slots = max(patches * self.k_low, min(patches * self.bands, round((1.0 if self.ratio is None else self.ratio) * patches * self.bands)))
+        return replace(self, quota=min(patches, round((slots - patches * self.k_low) / max(self.top - self.k_low, 1))))
+
 
 def allocate(signal: DataFrame, fidelity: Fidelity, band_weights: DataFrame | None = None, patch_weights: DataFrame | None = None) -> DataFrame:
     """Rows (image_id, patch, k) from rows (image_id, patch, signal) of the visible patches.

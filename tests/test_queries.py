@@ -30,7 +30,7 @@ def ragged(spark, sf, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["jpeg_blocks"])
+@pytest.mark.parametrize("name", ["jpeg_blocks", "policy_comparison", "bucket_store_serve"])
 def test_a_last_image_that_is_not_full(name, spark, ragged):
     assert difference(QUERIES[name](spark, ragged), duck(ragged), ORACLE_SQL[name]) is None
 
