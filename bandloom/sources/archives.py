@@ -71,12 +71,16 @@ class _TarReader(DataSourceReader):
         self.shards = shards
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(s) for s in self.shards]
+        return [InputPartition([self.shards[k] for k in some]) for some in files.grouped([s for s, _ in self.shards])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        shard, done = partition.value
-        with open(shard, "rb") as file:  # members are read one by one, so an archive may be larger than memory
-            yield from _batches((shard, *x) for x in samples(file, done))
+        yield from _batches(self._rows(partition.value))
+
+    @staticmethod
+    def _rows(shards: list[tuple[str, int]]) -> Iterator[tuple]:
+        for shard, done in shards:
+            with open(shard, "rb") as file:  # members are read one by one, so an archive may be larger than memory
+                yield from ((shard, *x) for x in samples(file, done))
 
 
 class _ShuffledReader(DataSourceReader):
@@ -128,7 +132,8 @@ def shuffled_archives(spark: SparkSession, patterns: str | list[str], seed: int,
 
 
 class TarSamples(DataSource):
-    """Archives on mounted folders as a Spark source: a partition for each. Option shards: JSON of [path, samples to skip]."""
+    """Archives on mounted folders as a Spark source: a partition for each, small ones together. Option shards: JSON of [path,
+    samples to skip]."""
 
     @classmethod
     def name(cls) -> str:
@@ -142,7 +147,8 @@ class TarSamples(DataSource):
 
 
 def read_archives(spark: SparkSession, patterns: str | list[str], skip: DataFrame | None = None) -> DataFrame:
-    """Rows (shard, position, key, content, label) of all samples; an archive is one task's work.
+    """Rows (shard, position, key, content, label) of all samples; an archive is one task's work, and a task takes
+    several small ones.
 
     Archives with a plain path are streamed member by member; others, such as those in object stores, are read as whole files by
     Spark, which takes files of up to 2 GB. skip: rows (shard, done), one for each shard at most: the first samples of a shard
@@ -349,15 +355,19 @@ class _TarStream(DataSourceStreamReader):
             lo = 0 if n > start["shard"] else start["sample"] if n == start["shard"] else -1
             hi = -1 if n < end["shard"] else end["sample"]
             if lo >= 0 and n <= end["shard"] and lo != hi:
-                out.append(InputPartition((f"{self.path}/{n}", lo, hi)))
-        return out
+                out.append((f"{self.path}/{n}", lo, hi))
+        return [InputPartition([out[k] for k in some]) for some in files.grouped([s for s, _, _ in out])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        shard, lo, hi = partition.value
-        fs, inner = files.located(shard)
-        with fs.open_input_file(inner) as file:
-            rows = [(shard, *x) for x in islice(places(file), lo, None if hi < 0 else hi)]
-            yield from _batches(_read_rows(file, rows))
+        yield from _batches(self._rows(partition.value))
+
+    @staticmethod
+    def _rows(parts: list[tuple[str, int, int]]) -> Iterator[tuple]:
+        for shard, lo, hi in parts:
+            fs, inner = files.located(shard)
+            with fs.open_input_file(inner) as file:
+                rows = [(shard, *x) for x in islice(places(file), lo, None if hi < 0 else hi)]
+                yield from _read_rows(file, rows)
 
 
 class TarStream(DataSource):
@@ -378,7 +388,7 @@ def stream_archives(spark: SparkSession, folder: str, shards_per_batch: int = 0,
     """A stream of the samples (SCHEMA) of the archives in a folder, each once over restarts from one checkpoint. The checkpoint
     has where it is, so nothing is looked up in what was written.
 
-    Without limits the driver only lists the folder, and a batch, whose archives are tasks, takes all that is there. Limits are for
+    Without limits the driver only lists the folder, and a batch, whose archives are tasks (small ones together), takes all that is there. Limits are for
     streams that go on (with availableNow a start takes one batch); they need the query's checkpoint, as Spark does not tell a
     source where it starts, and it is read for that. With samples_per_batch the driver also reads the headers of a batch's archives.
     """

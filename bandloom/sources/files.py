@@ -12,6 +12,8 @@ import pyarrow.fs as pafs
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+:")
 #: Bytes that one read takes at most; a longer piece is one read.
 SPAN_BYTES = 8 << 20
+#: Bytes of whole files that one task reads.
+TASK_BYTES = 16 << 20
 
 
 class Readable(Protocol):
@@ -67,6 +69,23 @@ def create_new(path: str, data: bytes) -> bool:
     return True
 
 
+def grouped(paths: list[str], most: int = TASK_BYTES) -> list[list[int]]:
+    """Places in `paths`, in their order, in groups of up to `most` bytes (a larger file is a group): small files share a task."""
+    if not paths:
+        return []
+    fs, _ = located(paths[0])
+    out: list[list[int]] = []
+    room = 0
+    for k, info in enumerate(fs.get_file_info([located(p)[1] for p in paths])):
+        size = max(info.size or 0, 1 << 12)  # opening a file counts as well
+        if not out or size > room:
+            out.append([])
+            room = most
+        out[-1].append(k)
+        room -= size
+    return out
+
+
 def delete_files(folder: str, which: Iterable[str]) -> None:
     fs, inner = located(folder)
     for name in which:
