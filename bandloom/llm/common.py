@@ -10,29 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bandloom.functions.batches import bounded_batches
 from bandloom.sources.folders import shared_folder
 
-#: Bytes of one Arrow batch at most, so that a batch of very long texts stays small.
-ARROW_BATCH_BYTES = 8 << 20
+__all__ = ["bounded_batches"]
+
 #: Characters that the word rules call white space: \x20 and \x09-\x0D. bytes.split() cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of a table that may be sent to every task; larger ones are shuffled.
 CARRIED_BYTES = 32 << 20
 #: Where cut() has written what it returned.
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes where the session has not been told otherwise."""
-    if int(spark.conf.get(_BYTES_PER_BATCH, str(2**31 - 1))) >= 2**31 - 1:
-        spark.conf.set(_BYTES_PER_BATCH, str(ARROW_BATCH_BYTES))
-
-
 def cut(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: what follows survives lost executors and is not computed twice."""
     spark = df.sparkSession

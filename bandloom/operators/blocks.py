@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandloom.functions.batches import IMAGE_BATCH_BYTES, bounded_batches
 from bandloom.functions.dims import Bands, zigzag
 from bandloom.functions.transforms import array_sum, dct2, from_zigzag, idct2, keep_prefix, mean_abs, positions_of, squared_error, to_zigzag
 
@@ -42,6 +43,7 @@ def split_blocks(images: DataFrame, block: int = 8, padding: str = "drop", canva
     """
     if padding not in PADDING:
         raise ValueError(f"unknown padding {padding!r}")
+    bounded_batches(images.sparkSession, IMAGE_BATCH_BYTES)
     h, w = F.col("height"), F.col("width")
     rows, cols = canvas or tuple((F.floor(s / block) if padding == "drop" else F.ceil(s / float(block))).cast("int") for s in (h, w))
     df = images.select("image_id", "height", "width", "pixels", rows.alias("nph"), cols.alias("npw")).where((F.col("nph") > 0) & (F.col("npw") > 0))
@@ -68,6 +70,7 @@ def _merger(block: int):
 def merge_blocks(blocks: DataFrame, block: int = 8, height: Column | None = None, width: Column | None = None) -> DataFrame:
     """Rows (image_id, channel, height, width, pixels): one plane for each image and channel, cut to height x width if given;
     blocks that are missing are zeros."""
+    bounded_batches(blocks.sparkSession, IMAGE_BATCH_BYTES)
     h, w = (F.max(c) if c is not None else F.max(F.col(n) * block) for c, n in ((height, "nph"), (width, "npw")))
     plane = blocks.groupBy("image_id", "channel", "nph", "npw").agg(F.collect_list(F.struct("patch", "pixels")).alias("b"), h.cast("int").alias("height"), w.cast("int").alias("width"))
     return plane.select("image_id", "channel", "height", "width", _merger(block)("b", "nph", "npw", "height", "width").alias("pixels"))
@@ -75,10 +78,12 @@ def merge_blocks(blocks: DataFrame, block: int = 8, height: Column | None = None
 
 def transformed(blocks: DataFrame) -> DataFrame:
     """blocks with z: the block's DCT coefficients in zig-zag order, instead of its pixels."""
+    bounded_batches(blocks.sparkSession, IMAGE_BATCH_BYTES)
     return blocks.withColumn("z", to_zigzag(dct2("pixels"))).drop("pixels")
 
 
 def restored(blocks: DataFrame, z: str = "z", out: str = "pixels") -> DataFrame:
+    bounded_batches(blocks.sparkSession, IMAGE_BATCH_BYTES)
     return blocks.withColumn(out, idct2(from_zigzag(F.col(z)))).drop(z)
 
 

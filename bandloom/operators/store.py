@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bandloom.functions.batches import IMAGE_BATCH_BYTES, bounded_batches
 from bandloom.functions.codec import compress, unpack
 from bandloom.functions.dims import CROP_BANDS, Bands, quality_tables, zigzag
 from bandloom.functions.transforms import band_slice, quantise, resize_any, to_ycbcr
@@ -253,6 +254,7 @@ def _unpacker(spec: ChunkSpec):
 
 def crop_blocks(reads: DataFrame, spec: ChunkSpec) -> DataFrame:
     """Rows (image_id, channel, patch, nph, npw, crop, z) of the blocks that requests need, from crop_reads()."""
+    bounded_batches(reads.sparkSession, IMAGE_BATCH_BYTES)
     crop = F.struct("top", "left", "crop_h", "crop_w", "height", "width").alias("crop")
     keys = ["image_id", "nph", "npw", "row0", "row1", "col0", "col1"]
     cells = reads.select(*keys, crop, "band_id", F.explode(_unpacker(spec)("payload", "raw_length", "band_id", "tile_id", "nph", "npw")).alias("b"))
@@ -398,6 +400,7 @@ def packed_reads(spark: SparkSession, path: str, requests: DataFrame, wanted: li
 
 def coefficient_rows(chunks: DataFrame, images: DataFrame, spec: ChunkSpec) -> DataFrame:
     """Rows (image_id, band_id, patch, channel, vals): dequantised coefficients of whole chunks."""
+    bounded_batches(chunks.sparkSession, IMAGE_BATCH_BYTES)
     rows = chunks.join(images.select("image_id", "write_id", "nph", "npw"), ["image_id", "write_id"])
     cells = rows.select("image_id", "band_id", F.explode(_unpacker(spec)("payload", "raw_length", "band_id", "tile_id", "nph", "npw")).alias("b"))
     return cells.select("image_id", "band_id", "b.*")
@@ -426,6 +429,7 @@ def write_bucket_store(coefficients: DataFrame, places: DataFrame, path: str, ba
     chunk_pos) as int8 records of (bucket, chunk, tile, band); a record holds its blocks by image, patch and channel. scales: rows
     (band_id, scale), and bucket_id or channel where each has its own."""
     spark = coefficients.sparkSession
+    bounded_batches(spark, IMAGE_BATCH_BYTES)
     block = ["patch", *(c for c in ("channel",) if c in coefficients.columns)]
     rows = long_bands(coefficients.select("image_id", *block, "z").join(places.select("image_id", "bucket_id", "npw", "chunk_id", "chunk_pos"), "image_id"), bands)
     rows = rows.join(F.broadcast(scales), _scale_keys(scales)).withColumn("tile_id", tile_of(F.col("patch"), F.col("npw"), tile_blocks))  # a row for each band
@@ -480,6 +484,7 @@ def read_bucket_store(spark: SparkSession, path: str, alloc: DataFrame) -> tuple
     """(blocks, records): the blocks (image_id, patch, z, and channel if the store has it) that alloc (image_id, patch, k) grants, and the records (length) that
     had to be read for them. A record is read if any of its blocks needs its band; blocks get exactly their k bands."""
     o = open_metadata(spark, path, BUCKET_STORE)
+    bounded_batches(spark, IMAGE_BATCH_BYTES)
     bands, t, codec = Bands(tuple(tuple(int(x) for x in e.split(",")) for e in o["edges"].split(";"))), int(o["tile_blocks"]), o["codec"]
     places = spark.read.parquet(f"{path}/images").select("image_id", "bucket_id", "npw", "chunk_id")
     wanted = alloc.where("k > 0").join(places, "image_id").withColumn("tile_id", tile_of(F.col("patch"), F.col("npw"), t))

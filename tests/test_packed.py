@@ -172,3 +172,19 @@ def test_of_two_writers_one_wins(tmp_path):
 def test_empty_store(spark, tmp_path):
     store.write_packed_store(images(spark, 0, 1).limit(0), str(tmp_path / "e"), SPEC)
     assert packed.packed_chunks(spark, str(tmp_path / "e")).count() == 0 and packed.manifest(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """A thousand images of 45 kB are many batches, whatever a batch may hold in rows."""
+    from bandloom.operators import blocks
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        one = spark.range(0, 1000, 1, 1).select(F.col("id").alias("image_id"), F.lit(72).alias("height"), F.lit(80).alias("width"), F.array_repeat(F.lit(0.5), 72 * 80).alias("pixels"))
+        blocks.split_blocks(one)
+        most = one.mapInArrow(lambda bs: (b.select(["image_id"]).slice(0, 1) for b in bs), "image_id long").count()
+        assert most > 10
+    finally:
+        spark.conf.set(key, before)
