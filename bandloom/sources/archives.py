@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import io
 import json
@@ -420,13 +421,42 @@ def read_keys(spark: SparkSession, patterns: str | list[str], wanted: DataFrame,
     return rows
 
 
+def listed_files(spark: SparkSession, path: str, glob: str, recursive: bool = True) -> DataFrame:
+    """Rows (path) of the files below a folder whose name fits, listed by a task and not by the driver."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            found = (p for p in files.walked(path, recursive) if fnmatch.fnmatchcase(p.rpartition("/")[2], glob))
+            while some := list(islice(found, 65_536)):
+                yield pa.RecordBatch.from_arrays([pa.array(some)], ["path"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(walk, "path string")
+
+
+def with_contents(rows: DataFrame) -> DataFrame:
+    """rows (path, ...) with the content of each file, read by as many tasks as a shuffle has: Spark's own source counts a file as
+    4 MB at least, so that a task would read 32 small ones."""
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, size, first = [], 0, 0
+            for k, path in enumerate(b.column("path").to_pylist()):
+                held.append(files.read_file(path))
+                size += len(held[-1])
+                if size > SAMPLE_BYTES or k + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(first, len(held)).columns, pa.array(held, pa.binary())], [*b.schema.names, "content"])
+                    held, size, first = [], 0, k + 1
+
+    return dealt.mapInArrow(read, T.StructType([*dealt.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
 def read_image_folder(spark: SparkSession, path: str, glob: str = "*.[jJpP]*[gG]") -> DataFrame:
     """Rows (path, class_name, label, content): the folder of an image is its class; labels number the sorted classes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    rows = files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("class_name"), "content")
+    rows = listed_files(spark, path, glob).select("path", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("class_name"))
     names = rows.groupBy("class_name").agg(F.lit(0).alias("zero")).groupBy("zero").agg(F.sort_array(F.collect_list("class_name")).alias("names"))
     labels = names.select(F.posexplode("names").alias("label", "class_name"))  # a row for each class
-    return rows.join(labels, "class_name").select("path", "class_name", "label", "content")
+    return with_contents(rows.join(F.broadcast(labels), "class_name").select("path", "class_name", "label"))
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
@@ -454,10 +484,12 @@ def refolder(spark: SparkSession, images: str, annotations: str, target: str) ->
     """Copies images of one flat folder into a folder for each class that the annotations (file, class_id) give them, where
     read_image_folder() reads them; returns rows (path, bytes). Files without an annotation, and annotations without a file, are
     an error."""
-    found = spark.read.format("binaryFile").load(images).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
+    folder, _, glob = images.rpartition("/") if re.search(r"[*?\[][^/]*$", images) else (images, "", "*")
+    found = listed_files(spark, folder, glob, recursive=False).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("path").alias("source"))
     both = found.join(read_annotations(spark, annotations), "file", "full")
-    fits = F.when(F.col("content").isNull() | F.col("class_id").isNull(), F.raise_error(F.concat(F.lit("no pair for "), F.col("file")))).otherwise(F.concat_ws("/", "class_id", "file"))
-    return write_files(both.select(fits.cast("string").alias("path"), "content"), target)
+    fits = F.when(F.col("source").isNull() | F.col("class_id").isNull(), F.raise_error(F.concat(F.lit("no pair for "), F.col("file")))).otherwise(F.concat_ws("/", "class_id", "file"))
+    read = with_contents(both.select(fits.cast("string").alias("target"), F.col("source").alias("path")))
+    return write_files(read.select(F.col("target").alias("path"), "content"), target)
 
 
 def write_records(rows: DataFrame, folder: str) -> DataFrame:

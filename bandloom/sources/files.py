@@ -34,6 +34,18 @@ def names(path: str) -> list[str]:
     return sorted(f.base_name for f in found if f.type == pafs.FileType.File and not f.base_name.startswith("."))
 
 
+def walked(path: str, recursive: bool) -> Iterator[str]:
+    """The addresses of the files in a folder, and with recursive of those in folders below it, without hidden ones."""
+    fs, inner = located(path)
+    for f in fs.get_file_info(pafs.FileSelector(inner)):
+        if f.base_name.startswith((".", "_")):
+            continue
+        if f.type == pafs.FileType.File:
+            yield f"file:{f.path}" if isinstance(fs, pafs.LocalFileSystem) else f"{path.rstrip('/')}/{f.base_name}"
+        elif recursive:
+            yield from walked(f"{path.rstrip('/')}/{f.base_name}", True)
+
+
 def write_file(path: str, data: bytes) -> None:
     fs, inner = located(path)
     fs.create_dir(os.path.dirname(inner), recursive=True)

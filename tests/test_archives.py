@@ -152,3 +152,13 @@ def test_a_broken_archive_is_an_error_and_an_empty_folder_is_not(spark, tmp_path
     os.makedirs(tmp_path / "none")
     query = run(archives.stream_archives(spark, str(tmp_path / "none")), str(tmp_path / "x"))
     query.awaitTermination()
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.concat(F.lit("c"), F.col("id") % 3, F.lit("/v"), "id", F.lit(".jpg")).alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+    archives.write_files(rows, str(tmp_path)).count()
+    files.write_file(str(tmp_path / "c1" / "other.txt"), b"x")
+    got = archives.read_image_folder(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((int(bytes(r["content"])), r["class_name"], r["label"]) for r in got.collect()) == [(i, f"c{i % 3}", i % 3) for i in range(300)]
+    assert {r["path"] for r in got.collect()} == {f"file:{tmp_path}/c{i % 3}/v{i}.jpg" for i in range(300)}
