@@ -235,10 +235,11 @@ def places(file: BinaryIO) -> Iterator[tuple[int, str, int, int, int, int]]:
 
 
 def member_index(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
-    """Rows of INDEX_SCHEMA, one for each sample: an archive is one task's work, which reads headers and skips contents. Written
-    once as a table, it serves every later read: by key, from a position on, or of some archives."""
-    shards = spark.createDataFrame([(s,) for s in shard_list(patterns)], "shard string")
-    shards = shards.repartition(min(shards.count(), 4096), "shard")
+    """Rows of INDEX_SCHEMA, one for each sample: an archive is one task's work, which reads headers and skips contents, and a task
+    takes several small ones. Written once as a table, it serves every later read: by key, from a position on, or of some archives."""
+    listed = shard_list(patterns)
+    width = max(len(files.grouped(listed)), 2 * spark.sparkContext.defaultParallelism)
+    shards = spark.createDataFrame([(s,) for s in listed], "shard string").repartition(min(len(listed), width, 4096), "shard")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

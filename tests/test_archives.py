@@ -106,6 +106,12 @@ def test_small_archives_share_a_task(spark, names, tmp_path):
     assert archives.read_archives(spark, names).rdd.getNumPartitions() == 1
 
 
+def test_an_index_of_small_archives_is_few_tasks(spark, tmp_path):
+    rows = spark.range(40).select("id", F.concat(F.lit("k"), "id").alias("key"), F.lit("x").cast("binary").alias("content"), F.lit(1).alias("label"))
+    index = archives.member_index(spark, archives.write_archives(rows, str(tmp_path / "tar"), 1))
+    assert index.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and index.count() == 40
+
+
 def test_a_batch_of_small_archives_is_few_tasks(spark, names, tmp_path):
     run(archives.stream_archives(spark, str(tmp_path / "tar")), str(tmp_path)).awaitTermination()
     assert len(files.names(str(tmp_path / "out"))) == 1
