@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import chain
 from zlib import crc32
 
@@ -25,6 +27,12 @@ _GAP = re.compile("(?<=[^\\s\u180e\u200b\ufeff]) (?=[^\\s\u180e\u200b\ufeff])")
 _BLANK = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u180e", "\u200b", "\ufeff"}
 #: A piece that is a word of letters, ASCII signs at its end, and the same again in further lines: each is a token run of its own.
 _LINES = re.compile(r"([A-Za-z]*)([,.;:!?]?)(?:\n([A-Za-z]+)([,.;:!?]?))*")
+#: The runs that a byte-level tokenizer cuts texts into, where white space comes neither in threes nor in twos at the end, and in all.
+_RUNS = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+_ALL_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The bytes of visible ASCII, its usual white space, and letters up to U+027F, which all libraries put into the same classes.
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+_TO_SPACES = bytes.maketrans(b"\t\n\r", b"   ")
 #: Pieces between gaps of which a worker remembers the ids, in two generations of this many, and the longest of them.
 _MEMO, _MEMO_CHARS = 400_000, 24
 #: Characters of texts that are split together, and that one call of the tokenizer takes.
@@ -38,6 +46,16 @@ def _beside_blank(words: Iterable[str]) -> set[str]:
     return {w for w in words if not w or w[0] in _BLANK or w[-1] in _BLANK}
 
 
+@cache
+def lasting_chars() -> frozenset[str]:
+    """The characters that are letters, numbers, spaces or neither in Unicode 3.2 and now alike, so in whatever version a library has:
+    what was unassigned counted as neither. Controls and what is unassigned now are left out."""
+    kind = lambda data, c: k if (k := data.category(c)[0]) in "LNZ" else ""
+    old = unicodedata.ucd_3_2_0
+    lasting = (c for c in map(chr, range(0x80, 0x30000)) if unicodedata.category(c)[0] != "C" and kind(unicodedata, c) == kind(old, c))
+    return frozenset(chain(lasting, (chr(b) for b in _PLAIN if b < 0x80)))
+
+
 def bytes_to_chars() -> dict[int, str]:
     """How byte-level vocabularies write bytes: visible Latin characters as themselves, the others by characters from 256 on."""
     seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
@@ -48,7 +66,8 @@ def bytes_to_chars() -> dict[int, str]:
 class IdMemo:
     """The ids of whole texts as little-endian 32-bit numbers.
 
-    A byte-level tokenizer starts a token at each gap, so the pieces between gaps are encoded once each and remembered: those of
+    Texts of _PLAIN bytes or lasting_chars() are merged as a whole by the order of the tokenizer's own merges; nothing of them is
+    remembered. In all others a byte-level tokenizer starts a token at each gap, so the pieces between gaps are encoded once each and remembered: those of
     the generation before are looked up and taken over, so frequent pieces stay and the memory is bounded. Of a new piece the
     words and the signs behind them are encoded apart, and these once each.
     """
@@ -60,26 +79,49 @@ class IdMemo:
         self.old: dict[str, bytes] = {}
         starts = [t.startswith("\u0120") for t, _ in sorted(self.tok.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
         self.starts = np.array(starts)
-        self.merges = self._in_merge_order(blob) if self.loaded.boundary == tc.BEFORE_SPACE else None
+        self.merges, self.all_merges, self.added = None, None, ()
+        if self.loaded.boundary == tc.BEFORE_SPACE:
+            self._in_merge_order(json.loads(blob))
         self.signs = dict(zip(",.;:!?\n", self._encode(list(",.;:!?\n")), strict=True)) | {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, _IDS).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _in_merge_order(self, blob: bytes):
-        """An encoder of words of letters by the merges of the tokenizer's file, if their results are numbered in their order: merging
-        by ids is then merging by that order. It gives the same ids in a third of the time. None if that is not so."""
-        model, base = json.loads(blob)["model"], len(bytes_to_chars())
+    def _in_merge_order(self, spec: dict) -> None:
+        """Makes encoders by the merges of the tokenizer's file, of _RUNS and of _ALL_RUNS, if that gives the tokenizer's ids.
+
+        Merging by ids is merging by that order if results are numbered in it and each of them, taken alone, merges to itself: what
+        lies in a span that no merge has crossed goes through the same steps as the span alone, so it ends by the same merge.
+        """
+        model, base = spec["model"], len(bytes_to_chars())
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", ())]
         plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-        vocab = model["vocab"]
+        vocab, own = model["vocab"], self.tok.model
         if not plain or len(vocab) < base + len(merged) or any(vocab.get(m) != base + k for k, m in enumerate(merged)):
-            return None
-        import tiktoken
-
+            return
         byte_of = {c: b for b, c in bytes_to_chars().items()}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if i < base + len(merged)}
-        return tiktoken.Encoding("merges", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={}) if len(ranks) == base + len(merged) else None
+        if len(ranks) != base + len(merged) or any(len(own.tokenize(m)) != 1 for m in merged):
+            return
+        import tiktoken
+
+        # these texts never hold the special token, which the encoder needs to search for one
+        self.merges, self.all_merges = (tiktoken.Encoding("merges", pat_str=p, mergeable_ranks=ranks, special_tokens={"\0": len(ranks)}) for p in (_RUNS, _ALL_RUNS))
+        self.added = tuple(a["content"] for a in spec.get("added_tokens") or ())
+
+    def _merged(self, text: str) -> bytes | None:
+        """The ids of a text without an added token, of characters whose kind all libraries agree on; None for other texts."""
+        if self.merges is None or any(a in text for a in self.added):
+            return None
+        data = text.encode()
+        if not data.translate(None, _PLAIN):
+            spaced = data.translate(_TO_SPACES)
+            encoder = self.all_merges if b"   " in spaced or spaced.endswith(b"  ") else self.merges
+        elif lasting_chars().issuperset(text):
+            encoder = self.all_merges
+        else:
+            return None
+        return encoder.encode_to_numpy(text, disallowed_special=()).astype(_IDS, copy=False).tobytes()
 
     def _spaced(self, words: list[str], letters: bool = False) -> list[bytes]:
         """Ids of words without a space inside, each behind a space: many in one text, whose tokens tell where a word starts."""
@@ -138,6 +180,14 @@ class IdMemo:
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.loaded.boundary != tc.BEFORE_SPACE:
             return self._encode(texts)
+        out = [self._merged(t) for t in texts]
+        if other := [k for k, ids in enumerate(out) if ids is None]:
+            for k, ids in zip(other, self._remembered([texts[k] for k in other]), strict=True):
+                out[k] = ids
+        return out
+
+    def _remembered(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts by their pieces between gaps."""
         if len(self.young) > _MEMO:
             self.old, self.young = self.young, {}
         young = self.young

@@ -148,6 +148,49 @@ def test_plan_cuts_few_documents():
     assert plan.sequences <= sum(n * c for n, c in counts.items()) / 2048 + 12
 
 
+def byte_memo():
+    with open(BYTE_BPE, "rb") as f:
+        return packing.IdMemo(f.read())
+
+
+def test_plain_texts_are_merged_whole():
+    from tokenizers import Tokenizer
+
+    tok, memo, r = Tokenizer.from_file(BYTE_BPE), byte_memo(), random.Random(3)
+    texts = ["", " ", "a  b", "a   b", "a \t\n b\n\n", "a\n\nb ", "a\r\n\r\nb\n", "\n\n\n", " 's 'll'd 'S x'ves", "12 1,2 \u00d7\u00f7 = 3", "x" * 3000 + " " + "ab" * 3000, "=" * 3000]
+    texts += [f"{c}{c}a {c} 1{c} .{c}\n{c}" for c in map(chr, range(0xC0, 0x280))]
+    texts += [f"a{c}a {c} 1{c}1 .{c}. {c}{c}{c} 's{c}" for c in sorted(packing.lasting_chars())]
+    texts += ["\u201cab\u201d \u2014 \u4e2d\u6587 \U0001f600\U0001f600 \u00a0 \u3000\u3000a\u2003", "\u043f\u0440\u0438 \u05d0\u05d1 \u0623\u0628 \u0967\u0968 \u2167 e\u0301"]
+    texts += ["".join(r.choices("abtionerhe \u00e9\u00df.,'1! \n\t\r  ", k=r.randint(0, 60))) for _ in range(4000)]
+    for t, ids in zip(texts, memo.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert not memo.young and not memo.old  # each new word cost time and memory
+
+
+def test_texts_that_are_not_plain_are_remembered(spark, sf):
+    memo = byte_memo()
+    assert [memo._merged(t) for t in ["a<|endoftext|>b", "a\u180eb", "a\x0bb", "a\0b", "a\x85b", "a\u200bb", "\ufeffa", "\u0378", "\u0528"]] == [None] * 9
+    texts = [x["text"] or "" for x in read_table(spark, sf, "documents").collect()]
+    assert memo._remembered(texts) == memo.ids(texts)
+    assert memo.young
+
+
+def test_ids_where_a_merge_is_never_reached():
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(BYTE_BPE, "rb") as f:
+        spec = json.loads(f.read())
+    merges = [["a", "b"], ["b", "c"], ["a", "bc"]]  # abc alone becomes ab, c
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if i < 256} | {"".join(m): 256 + k for k, m in enumerate(merges)}
+    spec["model"]["merges"], spec["added_tokens"] = merges, []
+    blob = json.dumps(spec).encode()
+    texts = ["abc bc abc, abcabc", "ab c"]
+    want = [e.ids for e in Tokenizer.from_str(blob.decode()).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.IdMemo(blob).ids(texts)] == want
+
+
 # --- 12 importance resampling ---
 
 
