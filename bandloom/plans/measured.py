@@ -81,8 +81,10 @@ def refoldered(spark, sf_dir):
 def artefact_sizes(spark, sf_dir):
     """Files and bytes of each folder of artefacts, and what a hundred thousand such folders would take."""
     path, d = scratch(spark), _samples(spark, sf_dir)
-    archives.write_files(d.select(F.concat_ws("/", F.concat(F.lit("c"), "label"), F.concat(F.col("id"), F.lit(".bin"))).alias("path"), "content"), path).count()
-    each = folders.sizes(spark, path).select(F.regexp_extract("folder", r"c(\d+)$", 1).cast("int").alias("folder"), "files", "bytes")
+    folder = F.concat(F.lit("c"), F.coalesce(F.col("label").cast("string"), F.lit("none")))  # a null text has no label
+    name = F.concat_ws("-", "id", F.monotonically_increasing_id())  # a file for each row, also of a repeated id
+    archives.write_files(d.select(F.concat_ws("/", folder, F.concat(name, F.lit(".bin"))).alias("path"), "content"), path).count()
+    each = folders.sizes(spark, path).select(F.regexp_extract("folder", r"c(\d+|none)$", 1).try_cast("int").alias("folder"), "files", "bytes")
     whole = folders.forecast(each, 100_000).select("n", r("mean_bytes", 3).alias("mean_bytes"), r("std_bytes", 3).alias("std_bytes"), r("forecast_bytes", 1).alias("forecast_bytes"))
     return each.crossJoin(F.broadcast(whole))
 

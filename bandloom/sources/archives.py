@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import io
 import json
@@ -22,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from bandloom.sources import files
-from bandloom.sources.folders import shard_list
+from bandloom.sources.folders import listed_files, shard_list
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png")
 LABEL_SUFFIX = "cls"
@@ -422,18 +421,6 @@ def read_keys(spark: SparkSession, patterns: str | list[str], wanted: DataFrame,
     return rows
 
 
-def listed_files(spark: SparkSession, path: str, glob: str, recursive: bool = True) -> DataFrame:
-    """Rows (path) of the files below a folder whose name fits, listed by a task and not by the driver."""
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            found = (p for p in files.walked(path, recursive) if fnmatch.fnmatchcase(p.rpartition("/")[2], glob))
-            while some := list(islice(found, 65_536)):
-                yield pa.RecordBatch.from_arrays([pa.array(some)], ["path"])
-
-    return spark.range(0, 1, 1, 1).mapInArrow(walk, "path string")
-
-
 def with_contents(rows: DataFrame) -> DataFrame:
     """rows (path, ...) with the content of each file, read by as many tasks as a shuffle has: Spark's own source counts a file as
     4 MB at least, so that a task would read 32 small ones."""
@@ -466,6 +453,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inner = files.located(folder)
+        fs.create_dir(inner, recursive=True)  # without rows, it is an empty folder
         for b in batches:
             sizes = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

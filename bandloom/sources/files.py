@@ -34,16 +34,34 @@ def names(path: str) -> list[str]:
     return sorted(f.base_name for f in found if f.type == pafs.FileType.File and not f.base_name.startswith("."))
 
 
-def walked(path: str, recursive: bool) -> Iterator[str]:
-    """The addresses of the files in a folder, and with recursive of those in folders below it, without hidden ones."""
+def hidden(name: str) -> bool:
+    """Whether Spark's file sources leave a file or folder out for its name."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+
+
+def entries(path: str) -> Iterator[tuple[str, int | None]]:
+    """(address, bytes) of what is in a folder, without hidden names; bytes of a folder are None."""
     fs, inner = located(path)
     for f in fs.get_file_info(pafs.FileSelector(inner)):
-        if f.base_name.startswith((".", "_")):
-            continue
-        if f.type == pafs.FileType.File:
-            yield f"file:{f.path}" if isinstance(fs, pafs.LocalFileSystem) else f"{path.rstrip('/')}/{f.base_name}"
-        elif recursive:
-            yield from walked(f"{path.rstrip('/')}/{f.base_name}", True)
+        if not hidden(f.base_name):
+            yield f"file:{f.path}" if isinstance(fs, pafs.LocalFileSystem) else f"{path.rstrip('/')}/{f.base_name}", f.size if f.type == pafs.FileType.File else None
+
+
+def walked(path: str) -> Iterator[tuple[str, int]]:
+    """(address, bytes) of the files in a folder and in those below it, without hidden ones."""
+    for found, size in entries(path):
+        if size is None:
+            yield from walked(found)
+        else:
+            yield found, size
+
+
+def alternatives(glob: str) -> list[str]:
+    """The patterns for fnmatch that a pattern like *.{jpg,png} of Spark's pathGlobFilter stands for."""
+    found = re.search(r"\{([^{}]*)\}", glob)
+    if found is None:
+        return [glob.replace("[^", "[!")]
+    return [p for x in found[1].split(",") for p in alternatives(f"{glob[: found.start()]}{x}{glob[found.end() :]}")]
 
 
 def write_file(path: str, data: bytes) -> None:

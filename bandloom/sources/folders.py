@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import fnmatch
 import re
 import tempfile
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandloom.sources import files
+
 _own: dict[str, str] = {}
 
 
@@ -57,10 +64,35 @@ def shard_list(patterns: str | list[str]) -> list[str]:
     return out
 
 
+def listed_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+    """Rows (path, length) of the files in a folder whose name fits, and with recursive of those in folders below it. Files without
+    a byte are listed as well, which Spark's own sources leave out. One task and not the driver lists the folder; the folders in it
+    are listed by as many tasks as a shuffle has."""
+    globs = files.alternatives(glob)
+
+    def rows(found: Iterator[tuple[str, int | None]]) -> Iterator[pa.RecordBatch]:
+        fits = (x for x in found if x[1] is None or any(fnmatch.fnmatchcase(x[0].rpartition("/")[2], g) for g in globs))
+        while some := list(islice(fits, 65_536)):
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some]), pa.array([n for _, n in some], pa.int64())], ["path", "length"])
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield from rows((p, n) for p, n in files.entries(path) if recursive or n is not None)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pc.is_valid(b.column("length")))
+            for folder in b.filter(pc.is_null(b.column("length"))).column("path").to_pylist():
+                yield from rows(files.walked(folder))
+
+    first = spark.range(0, 1, 1, 1).mapInArrow(top, "path string, length long")
+    return first.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(below, first.schema) if recursive else first
+
+
 def sizes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Rows (folder, files, bytes) below path, from the listing alone: contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")
-    return files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    """Rows (folder, files, bytes) below a folder, from the listing alone: contents are not read."""
+    found = listed_files(spark, path, glob)
+    return found.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 def forecast(sample: DataFrame, total: int) -> DataFrame:

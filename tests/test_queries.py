@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from bandloom.plans.queries import ORACLE_SQL, QUERIES
 from tests.compare import difference, duck
@@ -35,6 +36,20 @@ def test_a_last_image_that_is_not_full(name, spark, ragged):
     assert difference(QUERIES[name](spark, ragged), duck(ragged), ORACLE_SQL[name]) is None
 
 
+ODD = {
+    "empty": lambda d: d.withColumn("text", F.when(d.doc_id % 10 == 3, "").otherwise(d.text)),
+    "null": lambda d: d.withColumn("text", F.when(d.doc_id % 10 == 3, None).otherwise(d.text)),
+    "twice": lambda d: d.unionByName(d.where("doc_id < 20")),
+    "none": lambda d: d.where("doc_id < 0"),
+}
+
+
+@pytest.mark.parametrize("kind", ODD)
+def test_artefacts_of_odd_documents(kind, spark, sf, tmp_path):
+    ODD[kind](spark.read.parquet(f"{sf}/documents.parquet")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert difference(QUERIES["artefact_sizes"](spark, str(tmp_path)), duck(str(tmp_path)), ORACLE_SQL["artefact_sizes"]) is None
+
+
 def test_random_queries_agree_on_reruns(spark, sf):
     for name in ("alloc_random", "random_crops", "augmented", "mixup"):
         first, again = (sorted(map(tuple, QUERIES[name](spark, sf).collect())) for _ in range(2))

@@ -130,6 +130,15 @@ def test_folder_of_classes_and_sizes(spark, tmp_path):
     assert sorted(map(tuple, archives.read_annotations(spark, str(tmp_path / "val.txt")).collect())) == [("x.jpg", "n01"), ("y.jpg", "n02")]
 
 
+def test_sizes_count_files_without_a_byte(spark, tmp_path):
+    for name, data in {"top.bin": b"1", "a/x.bin": b"", "a/y.bin": b"123", "a/.z.bin": b"4", "b/x.bin": b"", "b/c=1/x.png": b"12", "_c/x.bin": b"5"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = lambda glob: {(r["folder"].removeprefix(f"file:{tmp_path}"), r["files"], r["bytes"]) for r in folders.sizes(spark, str(tmp_path), glob).collect()}
+    assert got("*") == {("", 1, 1), ("/a", 2, 3), ("/b", 1, 0), ("/b/c=1", 1, 2)}
+    assert got("x.{bin,png}") == {("/a", 1, 0), ("/b", 1, 0), ("/b/c=1", 1, 2)}
+
+
 def test_histories_of_all_ages(spark, tmp_path):
     files = {"new": {"adaptive": {"epoch": [0, 1], "test_acc": [0.1, 0.2], "io_ratio": [0.5, 0.6]}}, "old": {"baseline": {"test_acc": [0.3], "approx_ratio": [0.7]}}, "flat": {"test_acc": [0.4]}, "bad": {"x": 1}}
     for name, content in files.items():
